@@ -4,7 +4,7 @@ Every window of ``length`` bytes is represented by the smallest hash of the
 ``anchor``-byte strings inside it, so equal windows share that hash.  Successive
 windows with the same smallest hash form a *run*; its bytes are its context.
 
-1. Runs whose hash occurs once are dropped: no window of theirs is repeated.
+1. Runs whose hash occurs once in all are dropped: no window of theirs is repeated.
 2. Equal contexts are counted as one; one that occurs twice or more is repeated
    as a whole, and where a hash has no other context that settles it.
 3. Other hashes are dealt to buckets of a few MB.  Each bucket gets a
@@ -41,6 +41,7 @@ BUCKET_BYTES = 2 << 20
 HOT_BYTES = 4 << 20
 
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
+_LOW = np.uint64(0x1FFFFFFFFFFFFFFF)
 
 
 def window_minima(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -53,13 +54,18 @@ def window_minima(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs_of(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int):
-    """Runs of windows in a buffer of documents: (document, hash, context hash, start in the document, bytes)."""
+    """Runs of windows in a buffer of documents.
+
+    Gives (document, hash, context hash, start in the document, bytes, times that
+    the hash occurs in the run); a periodic text can repeat itself in one run.
+    """
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none, none.view(np.uint64), none.view(np.uint64), none, none
+        return none, none.view(np.uint64), none.view(np.uint64), none, none, none
     h = prefix(data)
     n = len(data) - anchor + 1
-    small = window_minima(mix((h[anchor:] - h[:n]) * powers(len(data) + 1, inverse=True)[:n]), length - anchor + 1)
+    anchors = mix((h[anchor:] - h[:n]) * powers(len(data) + 1, inverse=True)[:n])
+    small = window_minima(anchors, length - anchor + 1)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(small)]
     fits = np.arange(len(small)) + length <= offsets[1:][doc]
     new = np.ones(len(small), dtype=bool)
@@ -67,16 +73,23 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int):
     start = np.flatnonzero(new & fits)
     stop = np.minimum(np.append(start[1:], len(small)), offsets[1:][doc[start]] - length + 1)
     size = stop + length - 1 - start
-    return doc[start], small[start], spans(h, start, start + size), start - offsets[doc[start]], size
+    # only values that can be a minimum need counting
+    least = np.flatnonzero(anchors <= max(small.max(), _LOW))
+    low, high = np.searchsorted(least, start), np.searchsorted(least, start + size - anchor, side="right")
+    count = high - low
+    run = np.repeat(np.arange(len(start)), count)
+    at = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count) + low[run]
+    times = np.bincount(run[anchors[least[at]] == small[start][run]], minlength=len(start))
+    return doc[start], small[start], spans(h, start, start + size), start - offsets[doc[start]], size, times
 
 
 def _runs(length: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t"):
-            doc, key, context, start, size = runs_of(*bytes_of(batch.column("t")), length, anchor)
+            doc, key, context, start, size, times = runs_of(*bytes_of(batch.column("t")), length, anchor)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("i").take(pa.array(doc)), batch.column("k").take(pa.array(doc)), *(pa.array(x.view(np.int64)) for x in (key, context)), pa.array(start), pa.array(size)],
-                names=["i", "k", "h", "c", "a", "n"],
+                [batch.column("i").take(pa.array(doc)), batch.column("k").take(pa.array(doc)), *(pa.array(x.view(np.int64)) for x in (key, context)), pa.array(start), pa.array(size), pa.array(times)],
+                names=["i", "k", "h", "c", "a", "n", "r"],
             )
 
     return run
@@ -115,9 +128,9 @@ def marks(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, bucket_by
     """Repeated bytes by row key: i (doc_id), k (text hash), spans array<struct<s,e>>, unmerged."""
     texts = docs.select(F.col("doc_id").alias("i"), text_hash().alias("k"), F.col("text").alias("t")).where(F.octet_length("t") >= length)
     id_type = texts.schema["i"].dataType.simpleString()
-    runs = save(texts.mapInArrow(_runs(length, anchor), f"i {id_type}, k long, h long, c long, a long, n long"), "runs")
-    shared = runs.groupBy("h").agg(F.count("*").alias("total"), (F.min(F.struct("c", "n")) != F.max(F.struct("c", "n"))).alias("differ")).where("total > 1").drop("total")
-    live = save(runs.join(shared, "h"), "live")
+    runs = save(texts.mapInArrow(_runs(length, anchor), f"i {id_type}, k long, h long, c long, a long, n long, r long"), "runs")
+    shared = runs.groupBy("h").agg(F.sum("r").alias("total"), ((F.min(F.struct("c", "n")) != F.max(F.struct("c", "n"))) | (F.count("*") == 1)).alias("differ")).where("total > 1").drop("total")
+    live = save(runs.drop("r").join(shared, "h"), "live")
     whole = live.where("not differ").select("i", "k", F.col("a").alias("s"), (F.col("a") + F.col("n")).alias("e"))
 
     classes = live.where("differ").groupBy("h", "c", "n").agg(F.count("*").alias("m"), F.min(F.struct("i", "k", "a")).alias("at"))
