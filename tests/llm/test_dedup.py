@@ -110,7 +110,10 @@ def mutated(text, rng, share):
     return " ".join(w if rng.random() > share else f"new{rng.random():.9f}" for w in text.split())
 
 
-def test_near_duplicates_as_brute_force(docs_of, words):
+@pytest.mark.parametrize("large", [32, 1])
+def test_near_duplicates_as_brute_force(docs_of, words, large, monkeypatch):
+    monkeypatch.setattr(near_dedup, "LARGE", large)
+    monkeypatch.setattr(near_dedup, "RARE", 2 if large == 1 else 16)
     rng = random.Random(9)
     texts = [None, "", " \n", "one two", "ONE\tTWO", "one two three four five", "x"]
     for _ in range(6):

@@ -10,8 +10,8 @@
    is exact and empties most buckets of texts that are only somewhat alike.
 4. Each class is compared with the most central class of each of its buckets.
    Buckets that still hold several components then compare the pairs across
-   components that the bound of step 3 allows.  Buckets grow no list of pairs
-   within a component.
+   components that the bound of step 3 allows; in large buckets a sharper bound
+   counts only shingles that many have, and pairs that share a rare one meet by it.
 5. A pair is first estimated by joint likelihood of the registers and then
    confirmed on the full sets.  Confirmed links give components.
 
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import save, slices, strings, text_hash
@@ -37,6 +37,10 @@ from tidemark.llm.shingles import shingle_sets
 #: Links need PERCENT * |union| <= 100 * |intersection|.
 PERCENT = 85
 ROWS = 4
+#: Buckets of more classes don't compare all pairs that the bound allows.
+LARGE = 32
+#: In those, a shingle is rare if so many classes have it at most.
+RARE = 16
 #: Estimates below this are not verified: over nine standard errors under the threshold.
 FLOOR = 0.5
 
@@ -134,15 +138,42 @@ def class_roots(docs: DataFrame, rows: DataFrame, percent: int = PERCENT) -> Dat
 
     label = components(links)
     buckets = buckets.join(label.withColumnsRenamed({"node": "x", "root": "r"}), "x", "left").withColumn("r", F.coalesce("r", "x"))
-    split = buckets.groupBy("band").agg((F.min("r") != F.max("r")).alias("split")).where("split").select("band")
+    split = buckets.groupBy("band").agg((F.min("r") != F.max("r")).alias("split"), (F.count("*") > LARGE).alias("large")).where("split").select("band", "large")
     buckets = save(buckets.join(split, "band"), "split")
-    other = buckets.withColumnsRenamed({"x": "y", "n": "n2", "c": "c2", "r": "r2"})
-    across = buckets.join(other, "band").where((F.col("r") < F.col("r2")) & fits).select("x", "y").distinct()
-    across = across.join(stars.select(F.col("x"), F.col("y")), ["x", "y"], "left_anti")
+    renamed = {"x": "y", "n": "n2", "c": "c2", "r": "r2"}
+    small = buckets.where("not large").drop("large")
+    across = small.join(small.withColumnsRenamed(renamed), "band").where((F.col("r") < F.col("r2")) & fits).select("x", "y")
+    across = across.unionByName(_across_large(buckets.where("large").drop("large"), sets, fits, renamed, t)).distinct()
+    across = across.join(stars, ["x", "y"], "left_anti")
     links = save(links.unionByName(_links(across, classes, sets, percent)), "links")
     return components(links).withColumnsRenamed({"node": "x"})
 
 
+def _across_large(buckets: DataFrame, sets: DataFrame, fits: Column, renamed: dict[str, str], t: float) -> DataFrame:
+    """Pairs across components that may be linked, of buckets too large for all their pairs.
+
+    Of two linked classes either both have a shingle that at most RARE classes have,
+    and meet there; or their intersection is within the other shingles of each, of
+    which a class has h, and the bound of step 3 holds with h in place of c.
+    """
+    classes = buckets.select("x", "n", "c", "r").distinct()
+    shingles = save(sets.join(classes.select("x"), "x").mapInArrow(_shingles, "s long, x long"), "shingles")
+    rare = shingles.join(shingles.groupBy("s").agg(F.count("*").alias("df")).where(F.col("df") <= RARE), "s")
+    rare = save(rare.join(classes, "x"), "rare")
+    shared = rare.where("df > 1").drop("df")
+    meet = shared.join(shared.withColumnsRenamed(renamed), "s").where((F.col("r") < F.col("r2")) & fits).select("x", "y")
+    few = rare.groupBy("x").agg(F.count("*").alias("few"))
+    common = buckets.join(few, "x", "left").withColumn("h", F.col("n") - F.coalesce("few", F.lit(0))).drop("few")
+    common = common.withColumn("room", F.col("h") * (1 + 1 / t) - F.col("n") + 1e-6)
+    least = common.groupBy("band").agg(F.min("n").alias("least"))
+    common = common.join(least, "band").where("least <= room").drop("least")
+    mixed = common.groupBy("band").agg((F.min("r") != F.max("r")).alias("mixed")).where("mixed").select("band")
+    common = save(common.join(mixed, "band"), "common")
+    other = common.withColumnsRenamed({**renamed, "h": "h2", "room": "room2"})
+    bound = (F.col("n2") <= F.col("room")) & (F.col("n") <= F.col("room2"))
+    return meet.unionByName(common.join(other, "band").where((F.col("r") < F.col("r2")) & fits & bound).select("x", "y"))
+
+
 def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs``: i (doc_id), k (text hash), n_shingles, component_id."""
     rows = save(sketched(docs), "sketches")
