@@ -1,11 +1,10 @@
-"""Queries over the given tables, with their DuckDB counterparts."""
+"""All queries over the given tables."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tidemark.plans import prepare_queries, state_queries  # noqa: F401
+from tidemark.plans.base import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
+FLAGSHIP = "ra2_lift_by_horizon"
 
-FLAGSHIP = ""
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
