@@ -36,7 +36,7 @@ def save(df: DataFrame, label: str) -> DataFrame:
     Cuts the lineage so that a lost executor repeats a scan, not the work above.
     """
     path = f"{scratch_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
