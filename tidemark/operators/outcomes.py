@@ -53,39 +53,39 @@ def maturity(age_ms: Column, session_ended: Column) -> Column:
     return F.when(age_ms >= 3_600_000, "MATURE").when(session_ended, "CENSORED").otherwise("PENDING")
 
 
-def quote_columns(notional: Column, v_quote: Column, v_base: Column, real_base: Column, fee_bps: Column, tax_bps: Column) -> dict[str, Column]:
-    """Constant-product buy: quote after fees, tokens out (capped by what is there), price and impact.
+def quoted(rows: DataFrame) -> DataFrame:
+    """``rows`` with a constant-product buy: net_quote, tokens_out, impact_bps, status.
 
-    Products stay within 38 digits for reserves up to about 10**18.
+    Needs notional, v_quote, v_base, real_base, fee_bps and tax_bps.  Output is capped by
+    what is there.  Products stay within 38 digits for reserves up to about 10**18.  Each
+    step is a column of its own, so later ones refer to it and don't repeat it.
     """
-    cut = F.least(fee_bps + tax_bps, F.lit(10_000))
-    net = floor_div(wide(notional) * (F.lit(10_000) - cut), F.lit(10_000))
-    raw = floor_div(wide(v_base) * net, wide(v_quote) + net)
-    out = F.least(raw, wide(real_base))
-    status = F.when(v_quote.isNull() | v_base.isNull(), "NO_RESERVES").when(out <= 0, "NO_LIQUIDITY").when(raw > real_base, "CAPPED").otherwise("OK")
+    cut = F.least(F.col("fee_bps") + F.col("tax_bps"), F.lit(10_000))
+    x = rows.withColumn("net_quote", floor_div(wide(F.col("notional")) * (F.lit(10_000) - cut), F.lit(10_000)))
+    x = x.withColumn("__raw", floor_div(wide(F.col("v_base")) * F.col("net_quote"), wide(F.col("v_quote")) + F.col("net_quote")))
+    x = x.withColumn("tokens_out", F.least("__raw", wide(F.col("real_base"))))
+    status = F.when(F.col("v_quote").isNull() | F.col("v_base").isNull(), "NO_RESERVES").when(F.col("tokens_out") <= 0, "NO_LIQUIDITY").when(F.col("__raw") > F.col("real_base"), "CAPPED").otherwise("OK")
     # price paid against price before, both as quote per base
-    impact = floor_div(wide(net) * wide(v_base) * 10_000, F.when(out > 0, out) * wide(v_quote)) - 10_000
-    return {"net_quote": net.cast("bigint"), "tokens_out": out.cast("bigint"), "impact_bps": F.when(status == "OK", F.greatest(impact, F.lit(0))).cast("bigint"), "status": status}
+    x = x.withColumn("status", status).withColumn("__paid", wide(F.col("net_quote") * wide(F.col("v_base")) * 10_000)).withColumn("__fair", wide(F.col("tokens_out") * wide(F.col("v_quote"))))
+    impact = F.when((F.col("status") == "OK"), F.greatest(floor_div(F.col("__paid"), F.col("__fair")) - 10_000, F.lit(0)))
+    return x.withColumn("impact_bps", impact.cast("bigint")).withColumn("net_quote", F.col("net_quote").cast("bigint")).withColumn("tokens_out", F.col("tokens_out").cast("bigint")).drop("__raw", "__paid", "__fair")
 
 
 def fee_overlay(fee_bps: Column, creator_bps: Column) -> Column:
     return F.least(fee_bps + creator_bps, F.lit(2_000))
 
 
-def max_notional(v_quote: Column, v_base: Column, real_base: Column, fee_bps: Column, limit_bps: int) -> Column:
-    """Largest notional whose impact is at most ``limit_bps``.
+def max_notional(pools: DataFrame, keys: list[str], limit_bps: int) -> DataFrame:
+    """Largest notional whose impact is at most ``limit_bps`` (keys, max_notional, impact_bps).
 
-    The impact of a net quote q is q / v_quote, so the bound on q is linear; flooring may
-    move it by a step or two, so neighbours are tried with the quote itself.
+    The impact of a net quote q is about q / v_quote, so the bound on q is linear; flooring
+    moves it a little, so the neighbours, ten units apart, are tried with the quote itself.
     """
-    start = floor_div(floor_div(wide(v_quote) * limit_bps, F.lit(10_000)) * 10_000, F.lit(10_000) - fee_bps)
-    best = None
-    for step in (-3, -2, -1, 0, 1, 2, 3):
-        n = F.greatest(start + step, F.lit(0).cast("decimal(38,0)"))
-        q = quote_columns(n, v_quote, v_base, real_base, fee_bps, F.lit(0))
-        fits = F.when((q["status"] == "OK") & (q["impact_bps"] <= limit_bps), n)
-        best = fits if best is None else F.greatest(best, fits)
-    return best.cast("bigint")
+    start = floor_div(wide(F.col("v_quote")) * limit_bps, F.lit(10_000) - F.col("fee_bps")).cast("bigint")
+    near = pools.withColumn("__start", start).withColumn("__k", F.explode(F.sequence(F.lit(-120), F.lit(120), F.lit(10))))
+    near = near.withColumn("notional", F.greatest(F.col("__start") + F.col("__k"), F.lit(0).cast("bigint"))).withColumn("tax_bps", F.lit(0))
+    fits = F.when((F.col("status") == "OK") & (F.col("impact_bps") <= limit_bps), F.struct("notional", "impact_bps"))
+    return quoted(near).groupBy(*keys).agg(F.max(fits).alias("b")).select(*keys, F.col("b.notional").alias("max_notional"), F.col("b.impact_bps").alias("impact_bps"))
 
 
 def delayed_marks(decisions: DataFrame, marks: DataFrame, delays: DataFrame) -> DataFrame:

@@ -221,7 +221,7 @@ def _first(n: int, buyers: int, age: int) -> str:
 
 #: The fold in closed form: each threshold is first met once, expiry ends it.
 FUNNEL = f"""
-cs AS (SELECT g.token, CAST(g.age AS BIGINT) AS age, count(a.id) AS trade_count, count(DISTINCT trader) FILTER (side = 'buy') AS unique_buyers, g.age - max(a.a) AS idle FROM g LEFT JOIN a ON a.token = g.token AND a.a <= g.age GROUP BY ALL),
+cs AS (SELECT g.token, CAST(g.age AS BIGINT) AS age, count(a.id) AS trade_count, count(DISTINCT trader) FILTER (side = 'buy') AS unique_buyers, g.age - max(a.a) AS idle FROM g LEFT JOIN a ON a.token = g.token AND a.a <= g.age GROUP BY g.token, g.age),
 cf AS (SELECT cs.token, verdict, min(age) AS born, min(age) FILTER (age > 5400000 OR (trade_count = 0 AND age >= 3000000) OR (trade_count > 0 AND idle >= 3000000)) AS expired, {_first(1, 1, 5000)} AS confirming, {_first(3, 2, 15000)} AS eligible_default, {_first(8, 5, 30000)} AS eligible_conservative FROM cs LEFT JOIN v USING (token) GROUP BY ALL),
 ce AS (SELECT token, policy_id, verdict, born, coalesce(expired, 1000000000000) AS expired, confirming, CASE policy_id WHEN 'default' THEN eligible_default ELSE eligible_conservative END AS eligible FROM cf, (VALUES ('default'), ('conservative')) p(policy_id))
 """
@@ -319,8 +319,8 @@ def ft12(spark, d):
 
 @query(
     "ft13_violations",
-    f"{WITH}, x AS (SELECT token, id, CASE WHEN id % 40 = 0 THEN NULL ELSE '1' END AS version, CASE WHEN id % 55 = 0 THEN NULL ELSE ms - CASE WHEN id % 70 = 0 THEN 1000000000 ELSE 0 END END AS at, CASE WHEN id % 60 = 0 THEN 0 END AS holders FROM t), "
-    "y AS (SELECT *, lag(at) OVER (PARTITION BY token ORDER BY id) AS before FROM x) SELECT token, id AS seq, 'MISSING_VERSION' AS problem FROM y WHERE version IS NULL UNION ALL SELECT token, id, 'MISSING_TIME' FROM y WHERE at IS NULL UNION ALL SELECT token, id, 'UNKNOWN_AS_ZERO' FROM y WHERE holders = 0 UNION ALL SELECT token, id, 'TIME_BACKWARDS' FROM y WHERE at < before",
+    f"{WITH}, x AS (SELECT token, id, CASE WHEN id % 40 = 0 THEN NULL ELSE '1' END AS version, CASE WHEN id % 55 = 0 THEN NULL ELSE ms - CASE WHEN id % 70 = 0 THEN 1000000000 ELSE 0 END END AS tm, CASE WHEN id % 60 = 0 THEN 0 END AS holders FROM t), "
+    "y AS (SELECT *, lag(tm) OVER (PARTITION BY token ORDER BY id) AS before FROM x) SELECT token, id AS seq, 'MISSING_VERSION' AS problem FROM y WHERE version IS NULL UNION ALL SELECT token, id, 'MISSING_TIME' FROM y WHERE tm IS NULL UNION ALL SELECT token, id, 'UNKNOWN_AS_ZERO' FROM y WHERE holders = 0 UNION ALL SELECT token, id, 'TIME_BACKWARDS' FROM y WHERE tm < before",
 )
 def ft13(spark, d):
     i = F.col("id")
