@@ -21,11 +21,12 @@ def wide(x: Column) -> Column:
 def floor_div(a: Column, b: Column) -> Column:
     """Exact floor of a / b for a >= 0, b > 0; NULL on zero.
 
-    Decimal division rounds, so the remainder is taken off first.
+    Decimal division rounds, so the remainder is taken off first.  A quotient of more
+    than 32 digits is NULL.
     """
     a, b = wide(a), wide(b)
     safe = F.when(b != 0, b)
-    return ((a - a % safe) / safe).cast(WIDE)
+    return F.try_divide(a - a % safe, safe).cast(WIDE)
 
 
 def trunc_div(a: Column, b: Column) -> Column:
