@@ -266,7 +266,7 @@ def test_language_model(docs_of, words):
 def test_scores_are_probabilities():
     rng = np.random.default_rng(1)
     g, n = np.unique(context_tree.grams([bytes(rng.integers(97, 100, 300).astype(np.uint8))], 2)[0], return_counts=True)
-    model = context_tree.Model(np.zeros(0, np.int64), np.zeros(0, np.uint16), np.zeros(0), np.zeros(0), 1 << 10, 2)
+    model = context_tree.Model(1 << 10, 2)
     every = (np.uint64(0x616200) + np.arange(256, dtype=np.uint64)).astype(np.uint64)
     assert abs((10 ** model.log10(every)).sum() - 1) < 1e-9
 

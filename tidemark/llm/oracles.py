@@ -2,8 +2,10 @@
 
 OP3 = """
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
-w AS (SELECT rid, p, md5_number(substr(hx, 2 * p + 1, 800)) AS w
-      FROM (SELECT rid, hx, unnest(range(length(hx) // 2 - 399)) AS p FROM d WHERE length(hx) >= 800)),
+g0 AS (SELECT rid, length(hx) // 2 AS n, 400 * j AS a, substr(hx, 800 * j + 1, 1600) AS part
+       FROM (SELECT rid, hx, unnest(range((length(hx) // 2 - 400) // 400 + 1)) AS j FROM d WHERE length(hx) >= 800)),
+w AS (SELECT rid, a + o AS p, md5_number(substr(part, 2 * o + 1, 800)) AS w
+      FROM (SELECT rid, a, part, unnest(range(least(400, n - 399 - a))) AS o FROM g0)),
 m AS (SELECT rid, p FROM w WHERE w IN (SELECT w FROM w GROUP BY w HAVING count(*) > 1)),
 g AS (SELECT rid, p, sum(new) OVER (PARTITION BY rid ORDER BY p) AS island
       FROM (SELECT rid, p, CASE WHEN p <= lag(p) OVER (PARTITION BY rid ORDER BY p) + 400 THEN 0 ELSE 1 END AS new FROM m)),
