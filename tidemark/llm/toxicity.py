@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices, strings
+from tidemark.llm.common import slices, strings, text_hash
 
 SAMPLE_DOCS = 8000
 SAMPLE_BYTES = 32 << 20
@@ -136,16 +136,16 @@ class Weigher:
 def sample(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
     """t, toxic of the bounded sample of labelled rows that may be learned from."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", "text").where(learn & F.col("doc_id").isNotNull()).join(known, "doc_id")
+    spark, kinds = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     size = F.coalesce(F.octet_length("text"), F.lit(0))
-    first = rows.select(F.xxhash64("doc_id").alias("x"), size.alias("size")).orderBy("x").limit(SAMPLE_DOCS).collect()
-    total, last = 0, -(1 << 63)
-    for r in first:
-        total += r.size
-        if total > SAMPLE_BYTES:
-            break
-        last = r.x
-    return rows.where(F.xxhash64("doc_id") <= last).orderBy(F.xxhash64("doc_id"), "text").limit(SAMPLE_DOCS).select(F.col("text").alias("t"), "toxic")
+    rows = docs.where(learn & F.col("doc_id").isNotNull()).select("doc_id", text_hash().alias("k"), size.alias("size")).dropDuplicates(["doc_id", "k"]).join(known, "doc_id")
+    # keys of the sample only: at most SAMPLE_DOCS rows, whose texts are then looked up without a shuffle
+    first = rows.orderBy(F.xxhash64("doc_id"), "k").limit(SAMPLE_DOCS).collect()
+    total = np.cumsum([r["size"] for r in first])
+    chosen = [(r.doc_id, r.k, int(r.toxic)) for r, n in zip(first, total) if n <= SAMPLE_BYTES]
+    keys = spark.createDataFrame(chosen, f"i {kinds}, k2 long, toxic long")
+    texts = docs.select("doc_id", text_hash().alias("k"), F.col("text").alias("t")).join(F.broadcast(keys), (F.col("doc_id") == F.col("i")) & (F.col("k") == F.col("k2")))
+    return texts.dropDuplicates(["doc_id", "k"]).orderBy(F.xxhash64("doc_id"), "k").select("t", "toxic")
 
 
 def scored(docs: DataFrame, labels: DataFrame, held_out: Column | None = None) -> DataFrame:
