@@ -30,6 +30,8 @@ SIZE = 2048
 CLOSING_ID = 0
 #: Pieces that one partition packs.
 PIECES = 100_000
+#: Bytes of text that are tokenised together.
+STEP = 3 << 19
 _PIECE = "piece int, start long, length long, ids_crc32 long"
 
 
@@ -39,7 +41,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, closing: int = CLO
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordIds.of(tokenizer)
-        for batch in slices(batches, "t", 4 << 20):
+        for batch in slices(batches, "t", STEP):
             rows, number, ids = [], [], []
             for k, raw in enumerate(words.encode(strings(batch.column("t")))):
                 raw = raw.tobytes() + end

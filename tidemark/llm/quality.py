@@ -129,12 +129,11 @@ def judged(docs: DataFrame) -> DataFrame:
 def passing(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that the rules reject."""
 
-    @F.pandas_udf("boolean")
-    def kept(text):
-        batch = pa.RecordBatch.from_arrays([pa.array(text, pa.string())], names=["t"])
-        parts = [b.column("kept").to_pandas() for b in _judge(iter([batch]))]
-        import pandas as pd
-
-        return pd.concat(parts, ignore_index=True) if parts else pd.Series([], dtype=bool)
-
-    return docs.where(kept("text"))
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # one row at least and so one step: a slice is judged in one piece
+        for batch in slices(batches, "text"):
+            texts = pa.RecordBatch.from_arrays([batch.column("text")], names=["t"])
+            for judged_batch in _judge(iter([texts])):
+                yield batch.filter(judged_batch.column("kept"))
+
+    return docs.mapInArrow(keep, docs.schema)

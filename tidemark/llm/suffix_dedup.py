@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tidemark.llm.common import bytes_of, save, slices, strings, text_hash
 from tidemark.llm.hashing import mix, powers, prefix, spans
@@ -37,8 +38,8 @@ from tidemark.llm.rindex import RunIndex
 LENGTH = 400
 ANCHOR = 100
 #: Bytes of contexts in one index, and the most that one hash may bring there.
-BUCKET_BYTES = 2 << 20
-HOT_BYTES = 4 << 20
+BUCKET_BYTES = 1 << 20
+HOT_BYTES = 2 << 20
 
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOW = np.uint64(0x1FFFFFFFFFFFFFFF)
@@ -201,10 +202,12 @@ def removed(docs: DataFrame, **options) -> DataFrame:
 def strip(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with repeated strings cut from ``text``; a character that loses a byte goes whole; null stays null."""
 
-    @F.pandas_udf("string")
-    def rest(text, spans_):
-        return text.combine(spans_, lambda t, s: t if s is None or t is None else _kept(t.encode(), merged(list(s))).decode("utf-8", "ignore"))
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "t"):
+            new = [t if s is None or t is None else _kept(t.encode(), merged(s)).decode("utf-8", "ignore") for t, s in zip(batch.column("t").to_pylist(), batch.column("spans").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(new, pa.string())], names=["row", "t"])
 
-    marked = _with_marks(docs, **options)
-    new = F.when(F.col("spans").isNull(), F.col("t")).otherwise(rest("t", "spans"))
-    return marked.select(F.struct(*(new.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns)).alias("row")).select("row.*")
+    marked = _with_marks(docs, **options).select("row", "t", "spans")
+    row = marked.schema["row"].dataType
+    cut = marked.mapInArrow(rest, StructType([StructField("row", row), StructField("t", StringType())]))
+    return cut.select(*(F.col("t").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
