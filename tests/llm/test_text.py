@@ -263,6 +263,51 @@ def test_language_model(docs_of, words):
     assert context_tree.scored(docs_of([])).count() == 0
 
 
+def chance_by_brute_force(learn, text, depth):
+    """log10 chance of ``text`` and its end: weights of all nodes on each path, none left out."""
+    import math
+    from functools import cache
+
+    seen, pad = {}, bytes([255]) * depth
+    for t in learn:
+        t = pad + t + b"\xff"
+        for i in range(depth, len(t)):
+            for k in range(8):
+                for d in range(depth + 1):
+                    seen.setdefault(((1 << k) | (t[i] >> (8 - k)), t[i - d : i]), [0, 0])[(t[i] >> (7 - k)) & 1] += 1
+
+    @cache
+    def weighted(node, context):
+        a, b = seen[node, context]
+        own = math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+        if len(context) == depth:
+            return own, own
+        below = sum(weighted(node, bytes([x]) + context)[1] for x in range(256) if (node, bytes([x]) + context) in seen)
+        m = max(own, below)
+        return own, m + math.log(0.5 * math.exp(own - m) + 0.5 * math.exp(below - m))
+
+    total, t = 0.0, pad + text + b"\xff"
+    for i in range(depth, len(t)):
+        for k in range(8):
+            node, one = (1 << k) | (t[i] >> (8 - k)), 0.5
+            for d in range(depth, -1, -1):
+                if (at := (node, t[i - d : i])) in seen:
+                    (a, b), (own, all_) = seen[at], weighted(*at)
+                    w = 1.0 if d == depth else 0.5 * math.exp(own - all_)
+                    one = w * (b + 0.5) / (a + b + 1) + (1 - w) * one
+            total += math.log10(one if (t[i] >> (7 - k)) & 1 else 1 - one)
+    return total
+
+
+@pytest.mark.parametrize("sent", [0, 20, 1 << 20])
+def test_scores_use_every_node(docs_of, words, sent):
+    rows = [(k, words(6)) for k in range(12)] + [(20, "aé zzz"), (21, None), (22, words(3)), (22, words(3))]
+    learn = [(t or "").encode() for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    want = sorted(chance_by_brute_force(learn, (t or "").encode(), context_tree.DEPTH) for _, t in rows)
+    got = sorted(r.score for r in context_tree.scored(docs_of(rows), strings_sent=sent).collect())
+    assert len(got) == len(want) and max(abs(a - b) for a, b in zip(got, want)) < 1e-5 and len(learn) < len(rows)
+
+
 def test_scores_are_probabilities():
     rng = np.random.default_rng(1)
     g, n = np.unique(context_tree.grams([bytes(rng.integers(97, 100, 300).astype(np.uint8))], 2)[0], return_counts=True)

@@ -9,10 +9,12 @@ children's, so one pass over the counts mixes all depths.
    them.  0xFF, which no UTF-8 text holds, pads the start and marks the end.
 2. Counts and weighted probabilities go up the tree level by level, as sums by
    parent context; each node keeps its estimate and its weight against its children.
-3. Nodes go into a hashed table of ``SLOTS`` places, which bounds what is sent to
-   the tasks.  Where two nodes want one place the more frequent one has it; a node
-   without a place is treated as unseen, and its parent's mix stands.
-4. A text's score is the sum of its bytes' log10 probabilities, end included.
+3. Mixtures go down the tree level by level, so the deepest nodes hold the chances.
+   Every string of any text gets its value from the eight of its context.  Strings
+   that only held-out texts have are in the tree with count zero: such a node has
+   weight one and an even estimate, which is what an unseen one amounts to.
+4. A text's score is the sum of its strings' values, end included.  The most frequent
+   strings, at most ``STRINGS``, are looked up in the tasks, all others by a join.
 
 The base is a word model with counts over all training texts.  The most frequent
 words, at most ``COMMON``, are looked up in the tasks, all others by a join.
@@ -38,11 +40,15 @@ from tidemark.llm.common import save, slices, strings, text_hash
 from tidemark.llm.hashing import mix
 
 DEPTH = 5
-SLOTS = 1 << 23
+#: Strings that are sent to the tasks.
+STRINGS = 1 << 20
 COMMON = 1 << 18
 #: Distinct strings that a task holds before it merges its counts.
 HELD = 4_000_000
 MARK = 0xFF
+#: No string: marks a free place.
+FREE = np.uint64((1 << 64) - 1)
+UNIFORM = 8 * math.log10(0.5)
 
 
 def grams(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
@@ -98,6 +104,7 @@ def _ln_gamma(x: Column) -> Column:
 def nodes(counts: DataFrame, depth: int = DEPTH) -> list[DataFrame]:
     """Per level, deepest first: d, key (context bytes and bit prefix), a, b (zeros, ones), own, lpw (ln weighted)."""
     own = _ln_gamma(F.col("a") + 0.5) + _ln_gamma(F.col("b") + 0.5) - _ln_gamma(F.col("a") + F.col("b") + 1.0) - math.log(math.pi)
+    own = F.when(F.col("a") + F.col("b") > 0, own).otherwise(0.0)
     byte = "(g & 255)"
     bits = counts.select("g", "n", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"))
     bits = bits.select(
@@ -116,106 +123,127 @@ def nodes(counts: DataFrame, depth: int = DEPTH) -> list[DataFrame]:
     return out
 
 
-def _place(d: int | np.ndarray, key: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
-    h = mix((key.astype(np.uint64) << np.uint64(3)) | np.asarray(d).astype(np.uint64))
-    return (h & np.uint64(slots - 1)).astype(np.int64), ((h >> np.uint64(48)) | np.uint64(1)).astype(np.uint16)
+def _mixture(levels: list[DataFrame], depth: int) -> DataFrame:
+    """Per deepest node: key, one (chance of a one, mixed over all depths of its path)."""
+    up = None
+    for d, level in enumerate(reversed(levels)):
+        p = (F.col("b") + 0.5) / (F.col("a") + F.col("b") + 1)
+        w = F.lit(1.0) if d == depth else F.least(F.lit(1.0), 0.5 * F.exp(F.col("own") - F.col("lpw")))
+        level = level.select("key", p.alias("p"), w.alias("w"))
+        if up is None:
+            here = level.select("key", (F.col("w") * F.col("p")).alias("one"), (1 - F.col("w")).alias("rest"))
+        else:
+            parent = F.col("key").bitwiseAND(F.lit((1 << (8 * d)) - 1))
+            # the two upper levels have 65535 nodes at most
+            up = F.broadcast(up) if d <= 2 else up
+            here = level.withColumn("parent", parent).join(up.withColumnRenamed("key", "parent"), "parent")
+            here = here.select("key", (F.col("one") + F.col("rest") * F.col("w") * F.col("p")).alias("one"), (F.col("rest") * (1 - F.col("w"))).alias("rest"))
+        up = save(here, "mixture") if 0 < d < depth else here
+    return up.select("key", "one")
+
+
+def _value_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(g, c, value) from rows sorted by x: deepest nodes (x, one) and strings (x, c) of the same contexts."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        context = batch.column("x").to_numpy() >> 8
+        cut = int(np.searchsorted(context, context[-1]))  # the last context may go on in the next batch
+        if cut:
+            yield _values([*held, batch.slice(0, cut)])
+            held = [batch.slice(cut)]
+        elif held and held[-1].column("x")[-1].as_py() >> 8 != context[0]:
+            yield _values(held)
+            held = [batch]
+        else:
+            held.append(batch)
+    if held:
+        yield _values(held)
+
+
+def _values(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    x, one, c = (np.concatenate([b.column(n).to_numpy() for b in batches]) for n in ("x", "one", "c"))
+    node, string = c == 0, c > 0
+    keys, ones, g = x[node], one[node], x[string]
+    byte, value = g & 255, np.zeros(len(g))
+    for k in range(8):
+        p = ones[np.searchsorted(keys, (g >> 8 << 8) | (1 << k) | (byte >> (8 - k)))]
+        value += np.log10(np.where((byte >> (7 - k)) & 1 == 1, p, 1 - p))
+    return pa.RecordBatch.from_arrays([pa.array(g), pa.array(c[string]), pa.array(value)], names=["g", "c", "value"])
 
 
 class Model:
-    """Hashed nodes: a check of the key, the chance of a one in 65536ths, and the node's weight in 255ths.
-
-    Five bytes a place; rounding costs under a ten-thousandth of a bit a byte.
-    """
-
-    def __init__(self, slots: int, depth: int = DEPTH):
-        self.slots, self.depth = slots, depth
-        self.check, self.p, self.w = (np.zeros(slots, dtype=t) for t in (np.uint16, np.uint16, np.uint8))
-
-    def fill(self, slot: np.ndarray, check: np.ndarray, p: np.ndarray, w: np.ndarray) -> None:
-        self.check[slot], self.p[slot], self.w[slot] = check, p, w
-
-    def log10(self, g: np.ndarray) -> np.ndarray:
-        """log10 chance of the last byte of each string after the others."""
-        byte = (g & np.uint64(255)).astype(np.int64)
-        total = np.zeros(len(g))
-        for k in range(8):
-            node, bit = ((1 << k) | (byte >> (8 - k))).astype(np.uint64), (byte >> (7 - k)) & 1
-            one = np.full(len(g), 0.5)
-            for d in range(self.depth, -1, -1):
-                key = ((g >> np.uint64(8) << np.uint64(8)) & np.uint64((1 << (8 * (d + 1))) - 1)) | node
-                slot, check = _place(d, key, self.slots)
-                hit = self.check[slot] == check
-                w = self.w[slot] / 255.0
-                one = np.where(hit, w * ((self.p[slot] + 0.5) / 65536) + (1 - w) * one, one)
-            total += np.log10(np.where(bit == 1, one, 1 - one))
-        return total
-
-
-class Scorer:
-    """Scores texts, keeping the chances of strings already met in a table of fixed size."""
-
-    def __init__(self, model: Model, places: int = 1 << 20):
-        self.model, self.places = model, places
-        self.known = np.full(places, (1 << 64) - 1, dtype=np.uint64)
-        self.value = np.zeros(places, dtype=np.float64)
-
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        g, first = grams(texts, self.model.depth)
-        slot = (mix(g) & np.uint64(self.places - 1)).astype(np.int64)
-        hit = self.known[slot] == g
-        out = self.value[slot]
-        if not hit.all():
-            miss = np.flatnonzero(~hit)
-            u, inverse = np.unique(g[miss], return_inverse=True)
-            value = self.model.log10(u)
-            out[miss] = value[inverse]
-            at = (mix(u) & np.uint64(self.places - 1)).astype(np.int64)
-            self.known[at], self.value[at] = u, value
-        return np.add.reduceat(out, first) if len(first) else out
-
-
-def train(texts: DataFrame, slots: int = SLOTS, depth: int = DEPTH) -> Model:
-    """Model from the column ``t`` of ``texts``."""
-    counts = save(texts.select("t").mapInArrow(_count_grams, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")), "grams")
-    levels = nodes(counts, depth)
-    every = levels[0]
-    for x in levels[1:]:
-        every = every.unionByName(x)
-    w = F.when(F.col("d") == depth, 1.0).otherwise(F.least(F.lit(1.0), 0.5 * F.exp(F.col("own") - F.col("lpw"))))
-    every = every.select("d", "key", ((F.col("b") + 0.5) / (F.col("a") + F.col("b") + 1)).cast("float").alias("p"), w.cast("float").alias("w"), (F.col("a") + F.col("b")).alias("n"))
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            slot, check = _place(b.column("d").to_numpy(), b.column("key").to_numpy(), slots)
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(check.astype(np.int32)), b.column("p"), b.column("w"), b.column("n")], names=["slot", "check", "p", "w", "n"])
-
-    table = every.mapInArrow(placed, "slot long, check int, p float, w float, n long")
-    table = table.groupBy("slot").agg(F.max(F.struct("n", "check", "p", "w")).alias("x")).select(F.col("slot").cast("int").alias("slot"), "x.check", "x.p", "x.w")
-    model = Model(slots, depth)
-    # the table is bounded; it comes to the driver part by part, packed
-    for r in save(table, "model").mapInArrow(_packed, "slot binary, check binary, p binary, w binary").toLocalIterator():
-        model.fill(*(np.frombuffer(x, dtype=t) for x, t in zip(r, (np.int32, np.uint16, np.uint16, np.uint8))))
-    return model
-
-
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        slot, check, p, w = (b.column(c).to_numpy() for c in ("slot", "check", "p", "w"))
-        parts = (slot, check.astype(np.uint16), np.minimum(p * 65536, 65535).astype(np.uint16), np.round(w * 255).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], names=["slot", "check", "p", "w"])
+    """log10 chances of strings in a table of ``places`` (a power of two, more than its strings), with linear probing."""
 
+    def __init__(self, places: int, depth: int = DEPTH):
+        self.places, self.depth = places, depth
+        self.known = np.full(places, FREE, dtype=np.uint64)
+        self.value = np.zeros(places, dtype=np.float64)
 
-def common_words(words: DataFrame, most: int) -> pa.Table:
-    """Words (word, c) at and above a count that at most ``most`` words reach, found from a histogram of counts."""
+    def _place(self, g: np.ndarray) -> np.ndarray:
+        return (mix(g) & np.uint64(self.places - 1)).astype(np.int64)
+
+    def fill(self, g: np.ndarray, value: np.ndarray) -> None:
+        """Put in strings that differ from each other and from those in the table."""
+        at = self._place(g)
+        while len(g):
+            free = self.known[at] == FREE
+            self.known[at[free]] = g[free]
+            lost = self.known[at] != g
+            self.value[at[~lost]] = value[~lost]
+            g, value, at = g[lost], value[lost], (at[lost] + 1) & (self.places - 1)
+
+    def log10(self, g: np.ndarray, other: float = UNIFORM) -> np.ndarray:
+        """log10 chance of the last byte of each string after the others; ``other`` if it is not in the table."""
+        out = np.full(len(g), other)
+        left, at = np.arange(len(g)), self._place(g)
+        while len(left):
+            known = self.known[at]
+            hit = known == g[left]
+            out[left[hit]] = self.value[at[hit]]
+            on = ~hit & (known != FREE)
+            left, at = left[on], (at[on] + 1) & (self.places - 1)
+        return out
+
+
+def valued(learn: DataFrame, others: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """Every string of the column ``t`` of both: g, c (occurrences), value (log10 chance after training on ``learn``)."""
+    count = lambda x: x.select("t").mapInArrow(_count_grams, "g long, n long")
+    zero = F.lit(0).cast("long")
+    both = count(learn).withColumn("c", F.col("n")).unionByName(count(others).select("g", zero.alias("n"), F.col("n").alias("c")))
+    found = save(both.groupBy("g").agg(F.sum("n").alias("n"), F.sum("c").alias("c")), "grams")
+    leaves = _mixture(nodes(found, depth), depth).select(F.col("key").alias("x"), "one", zero.alias("c"))
+    rows = leaves.unionByName(found.select(F.col("g").alias("x"), F.lit(0.0).alias("one"), "c"))
+    rows = rows.repartition(F.shiftright("x", 8)).sortWithinPartitions("x")
+    return save(rows.mapInArrow(_value_strings, "g long, c long, value double"), "values")
+
+
+def frequent(rows: DataFrame, most: int) -> DataFrame:
+    """Rows at and above a count ``c`` that at most ``most`` of them reach, found from a histogram of counts."""
     step = F.floor(F.log2("c") * 16)
-    bins = sorted((r.step, r.n) for r in words.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect())
+    bins = sorted((r.step, r.n) for r in rows.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect())
     total, least = 0, None
     for at, n in reversed(bins):
         total += n
         if total > most:
             break
         least = at
-    return words.where(step >= least if least is not None else F.lit(False)).select("word", "c").toArrow()
+    return rows.where(step >= least if least is not None else F.lit(False))
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([b.column(c).to_numpy().tobytes()], pa.binary()) for c in ("g", "value")], names=["g", "value"])
+
+
+def table_of(values: DataFrame, most: int, depth: int = DEPTH) -> Model:
+    """Model of the most frequent strings, brought to the driver part by part, packed."""
+    parts = [(np.frombuffer(r.g, np.uint64), np.frombuffer(r.value, np.float64)) for r in frequent(values, most).mapInArrow(_packed, "g binary, value binary").toLocalIterator()]
+    model = Model(1 << (2 * sum(len(g) for g, _ in parts) + 1).bit_length(), depth)
+    for g, value in parts:
+        model.fill(g, value)
+    return model
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +261,19 @@ def _word_rows(count: Counter[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())], names=["word", "c"])
 
 
-def scored(docs: DataFrame, held_out: Column | None = None, slots: int = SLOTS, common: int = COMMON) -> DataFrame:
+def _rare_strings(g: np.ndarray, first: np.ndarray, rare: np.ndarray) -> pa.ListArray:
+    """Per text the strings at the places ``rare``, each with its count."""
+    text = np.searchsorted(first, rare, side="right") - 1
+    order = np.lexsort((g[rare], text))
+    text, g = text[order], g[rare][order]
+    start = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (text[1:] != text[:-1]))) if len(g) else np.zeros(0, np.int64)
+    n = np.diff(np.append(start, len(g)))
+    offsets = np.searchsorted(text[start], np.arange(len(first) + 1))
+    rows = pa.StructArray.from_arrays([pa.array(g[start].view(np.int64)), pa.array(n)], ["g", "n"])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)
+
+
+def scored(docs: DataFrame, held_out: Column | None = None, strings_sent: int = STRINGS, common: int = COMMON) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte."""
     if held_out is None:
         held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(True))
@@ -246,14 +286,16 @@ def scored(docs: DataFrame, held_out: Column | None = None, slots: int = SLOTS,
     distinct, tokens = words.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     tokens, distinct = tokens + ends, distinct + (ends > 0)
     below = math.log10(tokens + 0.5 * (distinct + 1))
-    top = common_words(words, common)
+    top = frequent(words, common).select("word", "c").toArrow()
     value = spark.sparkContext.broadcast(dict(zip(top.column("word").to_pylist(), (math.log10(c + 0.5) for c in top.column("c").to_pylist()))))
-    model = spark.sparkContext.broadcast(train(learn, slots))
+    values = valued(learn, rows.where("coalesce(held_out, true)").select("t"))
+    model = spark.sparkContext.broadcast(table_of(values, strings_sent))
     end_value = math.log10(ends + 0.5)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, scorer, never = value.value.get, Scorer(model.value), math.nan
+        get, never = value.value.get, math.nan
         rare_kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
+        table = model.value
         for batch in slices(batches, "t", 2 << 20):
             texts = strings(batch.column("t"))
             n, known, base, rare = [], [], [], []
@@ -265,19 +307,26 @@ def scored(docs: DataFrame, held_out: Column | None = None, slots: int = SLOTS,
                 known.append(len(split) - len(other) + (ends > 0))
                 base.append(float(np.nansum(found)) + end_value - below * (len(split) + 1))
                 rare.append([{"word": w, "n": c} for w, c in Counter([split[j] for j in other]).items()])
+            g, first_of = grams(texts, table.depth)
+            chance = table.log10(g, math.nan)
+            score_top = np.add.reduceat(np.nan_to_num(chance), first_of)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("i", "k", "held_out")), *(pa.array(x, pa.int64()) for x in (n, known, [len(t) for t in texts])), pa.array(base), pa.array(scorer.score(texts)), pa.array(rare, rare_kind)],
-                names=["i", "k", "held_out", "n_tokens", "n_top", "n_bytes", "base_top", "score", "rare"],
+                [*(batch.column(c) for c in ("i", "k", "held_out")), *(pa.array(x, pa.int64()) for x in (n, known, [len(t) for t in texts])), pa.array(base), pa.array(score_top), pa.array(rare, rare_kind), _rare_strings(g, first_of, np.flatnonzero(np.isnan(chance)))],
+                names=["i", "k", "held_out", "n_tokens", "n_top", "n_bytes", "base_top", "score_top", "rare", "strings"],
             )
 
-    first = rows.mapInArrow(score, f"i {kind}, k long, held_out boolean, n_tokens long, n_top long, n_bytes long, base_top double, score double, rare array<struct<word:binary,n:long>>")
+    first = rows.mapInArrow(score, f"i {kind}, k long, held_out boolean, n_tokens long, n_top long, n_bytes long, base_top double, score_top double, rare array<struct<word:binary,n:long>>, strings array<struct<g:long,n:long>>")
     first = save(first, "scores")
     # repeated rows hold the same words: one of them is enough for the join
     rare = first.where("size(rare) > 0").select("i", "k", "rare").groupBy("i", "k").agg(F.first("rare").alias("rare")).select("i", "k", F.explode("rare").alias("r")).select("i", "k", "r.word", "r.n")
     rare = rare.join(words, "word", "left")
-    rare = rare.groupBy("i", "k").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("base_rare"), F.sum(F.when(F.col("c") > 0, F.col("n"))).alias("n_rare"))
+    rare = rare.select("i", "k", (F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("base"), F.when(F.col("c") > 0, F.col("n")).alias("n"), F.lit(0.0).alias("score"))
+    strings_of = first.where("size(strings) > 0").select("i", "k", "strings").groupBy("i", "k").agg(F.first("strings").alias("strings")).select("i", "k", F.explode("strings").alias("r")).select("i", "k", "r.g", "r.n")
+    strings_of = strings_of.join(values.select("g", "value"), "g").select("i", "k", F.lit(0.0).alias("base"), F.lit(0).cast("long").alias("n"), (F.col("n") * F.col("value")).alias("score"))
+    rare = rare.unionByName(strings_of).groupBy("i", "k").agg(F.sum("base").alias("base_rare"), F.sum("n").alias("n_rare"), F.sum("score").alias("score_rare"))
     rare = rare.withColumnsRenamed({"i": "i2", "k": "k2"})
-    return first.drop("rare").join(rare, F.col("i").eqNullSafe(F.col("i2")) & (F.col("k") == F.col("k2")), "left").select(
+    scores = first.drop("rare", "strings").join(rare, F.col("i").eqNullSafe(F.col("i2")) & (F.col("k") == F.col("k2")), "left").withColumn("score", F.col("score_top") + F.coalesce("score_rare", F.lit(0.0)))
+    return scores.select(
         F.col("i").alias("doc_id"), "held_out", "n_tokens", (F.col("n_top") + F.coalesce("n_rare", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base_top") + F.coalesce("base_rare", F.lit(0.0))).alias("base_score"), "score", "n_bytes", (-F.col("score") / math.log10(2) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
     )
