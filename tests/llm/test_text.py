@@ -341,6 +341,13 @@ def test_toxic_sentences_are_located(spark, docs_of, words):
     assert toxicity.scored(docs_of([]), table).count() == 0
 
 
+def test_pipeline_links_pairs_from_080(spark, docs_of):
+    w = [f"w{k}" for k in range(94)]
+    texts = [" ".join([*w, *(f"{x}{k}" for k in range(10))]) for x in "ab"]  # 90 of 110 shingles: 0.818
+    far = [" ".join([*(f"v{k}" for k in range(90)), *(f"{x}{k}" for k in range(14))]) for x in "cd"]  # 86 of 114: 0.754
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs_of(texts + far), "").collect()) == [0, 2, 3]
+
+
 def test_pipeline_stages(spark, docs_of, words, tmp_path):
     item, shared, base = words(30), words(120), words(90)
     texts = {0: base, 1: base, 2: base + " end", 3: words(40) + " " + item + " " + words(40), 4: words(50) + " " + shared, 5: words(60) + " " + shared, 6: "spam " * 200, 7: words(200), 8: None, 9: "short"}
