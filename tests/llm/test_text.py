@@ -121,6 +121,31 @@ def test_quality_counts_as_brute_force(docs_of, words):
     assert quality.passing(docs_of([])).count() == 0
 
 
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
+
+@pytest.mark.parametrize("size", [150, 199, 200, 250, 299, 300, 399, 400, 500, 799, 800, 1000, 1599, 1600, 3199, 3200, 5000, 6400, 12800, 20000])
+def test_quality_bands_in_every_length_class(words, size):
+    rng, compressor = random.Random(size), zstandard.ZstdCompressor(level=quality.LEVEL)
+    for _ in range(20):
+        junk = " ".join("".join(rng.choices(LETTERS, k=rng.randint(3, 9))) for _ in range(size))[:size].encode()
+        assert not quality.bands(junk, compressor)[3]
+        assert quality.bands(words(size)[:size].encode(), compressor)[3]
+    assert not quality.bands((b"spam ham eggs " * size)[:size], compressor)[3]
+
+
+def test_quality_judges_repetition_in_short_texts_and_last_chunks(words):
+    compressor = zstandard.ZstdCompressor(level=quality.LEVEL)
+    for size in (60, 99, 100, 149):
+        assert not quality.bands((b"spam ham eggs " * size)[:size], compressor)[3]
+    prose, rng = words(4000).encode(), random.Random(1)
+    junk = "".join(rng.choices(LETTERS, k=1 << 12)).encode()
+    assert quality.bands(prose[: 2 * quality.CHUNK + 100], compressor)[1:3] == (3, 0)
+    assert quality.bands(prose[:2048] + junk[:2047], compressor)[1:3] == (2, 1)
+    assert quality.bands(prose[:2048] + junk[:4095], compressor)[1:] == (3, 2, False)
+    assert quality.bands(prose[:2048], compressor)[1] == 0
+
+
 def test_exact_windows_beyond_the_packing_limit():
     w = [str(i).encode() for i in range(9000)]
     assert quality.repeated_words([*w, *w[100:107]]) == 14
