@@ -1,3 +1,4 @@
+import random
 from decimal import Decimal
 
 import pytest
@@ -137,6 +138,45 @@ def test_outcomes(spark):
     assert b.p5 < b.mean < b.p95 and abs(b.mean - 4.5) < 1e-9
 
 
+def fitting(pool, limit, notionals):
+    """The largest of ``notionals`` that the quote's own rule accepts, tried one by one."""
+    vq, vb, real, fee = pool
+    best = None
+    for notional in notionals:
+        net = notional * (10_000 - fee) // 10_000
+        out = vb * net // (vq + net)
+        if 0 < out <= real and (impact := max(net * vb * 10_000 // (out * vq) - 10_000, 0)) <= limit:
+            best = (notional, impact)
+    return best
+
+
+def test_largest_notional_as_brute_force(spark):
+    rng = random.Random(7)
+    pools = []
+    for _ in range(300):
+        vq, vb = (rng.randint(1, 10 ** rng.randint(1, 4)) for _ in range(2))
+        pools.append((vq, vb, rng.randint(1, 2 * vb), rng.choice([0, 100, 250, 9_999])))
+    for limit in (0, 7, 300, 5_000):
+        for pool in pools:
+            if pool[3] == 9_999:
+                continue
+            top = (pool[0] * (limit + 1) // 10_000 + 2) * 10_000 // (10_000 - pool[3]) + 2
+            assert outcomes.largest_fitting(*pool, limit) == fitting(pool, limit, range(top)), (pool, limit)
+    for e in range(3, 19):
+        for f in (3, e, 18):
+            for real in (10**f, 10**f // 1000):
+                pool = (10**e, 10**f, real, 100)
+                got = outcomes.largest_fitting(*pool, 300)
+                if got:
+                    assert fitting(pool, 300, [got[0]]) == got
+                    assert fitting(pool, 300, range(got[0] + 1, got[0] + 3000)) is None
+    rows = [(0, 1_000_000, 50_000_000, 40_000_000, 100), (1, 2_000_000, 50_000_000, 40_000_000, 100), (2, 10**18, 10**18, 10**18, 100), (3, 1_000_000, 50_000_000, 1_000, 100), (4, None, 5, 5, 100), (5, 1_000, 1_000, 1_000, 10_000)]
+    table = spark.createDataFrame(rows, "id bigint, v_quote bigint, v_base bigint, real_base bigint, fee_bps bigint")
+    got = {r.id: r.max_notional for r in outcomes.max_notional(table, ["id"], 300).collect()}
+    assert got == {k: x and x[0] for k, *pool in rows for x in [outcomes.largest_fitting(*pool, 300)]}
+    assert (got[0], got[1], got[4], got[5]) == (30_404, 60_808, None, None) and got[2] > 3 * 10**16 and got[3] == fitting(rows[3][1:], 300, range(40_000))[0]
+
+
 def test_leaks_and_violations(spark):
     assert features.leaks(spark.range(1).select(F.struct(F.lit(1).alias("reached_2x")).alias("shared")).schema) == ["shared.reached_2x"]
     rows = [("t", 1, "1", 5, None, 3), ("t", 2, None, 4, 0, 2)]

@@ -75,17 +75,33 @@ def fee_overlay(fee_bps: Column, creator_bps: Column) -> Column:
     return F.least(fee_bps + creator_bps, F.lit(2_000))
 
 
-def max_notional(pools: DataFrame, keys: list[str], limit_bps: int) -> DataFrame:
-    """Largest notional whose impact is at most ``limit_bps`` (keys, max_notional, impact_bps).
+def largest_fitting(v_quote, v_base, real_base, fee_bps, limit_bps: int) -> tuple[int, int] | None:
+    """(notional, impact_bps): the largest notional that is quoted OK with at most ``limit_bps``; exact integers.
 
-    The impact of a net quote q is about q / v_quote, so the bound on q is linear; flooring
-    moves it a little, so the neighbours, ten units apart, are tried with the quote itself.
+    With r tokens out, the impact fits just up to a net quote of n(r).  So if a net quote q gives r
+    and is above n(r), none of those from q down to n(r) + 1 fits, and n(r) is next.
     """
-    start = floor_div(wide(F.col("v_quote")) * limit_bps, F.lit(10_000) - F.col("fee_bps")).cast("bigint")
-    near = pools.withColumn("__start", start).withColumn("__k", F.explode(F.sequence(F.lit(-120), F.lit(120), F.lit(10))))
-    near = near.withColumn("notional", F.greatest(F.col("__start") + F.col("__k"), F.lit(0).cast("bigint"))).withColumn("tax_bps", F.lit(0))
-    fits = F.when((F.col("status") == "OK") & (F.col("impact_bps") <= limit_bps), F.struct("notional", "impact_bps"))
-    return quoted(near).groupBy(*keys).agg(F.max(fits).alias("b")).select(*keys, F.col("b.notional").alias("max_notional"), F.col("b.impact_bps").alias("impact_bps"))
+    if None in (v_quote, v_base, real_base, fee_bps) or limit_bps < 0:
+        return None
+    vq, vb, real, keep, most = int(v_quote), int(v_base), int(real_base), 10_000 - min(int(fee_bps), 10_000), (1 << 63) - 1
+    if vq <= 0 or vb <= 0 or real <= 0 or keep <= 0:
+        return None
+    q = min((vq * (limit_bps + 1) - 1) // 10_000, most * keep // 10_000)
+    if vb > real + 1:  # more would be capped
+        q = min(q, ((real + 1) * vq - 1) // (vb - real - 1))
+    while q > 0 and (r := vb * q // (vq + q)) > 0:
+        n = ((10_001 + limit_bps) * r * vq - 1) // (10_000 * vb)
+        if q <= n:
+            return min(((q + 1) * 10_000 - 1) // keep, most), max(q * vb * 10_000 // (r * vq) - 10_000, 0)
+        q = n
+    return None
+
+
+def max_notional(pools: DataFrame, keys: list[str], limit_bps: int) -> DataFrame:
+    """Largest notional whose impact is at most ``limit_bps`` (keys, max_notional, impact_bps); NULL if none fits."""
+    fits = F.udf(lambda *pool: largest_fitting(*pool, limit_bps), "notional bigint, impact_bps bigint")
+    found = pools.select(*keys, fits("v_quote", "v_base", "real_base", "fee_bps").alias("x"))
+    return found.groupBy(*keys).agg(F.max("x").alias("b")).select(*keys, F.col("b.notional").alias("max_notional"), F.col("b.impact_bps").alias("impact_bps"))
 
 
 def delayed_marks(decisions: DataFrame, marks: DataFrame, delays: DataFrame) -> DataFrame:
