@@ -104,6 +104,15 @@ def test_selectors_only_at_whole_bytes(spark):
     assert [r.token for r in security.selector_evidence(rows).collect()] == ["hit"]
 
 
+def test_selectors_reach_the_verdict(spark):
+    code = {"blacklist": "f9f92be4", "set_blacklist": "153b0d1e", "mint": "40c10f19", "tax": "8cd09d50", "wallet": "5d0044ca", "role": "91d14854", "burn": "42966c68", "owner": "8da5cb5b"}
+    rows = spark.createDataFrame([(t, f"0x6000{'63' + s}14") for t, s in code.items()], "token string, code string")
+    got = {r.token: r.verdict for r in security.assess(security.selector_evidence(rows)).collect()}
+    assert got == {"blacklist": "REJECT", "set_blacklist": "REJECT", "mint": "REJECT", "tax": "WARN", "wallet": "WARN", "role": "WARN", "burn": "PASS", "owner": "WARN"}
+    assert security.selector_evidence(rows.where("token = 'mint'"), reject_mint=False).first().status == "WARN"
+    assert len({*security.SELECTORS, *(s[0] for s in security.MORE_SELECTORS)}) == 27
+
+
 def test_candidate_fold(spark):
     rows = [("a", 5_000, 1, 1, 0, "X", "PASS"), ("a", 15_000, 3, 2, 0, "X", "PASS"), ("a", 30_000, 3, 2, 0, "X", "REJECT"), ("a", 40_000, 9, 9, 0, "X", "PASS"), ("b", 5_000, 0, 0, None, "X", None), ("b", 300_000, 0, 0, None, "X", "PASS"), ("b", 315_000, 9, 9, 0, "X", "PASS")]
     s = spark.createDataFrame(rows, "token string, age bigint, trade_count bigint, unique_buyers bigint, idle bigint, lifecycle string, verdict string")

@@ -21,6 +21,15 @@ SELECTORS = {
     "40c10f19": "MINT", "8da5cb5b": "OWNER", "f2fde38b": "TRANSFER_OWNERSHIP", "715018a6": "RENOUNCE_OWNERSHIP", "8456cb59": "PAUSE", "3f4ba83a": "UNPAUSE",
     "3659cfe6": "UPGRADE_TO", "4f1ef286": "UPGRADE_TO_AND_CALL", "5c60da1b": "IMPLEMENTATION", "f851a440": "ADMIN", "2f2ff15d": "GRANT_ROLE", "d547741f": "REVOKE_ROLE",
 }
+#: Further selectors as (selector, label, status, severity, rejects).  Those with
+#: status INFO are no risk by themselves and don't change a verdict.
+MORE_SELECTORS = (
+    ("f9f92be4", "BLACKLIST", "FAIL", "CRITICAL", True), ("153b0d1e", "SET_BLACKLIST", "FAIL", "CRITICAL", True),
+    ("2e5bb6ff", "SET_TAX", "WARN", "HIGH", False), ("0b78f9c0", "SET_FEES_TAX", "WARN", "HIGH", False), ("dc1052e2", "SET_BUY_TAX", "WARN", "HIGH", False), ("8cd09d50", "SET_SELL_TAX", "WARN", "HIGH", False),
+    ("bc337182", "SET_MAX_TX", "WARN", "HIGH", False), ("5d0044ca", "SET_MAX_WALLET", "WARN", "HIGH", False), ("91d14854", "HAS_ROLE", "WARN", "MEDIUM", False),
+    ("42966c68", "BURN", "INFO", "INFO", False), ("8a8c523c", "ENABLE_TRADING", "INFO", "INFO", False), ("c9567bf9", "OPEN_TRADING", "INFO", "INFO", False),
+    ("c0246668", "EXCLUDE_FROM_FEES", "INFO", "INFO", False), ("c0d78655", "SET_ROUTER", "INFO", "INFO", False), ("8187f516", "SET_PAIR", "INFO", "INFO", False),
+)
 #: Fixed value: the code around an EIP-1167 clone's target.
 CLONE = "363d3d373d3d3d363d73[0-9a-f]{40}5af43d82803e903d91602b57fd5bf3"
 UUPS = "52d1902d"
@@ -56,14 +65,20 @@ def assess(evidence: DataFrame) -> DataFrame:
     return out.select("token", verdict.alias("verdict"), *(band(c) for c in CATEGORIES), "rejects", "warnings", "sellability")
 
 
-def selector_evidence(bytecode: DataFrame, selectors: dict[str, str] = SELECTORS) -> DataFrame:
-    """(token, check, status, severity, hard_reject, details) for each PUSH4 of a known selector, at whole bytes."""
-    rows = bytecode.sparkSession.createDataFrame(list(selectors.items()), "sel string, label string")
+def selector_evidence(bytecode: DataFrame, selectors: dict[str, str] = SELECTORS, more: tuple = MORE_SELECTORS, reject_mint: bool = True) -> DataFrame:
+    """(token, check, status, severity, hard_reject, details) for each PUSH4 of a known selector, at whole bytes.
+
+    ``reject_mint``: policy on an open mint; a blacklist always rejects.
+    """
+    known = []
+    for sel, label in selectors.items():
+        reject = reject_mint and label == "MINT"
+        known.append((sel, label, "FAIL" if reject else "WARN", "HIGH" if label.startswith("UPGRADE") or label == "MINT" else "MEDIUM", reject))
+    rows = bytecode.sparkSession.createDataFrame([*known, *more], "sel string, label string, status string, severity string, hard_reject boolean")
     code = bytecode.select("token", F.lower(F.regexp_replace("code", "^0[xX]", "")).alias("code"))
     at = F.expr("regexp_like(code, concat('^(..)*?63', sel))")
     hit = code.join(F.broadcast(rows), at)
-    severity = F.when(F.col("label").startswith("UPGRADE") | (F.col("label") == "MINT"), "HIGH").otherwise("MEDIUM")
-    return hit.select("token", F.concat(F.lit("PRIVILEGE_"), "label").alias("check"), F.lit("WARN").alias("status"), severity.alias("severity"), F.lit(False).alias("hard_reject"), F.col("sel").alias("details"))
+    return hit.select("token", F.concat(F.lit("PRIVILEGE_"), "label").alias("check"), "status", "severity", "hard_reject", F.col("sel").alias("details"))
 
 
 def template_evidence(tokens: DataFrame, registry: DataFrame) -> DataFrame:
