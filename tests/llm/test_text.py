@@ -259,7 +259,8 @@ def ctw_by_brute_force(texts, depth):
 
 def test_tree_weights_as_brute_force(spark, docs_of, words):
     texts = [words(12), "", words(5), "aé"]
-    counts = docs_of(texts).selectExpr("text AS t").mapInArrow(context_tree._count_grams, "g long, n long").groupBy("g").sum("n").withColumnRenamed("sum(n)", "n")
+    rows = docs_of(texts).selectExpr("text AS t", "true AS learn")
+    counts = rows.mapInArrow(context_tree._count_grams(context_tree.DEPTH), "g long, n long, c long").groupBy("g").sum("n").withColumnRenamed("sum(n)", "n")
     root = {r.key: r.lpw for r in context_tree.nodes(counts)[-1].collect()}
     want = ctw_by_brute_force([t.encode() for t in texts], context_tree.DEPTH)
     assert root.keys() == want.keys() and all(abs(root[k] - want[k]) < 1e-6 for k in want)
@@ -335,10 +336,29 @@ def test_scores_use_every_node(docs_of, words, sent):
 
 def test_scores_are_probabilities():
     rng = np.random.default_rng(1)
-    g, n = np.unique(context_tree.grams([bytes(rng.integers(97, 100, 300).astype(np.uint8))], 2)[0], return_counts=True)
-    model = context_tree.Model(1 << 10, 2)
-    every = (np.uint64(0x616200) + np.arange(256, dtype=np.uint64)).astype(np.uint64)
-    assert abs((10 ** model.log10(every)).sum() - 1) < 1e-9
+    g, n = np.unique(context_tree.grams([bytes(rng.integers(97, 100, 300).astype(np.uint8))], 4)[0], return_counts=True)
+    every = (np.uint64(0x6261616200) + np.arange(256, dtype=np.uint64)).astype(np.uint64)
+    both = np.union1d(g, every)
+    count = np.zeros(len(both), np.int64)
+    count[np.searchsorted(both, g)] = n
+    levels = context_tree.Levels(both, count, 4, 0)
+    value = levels.values(np.zeros(255), np.ones(255))
+    assert len(levels.levels[-1][0]) == 255 and abs((10 ** value[np.searchsorted(both, every)]).sum() - 1) < 1e-9
+    table = context_tree.Model(1 << 10)
+    table.fill(both, value)
+    assert np.allclose(table.log10(both), value) and np.isnan(table.log10(both + np.uint64(1 << 50))).all()
+
+
+def test_strings_by_blocks_of_whole_contexts(docs_of, words, monkeypatch):
+    rows = [(k, words(8)) for k in range(12)]
+    want = sorted((r.g, r.c, round(r.value, 9)) for r in _valued(docs_of(rows)))
+    monkeypatch.setattr(context_tree, "BLOCK", 3)
+    monkeypatch.setattr(context_tree, "HELD", 40)
+    assert sorted((r.g, r.c, round(r.value, 9)) for r in _valued(docs_of(rows))) == want
+
+
+def _valued(docs):
+    return context_tree.valued(docs.selectExpr("text AS t", "doc_id % 3 > 0 AS learn")).collect()
 
 
 def test_toxic_sentences_are_located(spark, docs_of, words):

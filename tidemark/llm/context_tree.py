@@ -5,15 +5,19 @@ of depth 0 to ``DEPTH``.  Every node estimates its decision by Krichevsky-Trofim
 counts; a node's weighted probability is half its own and half the product of its
 children's, so one pass over the counts mixes all depths.
 
-1. Training texts become counts of (DEPTH + 1)-byte strings, summed over all of
-   them.  0xFF, which no UTF-8 text holds, pads the start and marks the end.
-2. Counts and weighted probabilities go up the tree level by level, as sums by
-   parent context; each node keeps its estimate and its weight against its children.
-3. Mixtures go down the tree level by level, so the deepest nodes hold the chances.
-   Every string of any text gets its value from the eight of its context.  Strings
+A *string* is a byte with its DEPTH bytes of context, as an integer that has the
+nearest context byte first; 0xFF, which no UTF-8 text holds, pads the start of a
+text and marks its end.
+
+1. All texts become counts of strings: in training texts, and in all texts.
+2. Strings are dealt out by their ``SHARED`` nearest bytes.  All deeper nodes of such a
+   context lie together, so its levels are worked out with numpy, context by context.
+   One context has at most 256 ** (DEPTH - SHARED + 1) strings, however large the corpus.
+3. Weights of the shared levels go up, and mixtures down, as sums and joins by parent.
+4. Strings meet the mixtures of the shared levels again and get their values.  Strings
    that only held-out texts have are in the tree with count zero: such a node has
    weight one and an even estimate, which is what an unseen one amounts to.
-4. A text's score is the sum of its strings' values, end included.  The most frequent
+5. A text's score is the sum of its strings' values, end included.  The most frequent
    strings, at most ``STRINGS``, are looked up in the tasks, all others by a join.
 
 The base is a word model with counts over all training texts.  The most frequent
@@ -36,31 +40,36 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import save, slices, strings, text_hash
+from tidemark.llm.common import save, slices, strings
 from tidemark.llm.hashing import mix
 
-DEPTH = 5
+DEPTH = 6
+#: Context bytes that the levels above the split have at most, plus one.
+SHARED = 3
 #: Strings that are sent to the tasks.
-STRINGS = 1 << 20
+STRINGS = 1 << 22
 COMMON = 1 << 18
-#: Distinct strings that a task holds before it merges its counts.
-HELD = 4_000_000
+#: Distinct strings that a task holds before it merges its counts, and strings worked on at a time.
+HELD = 2_000_000
+BLOCK = 1 << 17
 MARK = 0xFF
 #: No string: marks a free place.
 FREE = np.uint64((1 << 64) - 1)
-UNIFORM = 8 * math.log10(0.5)
+_BYTE = np.uint64(8)
 
 
 def grams(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """(depth + 1)-byte strings as integers, one for each byte and each end, and where each text's begin."""
-    pad = bytes([MARK]) * depth
-    data = np.frombuffer(b"".join([x for t in texts for x in (pad, t, bytes([MARK]))]), dtype=np.uint8)
-    g = np.zeros(max(0, len(data) - depth), dtype=np.uint64)
-    for k in range(depth + 1):
-        g = (g << np.uint64(8)) | data[k : k + len(g)]
+    """The string of every byte and end, in order, and where each text's begin."""
+    pad, end = bytes([MARK]) * depth, bytes([MARK])
+    data = np.frombuffer(b"".join([x for t in texts for x in (pad, t, end)]), dtype=np.uint8)
+    n = max(0, len(data) - depth)
+    g = np.zeros(n, dtype=np.uint64)
+    for k in (*range(depth - 1, -1, -1), depth):
+        g <<= _BYTE
+        g |= data[k : k + n]
     size = np.array([len(t) + 1 for t in texts], dtype=np.int64)
     first = np.cumsum(size + depth) - size - depth
-    keep = np.ones(len(g), dtype=bool)
+    keep = np.ones(n, dtype=bool)
     for k in range(depth):
         keep[(first[1:] - 1 - k)] = False
     return g[keep], np.cumsum(size) - size
@@ -68,28 +77,158 @@ def grams(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarra
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     g, n = (np.concatenate(x) for x in zip(*parts))
-    u, inverse = np.unique(g, return_inverse=True)
-    return u, np.bincount(inverse, weights=n, minlength=len(u)).astype(np.int64)
+    order = np.argsort(g)
+    g = g[order]
+    heads = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+    return g[heads], np.add.reduceat(n[order], heads)
+
+
+def _count_grams(depth: int):
+    """Counts of strings in rows (t, learn); a string's last bit says whether its text is for training."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for batch in slices(batches, "t"):
+            texts, learn = strings(batch.column("t")), batch.column("learn").to_pylist()
+            for bit in (0, 1):
+                some = [t for t, x in zip(texts, learn) if x == bool(bit)]
+                if some:
+                    parts.append(np.unique(grams(some, depth)[0] << np.uint64(1) | np.uint64(bit), return_counts=True))
+                    held += len(parts[-1][0])
+            if held > HELD:
+                parts = [_merged(parts)]
+                held = len(parts[0][0])
+                if held > HELD // 2:
+                    yield _gram_rows(*parts.pop())
+                    held = 0
+        if parts:
+            yield _gram_rows(*_merged(parts))
+
+    return count
+
+
+def _gram_rows(g: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+    n = c * (g & np.uint64(1)).astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array((g >> np.uint64(1)).view(np.int64)), pa.array(n), pa.array(c)], names=["g", "n", "c"])
+
+
+#: ln of Gamma(n + 1/2) / Gamma(1/2) and of n! for small n.
+_HALF = np.append(0.0, np.cumsum(np.log(np.arange(4095) + 0.5)))
+_FACTORIAL = np.append(0.0, np.cumsum(np.log(np.arange(4095) + 1.0)))
+
+
+def _rising(n: np.ndarray, table: np.ndarray, first: float) -> np.ndarray:
+    """ln of first * (first + 1) * ... with n factors: by table, or by Stirling's series."""
+    out = table[np.minimum(n, len(table) - 1)]
+    large = np.flatnonzero(n >= len(table))
+    x = n[large] + first
+    out[large] = (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - math.lgamma(first)
+    return out
+
+
+def _own(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """ln of the Krichevsky-Trofimov probability of a zeros and b ones."""
+    return _rising(a, _HALF, 0.5) + _rising(b, _HALF, 0.5) - _rising(a + b, _FACTORIAL, 1.0)
+
+
+class Levels:
+    """Nodes of the depths ``depth`` to ``top`` over sorted distinct strings with whole contexts of ``top`` bytes.
+
+    A node's key is its context, nearest byte first, and a byte that holds a one and the bits decided so far.
+    """
+
+    def __init__(self, g: np.ndarray, n: np.ndarray, depth: int, top: int):
+        self.byte = (g & np.uint64(255)).astype(np.int64)
+        context = g >> _BYTE << _BYTE
+        key, a, b, self.node, at = [], [], [], [], 0
+        for k in range(8):
+            here = context | ((1 << k) | (self.byte >> (8 - k))).astype(np.uint64)
+            new = np.append(True, here[1:] != here[:-1])
+            heads = np.flatnonzero(new)
+            one = n * ((self.byte >> (7 - k)) & 1)
+            key.append(here[heads])
+            b.append(np.add.reduceat(one, heads))
+            a.append(np.add.reduceat(n, heads) - b[-1])
+            self.node.append(np.cumsum(new) + (at - 1))
+            at += len(heads)
+        key, a, b = np.concatenate(key), np.concatenate(a), np.concatenate(b)
+        own = _own(a, b)
+        self.levels, self.parents = [(key, a, b, own, own)], []
+        for _ in range(depth - top):
+            key, parent = np.unique((key >> np.uint64(16) << _BYTE) | (key & np.uint64(255)), return_inverse=True)
+            below = np.bincount(parent, weights=self.levels[-1][4])
+            a, b = (np.bincount(parent, weights=x).astype(np.int64) for x in (a, b))
+            own = _own(a, b)
+            most = np.maximum(own, below)
+            self.levels.append((key, a, b, own, most + np.log(0.5 * np.exp(own - most) + 0.5 * np.exp(below - most))))
+            self.parents.append(parent)
+
+    def values(self, one: np.ndarray | float, rest: np.ndarray | float) -> np.ndarray:
+        """log10 chance of every string; ``one`` (chance of a one so far) and ``rest`` (weight left) by node at the top."""
+        for d in range(len(self.levels) - 1, -1, -1):
+            _, a, b, own, weighted = self.levels[d]
+            if d < len(self.parents):
+                one, rest = one[self.parents[d]], rest[self.parents[d]]
+            w = np.minimum(1.0, 0.5 * np.exp(own - weighted)) if d else 1.0
+            one, rest = one + rest * w * (b + 0.5) / (a + b + 1), rest * (1 - w)
+        value = np.zeros(len(self.byte))
+        for k, node in enumerate(self.node):
+            p = one[node]
+            value += np.log10(np.where((self.byte >> (7 - k)) & 1 == 1, p, 1 - p))
+        return value
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], shift: int) -> Iterator[pa.Table]:
+    """Rows sorted by g in blocks of about ``BLOCK`` that hold whole groups of g >> shift."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        group = batch.column("g").to_numpy() >> shift
+        cut = int(np.searchsorted(group, group[-1]))  # the last group may go on in the next batch
+        if cut and size + cut >= BLOCK:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held, batch = [], batch.slice(cut)
+        elif not cut and size >= BLOCK and held[-1].column("g")[-1].as_py() >> shift != group[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        held.append(batch)
+        size = sum(x.num_rows for x in held)
+    if held:
+        yield pa.Table.from_batches(held)
 
 
-def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts, held = [], 0
-    for batch in slices(batches, "t", 4 << 20):
-        u, n = np.unique(grams(strings(batch.column("t")))[0], return_counts=True)
-        parts.append((u, n))
-        held += len(u)
-        if held > HELD:
-            parts = [_merged(parts)]
-            held = len(parts[0][0])
-            if held > HELD // 2:
-                yield _gram_rows(*parts.pop())
-                held = 0
-    if parts:
-        yield _gram_rows(*_merged(parts))
+def _columns(table: pa.Table, *names: str) -> list[np.ndarray]:
+    return [table.column(c).to_numpy() for c in names]
 
 
-def _gram_rows(g: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n)], names=["g", "n"])
+def _tops(depth: int):
+    """Nodes of the depth ``SHARED`` from strings with whole contexts of that depth."""
+
+    def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _blocks(batches, 8 * (depth - SHARED + 1)):
+            g, n = _columns(table, "g", "n")
+            key, a, b, own, weighted = Levels(g.view(np.uint64), n, depth, SHARED).levels[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), a, b, own, weighted)], names=["key", "a", "b", "own", "lpw"])
+
+    return tops
+
+
+def _value_strings(depth: int):
+    """Values from strings (g, n, c) and nodes of the depth ``SHARED`` (c is -1; one, rest) in one order."""
+    shift = 8 * (depth - SHARED + 1)
+
+    def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _blocks(batches, shift):
+            g, n, c, key, one, rest = _columns(table, "g", "n", "c", "key", "one", "rest")
+            string, node = c >= 0, c < 0
+            order = np.argsort(key[node])
+            g = g[string]
+            found = Levels(g.view(np.uint64), n[string], depth, SHARED).values(one[node][order], rest[node][order])
+            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(c[string]), pa.array(found)], names=["g", "c", "value"])
+
+    return value
 
 
 def _ln_gamma(x: Column) -> Column:
@@ -102,84 +241,48 @@ def _ln_gamma(x: Column) -> Column:
 
 
 def nodes(counts: DataFrame, depth: int = DEPTH) -> list[DataFrame]:
-    """Per level, deepest first: d, key (context bytes and bit prefix), a, b (zeros, ones), own, lpw (ln weighted)."""
+    """Per shared level, deepest first: key, a, b (zeros, ones), own, lpw (ln weighted); ``counts``: strings g with n."""
     own = _ln_gamma(F.col("a") + 0.5) + _ln_gamma(F.col("b") + 0.5) - _ln_gamma(F.col("a") + F.col("b") + 1.0) - math.log(math.pi)
     own = F.when(F.col("a") + F.col("b") > 0, own).otherwise(0.0)
-    byte = "(g & 255)"
-    bits = counts.select("g", "n", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"))
-    bits = bits.select(
-        F.expr(f"shiftleft(shiftright(g, 8), 8) | (shiftleft(1L, k) | shiftright({byte}, 8 - k))").alias("key"),
-        F.expr(f"IF((shiftright({byte}, 7 - k) & 1) = 0, n, 0L)").alias("a"),
-        F.expr(f"IF((shiftright({byte}, 7 - k) & 1) = 1, n, 0L)").alias("b"),
-    )
-    level = bits.groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).withColumn("own", own).withColumn("lpw", F.col("own"))
-    out = [save(level.withColumn("d", F.lit(depth)), "nodes")]
-    for d in range(depth - 1, -1, -1):
-        up = out[-1].groupBy(F.col("key").bitwiseAND(F.lit((1 << (8 * (d + 1))) - 1)).alias("key"))
+    rows = counts.select("g", "n").repartition(F.shiftright("g", 8 * (depth - SHARED + 1))).sortWithinPartitions("g")
+    out = [save(rows.mapInArrow(_tops(depth), "key long, a long, b long, own double, lpw double"), "nodes")]
+    for _ in range(SHARED):
+        up = out[-1].groupBy(_parent().alias("key"))
         level = up.agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("lpw").alias("below")).withColumn("own", own)
         top = F.greatest("own", "below")
         lpw = top + F.ln(0.5 * F.exp(F.col("own") - top) + 0.5 * F.exp(F.col("below") - top))
-        out.append(save(level.withColumn("lpw", lpw).drop("below").withColumn("d", F.lit(d)), "nodes"))
+        out.append(save(level.withColumn("lpw", lpw).drop("below"), "nodes"))
     return out
 
 
-def _mixture(levels: list[DataFrame], depth: int) -> DataFrame:
-    """Per deepest node: key, one (chance of a one, mixed over all depths of its path)."""
-    up = None
-    for d, level in enumerate(reversed(levels)):
-        p = (F.col("b") + 0.5) / (F.col("a") + F.col("b") + 1)
-        w = F.lit(1.0) if d == depth else F.least(F.lit(1.0), 0.5 * F.exp(F.col("own") - F.col("lpw")))
-        level = level.select("key", p.alias("p"), w.alias("w"))
-        if up is None:
-            here = level.select("key", (F.col("w") * F.col("p")).alias("one"), (1 - F.col("w")).alias("rest"))
-        else:
-            parent = F.col("key").bitwiseAND(F.lit((1 << (8 * d)) - 1))
-            # the two upper levels have 65535 nodes at most
-            up = F.broadcast(up) if d <= 2 else up
-            here = level.withColumn("parent", parent).join(up.withColumnRenamed("key", "parent"), "parent")
-            here = here.select("key", (F.col("one") + F.col("rest") * F.col("w") * F.col("p")).alias("one"), (F.col("rest") * (1 - F.col("w"))).alias("rest"))
-        up = save(here, "mixture") if 0 < d < depth else here
-    return up.select("key", "one")
+def _parent() -> Column:
+    return F.shiftleft(F.shiftright("key", 16), 8).bitwiseOR(F.col("key").bitwiseAND(F.lit(255)))
 
 
-def _value_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(g, c, value) from rows sorted by x: deepest nodes (x, one) and strings (x, c) of the same contexts."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        context = batch.column("x").to_numpy() >> 8
-        cut = int(np.searchsorted(context, context[-1]))  # the last context may go on in the next batch
-        if cut:
-            yield _values([*held, batch.slice(0, cut)])
-            held = [batch.slice(cut)]
-        elif held and held[-1].column("x")[-1].as_py() >> 8 != context[0]:
-            yield _values(held)
-            held = [batch]
+def _mixture(levels: list[DataFrame]) -> DataFrame:
+    """Per node of the depth ``SHARED``: key, one and rest, mixed over the levels above it."""
+    up = None
+    p, w = (F.col("b") + 0.5) / (F.col("a") + F.col("b") + 1), F.least(F.lit(1.0), 0.5 * F.exp(F.col("own") - F.col("lpw")))
+    for level in reversed(levels):
+        here = level.select("key", _parent().alias("parent"), p.alias("p"), w.alias("w"))
+        if up is None:
+            here = here.select("key", F.lit(0.0).alias("above"), F.lit(1.0).alias("left"), "p", "w")
         else:
-            held.append(batch)
-    if held:
-        yield _values(held)
-
-
-def _values(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
-    x, one, c = (np.concatenate([b.column(n).to_numpy() for b in batches]) for n in ("x", "one", "c"))
-    node, string = c == 0, c > 0
-    keys, ones, g = x[node], one[node], x[string]
-    byte, value = g & 255, np.zeros(len(g))
-    for k in range(8):
-        p = ones[np.searchsorted(keys, (g >> 8 << 8) | (1 << k) | (byte >> (8 - k)))]
-        value += np.log10(np.where((byte >> (7 - k)) & 1 == 1, p, 1 - p))
-    return pa.RecordBatch.from_arrays([pa.array(g), pa.array(c[string]), pa.array(value)], names=["g", "c", "value"])
+            here = here.join(up.withColumnRenamed("key", "parent"), "parent").select("key", F.col("one").alias("above"), F.col("rest").alias("left"), "p", "w")
+        up = here.select("key", (F.col("above") + F.col("left") * F.col("w") * F.col("p")).alias("one"), (F.col("left") * (1 - F.col("w"))).alias("rest"))
+    return here.select("key", F.col("above").alias("one"), F.col("left").alias("rest"))
 
 
 class Model:
-    """log10 chances of strings in a table of ``places`` (a power of two, more than its strings), with linear probing."""
+    """log10 chances of strings in a table of ``places`` (a power of two, more than its strings), with linear probing.
 
-    def __init__(self, places: int, depth: int = DEPTH):
-        self.places, self.depth = places, depth
+    Values are held in 32 bits, which moves a text's score by less than a part in ten million.
+    """
+
+    def __init__(self, places: int):
+        self.places = places
         self.known = np.full(places, FREE, dtype=np.uint64)
-        self.value = np.zeros(places, dtype=np.float64)
+        self.value = np.zeros(places, dtype=np.float32)
 
     def _place(self, g: np.ndarray) -> np.ndarray:
         return (mix(g) & np.uint64(self.places - 1)).astype(np.int64)
@@ -194,33 +297,39 @@ class Model:
             self.value[at[~lost]] = value[~lost]
             g, value, at = g[lost], value[lost], (at[lost] + 1) & (self.places - 1)
 
-    def log10(self, g: np.ndarray, other: float = UNIFORM) -> np.ndarray:
-        """log10 chance of the last byte of each string after the others; ``other`` if it is not in the table."""
-        out = np.full(len(g), other)
-        left, at = np.arange(len(g)), self._place(g)
+    def log10(self, g: np.ndarray) -> np.ndarray:
+        """log10 chance of the last byte of each string after the others; NaN if it is not in the table."""
+        at = self._place(g)
+        known = self.known[at]
+        out = np.where(known == g, self.value[at].astype(np.float64), np.nan)
+        left = np.flatnonzero((known != g) & (known != FREE))
+        at = at[left]
         while len(left):
+            at = (at + 1) & (self.places - 1)
             known = self.known[at]
             hit = known == g[left]
             out[left[hit]] = self.value[at[hit]]
             on = ~hit & (known != FREE)
-            left, at = left[on], (at[on] + 1) & (self.places - 1)
+            left, at = left[on], at[on]
         return out
 
 
-def valued(learn: DataFrame, others: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """Every string of the column ``t`` of both: g, c (occurrences), value (log10 chance after training on ``learn``)."""
-    count = lambda x: x.select("t").mapInArrow(_count_grams, "g long, n long")
-    zero = F.lit(0).cast("long")
-    both = count(learn).withColumn("c", F.col("n")).unionByName(count(others).select("g", zero.alias("n"), F.col("n").alias("c")))
-    found = save(both.groupBy("g").agg(F.sum("n").alias("n"), F.sum("c").alias("c")), "grams")
-    leaves = _mixture(nodes(found, depth), depth).select(F.col("key").alias("x"), "one", zero.alias("c"))
-    rows = leaves.unionByName(found.select(F.col("g").alias("x"), F.lit(0.0).alias("one"), "c"))
-    rows = rows.repartition(F.shiftright("x", 8)).sortWithinPartitions("x")
-    return save(rows.mapInArrow(_value_strings, "g long, c long, value double"), "values")
+def valued(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """Every string of the column ``t``: g, c (occurrences), value (log10 chance after training on rows with ``learn``)."""
+    count = texts.select("t", "learn").mapInArrow(_count_grams(depth), "g long, n long, c long")
+    # the tasks have summed their own counts, so rows go to their sums at once
+    found = save(count.repartition("g").groupBy("g").agg(F.sum("n").alias("n"), F.sum("c").alias("c")), "grams")
+    shift = 8 * (depth - SHARED + 1)
+    tops = _mixture(nodes(found, depth)).select(
+        F.shiftleft(F.shiftright("key", 8), shift).alias("g"), F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("c"), "key", "one", "rest"
+    )
+    rows = found.select("g", "n", "c", F.lit(0).cast("long").alias("key"), F.lit(0.0).alias("one"), F.lit(0.0).alias("rest")).unionByName(tops)
+    rows = rows.repartition(F.shiftright("g", shift)).sortWithinPartitions("g", "c")
+    return save(rows.mapInArrow(_value_strings(depth), "g long, c long, value double"), "values")
 
 
-def frequent(rows: DataFrame, most: int) -> DataFrame:
-    """Rows at and above a count ``c`` that at most ``most`` of them reach, found from a histogram of counts."""
+def at_least(rows: DataFrame, most: int) -> Column:
+    """Condition on a count ``c`` that at most ``most`` rows meet, found from a histogram of counts."""
     step = F.floor(F.log2("c") * 16)
     bins = sorted((r.step, r.n) for r in rows.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect())
     total, least = 0, None
@@ -229,7 +338,7 @@ def frequent(rows: DataFrame, most: int) -> DataFrame:
         if total > most:
             break
         least = at
-    return rows.where(step >= least if least is not None else F.lit(False))
+    return step >= least if least is not None else F.lit(False)
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,10 +346,10 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([b.column(c).to_numpy().tobytes()], pa.binary()) for c in ("g", "value")], names=["g", "value"])
 
 
-def table_of(values: DataFrame, most: int, depth: int = DEPTH) -> Model:
-    """Model of the most frequent strings, brought to the driver part by part, packed."""
-    parts = [(np.frombuffer(r.g, np.uint64), np.frombuffer(r.value, np.float64)) for r in frequent(values, most).mapInArrow(_packed, "g binary, value binary").toLocalIterator()]
-    model = Model(1 << (2 * sum(len(g) for g, _ in parts) + 1).bit_length(), depth)
+def table_of(values: DataFrame) -> Model:
+    """Table of strings brought to the driver part by part, packed."""
+    parts = [(np.frombuffer(r.g, np.uint64), np.frombuffer(r.value, np.float64)) for r in values.select("g", "value").mapInArrow(_packed, "g binary, value binary").toLocalIterator()]
+    model = Model(1 << (2 * sum(len(g) for g, _ in parts)).bit_length())
     for g, value in parts:
         model.fill(g, value)
     return model
@@ -248,10 +357,10 @@ def table_of(values: DataFrame, most: int, depth: int = DEPTH) -> Model:
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     count: Counter[bytes] = Counter()
-    for batch in slices(batches, "t", 4 << 20):
+    for batch in slices(batches, "t"):
         for t in strings(batch.column("t")):
             count.update(t.lower().split())
-        if len(count) > 1_000_000:
+        if len(count) > 400_000:
             yield _word_rows(count)
             count = Counter()
     yield _word_rows(count)
@@ -273,30 +382,32 @@ def _rare_strings(g: np.ndarray, first: np.ndarray, rare: np.ndarray) -> pa.List
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)
 
 
-def scored(docs: DataFrame, held_out: Column | None = None, strings_sent: int = STRINGS, common: int = COMMON) -> DataFrame:
+def scored(docs: DataFrame, held_out: Column | None = None, depth: int = DEPTH, strings_sent: int = STRINGS, common: int = COMMON) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte."""
     if held_out is None:
         held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(True))
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select(F.col("doc_id").alias("i"), text_hash().alias("k"), held_out.alias("held_out"), F.col("text").alias("t"))
-    learn = rows.where("not held_out").select("t")
-    words = save(learn.mapInArrow(_count_words, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
-    ends = learn.count()
+    rows = docs.select(F.col("doc_id").alias("i"), held_out.alias("held_out"), F.col("text").alias("t"))
+    learn = F.coalesce(~F.col("held_out"), F.lit(False))
+    words = save(rows.where(learn).select("t").mapInArrow(_count_words, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
+    ends = rows.where(learn).count()
     distinct, tokens = words.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     tokens, distinct = tokens + ends, distinct + (ends > 0)
     below = math.log10(tokens + 0.5 * (distinct + 1))
-    top = frequent(words, common).select("word", "c").toArrow()
+    sent_words = at_least(words, common)
+    top = words.where(sent_words).select("word", "c").toArrow()
     value = spark.sparkContext.broadcast(dict(zip(top.column("word").to_pylist(), (math.log10(c + 0.5) for c in top.column("c").to_pylist()))))
-    values = valued(learn, rows.where("coalesce(held_out, true)").select("t"))
-    model = spark.sparkContext.broadcast(table_of(values, strings_sent))
+    values = valued(rows.select("t", learn.alias("learn")), depth)
+    sent = at_least(values, strings_sent)
+    model = spark.sparkContext.broadcast(table_of(values.where(sent)))
     end_value = math.log10(ends + 0.5)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get, never = value.value.get, math.nan
         rare_kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
         table = model.value
-        for batch in slices(batches, "t", 2 << 20):
+        for batch in slices(batches, "t", 1 << 19):
             texts = strings(batch.column("t"))
             n, known, base, rare = [], [], [], []
             for t in texts:
@@ -307,25 +418,23 @@ def scored(docs: DataFrame, held_out: Column | None = None, strings_sent: int =
                 known.append(len(split) - len(other) + (ends > 0))
                 base.append(float(np.nansum(found)) + end_value - below * (len(split) + 1))
                 rare.append([{"word": w, "n": c} for w, c in Counter([split[j] for j in other]).items()])
-            g, first_of = grams(texts, table.depth)
-            chance = table.log10(g, math.nan)
-            score_top = np.add.reduceat(np.nan_to_num(chance), first_of)
+            g, first_of = grams(texts, depth)
+            chance = table.log10(g)
+            missing = np.isnan(chance)
+            chance[missing] = 0
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("i", "k", "held_out")), *(pa.array(x, pa.int64()) for x in (n, known, [len(t) for t in texts])), pa.array(base), pa.array(score_top), pa.array(rare, rare_kind), _rare_strings(g, first_of, np.flatnonzero(np.isnan(chance)))],
-                names=["i", "k", "held_out", "n_tokens", "n_top", "n_bytes", "base_top", "score_top", "rare", "strings"],
+                [*(batch.column(c) for c in ("i", "row", "held_out")), *(pa.array(x, pa.int64()) for x in (n, known, [len(t) for t in texts])), pa.array(base), pa.array(np.add.reduceat(chance, first_of)), pa.array(rare, rare_kind), _rare_strings(g, first_of, np.flatnonzero(missing))],
+                names=["i", "row", "held_out", "n_tokens", "n_top", "n_bytes", "base_top", "score_top", "rare", "strings"],
             )
 
-    first = rows.mapInArrow(score, f"i {kind}, k long, held_out boolean, n_tokens long, n_top long, n_bytes long, base_top double, score_top double, rare array<struct<word:binary,n:long>>, strings array<struct<g:long,n:long>>")
-    first = save(first, "scores")
-    # repeated rows hold the same words: one of them is enough for the join
-    rare = first.where("size(rare) > 0").select("i", "k", "rare").groupBy("i", "k").agg(F.first("rare").alias("rare")).select("i", "k", F.explode("rare").alias("r")).select("i", "k", "r.word", "r.n")
-    rare = rare.join(words, "word", "left")
-    rare = rare.select("i", "k", (F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("base"), F.when(F.col("c") > 0, F.col("n")).alias("n"), F.lit(0.0).alias("score"))
-    strings_of = first.where("size(strings) > 0").select("i", "k", "strings").groupBy("i", "k").agg(F.first("strings").alias("strings")).select("i", "k", F.explode("strings").alias("r")).select("i", "k", "r.g", "r.n")
-    strings_of = strings_of.join(values.select("g", "value"), "g").select("i", "k", F.lit(0.0).alias("base"), F.lit(0).cast("long").alias("n"), (F.col("n") * F.col("value")).alias("score"))
-    rare = rare.unionByName(strings_of).groupBy("i", "k").agg(F.sum("base").alias("base_rare"), F.sum("n").alias("n_rare"), F.sum("score").alias("score_rare"))
-    rare = rare.withColumnsRenamed({"i": "i2", "k": "k2"})
-    scores = first.drop("rare", "strings").join(rare, F.col("i").eqNullSafe(F.col("i2")) & (F.col("k") == F.col("k2")), "left").withColumn("score", F.col("score_top") + F.coalesce("score_rare", F.lit(0.0)))
+    first = rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(score, f"i {kind}, row long, held_out boolean, n_tokens long, n_top long, n_bytes long, base_top double, score_top double, rare array<struct<word:binary,n:long>>, strings array<struct<g:long,n:long>>")
+    first = save(first, "scores")  # row numbers hold from here on
+    rare = first.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n").join(words.where(~sent_words), "word", "left")
+    rare = rare.select("row", (F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("base"), F.when(F.col("c") > 0, F.col("n")).alias("n"), F.lit(0.0).alias("score"))
+    less = first.select("row", F.explode("strings").alias("r")).select("row", "r.g", "r.n").join(values.where(~sent).select("g", "value"), "g")
+    less = less.select("row", F.lit(0.0).alias("base"), F.lit(0).cast("long").alias("n"), (F.col("n") * F.col("value")).alias("score"))
+    rare = rare.unionByName(less).groupBy("row").agg(F.sum("base").alias("base_rare"), F.sum("n").alias("n_rare"), F.sum("score").alias("score_rare"))
+    scores = first.drop("rare", "strings").join(rare, "row", "left").withColumn("score", F.col("score_top") + F.coalesce("score_rare", F.lit(0.0)))
     return scores.select(
         F.col("i").alias("doc_id"), "held_out", "n_tokens", (F.col("n_top") + F.coalesce("n_rare", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base_top") + F.coalesce("base_rare", F.lit(0.0))).alias("base_score"), "score", "n_bytes", (-F.col("score") / math.log10(2) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
