@@ -20,7 +20,12 @@ def removed_by_brute_force(texts, length):
                 gone[i : i + length] = True
         kept = bytes(b for b, g in zip(t, gone) if not g)
         spans = int((gone[:-1] & ~np.append(False, gone[:-1])[:-1]).sum()) if len(t) else 0
-        out.append((len(t), int(gone[: len(t)].sum()), spans, hashlib.sha256(kept).hexdigest()))
+        at, whole = 0, ""
+        for c in t.decode():
+            n = len(c.encode())
+            whole += "" if gone[at : at + n].any() else c
+            at += n
+        out.append((len(t), int(gone[: len(t)].sum()), spans, hashlib.sha256(kept).hexdigest(), whole))
     return out
 
 
@@ -39,7 +44,7 @@ def test_repeated_strings_as_brute_force(docs_of, words, options):
     texts = cases(words)
     got = suffix_dedup.removed(docs_of(texts), **({"length": 100, "anchor": 60} | options)).collect()
     want = removed_by_brute_force(texts, 100)
-    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == dict(enumerate(want))
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.text) for r in got} == dict(enumerate(want))
 
 
 def test_repeated_rows_nulls_and_names(spark, docs_of, words):

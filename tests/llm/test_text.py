@@ -394,7 +394,7 @@ def test_pipeline_links_pairs_from_080(spark, docs_of):
 
 
 def test_pipeline_stages(spark, docs_of, words, tmp_path):
-    item, shared, base = words(30), words(120), words(90)
+    item, shared, base = words(30), words(55), words(90)
     texts = {0: base, 1: base, 2: base + " end", 3: words(40) + " " + item + " " + words(40), 4: words(50) + " " + shared, 5: words(60) + " " + shared, 6: "spam " * 200, 7: words(200), 8: None, 9: "short"}
     docs_of(list(texts.items())).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(0, item)], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
@@ -405,6 +405,7 @@ def test_pipeline_stages(spark, docs_of, words, tmp_path):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         kept.append({r.doc_id: r.text for r in docs.collect()})
     assert [sorted(k) for k in kept] == [[0, 1, 2, 3, 4, 5, 7], [0, 3, 4, 5, 7], [0, 3, 4, 5, 7], [0, 4, 5, 7]]
-    assert shared[:500] not in kept[2][4] and kept[2][7] == texts[7]
+    # a repeated passage of 55 words goes, wherever it stands
+    assert all(shared[20:80] not in kept[2][k] for k in (4, 5)) and kept[2][7] == texts[7]
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} == {0, 4, 5, 7} and len({r.sequence_id for r in out}) == 1

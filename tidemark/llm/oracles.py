@@ -10,12 +10,17 @@ m AS (SELECT rid, p FROM w WHERE w IN (SELECT w FROM w GROUP BY w HAVING count(*
 g AS (SELECT rid, p, sum(new) OVER (PARTITION BY rid ORDER BY p) AS island
       FROM (SELECT rid, p, CASE WHEN p <= lag(p) OVER (PARTITION BY rid ORDER BY p) + 400 THEN 0 ELSE 1 END AS new FROM m)),
 s AS (SELECT rid, min(p) AS s, max(p) + 400 AS e FROM g GROUP BY rid, island),
-k AS (SELECT rid, s, e, coalesce(lag(e) OVER (PARTITION BY rid ORDER BY s), 0) AS before FROM s),
-j AS (SELECT d.rid, string_agg(substr(hx, 2 * before + 1, 2 * (s - before)), '' ORDER BY s) AS head,
-             max(e) AS last, sum(e - s) AS gone, count(*) AS n FROM k JOIN d USING (rid) GROUP BY d.rid)
+c AS (SELECT rid, s, e, list_filter([0, 1, 2, 3], lambda x: substr(hx, 2 * (s - x) + 1, 1) NOT IN ('8', '9', 'A', 'B'))[1] AS before_s,
+             list_filter([0, 1, 2, 3], lambda x: substr(hx, 2 * (e + x) + 1, 1) NOT IN ('8', '9', 'A', 'B'))[1] AS after_e FROM s JOIN d USING (rid)),
+k AS (SELECT rid, s, e, coalesce(lag(e) OVER (PARTITION BY rid ORDER BY s), 0) AS before, s - before_s AS cs, e + after_e AS ce,
+             coalesce(lag(e + after_e) OVER (PARTITION BY rid ORDER BY s), 0) AS cbefore FROM c),
+j AS (SELECT d.rid, string_agg(substr(hx, 2 * before + 1, 2 * (s - before)), '' ORDER BY s) AS head, max(e) AS last,
+             string_agg(substr(hx, 2 * cbefore + 1, greatest(0, 2 * (cs - cbefore))), '' ORDER BY s) AS chead, max(ce) AS clast,
+             sum(e - s) AS gone, count(*) AS n FROM k JOIN d USING (rid) GROUP BY d.rid)
 SELECT doc_id, CAST(length(hx) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed,
        CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
-       sha256(unhex(coalesce(head, '') || substr(hx, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+       sha256(unhex(coalesce(head, '') || substr(hx, 2 * coalesce(last, 0) + 1))) AS kept_sha256,
+       decode(unhex(coalesce(chead, '') || substr(hx, 2 * coalesce(clast, 0) + 1))) AS text
 FROM d LEFT JOIN j USING (rid)
 """
 

@@ -165,10 +165,26 @@ def merged(spans_: list[dict] | None) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
+def whole_characters(text: bytes, gone: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans widened to the characters that they touch."""
+    out: list[tuple[int, int]] = []
+    for s, e in gone:
+        while s and text[s] & 0xC0 == 0x80:
+            s -= 1
+        while e < len(text) and text[e] & 0xC0 == 0x80:
+            e += 1
+        out.append((s, e))
+    return out
+
+
 def _kept(text: bytes, gone: list[tuple[int, int]]) -> bytes:
     return b"".join(text[a:b] for a, b in zip([0, *(e for _, e in gone)], [*(s for s, _ in gone), len(text)])) if gone else text
 
 
+def _rest(text: bytes, gone: list[tuple[int, int]]) -> str:
+    return _kept(text, whole_characters(text, gone)).decode()
+
+
 def _with_marks(docs: DataFrame, **options) -> DataFrame:
     """row (all columns of docs), t, spans."""
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("i"), text_hash().alias("k"), F.col("text").alias("t"))
@@ -177,7 +193,10 @@ def _with_marks(docs: DataFrame, **options) -> DataFrame:
 
 
 def removed(docs: DataFrame, **options) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (maximal removed byte ranges)."""
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (maximal removed byte ranges), text.
+
+    ``text`` is the rest as characters: one that loses a byte goes whole.
+    """
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t"):
@@ -191,12 +210,13 @@ def removed(docs: DataFrame, **options) -> DataFrame:
                     pa.array([len(g) for g in gone], pa.int64()),
                     pa.array([hashlib.sha256(_kept(t, g)).hexdigest() for t, g in zip(texts, gone)], pa.string()),
                     pa.array([[{"s": s, "e": e} for s, e in g] for g in gone], pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))),
+                    pa.array([_rest(t, g) for t, g in zip(texts, gone)], pa.string()),
                 ],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"],
+                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "text"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _with_marks(docs.select("doc_id", "text"), **options).select("i", "t", "spans").mapInArrow(report, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<s:long,e:long>>")
+    return _with_marks(docs.select("doc_id", "text"), **options).select("i", "t", "spans").mapInArrow(report, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<s:long,e:long>>, text string")
 
 
 def strip(docs: DataFrame, **options) -> DataFrame:
@@ -204,7 +224,7 @@ def strip(docs: DataFrame, **options) -> DataFrame:
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t"):
-            new = [t if s is None or t is None else _kept(t.encode(), merged(s)).decode("utf-8", "ignore") for t, s in zip(batch.column("t").to_pylist(), batch.column("spans").to_pylist())]
+            new = [t if s is None or t is None else _rest(t.encode(), merged(s)) for t, s in zip(batch.column("t").to_pylist(), batch.column("spans").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(new, pa.string())], names=["row", "t"])
 
     marked = _with_marks(docs, **options).select("row", "t", "spans")
