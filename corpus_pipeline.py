@@ -15,6 +15,10 @@ from tidemark.llm import decontaminate, near_dedup, packing, quality, suffix_ded
 from tidemark.llm.common import read, save
 
 
+#: Passages of over 50 words have 285 bytes and more; the 400 bytes of the query op3 alone would miss most of them.
+REPEATED_BYTES = 280
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
     return quality.passing(docs)
@@ -26,8 +30,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes that also start elsewhere are cut out; n_chars follows the text."""
-    cut = suffix_dedup.strip(docs)
+    """Strings of ``REPEATED_BYTES`` that also start elsewhere are cut out; n_chars follows the text."""
+    cut = suffix_dedup.strip(docs, length=REPEATED_BYTES)
     return cut.withColumn("n_chars", F.length("text").cast(cut.schema["n_chars"].dataType)) if "n_chars" in cut.columns else cut
 
 
