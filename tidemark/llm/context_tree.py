@@ -49,8 +49,8 @@ SHARED = 3
 #: Strings that are sent to the tasks.
 STRINGS = 1 << 22
 COMMON = 1 << 18
-#: Distinct strings that a task holds before it merges its counts, and strings worked on at a time.
-HELD = 2_000_000
+#: Distinct strings that a task counts before it hands them on, and strings worked on at a time.
+HELD = 4_000_000
 BLOCK = 1 << 17
 MARK = 0xFF
 #: No string: marks a free place.
@@ -75,34 +75,31 @@ def grams(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarra
     return g[keep], np.cumsum(size) - size
 
 
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    g, n = (np.concatenate(x) for x in zip(*parts))
-    order = np.argsort(g)
-    g = g[order]
-    heads = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
-    return g[heads], np.add.reduceat(n[order], heads)
+def _added(g: np.ndarray, c: np.ndarray, more: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts ``c`` of sorted strings ``g``, with those of other sorted strings."""
+    at = np.searchsorted(g, more)
+    known = at < len(g)
+    known[known] = g[at[known]] == more[known]
+    c[at[known]] += counts[known]
+    return np.insert(g, at[~known], more[~known]), np.insert(c, at[~known], counts[~known])
 
 
 def _count_grams(depth: int):
     """Counts of strings in rows (t, learn); a string's last bit says whether its text is for training."""
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
-        for batch in slices(batches, "t"):
+        g, c = none
+        for batch in slices(batches, "t", 2 << 20):
             texts, learn = strings(batch.column("t")), batch.column("learn").to_pylist()
             for bit in (0, 1):
                 some = [t for t, x in zip(texts, learn) if x == bool(bit)]
                 if some:
-                    parts.append(np.unique(grams(some, depth)[0] << np.uint64(1) | np.uint64(bit), return_counts=True))
-                    held += len(parts[-1][0])
-            if held > HELD:
-                parts = [_merged(parts)]
-                held = len(parts[0][0])
-                if held > HELD // 2:
-                    yield _gram_rows(*parts.pop())
-                    held = 0
-        if parts:
-            yield _gram_rows(*_merged(parts))
+                    g, c = _added(g, c, *np.unique(grams(some, depth)[0] << np.uint64(1) | np.uint64(bit), return_counts=True))
+            if len(g) > HELD:
+                yield _gram_rows(g, c)
+                g, c = none
+        yield _gram_rows(g, c)
 
     return count
 
