@@ -50,7 +50,7 @@ SHARED = 3
 STRINGS = 1 << 22
 COMMON = 1 << 18
 #: Distinct strings that a task counts before it hands them on, and strings worked on at a time.
-HELD = 4_000_000
+HELD = 3_000_000
 BLOCK = 1 << 17
 MARK = 0xFF
 #: No string: marks a free place.
@@ -90,23 +90,25 @@ def _count_grams(depth: int):
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, c = none
-        for batch in slices(batches, "t", 2 << 20):
+        for batch in slices(batches, "t"):
             texts, learn = strings(batch.column("t")), batch.column("learn").to_pylist()
             for bit in (0, 1):
                 some = [t for t, x in zip(texts, learn) if x == bool(bit)]
                 if some:
                     g, c = _added(g, c, *np.unique(grams(some, depth)[0] << np.uint64(1) | np.uint64(bit), return_counts=True))
             if len(g) > HELD:
-                yield _gram_rows(g, c)
+                yield from _gram_rows(g, c)
                 g, c = none
-        yield _gram_rows(g, c)
+        yield from _gram_rows(g, c)
 
     return count
 
 
-def _gram_rows(g: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-    n = c * (g & np.uint64(1)).astype(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array((g >> np.uint64(1)).view(np.int64)), pa.array(n), pa.array(c)], names=["g", "n", "c"])
+def _gram_rows(g: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(g), BLOCK):
+        some, count = g[at : at + BLOCK], c[at : at + BLOCK]
+        n = count * (some & np.uint64(1)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array((some >> np.uint64(1)).view(np.int64)), pa.array(n), pa.array(count)], names=["g", "n", "c"])
 
 
 #: ln of Gamma(n + 1/2) / Gamma(1/2) and of n! for small n.
