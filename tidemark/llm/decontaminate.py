@@ -58,17 +58,22 @@ def item_shingles(items: DataFrame) -> DataFrame:
     return rows.select("item_id", "v", F.size("all").cast("long").alias("q"), F.explode("all").alias("s")).withColumn("h", F.xxhash64("s"))
 
 
+def size_class():
+    """The partition of an item of q shingles: its upper bound is 2 ** size."""
+    return F.ceil(F.log2(F.col("q"))).cast("int")
+
+
 def sketch_size(percent: int):
-    """Hashes kept for an item: by size class, whose upper bound is a power of two."""
-    u = F.pow(F.lit(2), F.ceil(F.log2(F.col("q"))))
+    """Hashes kept for an item of a partition."""
+    u = F.pow(F.lit(2), F.col("size"))
     return (F.floor(u * (100 - percent) / 100) + 1).cast("long")
 
 
 def contained(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs with enough of an item: doc_id, item_id, n_item, n_shared, containment (and k, v: text hashes)."""
-    shingles = save(item_shingles(items), "items")
-    ranked = shingles.select("item_id", "v", "q", "h").groupBy("item_id", "v", "q").agg(F.sort_array(F.collect_list("h")).alias("hs"))
-    sketch = ranked.select(F.explode(F.slice("hs", F.lit(1), sketch_size(percent).cast("int"))).alias("h")).distinct()
+    shingles = save(item_shingles(items).withColumn("size", size_class()), "items")
+    ranked = shingles.groupBy("size", "item_id", "v", "q").agg(F.sort_array(F.collect_list("h")).alias("hs"))
+    sketch = ranked.select("size", F.explode(F.slice("hs", F.lit(1), sketch_size(percent).cast("int"))).alias("h")).distinct()
     sketch = save(sketch, "sketch")
     rows, top = sketch.agg(F.count("*"), F.coalesce(F.max("h"), F.lit(-(1 << 63)))).first()
     small = rows <= BROADCAST_ROWS
@@ -76,14 +81,16 @@ def contained(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> Data
     texts = docs.select(F.col("doc_id"), text_hash().alias("k"), "text")
     hashed = F.expr(f"filter({_shingles('w', 'xxhash64(' + _TEXT + ')')}, h -> h <= {top}L)" if top > -(1 << 63) else "cast(array() as array<bigint>)")
     looked = texts.select("doc_id", "k", _words("text").alias("w")).select("doc_id", "k", F.explode(hashed).alias("h"))
-    hits = looked.join(F.broadcast(sketch) if small else sketch, "h", "left_semi")
-    candidates = save(hits.select("doc_id", "k").distinct(), "candidates")
+    hits = looked.join(F.broadcast(sketch) if small else sketch, "h")
+    # a document is a candidate for partitions of items, of which there are as many as powers of two
+    candidates = save(hits.select("doc_id", "k", "size").distinct().groupBy("doc_id", "k").agg(F.collect_set("size").alias("sizes")), "candidates")
 
     same = texts["doc_id"].eqNullSafe(F.col("i2")) & (texts["k"] == F.col("k2"))
-    found = texts.join(candidates.withColumnsRenamed({"doc_id": "i2", "k": "k2"}), same, "left_semi").dropDuplicates(["doc_id", "k"])
-    parts = found.select("doc_id", "k", _words("text").alias("w")).select("doc_id", "k", F.explode(F.expr(f"array_distinct({_shingles('w', _TEXT)})")).alias("s"))
-    exact = shingles.select("item_id", "v", "q", "s")
-    shared = parts.join(F.broadcast(exact) if shingles.count() <= BROADCAST_ROWS else exact, "s")
+    found = texts.join(candidates.withColumnsRenamed({"doc_id": "i2", "k": "k2"}), same).dropDuplicates(["doc_id", "k"])
+    parts = found.select("doc_id", "k", "sizes", _words("text").alias("w")).select("doc_id", "k", "sizes", F.explode(F.expr(f"array_distinct({_shingles('w', _TEXT)})")).alias("s"))
+    parts = parts.select("doc_id", "k", "s", F.explode("sizes").alias("size"))
+    exact = shingles.select("size", "item_id", "v", "q", "s")
+    shared = parts.join(F.broadcast(exact) if shingles.count() <= BROADCAST_ROWS else exact, ["size", "s"])
     counts = shared.groupBy("doc_id", "k", "item_id", "v", "q").agg(F.count("*").alias("n_shared"))
     return counts.where(F.col("n_shared") * 100 >= F.col("q") * percent).select(
         "doc_id", "item_id", F.col("q").alias("n_item"), "n_shared", (F.col("n_shared") / F.col("q")).alias("containment"), "k", "v"
