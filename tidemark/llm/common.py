@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one step inside a Python task works on at a time.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
+#: Rows of one Arrow batch at most: both ends of the pipe to a Python worker hold a batch, and texts are long.
+BATCH_ROWS = 2000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,9 +23,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for written tables: spark.checkpoint.dir, set here only if unset."""
+    """The shared folder for written tables: spark.checkpoint.dir, set here only if unset and all runs on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -40,6 +44,14 @@ def save(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few_rows(df: DataFrame) -> DataFrame:
+    """``df`` itself; lowers the session's rows of an Arrow batch to ``BATCH_ROWS``."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def text_hash(text: str = "text"):
     """With doc_id the key of a row's text; rows that repeat both share every result."""
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import save, slices, strings
+from tidemark.llm.common import few_rows, save, slices, strings
 from tidemark.llm.hashing import mix
 
 DEPTH = 6
@@ -315,7 +315,7 @@ class Model:
 
 def valued(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
     """Every string of the column ``t``: g, c (occurrences), value (log10 chance after training on rows with ``learn``)."""
-    count = texts.select("t", "learn").mapInArrow(_count_grams(depth), "g long, n long, c long")
+    count = few_rows(texts.select("t", "learn")).mapInArrow(_count_grams(depth), "g long, n long, c long")
     # the tasks have summed their own counts, so rows go to their sums at once
     found = save(count.repartition("g").groupBy("g").agg(F.sum("n").alias("n"), F.sum("c").alias("c")), "grams")
     shift = 8 * (depth - SHARED + 1)
@@ -389,7 +389,7 @@ def scored(docs: DataFrame, held_out: Column | None = None, depth: int = DEPTH,
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(F.col("doc_id").alias("i"), held_out.alias("held_out"), F.col("text").alias("t"))
     learn = F.coalesce(~F.col("held_out"), F.lit(False))
-    words = save(rows.where(learn).select("t").mapInArrow(_count_words, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
+    words = save(few_rows(rows.where(learn).select("t")).mapInArrow(_count_words, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
     ends = rows.where(learn).count()
     distinct, tokens = words.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     tokens, distinct = tokens + ends, distinct + (ends > 0)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import save, slices, strings, text_hash
+from tidemark.llm.common import few_rows, save, slices, strings, text_hash
 from tidemark.llm.components import components
 from tidemark.llm.setsketch import REGISTERS, jaccard, sketches
 from tidemark.llm.shingles import shingle_sets
@@ -97,7 +97,7 @@ def sketched(docs: DataFrame) -> DataFrame:
     """Per row: i (doc_id), k (text hash), n (shingles), x (digest of the set), sketch."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(F.col("doc_id").alias("i"), text_hash().alias("k"), F.col("text").alias("t"))
-    return rows.mapInArrow(_sketch, f"i {kind}, k long, n long, x long, sketch binary")
+    return few_rows(rows).mapInArrow(_sketch, f"i {kind}, k long, n long, x long, sketch binary")
 
 
 def _links(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

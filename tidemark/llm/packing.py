@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import save, slices, strings
+from tidemark.llm.common import few_rows, save, slices, strings
 from tidemark.llm.tokenize import WordIds
 
 SIZE = 2048
@@ -63,7 +63,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, closing: int = CLO
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select(F.col("doc_id").alias("i"), F.col("text").alias("t")).mapInArrow(cut, f"doc_id {kind}, {_PIECE}" + ", ids array<int>" * with_ids)
+    return few_rows(docs.select(F.col("doc_id").alias("i"), F.col("text").alias("t"))).mapInArrow(cut, f"doc_id {kind}, {_PIECE}" + ", ids array<int>" * with_ids)
 
 
 def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

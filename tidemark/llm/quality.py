@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices, strings
+from tidemark.llm.common import few_rows, slices, strings
 
 #: (bytes from, least ratio, most ratio): limits of whole texts by length, between prose and
 #: random words of a 64-letter alphabet.  Under 150 bytes the two overlap (prose of the test
@@ -129,7 +129,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def judged(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, the counts, base_failed, kept and the compression figures."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").alias("t")).mapInArrow(_judge, f"doc_id {kind}, {_OUT}")
+    return few_rows(docs.select("doc_id", F.col("text").alias("t"))).mapInArrow(_judge, f"doc_id {kind}, {_OUT}")
 
 
 def passing(docs: DataFrame) -> DataFrame:
@@ -142,4 +142,4 @@ def passing(docs: DataFrame) -> DataFrame:
             for judged_batch in _judge(iter([texts])):
                 yield batch.filter(judged_batch.column("kept"))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return few_rows(docs).mapInArrow(keep, docs.schema)

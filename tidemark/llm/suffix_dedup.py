@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from tidemark.llm.common import bytes_of, save, slices, strings, text_hash
+from tidemark.llm.common import bytes_of, few_rows, save, slices, strings, text_hash
 from tidemark.llm.hashing import mix, powers, prefix, spans
 from tidemark.llm.rindex import RunIndex
 
@@ -129,7 +129,7 @@ def marks(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, bucket_by
     """Repeated bytes by row key: i (doc_id), k (text hash), spans array<struct<s,e>>, unmerged."""
     texts = docs.select(F.col("doc_id").alias("i"), text_hash().alias("k"), F.col("text").alias("t")).where(F.octet_length("t") >= length)
     id_type = texts.schema["i"].dataType.simpleString()
-    runs = save(texts.mapInArrow(_runs(length, anchor), f"i {id_type}, k long, h long, c long, a long, n long, r long"), "runs")
+    runs = save(few_rows(texts).mapInArrow(_runs(length, anchor), f"i {id_type}, k long, h long, c long, a long, n long, r long"), "runs")
     shared = runs.groupBy("h").agg(F.sum("r").alias("total"), ((F.min(F.struct("c", "n")) != F.max(F.struct("c", "n"))) | (F.count("*") == 1)).alias("differ")).where("total > 1").drop("total")
     live = save(runs.drop("r").join(shared, "h"), "live")
     whole = live.where("not differ").select("i", "k", F.col("a").alias("s"), (F.col("a") + F.col("n")).alias("e"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices, strings, text_hash
+from tidemark.llm.common import few_rows, slices, strings, text_hash
 
 SAMPLE_DOCS = 8000
 SAMPLE_BYTES = 32 << 20
@@ -189,4 +189,4 @@ def scored(docs: DataFrame, labels: DataFrame, held_out: Column | None = None) -
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", held_out.alias("held_out"), F.col("text").alias("t"))
-    return rows.mapInArrow(score, f"doc_id {kind}, held_out boolean, score double, predicted int, n_sentences long, offending array<struct<start:long,end:long,score:double>>")
+    return few_rows(rows).mapInArrow(score, f"doc_id {kind}, held_out boolean, score double, predicted int, n_sentences long, offending array<struct<start:long,end:long,score:double>>")
