@@ -128,6 +128,44 @@ def test_reconcile_and_gaps(spark):
     assert [tuple(r) for r in research.hour_gaps(hours, "ms", []).collect()] == [(12, 19)]
 
 
+def test_positions_against_fills(spark):
+    fills = spark.createDataFrame([("a", "buy", 10, 100), ("a", "sell", 4, 60), ("b", "buy", 3, 10), ("b", "sell", 5, 9), ("d", "buy", 5, 50)], "k string, side string, base bigint, quote bigint")
+    rows = [("a", 0, 0, 6, 20, False), ("b", 0, 0, 0, -1, True), ("c", 4, 40, 4, 0, True), ("d", 0, 0, 1, 3, False)]
+    stored = spark.createDataFrame(rows, "k string, initial bigint, cost bigint, remaining bigint, realized_pnl bigint, closed boolean")
+    got = {r.k: r for r in quality.reconcile_positions(stored, fills, ["k"]).collect()}
+    assert got["a"].ok and (got["a"].remaining, got["a"].realized_pnl) == (6, 20)
+    assert got["b"].oversold and got["b"].inventory_ok and got["b"].pnl_ok and not got["b"].ok
+    assert got["c"].closed_without_exit_fill and got["c"].failed_exit_marked_closed and (got["c"].bought, got["c"].sold) == (4, 0)
+    assert not got["d"].inventory_ok and not got["d"].pnl_ok
+
+
+def test_gate(spark):
+    names = ("events", "invalid", "ordering_violations", "with_slot", "with_signature", "amount_integer", "amount_float", "amount_missing", "trades", "launches", "graduated", "zero_trade")
+    good = dict(zip(names, (10, 0, 0, 10, 10, 10, 0, 0, 8, 2, 1, 0)))
+    cases = {"good": {}, "derived": {"with_slot": 9}, "floats": {"amount_float": 1}, "order": {"ordering_violations": 1}, "survivors": {"graduated": 2}, "empty": dict.fromkeys(names, 0)}
+    rows = [(k, *(good | v).values()) for k, v in cases.items()]
+    got = quality.gate(spark.createDataFrame(rows, "k string, " + ", ".join(f"{n} bigint" for n in names)), by=("k",)).collect()
+    assert {r.k: r.verdict for r in got} == {"good": "RESEARCH_VALID", "derived": "FEATURE_ONLY", "floats": "FEATURE_ONLY", "order": "INVALID", "survivors": "INVALID", "empty": "INVALID"}
+    assert {r.check for r in got if r.k == "derived" and not r.passed} == {"curve_reconstructable", "execution_valid"}
+
+
+def test_exit_rules(spark):
+    flat = (0, 0, 0, 0)
+    marks = [("t", 1, 1, 130, *flat), ("t", 2, 2, 99, *flat), ("u", 1, 1, 90, *flat), ("u", 2, 2, 69, *flat), ("v", 1, 1, 100, -2, 0, 5, 0), ("v", 2, 2, 100, 0, 2, -1, 0), ("v", 3, 3, 100, 0, 2, 1, 3)]
+    m = spark.createDataFrame(marks, "token string, a bigint, id bigint, px bigint, buyer_accel bigint, seller_accel bigint, net_flow bigint, creator_sells bigint")
+    e = spark.createDataFrame([(t, 0, 100, 2) for t in "tuv"], "token string, entry_age bigint, entry_px bigint, entry_creator_sells bigint")
+    got = {(r.token, r.rule): r.exit_age for r in outcomes.exits(e, m, 1_000_000).collect()}
+    # 130 to 99 is a fall of 31 points of return; 31 % below an entry that never gained isn't trailed
+    assert got == {("t", "X5_TRAILING"): 2, ("v", "X7_FLOW_DECAY"): 1, ("v", "X8_CREATOR_SELL"): 3}
+    left = {r.token: (r.reason, r.remaining_bps) for r in outcomes.scaled_out(e, m, cap_ms=2).collect()}
+    assert left == {"t": ("TIME_STOP", 0), "u": ("TIME_STOP", 0), "v": ("MOMENTUM_DECAY", 0)}
+
+
+def test_proxy_selectors_stand_at_whole_bytes(spark):
+    rows = spark.createDataFrame([("odd", "0x06352d1902d0"), ("even", "0x006352d1902d")], "token string, code string").selectExpr("*", "cast(null AS string) AS admin_slot", "cast(null AS string) AS implementation_slot")
+    assert [(r.token, r.check) for r in security.proxy_evidence(rows).collect()] == [("even", "PROXY_UUPS")]
+
+
 def test_intervals_with_a_dead_provider(spark):
     rows = [("s", 0, "VALID"), ("s", 10_000, "VALID"), ("s", 20_000, "INVALID"), ("s", 30_000, "VALID"), ("s", 130_000, "VALID")]
     got = quality.intervals(spark.createDataFrame(rows, "s string, ms bigint, status string"), "s").orderBy("started_ms").collect()
@@ -142,7 +180,8 @@ def test_outcomes(spark):
     e = spark.createDataFrame([("t", 0, 100)], "token string, entry_age bigint, entry_px bigint")
     m = spark.createDataFrame([("t", 1, 1, 150), ("t", 2, 2, 190), ("t", 3, 3, 400), ("t", 4, 4, 250)], "token string, a bigint, id bigint, px bigint")
     r = outcomes.scaled_out(e, m).first()
-    assert (r.stage, r.remaining_bps) == (4, 0)
+    # 20 % of the rest at each step, then all the rest
+    assert (r.stage, r.remaining_bps, r.reason, r.realized) == (3, 0, "TRAIL", 2000 * 150 // 10000 + 1600 * 190 // 10000 + 1280 * 400 // 10000 + 5120 * 250 // 10000)
     b = outcomes.bootstrap(spark.range(400).select(F.lit("g").alias("g"), "id", (F.col("id") % 10).cast("double").alias("value")), "g").first()
     assert b.p5 < b.mean < b.p95 and abs(b.mean - 4.5) < 1e-9
 

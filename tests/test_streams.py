@@ -55,6 +55,30 @@ def test_milestones_fire_without_trades(spark, folder):
     assert sorted(tuple(r) for r in got) == [("dead", 5000, 0, 0, 0), ("dead", 15000, 0, 0, 0), ("live", 5000, 1, 1, 2), ("live", 15000, 2, 1, 2)]
 
 
+def test_milestones_come_once(spark, folder):
+    clock = lambda n, s: (f"k{n}", "clock", at(s), None, "tick", 0)
+    batches = [
+        [("l1", "a", at(0), None, "launch", 0), ("t1", "a", at(1), 7, "buy", 1), ("o1", "orphan", at(1), 7, "buy", 1)],
+        [clock(1, 30)],
+        [clock(2, 31), ("t2", "a", at(32), 8, "buy", 1)],  # after the last milestone
+        [clock(3, 90)],
+        [clock(4, 300)],
+        [clock(5, 301), ("t3", "a", at(302), 8, "buy", 1)],  # after the mark has gone
+        [clock(6, 400)],
+        [clock(7, 500)],
+    ]
+    src = corpus.read_event_stream(spark, folder(*batches), SCHEMA, files_per_trigger=1)
+    got = run(streams.milestones(src, ages=(5_000, 15_000), evict_ms=120_000), spark, "once")
+    assert sorted(tuple(r) for r in got) == [("a", 5000, 1, 0, 1), ("a", 15000, 1, 0, 1)]
+
+
+def test_trades_wait_for_their_launch(spark, folder):
+    batches = [[("t1", "a", at(2), 7, "buy", 1), ("k0", "clock", at(2), None, "tick", 0)], [("l1", "a", at(1), None, "launch", 0), ("k1", "clock", at(3), None, "tick", 0)], [("k2", "clock", at(60), None, "tick", 0)], [("k3", "clock", at(61), None, "tick", 0)]]
+    src = corpus.read_event_stream(spark, folder(*batches), SCHEMA, files_per_trigger=1)
+    got = run(streams.milestones(src, ages=(5_000,), delay="10 seconds"), spark, "waits")
+    assert [tuple(r) for r in got] == [("a", 5000, 1, 0, 1)]
+
+
 def test_late_events_are_routed_and_stored_once(spark, folder, tmp_path):
     src = folder([("e1", "a", at(100), 1, "buy", 5)], [("e2", "a", at(10), 1, "buy", 5), ("e3", "a", at(101), 1, "buy", 5), ("e1", "a", at(100), 1, "buy", 5)])
     touched = []

@@ -111,42 +111,63 @@ def delayed_marks(decisions: DataFrame, marks: DataFrame, delays: DataFrame) ->
     return out.select("token", "age", "scenario", F.col("m.a").alias("mark_age"), F.col("m.px").alias("px"))
 
 
+#: Holding times (ms), limits of the take-profit and stop rule and the fall from the peak (bps).
+HOLDS = {"X1_TIME_2M": 120_000, "X2_TIME_5M": 300_000, "X3_TIME_15M": 900_000}
+TAKE_PROFIT, STOP, TRAIL = 10_000, 5_000, 3_000
+
+
+def flow_decay() -> Column:
+    """Buyers fall away, or sellers come while money flows out (buyer_accel, seller_accel, net_flow)."""
+    out = (F.col("buyer_accel") <= -2) | ((F.col("seller_accel") >= 2) & (F.col("net_flow") < 0))
+    return F.coalesce(out, F.lit(False))
+
+
 def exits(entries: DataFrame, marks: DataFrame, until: int) -> DataFrame:
-    """First exit of each rule after an entry (token, entry_age, entry_px), within ``until``.
+    """First exit of each rule after an entry, within ``until``: token, rule, exit_age, exit_px.
 
-    Rules: 2 and 5 minutes; +100 % or -50 %; 30 % below the running peak; net outflow
-    over the last window (marks.flow < 0); a sale by the creator.
+    ``entries``: token, entry_age, entry_px, entry_creator_sells; ``marks``: token, a, id, px, buyer_accel,
+    seller_accel, net_flow, creator_sells (so far).  The trailing rule compares returns: it sells once the
+    return is ``TRAIL`` below that of the peak, and the peak is a gain.
     """
     m = marks.join(entries, "token").where((F.col("a") > F.col("entry_age")) & (F.col("a") <= F.col("entry_age") + until))
     w = Window.partitionBy("token").orderBy("a", "id").rowsBetween(Window.unboundedPreceding, 0)
-    peak = F.greatest(F.max("px").over(w), F.col("entry_px"))
-    age, r = F.col("a") - F.col("entry_age"), return_bps(F.col("px"), F.col("entry_px"))
-    rules = {"X1_TIME_2M": age >= 120_000, "X2_TIME_5M": age >= 300_000, "X3_TP_SL": (r >= 10_000) | (r <= -5_000), "X4_TRAILING": F.col("px") * 10 <= F.col("peak") * 7, "X5_FLOW_DECAY": F.col("flow") < 0, "X6_CREATOR_SELL": F.col("creator_sell")}
-    m = m.withColumn("peak", peak)
+    m = m.withColumn("peak", F.greatest(F.max("px").over(w), F.col("entry_px")))
+    age, r, top = F.col("a") - F.col("entry_age"), return_bps(F.col("px"), F.col("entry_px")), return_bps(F.col("peak"), F.col("entry_px"))
+    rules = {k: age >= ms for k, ms in HOLDS.items()} | {
+        "X4_FIXED_TP_SL": (r >= TAKE_PROFIT) | (r <= -STOP), "X5_TRAILING": (top > 0) & (top - r >= TRAIL),
+        "X7_FLOW_DECAY": flow_decay(), "X8_CREATOR_SELL": F.col("creator_sells") > F.col("entry_creator_sells"),
+    }
     return m.select("token", "a", "id", "px", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in rules.items())))).alias("rule")).groupBy("token", "rule").agg(F.min(F.struct("a", "id", "px")).alias("x")).select("token", "rule", F.col("x.a").alias("exit_age"), F.col("x.px").alias("exit_px"))
 
 
-def scaled_out(entries: DataFrame, marks: DataFrame, steps=(4_000, 8_000, 20_000), share: int = 2_000, trail: int = 3_000) -> DataFrame:
-    """Staged exit: sell a share of what remains at each step, then trail the peak.
+def scaled_out(entries: DataFrame, marks: DataFrame, steps=(4_000, 8_000, 20_000), share: int = 2_000, trail: int = TRAIL, cap_ms: int | None = None) -> DataFrame:
+    """Staged exit: sell a share of what remains at each step, then trail the peak (X6); a fold over marks after entry.
 
-    (token, stage, remaining_bps, realized): a fold over the marks after entry; realized is
-    in quote per 10000 units of entry price.
+    With ``cap_ms`` (X9) falling flow, a sale of the creator and the time cap sell all first, in this order;
+    ``entries`` and ``marks`` then have the columns of :func:`exits`.  Gives token, stage (partial sales),
+    remaining_bps, realized (quote per 10000 units of entry price) and reason (NULL while open).
     """
-    rows = marks.join(entries, "token").where("a > entry_age").groupBy("token").agg(F.first("entry_px").alias("p0"), F.array_sort(F.collect_list(F.struct("a", "id", F.col("px").cast("bigint").alias("px")))).alias("xs"))
-    levels = F.array(*(F.lit(s) for s in steps))
-    p0 = F.col("p0").cast("bigint")
     big = lambda c: c.cast("bigint")
-    start = F.struct(F.lit(0).alias("stage"), big(F.lit(10_000)).alias("left"), p0.alias("peak"), big(F.lit(0)).alias("got"))
+    leave = F.lit(None).cast("string")
+    if cap_ms is not None:
+        leave = F.when(flow_decay(), "MOMENTUM_DECAY").when(F.col("creator_sells") > F.col("entry_creator_sells"), "CREATOR_SELL").when(F.col("a") - F.col("entry_age") >= cap_ms, "TIME_STOP")
+    r = big(return_bps(F.col("px"), F.col("entry_px")))
+    after = marks.join(entries, "token").where("a > entry_age").select("token", F.struct("a", "id", big(F.col("px")).alias("px"), r.alias("r"), leave.alias("leave")).alias("x"))
+    rows = after.groupBy("token").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    levels, n = F.array(*(F.lit(x) for x in steps)), len(steps)
+    start = F.struct(F.lit(0).alias("stage"), big(F.lit(10_000)).alias("left"), big(F.lit(0)).alias("top"), big(F.lit(0)).alias("got"), F.lit(None).cast("string").alias("reason"))
 
     def merge(s, x):
-        peak = F.greatest(s["peak"], x["px"])
-        sell_step = (s["stage"] < len(steps)) & (x["px"] * 10_000 >= p0 * (10_000 + F.get(levels, F.least(s["stage"], F.lit(len(steps) - 1)))))
-        sell_all = (s["stage"] >= len(steps)) & (s["left"] > 0) & (x["px"] * 10_000 <= peak * (10_000 - trail))
-        part = F.when(sell_step, F.floor(s["left"] * share / 10_000)).when(sell_all, s["left"]).otherwise(0).cast("bigint")
-        return F.struct((s["stage"] + F.when(sell_step | sell_all, 1).otherwise(0)).alias("stage"), (s["left"] - part).alias("left"), peak.alias("peak"), (s["got"] + big(F.floor(part * x["px"] / 10_000))).alias("got"))
+        top = F.greatest(s["top"], x["r"])
+        step = (s["stage"] < n) & (x["r"] >= F.get(levels, F.least(s["stage"], F.lit(n - 1))))
+        fell = (s["stage"] >= n) & (top > 0) & (top - x["r"] >= trail)
+        why = F.when(s["left"] == 0, s["reason"]).when(x["leave"].isNotNull(), x["leave"]).when(~step & fell, "TRAIL")
+        part = big(F.when(s["left"] == 0, 0).when(why.isNotNull(), s["left"]).when(step, F.floor(s["left"] * share / 10_000)).otherwise(0))
+        partial = (s["left"] > 0) & why.isNull() & step
+        return F.struct((s["stage"] + partial.cast("int")).alias("stage"), (s["left"] - part).alias("left"), top.alias("top"), (s["got"] + big(F.floor(part * x["px"] / 10_000))).alias("got"), why.alias("reason"))
 
     done = rows.select("token", F.aggregate("xs", start, merge).alias("s"))
-    return done.select("token", F.col("s.stage").alias("stage"), F.col("s.left").alias("remaining_bps"), F.col("s.got").alias("realized"))
+    return done.select("token", F.col("s.stage").alias("stage"), F.col("s.left").alias("remaining_bps"), F.col("s.got").alias("realized"), F.col("s.reason").alias("reason"))
 
 
 def excursions(positions: DataFrame, marks: DataFrame) -> DataFrame:
@@ -180,12 +201,24 @@ def performance(positions: DataFrame, orders: DataFrame) -> DataFrame:
     )
 
 
-def missed_winners(outcomes: DataFrame, positions: DataFrame, orders: DataFrame, verdicts: DataFrame, states: DataFrame) -> DataFrame:
-    """Tokens that reached 5x without a position, and why."""
-    j = outcomes.where("reached_5x").select("token").join(positions.select("token").distinct(), "token", "left_anti")
-    j = j.join(orders.select("token", F.col("status").alias("order_status")), "token", "left").join(verdicts.select("token", "verdict"), "token", "left").join(states.select("token", "highest_state"), "token", "left")
-    why = F.when(F.col("verdict") == "REJECT", "SECURITY_REJECT").when(F.col("verdict").isNull() | (F.col("verdict") == "UNKNOWN"), "SECURITY_UNKNOWN").when(F.col("order_status").isNotNull(), "FILL_FAILED").when(F.coalesce("highest_state", F.lit("")) != "ELIGIBLE", "NEVER_ELIGIBLE").otherwise("STRATEGY_FILTER")
-    return j.select("token", why.alias("reason"))
+def missed_winners(outcomes: DataFrame, positions: DataFrame, orders: DataFrame, verdicts: DataFrame, states: DataFrame, least_bps: int = 40_000) -> DataFrame:
+    """Tokens whose best return is at least ``least_bps``: token, entered, reason.
+
+    ``outcomes``: token, max_return_bps, reached_10x; ``positions``: token, capture_bps; ``orders``: token, at, status
+    of buys; ``verdicts``: token, at, verdict; ``states``: token, highest_state.  The latest order and verdict count.
+    """
+    last = lambda rows, c: rows.groupBy("token").agg(F.max_by(c, "at").alias(c))
+    j = outcomes.where(F.coalesce("max_return_bps", F.lit(0)) >= least_bps).select("token", "reached_10x")
+    held = positions.groupBy("token").agg(F.min(F.coalesce("capture_bps", F.lit(0))).alias("capture"))
+    j = j.join(held, "token", "left").join(last(orders, "status"), "token", "left").join(last(verdicts, "verdict"), "token", "left").join(states.select("token", "highest_state"), "token", "left")
+    entered, c = F.col("capture").isNotNull(), F.col
+    why = (
+        F.when(entered & c("reached_10x") & (c("capture") < 2_500), "ENTERED_EXITED_TOO_EARLY").when(entered, "ENTERED_CAPTURED")
+        .when(c("verdict") == "REJECT", "SECURITY_REJECT").when(c("verdict").isNull() | (c("verdict") == "UNKNOWN"), "SECURITY_UNKNOWN")
+        .when(F.coalesce("highest_state", F.lit("")) != "ELIGIBLE", "NEVER_ELIGIBLE").when(c("status").isNull(), "STRATEGY_FILTER")
+        .when(c("status").isin("REJECTED_LIQUIDITY", "UNAVAILABLE_MARKET_STATE"), "LIQUIDITY_TOO_LOW").otherwise("ENTRY_FAILED")
+    )
+    return j.select("token", entered.alias("entered"), why.alias("reason"))
 
 
 def funnel(outcomes: DataFrame, flags: DataFrame) -> DataFrame:
@@ -229,14 +262,25 @@ def bootstrap(values: DataFrame, group: str, replicates: int = 200) -> DataFrame
     return values.groupBy(group).agg(F.avg("value").alias("mean")).join(s, group).select(group, "mean", at(5).alias("p5"), at(95).alias("p95"))
 
 
-#: Words of a failure text by class, first match decides.
-FAILURES = (("SLIPPAGE", ("SLIPPAGE", "MIN_OUT")), ("LIQUIDITY", ("LIQUID", "RESERVE")), ("STALE", ("STALE", "OLD")), ("REVERT", ("REVERT",)), ("TIMEOUT", ("TIMEOUT", "TIMED OUT")), ("BALANCE", ("BALANCE", "FUNDS")), ("NONCE", ("NONCE",)), ("GAS", ("GAS",)), ("PROVIDER", ("RPC", "PROVIDER")))
+#: Class of a failure, words of its reason and a status that also says so; the first match decides.
+FAILURES = (
+    ("PROVIDER_TIMEOUT", ("PROVIDER_TIMEOUT",), None),
+    ("PROVIDER_RATE_LIMIT", ("PROVIDER_RATE_LIMIT", "RATE_LIMIT", "429"), None),
+    ("CURVE_NOT_FOUND", ("CURVE_NOT_FOUND",), None),
+    ("INVALID_CURVE_STATE", ("INVALID_CURVE", "ZERO_VIRTUAL", "UNKNOWN_CURVE_QUALITY"), None),
+    ("GRADUATION_GAP", ("GRADUATION_GAP",), None),
+    ("INSUFFICIENT_LIQUIDITY", ("INSUFFICIENT", "ZERO_TOKEN", "ZERO_QUOTE", "MARKET_NOT_SELLABLE"), "REJECTED_LIQUIDITY"),
+    ("SLIPPAGE_LIMIT", ("SLIPPAGE", "IMPACT_", "FEE_TAX_CONSUMED"), "REJECTED_SLIPPAGE"),
+    ("EXECUTION_FAILURE_MODEL", ("SEEDED_FAILURE", "EXECUTION_FAILURE"), None),
+    ("UNKNOWN_CURVE_RESERVES", ("UNKNOWN_CURVE_RESERVES",), None),
+    ("PROVIDER_TIMEOUT", ("TIMEOUT",), None),
+)
 
 
-def failure_class(reason: Column) -> Column:
+def failure_class(reason: Column, status: Column) -> Column:
     text, out = F.upper(F.coalesce(reason, F.lit(""))), F.lit("OTHER")
-    for name, words in reversed(FAILURES):
-        hit = F.lit(False)
+    for name, words, also in reversed(FAILURES):
+        hit = F.coalesce(status == also, F.lit(False)) if also else F.lit(False)
         for w in words:
             hit = hit | text.contains(w)
         out = F.when(hit, name).otherwise(out)
@@ -244,12 +288,18 @@ def failure_class(reason: Column) -> Column:
 
 
 def failures(orders: DataFrame) -> DataFrame:
-    """Failed orders by class with their share."""
-    c = orders.where("status = 'FAILED'").groupBy(failure_class(F.col("reason")).alias("failure")).agg(F.count("*").alias("n"))
+    """Orders that weren't filled (reason, status) by class with their share."""
+    c = orders.where("status NOT IN ('FILLED', 'PARTIAL_FILL')").groupBy(failure_class(F.col("reason"), F.col("status")).alias("failure")).agg(F.count("*").alias("n"))
     total = c.agg(F.sum("n").alias("total"))
     return c.crossJoin(F.broadcast(total)).select("failure", "n", bps(F.col("n"), F.col("total")).alias("share_bps"))
 
 
+def fill_quality(state_quality: Column, filled: Column) -> Column:
+    """How far a modelled fill can be trusted, by how its curve state was read."""
+    good = F.coalesce(state_quality.isin("EXACT_BLOCK_READ", "LIVE_LATEST_READ"), F.lit(False))
+    return F.when(filled & good, "MODELLED_HIGH_CONFIDENCE").when(filled, "MODELLED").otherwise("NON_RESEARCH_VALID")
+
+
 def rebuilt_positions(fills: DataFrame, positions: DataFrame) -> DataFrame:
     """Open positions from entry fills (token, arm, quote, base, at) that have none."""
     first = fills.where("side = 'buy'").join(positions.select("token", "arm"), ["token", "arm"], "left_anti")

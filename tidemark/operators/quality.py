@@ -8,39 +8,68 @@ from pyspark.sql import functions as F
 from tidemark.functions.amounts import floor_div
 
 
-def scan(rows: DataFrame, key: list[str], file: str, order: list[str], time: str, by: list[str]) -> DataFrame:
-    """Counts, duplicate rows and ordering violations per group, in file order."""
+def scan(rows: DataFrame, key: list[str], file: str, order: list[str], time: str, by: list[str], slot: str | None = None, signature: str | None = None, amount: str | None = None) -> DataFrame:
+    """Counts, duplicate rows and ordering violations per group, in file order.
+
+    ``slot``, ``signature`` and ``amount`` (a class of :func:`tidemark.operators.prepare.amount_class`) name the
+    columns of which presence and classes are counted too.
+    """
     prev = F.lag(time).over(Window.partitionBy(file).orderBy(*order))
     x = rows.withColumn("__back", F.coalesce(F.col(time) < prev, F.lit(False)))
-    per = x.groupBy(*by, *key).agg(F.count("*").alias("c"), F.count_if("__back").alias("back"), F.count_if(F.col(time).isNull()).alias("bad"))
-    return per.groupBy(*by).agg(F.sum("c").alias("events"), F.sum("bad").alias("invalid"), F.sum(F.col("c") - 1).alias("duplicates"), F.sum("back").alias("ordering_violations"))
-
-
-def coverage(launches: DataFrame, trades: DataFrame, survived=(30_000, 300_000, 900_000)) -> DataFrame:
-    """One row: launches, with at least 1 and 10 trades, survivors of each age, without trades."""
+    more = {}
+    if slot:
+        more["with_slot"] = F.count(slot)
+    if signature:
+        more["with_signature"] = F.count_if(F.coalesce(F.length(F.col(signature).cast("string")) > 0, F.lit(False)))
+    if amount:
+        more["amount_integer"] = F.count_if(F.col(amount) == "ONCHAIN_INTEGER")
+        more["amount_float"] = F.count_if(F.col(amount).isin("FLOAT_NOT_INTEGER", "INTEGER_VALUED_FLOAT"))
+        more["amount_missing"] = F.count("*") - F.count_if(F.coalesce(F.col(amount).isin("ONCHAIN_INTEGER", "FLOAT_NOT_INTEGER", "INTEGER_VALUED_FLOAT"), F.lit(False)))
+    per = x.groupBy(*by, *key).agg(F.count("*").alias("c"), F.count_if("__back").alias("back"), F.count_if(F.col(time).isNull()).alias("bad"), *(c.alias(k) for k, c in more.items()))
+    return per.groupBy(*by).agg(F.sum("c").alias("events"), F.sum("bad").alias("invalid"), F.sum(F.col("c") - 1).alias("duplicates"), F.sum("back").alias("ordering_violations"), *(F.sum(k).alias(k) for k in more))
+
+
+def coverage(launches: DataFrame, trades: DataFrame, survived=(30_000, 300_000, 900_000), by: tuple[str, ...] = (), graduated: DataFrame | None = None) -> DataFrame:
+    """Per group of launches: their number, with at least 1 and 10 trades, survivors of each age, without trades.
+
+    ``graduated``: tokens that did; adds their number.
+    """
     per = trades.groupBy("token").agg(F.count("*").alias("n"), F.max("a").alias("last"))
-    j = launches.select("token").join(per, "token", "left")
-    n = F.coalesce("n", F.lit(0))
-    return j.agg(F.count("*").alias("launches"), F.count_if(n >= 1).alias("traded"), F.count_if(n >= 10).alias("traded_10"), *(F.count_if(F.col("last") >= s).alias(f"survived_{s // 1000}s") for s in survived), F.count_if(n == 0).alias("zero_trade"))
+    j = launches.select("token", *by).join(per, "token", "left")
+    n, more = F.coalesce("n", F.lit(0)), []
+    if graduated is not None:
+        j = j.join(graduated.select("token", F.lit(True).alias("__g")).distinct(), "token", "left")
+        more = [F.count("__g").alias("graduated")]
+    return j.groupBy(*by).agg(F.count("*").alias("launches"), F.count_if(n >= 1).alias("traded"), F.count_if(n >= 10).alias("traded_10"), *(F.count_if(F.col("last") >= s).alias(f"survived_{s // 1000}s") for s in survived), F.count_if(n == 0).alias("zero_trade"), *more)
 
 
 def duplicate_report(rows: DataFrame, key: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n_rows"), F.count_distinct(key).alias("distinct_keys")).withColumn("duplicates", F.col("n_rows") - F.col("distinct_keys"))
 
 
-def gate(figures: DataFrame) -> DataFrame:
-    """Verdict over coverage and scan figures in one row: (check, passed) rows and the verdict on each."""
+def gate(figures: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Checks of a dataset before research, from one row of scan and coverage figures: ``by``, verdict, check, passed.
+
+    Needs events, invalid, ordering_violations, with_slot, with_signature, amount_integer, amount_float, amount_missing,
+    trades, launches, graduated and zero_trade.  Missing hours are recorded elsewhere and never fail the check.
+    """
     c = F.col
+    schema = (c("invalid") == 0) & (c("launches") > 0)
+    population = (c("launches") > 0) & (c("graduated") < c("launches"))
+    dead = (c("zero_trade") > 0) | (c("graduated") < c("launches"))
+    exact = (c("events") > 0) & (c("with_signature") == c("events")) & (c("with_slot") == c("events"))
+    amounts = (c("trades") > 0) & (c("amount_integer") > 0) & (c("amount_missing") == 0) & (c("amount_float") == 0)
+    ordered = c("ordering_violations") == 0
+    feature = schema & ordered & population & dead & (c("events") > 0)
     checks = {
-        "HAS_LAUNCHES": c("launches") > 0, "HAS_TRADES": c("traded") > 0, "HAS_DEAD_TOKENS": c("zero_trade") > 0, "NO_DUPLICATES": c("duplicates") == 0, "ORDERED": c("ordering_violations") == 0,
-        "FEW_INVALID": c("invalid") * 100 <= c("events"), "ENOUGH_TRADED": c("traded_10") >= 30,
+        "schema_valid": schema, "ordering_valid": ordered, "launch_population_valid": population, "dead_tokens_present": dead, "trade_amounts_valid": amounts,
+        "curve_reconstructable": amounts & exact, "temporal_coverage_valid": F.lit(True), "feature_valid": feature, "execution_valid": feature & amounts & exact,
     }
-    survivors = ~checks["HAS_DEAD_TOKENS"] | ~checks["HAS_LAUNCHES"]
-    all_ok = F.lit(True)
-    for x in checks.values():
-        all_ok = all_ok & x
-    verdict = F.when(survivors, "INVALID").when(all_ok, "RESEARCH_VALID").otherwise("FEATURE_ONLY")
-    return figures.select(verdict.alias("verdict"), F.explode(F.array(*(F.struct(F.lit(k).alias("check"), x.alias("passed")) for k, x in checks.items()))).alias("x")).select("verdict", "x.check", "x.passed")
+    verdict = F.when(~schema | ~population | ~feature, "INVALID").when(checks["execution_valid"], "RESEARCH_VALID").otherwise("FEATURE_ONLY")
+    rows = F.explode(F.array(*(F.struct(F.lit(k).alias("check"), x.alias("passed")) for k, x in checks.items())))
+    identity = F.when(exact, "ONCHAIN_EXACT").otherwise("DERIVED")
+    bias = F.when(c("launches") == 0, "UNKNOWN").when(c("graduated") == c("launches"), "GRADUATED_ONLY").otherwise("ALL_LAUNCHES")
+    return figures.select(*by, verdict.alias("verdict"), identity.alias("identity_quality"), bias.alias("graduation_bias"), rows.alias("x")).select(*by, "verdict", "identity_quality", "graduation_bias", "x.check", "x.passed")
 
 
 def complete_sessions(rows: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -105,9 +134,27 @@ def reconcile(fills: DataFrame, keys: list[str]) -> DataFrame:
     return p.select(*keys, "bought", "sold", F.greatest(F.col("bought") - F.col("sold"), F.lit(0)).alias("remaining"), (F.col("received") - used).alias("realized_pnl"), flag.alias("status"))
 
 
-def config_hash(config: Column) -> Column:
-    """Hash of a struct or map column as JSON."""
-    return F.sha2(F.to_json(config), 256)
+def reconcile_positions(positions: DataFrame, fills: DataFrame, keys: list[str]) -> DataFrame:
+    """Stored positions against their fills: bought, sold, remaining, realized_pnl and what doesn't agree.
+
+    ``positions``: keys, initial (base), cost (quote), remaining, realized_pnl, closed.  Without buy fills the stored
+    entry counts.  PnL is what was received less the pro-rata cost of what was sold, at most all of it.
+    """
+    of = lambda side, c: F.coalesce(F.sum(F.when(F.col("side") == side, F.col(c))), F.lit(0))
+    f = fills.groupBy(*keys).agg(of("buy", "base").alias("__b"), of("buy", "quote").alias("__q"), of("sell", "base").alias("__s"), of("sell", "quote").alias("__r"), F.count_if(F.col("side") == "sell").alias("__n"))
+    stored = positions.withColumnsRenamed({"remaining": "__left", "realized_pnl": "__pnl"})
+    c, zero = F.col, lambda x: F.coalesce(x, F.lit(0))
+    entered = zero("__b") > 0
+    j = stored.join(f, keys, "left").select(
+        *keys, "closed", "__left", "__pnl", F.when(entered, c("__b")).otherwise(c("initial")).alias("bought"), F.when(entered, c("__q")).otherwise(c("cost")).alias("paid"), zero("__s").alias("sold"), zero("__r").alias("received"), zero("__n").alias("sells")
+    )
+    used = F.when(c("bought") > 0, floor_div(c("paid") * F.least("sold", "bought"), c("bought"))).cast("bigint")
+    j = j.withColumn("left", F.greatest(c("bought") - c("sold"), F.lit(0))).withColumn("pnl", F.when(c("bought") > 0, c("received") - used).otherwise(0))
+    j = j.select(
+        *keys, "bought", "sold", c("left").alias("remaining"), c("pnl").alias("realized_pnl"), (c("__left") == c("left")).alias("inventory_ok"), (c("__pnl") == c("pnl")).alias("pnl_ok"), (c("sold") > c("bought")).alias("oversold"),
+        (c("closed") & (c("sells") == 0)).alias("closed_without_exit_fill"), (c("closed") & (c("left") > 0)).alias("failed_exit_marked_closed"),
+    )
+    return j.withColumn("ok", c("inventory_ok") & c("pnl_ok") & ~c("oversold") & ~c("closed_without_exit_fill") & ~c("failed_exit_marked_closed"))
 
 
 def lock_drift(registry: DataFrame) -> DataFrame:

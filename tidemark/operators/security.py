@@ -83,7 +83,7 @@ def selector_evidence(bytecode: DataFrame, selectors: dict[str, str] = SELECTORS
 
 def template_evidence(tokens: DataFrame, registry: DataFrame) -> DataFrame:
     """Code hashes (token, factory, code_hash) against the known template of the factory (factory, template_hash)."""
-    j = tokens.join(F.broadcast(registry), "factory", "left")
+    j = tokens.join(registry, "factory", "left")
     status = F.when(F.col("code_hash").isNull(), "UNKNOWN").when(F.col("template_hash").isNull(), "UNKNOWN").when(F.col("code_hash") == F.col("template_hash"), "PASS").otherwise("WARN")
     severity = F.when(status == "WARN", "HIGH").otherwise("INFO")
     return j.select("token", F.lit("TEMPLATE_MATCH").alias("check"), status.alias("status"), severity.alias("severity"), F.lit(False).alias("hard_reject"), F.coalesce("code_hash", F.lit("")).alias("details"))
@@ -93,7 +93,7 @@ def proxy_evidence(bytecode: DataFrame) -> DataFrame:
     """Clone, UUPS and filled admin or implementation slots (token, code, admin_slot, implementation_slot)."""
     code = F.lower(F.regexp_replace("code", "^0[xX]", ""))
     filled = lambda c: F.coalesce(F.regexp_like(c, F.lit("[1-9a-fA-F]")) & ~F.regexp_like(c, F.lit("^0[xX]0*$")), F.lit(False))
-    kinds = {"PROXY_CLONE": F.regexp_like(code, F.lit(CLONE)), "PROXY_UUPS": F.contains(code, F.lit("63" + UUPS)), "PROXY_ADMIN_SLOT": filled("admin_slot"), "PROXY_IMPLEMENTATION_SLOT": filled("implementation_slot")}
+    kinds = {"PROXY_CLONE": F.regexp_like(code, F.lit(CLONE)), "PROXY_UUPS": F.regexp_like(code, F.lit("^(..)*?63" + UUPS)), "PROXY_ADMIN_SLOT": filled("admin_slot"), "PROXY_IMPLEMENTATION_SLOT": filled("implementation_slot")}
     rows = bytecode.select("token", F.explode(F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in kinds.items())))).alias("check"))
     return rows.select("token", "check", F.lit("WARN").alias("status"), F.when(F.col("check") == "PROXY_CLONE", "MEDIUM").otherwise("HIGH").alias("severity"), F.lit(False).alias("hard_reject"), F.lit("").alias("details"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import outcomes, quality, research, state
@@ -95,6 +96,14 @@ def oc7(spark, d):
 
 
 _ENTRY = "en AS (SELECT token, arg_min(a, (a, id)) AS entry_age, arg_min(quote, (a, id)) AS entry_px FROM a WHERE side = 'buy' AND a >= 30000 GROUP BY token)"
+_15S, _BEFORE = "(PARTITION BY token ORDER BY a RANGE BETWEEN 14999 PRECEDING AND CURRENT ROW)", "(PARTITION BY token ORDER BY a RANGE BETWEEN 29999 PRECEDING AND 15000 PRECEDING)"
+#: Marks with what flows in 15 seconds and how that changes, and entries into them.
+_FLOW = f"""
+fw AS (SELECT token, a, id, side, quote AS px, count(*) FILTER (side = 'buy') OVER {_15S} - count(*) FILTER (side = 'buy') OVER {_BEFORE} AS buyer_accel,
+         count(*) FILTER (side = 'sell') OVER {_15S} - count(*) FILTER (side = 'sell') OVER {_BEFORE} AS seller_accel, sum(CASE side WHEN 'buy' THEN quote ELSE -quote END) OVER {_15S} AS net_flow,
+         count(*) FILTER (mine AND side = 'sell') OVER (PARTITION BY token ORDER BY a, id) AS creator_sells FROM a),
+en AS (SELECT token, arg_min(a, (a, id)) AS entry_age, arg_min(px, (a, id)) AS entry_px, arg_min(creator_sells, (a, id)) AS entry_creator_sells FROM fw WHERE side = 'buy' AND a >= 30000 GROUP BY token)"""
+_DECAY = "coalesce(buyer_accel <= -2 OR (seller_accel >= 2 AND net_flow < 0), false)"
 
 
 def entries(spark, d):
@@ -102,20 +111,58 @@ def entries(spark, d):
     return first.select("token", F.col("f.a").alias("entry_age"), F.col("f.quote").alias("entry_px"))
 
 
+def flow_marks(spark, d):
+    w = Window.partitionBy("token").orderBy("a")
+    now, before = w.rangeBetween(-14_999, 0), w.rangeBetween(-29_999, -15_000)
+    n = lambda side: F.count_if(F.col("side") == side).over(now) - F.count_if(F.col("side") == side).over(before)
+    so_far = Window.partitionBy("token").orderBy("a", "id").rowsBetween(Window.unboundedPreceding, 0)
+    net = F.sum(F.when(F.col("side") == "buy", F.col("quote")).otherwise(-F.col("quote"))).over(now)
+    creator = F.count_if(F.coalesce(F.col("mine"), F.lit(False)) & (F.col("side") == "sell")).over(so_far)
+    return marks(spark, d).select("token", "a", "id", "side", "px", n("buy").alias("buyer_accel"), n("sell").alias("seller_accel"), net.alias("net_flow"), creator.alias("creator_sells"))
+
+
+def flow_entries(m):
+    first = m.where("side = 'buy' AND a >= 30000").groupBy("token").agg(F.min(F.struct("a", "id", "px", "creator_sells")).alias("f"))
+    return first.select("token", F.col("f.a").alias("entry_age"), F.col("f.px").alias("entry_px"), F.col("f.creator_sells").alias("entry_creator_sells"))
+
+
 @query(
     "oc8_exits",
-    f"{WITH}, {_ENTRY}, x AS (SELECT a.token, a.a, a.id, a.quote AS px, mine AND side = 'sell' AS cs, CASE side WHEN 'buy' THEN quote ELSE -quote END AS flow, entry_age, entry_px, greatest(max(quote) OVER (PARTITION BY a.token ORDER BY a.a, a.id), entry_px) AS peak FROM a JOIN en ON a.token = en.token AND a.a > entry_age AND a.a <= entry_age + 900000), "
-    "r AS (SELECT *, trunc((px - entry_px) * 10000.0 / nullif(entry_px, 0)) AS ret FROM x), y AS (SELECT token, a, id, px, unnest(list_filter([CASE WHEN a - entry_age >= 120000 THEN 'X1_TIME_2M' END, CASE WHEN a - entry_age >= 300000 THEN 'X2_TIME_5M' END, CASE WHEN ret >= 10000 OR ret <= -5000 THEN 'X3_TP_SL' END, CASE WHEN px * 10 <= peak * 7 THEN 'X4_TRAILING' END, CASE WHEN flow < 0 THEN 'X5_FLOW_DECAY' END, CASE WHEN cs THEN 'X6_CREATOR_SELL' END], lambda v: v IS NOT NULL)) AS rule FROM r) "
+    f"{WITH}, {_FLOW}, x AS (SELECT fw.*, entry_age, entry_px, entry_creator_sells, greatest(max(px) OVER (PARTITION BY fw.token ORDER BY fw.a, fw.id), entry_px) AS peak FROM fw JOIN en ON fw.token = en.token AND fw.a > entry_age AND fw.a <= entry_age + 1000000), "
+    "r AS (SELECT *, a - entry_age AS held, trunc((px - entry_px) * 10000.0 / nullif(entry_px, 0)) AS ret, trunc((peak - entry_px) * 10000.0 / nullif(entry_px, 0)) AS best FROM x), "
+    "y AS (SELECT token, a, id, px, unnest(list_filter([CASE WHEN held >= 120000 THEN 'X1_TIME_2M' END, CASE WHEN held >= 300000 THEN 'X2_TIME_5M' END, CASE WHEN held >= 900000 THEN 'X3_TIME_15M' END, CASE WHEN ret >= 10000 OR ret <= -5000 THEN 'X4_FIXED_TP_SL' END, "
+    f"CASE WHEN best > 0 AND best - ret >= 3000 THEN 'X5_TRAILING' END, CASE WHEN {_DECAY} THEN 'X7_FLOW_DECAY' END, CASE WHEN creator_sells > entry_creator_sells THEN 'X8_CREATOR_SELL' END], lambda v: v IS NOT NULL)) AS rule FROM r) "
     "SELECT token, rule, min(a) AS exit_age, arg_min(px, (a, id)) AS exit_px FROM y GROUP BY token, rule",
 )
 def oc8(spark, d):
-    m = marks(spark, d).withColumn("flow", F.when(F.col("side") == "buy", F.col("quote")).otherwise(-F.col("quote"))).withColumn("creator_sell", F.coalesce(F.col("mine") & (F.col("side") == "sell"), F.lit(False)))
-    return outcomes.exits(entries(spark, d), m.select("token", "a", "id", "px", "flow", "creator_sell"), 900_000)
+    m = flow_marks(spark, d)
+    return outcomes.exits(flow_entries(m), m.drop("side"), 1_000_000)
+
+
+def _fold(policy: str, leave: str) -> str:
+    """Recursive SQL of a staged exit, mark by mark."""
+    return f"""
+{policy}m AS (SELECT fw.token, row_number() OVER (PARTITION BY fw.token ORDER BY a, id) AS i, px, CAST(trunc((px - entry_px) * 10000.0 / nullif(entry_px, 0)) AS BIGINT) AS r, {leave} AS leave FROM fw JOIN en ON fw.token = en.token AND a > entry_age),
+{policy}f AS (SELECT DISTINCT token, CAST(0 AS BIGINT) AS i, 0 AS stage, CAST(10000 AS BIGINT) AS kept, CAST(0 AS BIGINT) AS best, CAST(0 AS BIGINT) AS got, CAST(NULL AS VARCHAR) AS reason FROM {policy}m
+  UNION ALL SELECT token, i, stage + CAST(part > 0 AND why IS NULL AS INT), kept - part, best, got + part * px // 10000, coalesce(reason, why)
+  FROM (SELECT *, CASE WHEN reason IS NOT NULL THEN 0 WHEN why IS NOT NULL THEN kept WHEN r >= [4000, 8000, 20000][stage + 1] THEN kept * 2000 // 10000 ELSE 0 END AS part
+        FROM (SELECT f.token, m.i, stage, kept, greatest(best, r) AS best, got, reason, px, r,
+                     CASE WHEN reason IS NOT NULL THEN NULL WHEN leave IS NOT NULL THEN leave WHEN stage >= 3 AND greatest(best, r) > 0 AND greatest(best, r) - r >= 3000 THEN 'TRAIL' END AS why
+              FROM {policy}f f JOIN {policy}m m ON m.token = f.token AND m.i = f.i + 1))),
+{policy}o AS (SELECT '{policy}' AS policy, token, arg_max(stage, i) AS stage, arg_max(kept, i) AS remaining_bps, arg_max(got, i) AS realized, max(reason) AS reason FROM {policy}f GROUP BY token)"""
 
 
-@query("oc16_scale_out")
+@query(
+    "oc16_scale_out",
+    f"{WITH}, {_FLOW}, {_fold('X6', 'CAST(NULL AS VARCHAR)')}, ".replace("WITH", "WITH RECURSIVE", 1)
+    + _fold("X9", f"CASE WHEN {_DECAY} THEN 'MOMENTUM_DECAY' WHEN creator_sells > entry_creator_sells THEN 'CREATOR_SELL' WHEN a - entry_age >= 900000 THEN 'TIME_STOP' END")
+    + " SELECT * FROM X6o UNION ALL SELECT * FROM X9o",
+)
 def oc16(spark, d):
-    return outcomes.scaled_out(entries(spark, d), marks(spark, d).select("token", "a", "id", "px"))
+    m = flow_marks(spark, d)
+    e = flow_entries(m)
+    both = (outcomes.scaled_out(e, m.drop("side"), cap_ms=cap).withColumn("policy", F.lit(k)) for k, cap in (("X6", None), ("X9", 900_000)))
+    return next(both).unionByName(next(both))
 
 
 @query(
@@ -161,17 +208,33 @@ def oc15(spark, d):
     return outcomes.bootstrap(positions(spark, d).select("policy", "id", F.col("pnl").cast("double").alias("value")), "policy", 200)
 
 
-_REASONS = "['Slippage too high', 'no liquidity', 'stale quote', 'execution reverted', 'timed out', 'insufficient funds', 'nonce too low', 'odd', 'RPC down']"
+_REASONS = ("provider_timeout after 5s", "HTTP 429", "curve_not_found", "zero_virtual reserves", "GRADUATION_GAP", "insufficient output", "impact_ over limit", "seeded_failure", "unknown_curve_reserves", "read timeout", None, "odd")
+_STATUSES = ("FAILED", "REJECTED_LIQUIDITY", "REJECTED_SLIPPAGE", "FILLED", "NO_FILL")
+_HAS = lambda *words: " OR ".join(f"contains(x, '{w}')" for w in words)
+_CLASS = f"""CASE WHEN {_HAS('PROVIDER_TIMEOUT')} THEN 'PROVIDER_TIMEOUT' WHEN {_HAS('RATE_LIMIT', '429')} THEN 'PROVIDER_RATE_LIMIT' WHEN {_HAS('CURVE_NOT_FOUND')} THEN 'CURVE_NOT_FOUND'
+WHEN {_HAS('INVALID_CURVE', 'ZERO_VIRTUAL', 'UNKNOWN_CURVE_QUALITY')} THEN 'INVALID_CURVE_STATE' WHEN {_HAS('GRADUATION_GAP')} THEN 'GRADUATION_GAP'
+WHEN {_HAS('INSUFFICIENT', 'ZERO_TOKEN', 'ZERO_QUOTE', 'MARKET_NOT_SELLABLE')} OR status = 'REJECTED_LIQUIDITY' THEN 'INSUFFICIENT_LIQUIDITY' WHEN {_HAS('SLIPPAGE', 'IMPACT_', 'FEE_TAX_CONSUMED')} OR status = 'REJECTED_SLIPPAGE' THEN 'SLIPPAGE_LIMIT'
+WHEN {_HAS('SEEDED_FAILURE', 'EXECUTION_FAILURE')} THEN 'EXECUTION_FAILURE_MODEL' WHEN {_HAS('UNKNOWN_CURVE_RESERVES')} THEN 'UNKNOWN_CURVE_RESERVES' WHEN {_HAS('TIMEOUT')} THEN 'PROVIDER_TIMEOUT' ELSE 'OTHER' END"""
+_ORDERS = f"od AS (SELECT id, ms, token, upper(coalesce([{', '.join('NULL' if r is None else repr(r) for r in _REASONS)}][trader % {len(_REASONS)} + 1], '')) AS x, {list(_STATUSES)}[id % {len(_STATUSES)} + 1] AS status FROM t)"
+
+
+def orders(spark, d):
+    pick = lambda values, c: F.get(F.array(*map(F.lit, values)), (F.col(c) % len(values)).cast("int"))
+    return adapters.trades(spark, d).select("id", "token", F.col("ms").alias("at"), pick(_REASONS, "trader").alias("reason"), pick(_STATUSES, "id").alias("status"))
+
+
+@query("oc17_failures", f"{WITH}, {_ORDERS}, f AS (SELECT {_CLASS} AS failure FROM od WHERE status <> 'FILLED') SELECT failure, count(*) AS n, count(*) * 10000 // (SELECT count(*) FROM f) AS share_bps FROM f GROUP BY failure")
+def oc17(spark, d):
+    return outcomes.failures(orders(spark, d))
 
 
 @query(
-    "oc17_failures",
-    f"{WITH}, x AS (SELECT ['SLIPPAGE', 'LIQUIDITY', 'STALE', 'REVERT', 'TIMEOUT', 'BALANCE', 'NONCE', 'OTHER', 'PROVIDER'][trader % 9 + 1] AS failure FROM t WHERE kind = 'error') SELECT failure, count(*) AS n, count(*) * 10000 // (SELECT count(*) FROM x) AS share_bps FROM x GROUP BY failure",
+    "oc17_fill_quality",
+    f"{WITH}, {_ORDERS} SELECT CASE WHEN status <> 'FILLED' THEN 'NON_RESEARCH_VALID' WHEN id % 3 < 2 THEN 'MODELLED_HIGH_CONFIDENCE' ELSE 'MODELLED' END AS label, count(*) AS n FROM od GROUP BY label",
 )
-def oc17(spark, d):
-    reasons = ["Slippage too high", "no liquidity", "stale quote", "execution reverted", "timed out", "insufficient funds", "nonce too low", "odd", "RPC down"]
-    o = adapters.trades(spark, d).select(F.when(F.col("kind") == "error", "FAILED").otherwise("FILLED").alias("status"), F.get(F.array(*map(F.lit, reasons)), (F.col("trader") % 9).cast("int")).alias("reason"))
-    return outcomes.failures(o)
+def oc17_quality(spark, d):
+    read = F.get(F.array(*map(F.lit, ("EXACT_BLOCK_READ", "LIVE_LATEST_READ", "RECONSTRUCTED"))), (F.col("id") % 3).cast("int"))
+    return orders(spark, d).groupBy(outcomes.fill_quality(read, F.col("status") == "FILLED").alias("label")).agg(F.count("*").alias("n"))
 
 
 @query("oc18_rebuilt_positions", f"{WITH} SELECT token, trader AS arm, CAST(sum(quote) AS BIGINT) AS cost, CAST(sum(base) AS BIGINT) AS amount, min(ms) AS opened_at, 'OPEN' AS status FROM t WHERE side = 'buy' AND NOT EXISTS (SELECT 1 FROM t s WHERE s.side = 'sell' AND s.token = t.token AND s.trader = t.trader) GROUP BY token, trader")
@@ -198,13 +261,20 @@ def oc12(spark, d):
 
 @query(
     "oc11_missed_winners",
-    f"WITH {SQL}, {FORWARD} SELECT token, CASE CAST(token AS INT) % 4 WHEN 0 THEN 'SECURITY_REJECT' WHEN 1 THEN 'SECURITY_UNKNOWN' ELSE CASE WHEN CAST(token AS INT) % 5 = 0 THEN 'FILL_FAILED' WHEN CAST(token AS INT) % 3 <> 0 THEN 'NEVER_ELIGIBLE' ELSE 'STRATEGY_FILTER' END END AS reason FROM fo WHERE reached_5x AND CAST(token AS INT) % 7 <> 0",
+    f"""WITH {SQL}, {FORWARD}, {_ORDERS}, w AS (SELECT token, reached_10x, CAST(token AS INT) AS k FROM fo WHERE coalesce(max_return_bps, 0) >= 40000),
+o AS (SELECT token, arg_max(status, ms * 1000000 + id) AS status FROM od WHERE id % 3 = 0 AND CAST(token AS INT) % 4 > 0 GROUP BY token)
+SELECT token, k % 7 = 0 AS entered, CASE WHEN k % 7 = 0 THEN CASE WHEN reached_10x AND k % 2 = 0 THEN 'ENTERED_EXITED_TOO_EARLY' ELSE 'ENTERED_CAPTURED' END
+  WHEN k % 5 = 0 THEN 'SECURITY_REJECT' WHEN k % 5 = 1 THEN 'SECURITY_UNKNOWN' WHEN k % 3 = 0 THEN 'NEVER_ELIGIBLE' WHEN status IS NULL THEN 'STRATEGY_FILTER'
+  WHEN status = 'REJECTED_LIQUIDITY' THEN 'LIQUIDITY_TOO_LOW' ELSE 'ENTRY_FAILED' END AS reason FROM w LEFT JOIN o USING (token)""",
 )
 def oc11(spark, d):
     t = adapters.trades(spark, d).select("token").distinct().withColumn("k", F.col("token").cast("int"))
-    verdicts = t.where("k % 4 <> 1").select("token", F.when(F.col("k") % 4 == 0, "REJECT").otherwise("PASS").alias("verdict"))
-    orders, states = t.where("k % 5 = 0").select("token", F.lit("FAILED").alias("status")), t.where("k % 3 = 0").select("token", F.lit("ELIGIBLE").alias("highest_state"))
-    return outcomes.missed_winners(forwarded(spark, d), t.where("k % 7 = 0"), orders, verdicts, states)
+    at = F.lit(1).alias("at")
+    verdicts = t.where("k % 5 <> 1").select("token", at, F.when(F.col("k") % 5 == 0, "REJECT").otherwise("PASS").alias("verdict"))
+    positions = t.where("k % 7 = 0").select("token", F.when(F.col("k") % 2 == 0, 2_000).otherwise(9_000).alias("capture_bps"))
+    buys = orders(spark, d).where("id % 3 = 0 AND CAST(token AS INT) % 4 > 0").withColumn("at", F.col("at") * 1_000_000 + F.col("id"))
+    states = t.select("token", F.when(F.col("k") % 3 == 0, "WATCHING").otherwise("ELIGIBLE").alias("highest_state"))
+    return outcomes.missed_winners(forwarded(spark, d), positions, buys, verdicts, states)
 
 
 _RATE = "round(avg(CASE WHEN {w} THEN CAST({h} AS INT) END), 6)"
@@ -366,14 +436,26 @@ def qa3(spark, d):
     return quality.duplicate_report(adapters._read(spark, d, "lineitem"), "l_orderkey")
 
 
+_CHECKS = ("schema_valid", "ordering_valid", "launch_population_valid", "dead_tokens_present", "trade_amounts_valid", "curve_reconstructable", "temporal_coverage_valid", "feature_valid", "execution_valid")
+
+
 @query(
     "qa4_gate",
-    f"{WITH}, {COVER}, f AS (SELECT cv.*, (SELECT count(*) FROM t) AS events FROM cv), c AS (SELECT unnest(['HAS_LAUNCHES', 'HAS_TRADES', 'HAS_DEAD_TOKENS', 'NO_DUPLICATES', 'ORDERED', 'FEW_INVALID', 'ENOUGH_TRADED']) AS check_name, unnest([launches > 0, traded > 0, zero_trade > 0, true, true, true, traded_10 >= 30]) AS passed FROM f) SELECT (SELECT CASE WHEN NOT bool_and(passed) FILTER (check_name IN ('HAS_DEAD_TOKENS', 'HAS_LAUNCHES')) THEN 'INVALID' WHEN bool_and(passed) THEN 'RESEARCH_VALID' ELSE 'FEATURE_ONLY' END FROM c) AS verdict, check_name, passed FROM c",
+    f"""{WITH}, scn AS (SELECT chain, count(*) AS events, count(*) FILTER (chain <> 'c1' OR id % 2 = 0) AS signatures, count(*) FILTER (chain = 'c2' AND quote % 7 = 0) AS floats, count(*) FILTER (ms < p) AS back
+  FROM (SELECT *, lag(ms) OVER (PARTITION BY token ORDER BY id) AS p FROM t) GROUP BY chain),
+grd AS (SELECT chain, count(*) AS launches, count(*) FILTER (n IS NULL) AS dead, count(*) FILTER (buys >= 25) AS grads FROM l LEFT JOIN (SELECT token, count(*) AS n, count(*) FILTER (kind = 'purchase') AS buys FROM t GROUP BY token) USING (token) GROUP BY chain),
+bas AS (SELECT chain, launches > 0 AS sv, back = 0 AS ov, launches > 0 AND grads < launches AS lp, dead > 0 OR grads < launches AS dt, events > 0 AND floats = 0 AS ta, signatures = events AS ex, grads = launches AS all_grad FROM scn JOIN grd USING (chain)),
+ver AS (SELECT chain, [sv, ov, lp, dt, ta, ta AND ex, true, sv AND ov AND lp AND dt, sv AND ov AND lp AND dt AND ta AND ex] AS p, ex, all_grad FROM bas)
+SELECT chain, CASE WHEN NOT p[8] THEN 'INVALID' WHEN p[9] THEN 'RESEARCH_VALID' ELSE 'FEATURE_ONLY' END AS verdict, CASE WHEN ex THEN 'ONCHAIN_EXACT' ELSE 'DERIVED' END AS identity_quality,
+  CASE WHEN all_grad THEN 'GRADUATED_ONLY' ELSE 'ALL_LAUNCHES' END AS graduation_bias, unnest({list(_CHECKS)}) AS check_name, unnest(p) AS passed FROM ver""",
 )
 def qa4(spark, d):
-    t = adapters.trades(spark, d).withColumn("all", F.lit(1))
-    figures = quality.scan(t, ["id"], "token", ["ms", "id"], "ms", ["all"]).crossJoin(F.broadcast(quality.coverage(adapters.launches(spark, d), adapters.aged(spark, d))))
-    return quality.gate(figures).withColumnRenamed("check", "check_name")
+    t = adapters.trades(spark, d)
+    t = t.withColumn("signature", F.when((F.col("chain") != "c1") | (F.col("id") % 2 == 0), F.col("id"))).withColumn("amount", F.when((F.col("chain") == "c2") & (F.col("quote") % 7 == 0), "FLOAT_NOT_INTEGER").otherwise("ONCHAIN_INTEGER"))
+    found = quality.scan(t, ["id"], "token", ["id"], "ms", ["chain"], slot="ms", signature="signature", amount="amount").withColumn("trades", F.col("events"))
+    graduated = t.where("kind = 'purchase'").groupBy("token").agg(F.count("*").alias("n")).where("n >= 25")
+    cover = quality.coverage(adapters.launches(spark, d), adapters.aged(spark, d), by=("chain",), graduated=graduated)
+    return quality.gate(found.join(cover, "chain"), by=("chain",)).withColumnRenamed("check", "check_name")
 
 
 @query("qa5_complete_sessions", f"{WITH} SELECT id, trader AS session FROM t WHERE trader % 5 <> 0")
@@ -449,6 +531,30 @@ def qa13(spark, d):
     return quality.reconcile(adapters.part_trades(spark, d), ["token", "trader"])
 
 
+_PX = "x AS (SELECT token, trader, CAST(coalesce(sum(base) FILTER (side = 'buy'), 0) AS BIGINT) AS b, CAST(coalesce(sum(quote) FILTER (side = 'buy'), 0) AS BIGINT) AS q, CAST(coalesce(sum(base) FILTER (side = 'sell'), 0) AS BIGINT) AS s, CAST(coalesce(sum(quote) FILTER (side = 'sell'), 0) AS BIGINT) AS r, count(*) FILTER (side = 'sell') AS n FROM p GROUP BY ALL)"
+
+
+@query(
+    "qa13_positions",
+    f"""WITH {PART_SQL}, {_PX}, y AS (SELECT token, trader, CASE WHEN b > 0 THEN b ELSE 60 END AS b, CASE WHEN b > 0 THEN q ELSE 90000 END AS q, s, r, n FROM x),
+z AS (SELECT *, greatest(b - s, 0) AS rest, CAST(r - CAST(q AS HUGEINT) * least(s, b) // b AS BIGINT) AS pnl, trader % 3 = 0 AS closed FROM y),
+f AS (SELECT token, trader, b AS bought, s AS sold, rest AS remaining, pnl AS realized_pnl, token % 11 <> 0 AS inventory_ok, token % 13 <> 0 AS pnl_ok, s > b AS oversold, closed AND n = 0 AS closed_without_exit_fill, closed AND rest > 0 AS failed_exit_marked_closed FROM z)
+SELECT *, inventory_ok AND pnl_ok AND NOT oversold AND NOT closed_without_exit_fill AND NOT failed_exit_marked_closed AS ok FROM f""",
+)
+def qa13_positions(spark, d):
+    fills = adapters.part_trades(spark, d)
+    found = quality.reconcile(fills, ["token", "trader"])
+    # stored positions are those of the fills, with a wrong stock for some tokens and a wrong PnL for others
+    sold, entered = F.least("sold", F.lit(60)), F.col("bought") > 0
+    got = fills.where("side = 'sell'").groupBy("token", "trader").agg(F.sum("quote").alias("r"))
+    left = F.when(entered, F.col("remaining")).otherwise(60 - sold)
+    pnl = F.when(entered, F.col("realized_pnl")).otherwise(F.col("r") - F.floor(90_000 * sold / 60))
+    stored = found.join(got, ["token", "trader"], "left").select(
+        "token", "trader", F.lit(60).cast("bigint").alias("initial"), F.lit(90_000).cast("bigint").alias("cost"), (left + (F.col("token") % 11 == 0).cast("int")).alias("remaining"), (pnl - (F.col("token") % 13 == 0).cast("int")).alias("realized_pnl"), (F.col("trader") % 3 == 0).alias("closed")
+    )
+    return quality.reconcile_positions(stored, fills, ["token", "trader"])
+
+
 @query("qa14_operational_counts", f"{WITH} SELECT chain, count(DISTINCT token) AS tokens, count(DISTINCT trader) AS traders, count(*) FILTER (kind = 'error') AS failed, count(*) FILTER (kind = 'purchase') AS filled FROM t GROUP BY chain")
 def qa14(spark, d):
     return adapters.trades(spark, d).groupBy("chain").agg(F.count_distinct("token").alias("tokens"), F.count_distinct("trader").alias("traders"), F.count_if(F.col("kind") == "error").alias("failed"), F.count_if(F.col("kind") == "purchase").alias("filled"))

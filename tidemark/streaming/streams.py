@@ -27,45 +27,55 @@ def rolling_flow(events: DataFrame, time: str = "ts", delay: str = "10 minutes",
     )
 
 
+def _event_ms(ts: pd.Series) -> list[int]:
+    return ts.dt.tz_localize(None).astype("datetime64[ms]").astype("int64").tolist()
+
+
 def milestones(events: DataFrame, ages=MILESTONES, evict_ms: int = 7_200_000, time: str = "ts", delay: str = "0 seconds") -> DataFrame:
     """(token, age, buys, sells, unique_traders) at each milestone, by event-time timers: tokens without trades get theirs.
 
-    ``events``: token, ts, trader, side ('launch', 'buy' or 'sell'; 'tick' moves time only).  A token's
-    trades are held in order until the watermark passes them, and its state goes after ``evict_ms``.
+    ``events``: token, ts, trader, side ('launch', 'buy' or 'sell'; 'tick' moves time only).  Only a launch, the
+    first one, starts a token's clock; trades that come before it wait.  Trades are held until the watermark passes
+    them.  After the last milestone a mark stays, so that later trades start nothing anew, until ``evict_ms`` after
+    the launch (or after the first trade of a token that never launched).
     """
-    last = max(ages)
+    ages = sorted(ages)
+    evict = max(evict_ms, ages[-1])
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        born, done, buys, sells, seen, waiting = state.get if state.exists else (None, 0, 0, 0, "", [])
+        born, first, done, buys, sells, traders, waiting = state.get if state.exists else (None, None, 0, 0, 0, [], [])
         waiting = [tuple(x) for x in waiting]
         for b in batches:
             b = b[b["side"] != "tick"]
-            waiting += zip((b["ts"].astype("int64") // 1_000_000 if str(b["ts"].dtype).endswith("[ns]") or "[ns," in str(b["ts"].dtype) else b["ts"].astype("datetime64[ms]").astype("int64")).tolist(), b["trader"].fillna(-1).astype("int64").tolist(), b["side"].tolist())
+            rows = list(zip(_event_ms(b["ts"]), b["trader"].fillna(-1).astype("int64").tolist(), b["side"].tolist()))
+            launched = [t for t, _, side in rows if side == "launch"]
+            if born is None and launched:
+                born = min(launched)
+            first = min([t for t, _, _ in rows] + ([] if first is None else [first]), default=None)
+            if done < len(ages):
+                waiting += [x for x in rows if x[2] != "launch"]
         waiting.sort()
-        if born is None and waiting:
-            born = waiting[0][0]
-        now = state.getCurrentWatermarkMs()
-        traders = set(seen.split(",")) - {""} if seen else set()
-        out = []
-        for age in sorted(ages)[done:]:
-            if born is None or born + age >= now:
-                break
-            while waiting and waiting[0][0] <= born + age:
-                _, trader, side = waiting.pop(0)
-                buys, sells = buys + (side == "buy"), sells + (side == "sell")
-                if side != "launch":
-                    traders.add(str(trader))
-            out.append((key[0], age, buys, sells, len(traders)))
+        now, seen, out, used = state.getCurrentWatermarkMs(), set(traders), [], 0
+        while born is not None and done < len(ages) and born + ages[done] < now:
+            while used < len(waiting) and waiting[used][0] <= born + ages[done]:
+                _, trader, side = waiting[used]
+                buys, sells, used = buys + (side == "buy"), sells + (side == "sell"), used + 1
+                seen.add(trader)
+            out.append((key[0], ages[done], buys, sells, len(seen)))
             done += 1
-        if born is not None and (done == len(ages) or now > born + max(last, evict_ms)):
-            state.remove()
-        elif born is not None:
-            state.update((born, done, buys, sells, ",".join(sorted(traders)), [list(x) for x in waiting]))
-            state.setTimeoutTimestamp(max(born + sorted(ages)[done], now + 1))
+        end = None if first is None else (first if born is None else born) + evict
+        if end is None or now > end:
+            if state.exists:
+                state.remove()
+        else:
+            rest = [] if done == len(ages) else [list(x) for x in waiting[used:]]
+            state.update((born, first, done, buys, sells, sorted(seen) if done < len(ages) else [], rest))
+            due = end if born is None or done == len(ages) else born + ages[done]
+            state.setTimeoutTimestamp(max(due, now) + 1)
         yield pd.DataFrame(out, columns=["token", "age", "buys", "sells", "unique_traders"])
 
     schema = "token string, age bigint, buys bigint, sells bigint, unique_traders bigint"
-    kept = "born bigint, done bigint, buys bigint, sells bigint, seen string, waiting array<struct<t:bigint,trader:bigint,side:string>>"
+    kept = "born bigint, first bigint, done bigint, buys bigint, sells bigint, traders array<bigint>, waiting array<struct<t:bigint,trader:bigint,side:string>>"
     return events.withWatermark(time, delay).groupBy("token").applyInPandasWithState(step, schema, kept, "append", GroupStateTimeout.EventTimeTimeout)
 
 
