@@ -28,7 +28,7 @@ def rolling_flow(events: DataFrame, time: str = "ts", delay: str = "10 minutes",
 
 
 def _event_ms(ts: pd.Series) -> list[int]:
-    return ts.dt.tz_localize(None).astype("datetime64[ms]").astype("int64").tolist()
+    return pd.to_datetime(ts).dt.tz_localize(None).astype("datetime64[ms]").astype("int64").tolist()
 
 
 def milestones(events: DataFrame, ages=MILESTONES, evict_ms: int = 7_200_000, time: str = "ts", delay: str = "0 seconds") -> DataFrame:
