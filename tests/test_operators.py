@@ -120,6 +120,50 @@ def test_candidate_fold(spark):
     assert [(r.token, r.age, r.to_state) for r in log] == [("a", 5000, "WATCHING"), ("a", 5000, "CONFIRMING"), ("a", 15000, "ELIGIBLE"), ("a", 30000, "SECURITY_REJECTED"), ("b", 5000, "SECURITY_PENDING"), ("b", 300000, "EXPIRED")]
 
 
+def test_strategies_and_policies(spark):
+    good = dict(verdict="PASS", candidate="ELIGIBLE", trade_count=9, age=30_000, buyer_acceleration_15s=2, buyer_velocity_15s=3, net_flow=5, imbalance=2, unique_buyers=4, repeat_buyer_bps=1_000, new_buyer_30s_bps=5_000, creator_sells=1, curve_progress_bps=500)
+    cases = {
+        "good": {}, "reject": {"verdict": "REJECT"}, "pending": {"candidate": "WATCHING"}, "young": {"age": 5_000}, "no_trades": {"trade_count": None}, "no_accel": {"buyer_acceleration_15s": None},
+        "slow": {"buyer_velocity_15s": 1}, "outflow": {"net_flow": -1}, "repeats": {"repeat_buyer_bps": 6_001}, "curve": {"curve_progress_bps": 8_001}, "no_curve": {"curve_progress_bps": None},
+    }
+    kinds = ", ".join(f"{k} {'string' if isinstance(v, str) else 'bigint'}" for k, v in good.items())
+    rows = spark.createDataFrame([(k, *(good | v).values()) for k, v in cases.items()], f"token string, {kinds}")
+    got = {(r.token, r.strategy[:2]): r.reason for r in candidate.strategies(rows).collect()}
+    passing = lambda t: {k[1] for k, why in got.items() if k[0] == t and why == "SIGNAL"}
+    every = {f"S{k}" for k in range(7)}
+    assert passing("good") == every and passing("reject") == passing("pending") == set()
+    assert passing("young") == passing("no_trades") == {"S0"} and got["young", "S4"] == "MIN_AGE" and got["no_trades", "S1"] == "DATA_INCOMPLETE"
+    assert passing("no_accel") == passing("slow") == {"S0", "S3", "S4", "S5"} and got["no_accel", "S2"] == "DATA_INCOMPLETE" and got["slow", "S6"] == "STRATEGY_FILTER"
+    assert passing("outflow") == every - {"S2", "S6"} and passing("repeats") == every - {"S3", "S6"} and passing("curve") == every - {"S5", "S6"} and got["no_curve", "S5"] == "DATA_INCOMPLETE"
+    creator = candidate.strategies(rows.where("token = 'good'"), candidate.Thresholds(reject_creator_sold=True)).where("reason <> 'SIGNAL'").collect()
+    assert {r.strategy[:2] for r in creator} == {"S4", "S6"}
+
+    f = [("many", 3, 1, 1, 0, None, 0, 1), ("growth", 1, 1, 2, 1, None, 50, 1), ("price", 1, 0, 0, 0, 90, None, 0), ("quiet", 0, 0, -1, None, None, None, 0)]
+    f = spark.createDataFrame(f, "token string, w30_unique_buyers bigint, unique_buyers bigint, imbalance bigint, buyer_acceleration_15s bigint, price_change_30s_bps bigint, price_change_15s_bps bigint, w30_new_buyers bigint")
+    got = {r.token: {k[:2] for k in candidate.prospective() if r[k]} for r in f.select("token", *(c.alias(k) for k, c in candidate.prospective().items())).collect()}
+    assert got == {"many": {"P0", "P1", "P2", "P3", "P4"}, "growth": {"P0", "P2", "P3"}, "price": {"P0"}, "quiet": {"P0", "P3"}}
+
+
+def test_funnel_and_delayed_entries(spark):
+    log = spark.createDataFrame([("a", "p", 1, "WATCHING"), ("a", "p", 2, "ELIGIBLE"), ("a", "p", 9, "EXPIRED"), ("b", "p", 1, "WATCHING")], "token string, policy_id string, age bigint, to_state string")
+    assert {r.to_state: r.tokens for r in candidate.funnel(log).collect()} == {"WATCHING": 2, "ELIGIBLE": 1, "EXPIRED": 1}
+    assert {r.token: r.highest_state for r in candidate.highest_state(log).collect()} == {"a": "ELIGIBLE", "b": "WATCHING"}
+    ticks = spark.range(40).selectExpr("explode(array('a', 'b')) AS token", "id * 5000 AS age")
+    eligible = spark.createDataFrame([("a", 7_000), ("b", 100_000)], "token string, eligible_age bigint")
+    got = {(r.token, r.policy): r.age for r in candidate.delayed_entries(ticks, eligible, chance_bps=10_000).collect()}
+    want = {("a", "E1"): 10_000, ("a", "E2"): 40_000, ("a", "E3"): 70_000, ("a", "E4"): 130_000, ("a", "E5"): 10_000, ("b", "E1"): 100_000, ("b", "E2"): 130_000, ("b", "E3"): 160_000, ("b", "E5"): 100_000}
+    assert got == want
+    assert not [r for r in candidate.delayed_entries(ticks, eligible, chance_bps=0).collect() if r.policy == "E5"]
+
+
+def test_fingerprints(spark):
+    import hashlib
+
+    rows = spark.createDataFrame([("a", 1), ("b", None)], "token string, n bigint")
+    got = [r.f for r in rows.select(state.fingerprint(rows, ["n", "token"]).alias("f")).collect()]
+    assert got == [hashlib.sha256(x.encode()).hexdigest() for x in ('{"n":1,"token":"a"}', '{"n":null,"token":"b"}')]
+
+
 def test_reconcile_and_gaps(spark):
     fills = spark.createDataFrame([("a", "buy", 10, 100), ("a", "sell", 4, 60), ("a", "sell", 6, 30), ("b", "buy", 3, 10), ("b", "sell", 5, 9), ("c", "sell", 1, 1)], "k string, side string, base bigint, quote bigint")
     got = {r.k: (r.remaining, r.realized_pnl, r.status) for r in quality.reconcile(fills, ["k"]).collect()}

@@ -228,13 +228,15 @@ ce AS (SELECT token, policy_id, verdict, born, coalesce(expired, 1000000000000)
 _OPEN = "verdict IN ('PASS', 'WARN')"
 
 
-@query(
-    "cd1_2_transitions",
-    f"{WITH}, {EVIDENCE}, {VERDICTS}, {FUNNEL} SELECT token, policy_id, born AS age, 'SECURITY_REJECTED' AS to_state FROM ce WHERE verdict = 'REJECT' "
+_LOG = (
+    "SELECT token, policy_id, born AS age, 'SECURITY_REJECTED' AS to_state FROM ce WHERE verdict = 'REJECT' "
     "UNION ALL SELECT token, policy_id, expired, 'EXPIRED' FROM ce WHERE (verdict IS NULL OR verdict <> 'REJECT') AND expired < 1000000000000 "
     "UNION ALL SELECT token, policy_id, born, CASE WHEN verdict IS NULL THEN 'SECURITY_PENDING' WHEN verdict = 'UNKNOWN' THEN 'DATA_INCOMPLETE' ELSE 'WATCHING' END FROM ce WHERE (verdict IS NULL OR verdict <> 'REJECT') AND born < expired "
-    f"UNION ALL SELECT token, policy_id, confirming, 'CONFIRMING' FROM ce WHERE {_OPEN} AND confirming < expired UNION ALL SELECT token, policy_id, eligible, 'ELIGIBLE' FROM ce WHERE {_OPEN} AND eligible < expired",
+    f"UNION ALL SELECT token, policy_id, confirming, 'CONFIRMING' FROM ce WHERE {_OPEN} AND confirming < expired UNION ALL SELECT token, policy_id, eligible, 'ELIGIBLE' FROM ce WHERE {_OPEN} AND eligible < expired"
 )
+
+
+@query("cd1_2_transitions", f"{WITH}, {EVIDENCE}, {VERDICTS}, {FUNNEL} {_LOG}")
 def cd1(spark, d):
     return funnel_log(spark, d).select("token", "policy_id", "age", "to_state")
 
@@ -244,7 +246,12 @@ def cd3(spark, d):
     return candidate.first_eligible(funnel_log(spark, d))
 
 
-@query("cd4_funnel")
+@query(
+    "cd4_funnel",
+    f"""{WITH}, {EVIDENCE}, {VERDICTS}, {FUNNEL}, lg AS ({_LOG}), fn AS (SELECT policy_id, to_state, count(DISTINCT token) AS tokens FROM lg GROUP BY ALL),
+top AS (SELECT token, policy_id, arg_max(to_state, CASE to_state {' '.join(f"WHEN '{k}' THEN {v}" for k, v in candidate.RANK.items())} END) AS to_state FROM lg GROUP BY ALL)
+SELECT policy_id, to_state, tokens, highest FROM fn LEFT JOIN (SELECT policy_id, to_state, count(*) AS highest FROM top GROUP BY ALL) USING (policy_id, to_state)""",
+)
 def cd4(spark, d):
     log = funnel_log(spark, d)
     top = candidate.highest_state(log).groupBy("policy_id", F.col("highest_state").alias("to_state")).agg(F.count("*").alias("highest"))
