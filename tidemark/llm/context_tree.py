@@ -346,11 +346,10 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def table_of(values: DataFrame) -> Model:
-    """Table of strings brought to the driver part by part, packed."""
-    parts = [(np.frombuffer(r.g, np.uint64), np.frombuffer(r.value, np.float64)) for r in values.select("g", "value").mapInArrow(_packed, "g binary, value binary").toLocalIterator()]
-    model = Model(1 << (2 * sum(len(g) for g, _ in parts)).bit_length())
-    for g, value in parts:
-        model.fill(g, value)
+    """Table of strings brought to the driver part by part, packed, each put in as it comes."""
+    model = Model(1 << (2 * values.count()).bit_length())
+    for r in values.select("g", "value").mapInArrow(_packed, "g binary, value binary").toLocalIterator():
+        model.fill(np.frombuffer(r.g, np.uint64), np.frombuffer(r.value, np.float64))
     return model
 
 
