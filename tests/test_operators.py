@@ -59,6 +59,47 @@ def test_windows_exclude_their_start_and_include_their_end(trades, ticks):
     assert got["dead", 15000].w5_buys == 0
 
 
+def test_sums_up_to_the_next_tick_change_nothing(trades, ticks):
+    for f in (state.cumulative, state.rolling):
+        assert sorted(map(str, f(trades, ticks).collect())) == sorted(map(str, f(trades, ticks, ages=[5_000, 10_000, 15_000]).collect()))
+    assert state.AGES[0] == 5_000 and len(state.AGES) == 60 + 100 + 90 and state.with_earlier((5_000, 300_000), (5, 15)) == [5_000, 285_000, 295_000, 300_000]
+
+
+def test_next_age(spark):
+    ages = [5, 10, 15, 20, 50, 80, 110, 111]
+    rows = spark.range(-3, 130).select("id", state.next_age(F.col("id"), ages).alias("x")).collect()
+    assert all(r.x == min((a for a in ages if a >= r.id), default=None) for r in rows)
+
+
+def test_accelerations_look_back_to_a_snapshot(spark):
+    rows = [("t", a, 10 * a, a, 1) for a in (1_000, 6_000, 11_500)] + [("u", 6_000, 7, None, 1)]
+    s = spark.createDataFrame(rows, "token string, age bigint, w5_unique_buyers bigint, w15_buy_quote bigint, w15_sell_quote bigint")
+    got = {(r.token, r.age): r for r in features.accelerations(s, (("buyers", 5),), (15,)).collect()}
+    assert [got["t", a].buyer_acceleration_5s for a in (1_000, 6_000, 11_500)] == [None, 50_000, 55_000]
+    assert got["t", 11_500].net_flow_velocity_15s is None and got["u", 6_000].buyer_acceleration_5s is None and got["t", 6_000].w5_unique_buyers == 60_000
+
+
+def test_drawdown_and_quintiles_as_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(p, rng.randrange(50), i, rng.randrange(-100, 101)) for i, p in enumerate("ab" * 150)]
+    pnl = spark.createDataFrame(rows, "policy string, at bigint, id bigint, pnl bigint").repartition(3)
+    got = {r.policy: r.drawdown_bps for r in outcomes.drawdown(pnl, "policy").collect()}
+    for p in "ab":
+        eq = peak = fall = 0
+        for _, at, i, x in sorted(r for r in rows if r[0] == p):
+            eq += x
+            peak = max(peak, eq)
+            fall = max(fall, peak - eq)
+        assert got[p] == (fall * 10_000 // peak if peak else 10_000 if fall else 0)
+    marks = [("h", f"{i:03}", rng.choice([None, 0, 0, 0, 1, 5]), rng.random() < 0.4) for i in range(203)]
+    table = spark.createDataFrame(marks, "h string, token string, v int, reached_5x boolean")
+    known = sorted((v, t, hit) for _, t, v, hit in marks if v is not None)
+    want = {}
+    for i, (_, _, hit) in enumerate(known):
+        want.setdefault(1 + sum(i >= len(known) * q // 5 for q in range(1, 5)), []).append(hit)
+    assert {r.quintile: (r.n, r.hit_bps) for r in research.quintiles(table, "v", ["h"]).collect()} == {q: (len(x), sum(x) * 10_000 // len(x)) for q, x in want.items()}
+
+
 def test_future_trades_change_no_earlier_row(spark, trades, ticks):
     later = trades.unionByName(spark.createDataFrame([("t", 12_000, 9, 4, "buy", 1000, 1, False)], TRADES))
     for f in (state.cumulative, state.rolling, state.last_ages, state.rolling_sizes, state.concentration):

@@ -40,16 +40,24 @@ def velocities() -> dict[str, Column]:
 
 
 def accelerations(snapshots: DataFrame, wanted=(("buyers", 5), ("buyers", 15), ("buyers", 30), ("sellers", 15), ("sellers", 30)), flows=(15,)) -> DataFrame:
-    """Window value at T less that of the latest snapshot at or before T - W; NULL without one. Net flow is signed."""
-    out = snapshots
-    for w in sorted({w for _, w in wanted} | set(flows)):
-        cols = {f"{who[:-1]}_acceleration_{w}s": F.col(f"w{w}_unique_{who}") for who, x in wanted if x == w}
-        if w in flows:
-            cols |= {f"net_flow_velocity_{w}s": F.col(f"w{w}_buy_quote") - F.col(f"w{w}_sell_quote"), f"volume_velocity_{w}s": F.col(f"w{w}_buy_quote") + F.col(f"w{w}_sell_quote")}
-        past = snapshots.select("token", F.col("age").alias("__at"), *(c.alias(k) for k, c in cols.items()))
-        out = as_of(out, past, ["token"], F.col("age") - 1000 * w, F.col("__at"), ["__at"], "__p")
-        out = out.select(*[c for c in out.columns if c != "__p"], *((c - F.col("__p")[k]).alias(k) for k, c in cols.items()))
-    return out
+    """Window value at T less that of the latest snapshot at or before T - W; NULL without one. Net flow is signed.
+
+    One row per (token, age). Each row is dealt out once per lag and the past values are carried along one sorted
+    window, so all lags share a shuffle by token.
+    """
+    values: dict[str, tuple[int, Column]] = {f"{who[:-1]}_acceleration_{w}s": (w, F.col(f"w{w}_unique_{who}")) for who, w in wanted}
+    for w in flows:
+        values[f"net_flow_velocity_{w}s"] = w, F.col(f"w{w}_buy_quote") - F.col(f"w{w}_sell_quote")
+        values[f"volume_velocity_{w}s"] = w, F.col(f"w{w}_buy_quote") + F.col(f"w{w}_sell_quote")
+    lags = sorted({w for w, _ in values.values()})
+    now = F.struct(*(c.alias(k) for k, (_, c) in values.items()))
+    rows = snapshots.select("token", "age", F.struct("*").alias("__row"), now.alias("__now")).withColumn("__w", F.explode(F.array(*map(F.lit, [0, *lags]))))
+    w = Window.partitionBy("token").orderBy(F.col("age") - 1000 * F.col("__w"), F.col("__w") > 0).rowsBetween(Window.unboundedPreceding, 0)
+    own = F.col("__w") == 0
+    rows = rows.select("token", "age", "__w", F.when(own, F.col("__row")).alias("__row"), F.last(F.when(own, F.col("__now")), ignorenulls=True).over(w).alias("__then"))
+    then = (F.max(F.when(F.col("__w") == lag, F.col("__then")[k])).alias(f"__{k}") for k, (lag, _) in values.items())
+    out = rows.groupBy("token", "age").agg(F.first("__row", ignorenulls=True).alias("__row"), *then)
+    return out.select("__row.*", *(F.col(f"__{k}") for k in values)).select(*snapshots.columns, *((c - F.col(f"__{k}")).alias(k) for k, (_, c) in values.items()))
 
 
 def price_x18(quote: Column, base: Column) -> Column:
@@ -58,13 +66,16 @@ def price_x18(quote: Column, base: Column) -> Column:
 
 
 def price_changes(ticks: DataFrame, trades: DataFrame, seconds=(5, 15, 30, 60)) -> DataFrame:
-    """Last trade price at each tick and its change in bps against that of T - s, truncated toward zero."""
+    """Last trade price at each tick and its change in bps against that of T - s, truncated toward zero.
+
+    Equal ticks give one row. All lags share one as-of join.
+    """
     px = trades.select("token", F.col("a").alias("__at"), "id", price_x18(F.col("quote"), F.col("base")).alias("px"))
-    out = as_of(ticks, px, ["token"], F.col("age"), F.col("__at"), ["__at", "id"], "__now").withColumn("price_x18", F.col("__now.px")).drop("__now")
-    for s in seconds:
-        out = as_of(out, px, ["token"], F.col("age") - 1000 * s, F.col("__at"), ["__at", "id"], "__then")
-        out = out.withColumn(f"price_change_{s}s_bps", return_bps(F.col("price_x18"), F.col("__then.px"))).drop("__then")
-    return out
+    asked = ticks.withColumn("__s", F.explode(F.array(*map(F.lit, [0, *seconds]))))
+    found = as_of(asked, px, ["token"], F.col("age") - 1000 * F.col("__s"), F.col("__at"), ["__at", "id"], "__p")
+    at = (F.max(F.when(F.col("__s") == s, F.col("__p.px"))).alias(f"__{s}") for s in (0, *seconds))
+    change = (return_bps(F.col("__0"), F.col(f"__{s}")).alias(f"price_change_{s}s_bps") for s in seconds)
+    return found.groupBy(*ticks.columns).agg(*at).select(*ticks.columns, F.col("__0").alias("price_x18"), *change)
 
 
 def liquidity(venue: Column, curve_real: Column, pool_quote: Column, v4: Column) -> tuple[Column, Column]:

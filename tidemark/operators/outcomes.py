@@ -231,18 +231,28 @@ def funnel(outcomes: DataFrame, flags: DataFrame) -> DataFrame:
 
 
 def drawdown(pnl: DataFrame, group: str) -> DataFrame:
-    """Largest fall of cumulative PnL (``group``, at, id, pnl) in bps of the final peak."""
-    w = Window.partitionBy(group).orderBy("at", "id").rowsBetween(Window.unboundedPreceding, 0)
-    x = pnl.withColumn("eq", F.sum("pnl").over(w)).withColumn("peak", F.greatest(F.max("eq").over(w), F.lit(0)))
-    out = x.groupBy(group).agg(F.max(F.col("peak") - F.col("eq")).alias("fall"), F.max("peak").alias("peak"))
+    """Largest fall of cumulative PnL (``group``, at, id, pnl) in bps of the final peak.
+
+    Ranges of (group, at, id) are summed up by themselves, then put one after the other: a group is no single task.
+    """
+    x = pnl.select(group, "at", "id", "pnl").repartitionByRange(group, "at", "id").withColumn("block", F.spark_partition_id())
+    w = Window.partitionBy(group, "block").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("eq", F.sum("pnl").over(w)).withColumn("high", F.max("eq").over(w))
+    c = F.col
+    per = x.groupBy(group, "block").agg(F.sum("pnl").alias("total"), F.max("eq").alias("top"), F.min("eq").alias("low"), F.max(c("high") - c("eq")).alias("inner"))
+    before = Window.partitionBy(group).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("start", F.coalesce(F.sum("total").over(before), F.lit(0)))
+    per = per.withColumn("peak", F.greatest(F.max(c("start") + c("top")).over(before), F.lit(0)))
+    out = per.groupBy(group).agg(F.max(F.greatest(c("inner"), c("peak") - c("start") - c("low"))).alias("fall"), F.max(F.greatest(c("peak"), c("start") + c("top"))).alias("peak"))
     return out.select(group, F.when(F.col("peak") > 0, floor_div(F.col("fall") * 10_000, F.col("peak"))).when(F.col("fall") > 0, 10_000).otherwise(0).cast("bigint").alias("drawdown_bps"))
 
 
 def right_tail(pnl: DataFrame, group: str, top: int) -> DataFrame:
-    """Share of the positive PnL that the ``top`` largest gains hold."""
+    """Share of the positive PnL that the ``top`` largest gains hold; each task passes on its largest only."""
     gain = F.greatest("pnl", F.lit(0))
-    best = F.row_number().over(Window.partitionBy(group).orderBy(F.col("pnl").desc(), "id")) <= top
-    x = pnl.withColumn("best", best).groupBy(group).agg(F.sum(gain).alias("all"), F.sum(F.when(F.col("best"), gain)).alias("top"))
+    place = F.row_number().over(Window.partitionBy(group).orderBy(F.col("pnl").desc(), "id"))
+    best = pnl.withColumn("place", place).where(F.col("place") <= top).groupBy(group).agg(F.sum(gain).alias("top"))
+    x = pnl.groupBy(group).agg(F.sum(gain).alias("all")).join(best, group)
     return x.select(group, F.coalesce(bps(F.col("top"), F.col("all")), F.lit(0)).alias("tail_bps"))
 
 

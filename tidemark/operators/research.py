@@ -103,13 +103,22 @@ def feature_lift(rows: DataFrame, signal: Column, by: list[str]) -> DataFrame:
 
 
 def quintiles(rows: DataFrame, column: str, by: list[str]) -> DataFrame:
-    """Hit rate by fifth of a feature, cut at floor(n q / 5); ties by token."""
-    v = rows.where(F.col(column).isNotNull())
-    n = F.count("*").over(Window.partitionBy(*by))
-    i = F.row_number().over(Window.partitionBy(*by).orderBy(column, "token")) - 1
-    v = v.withColumn("n_all", n).withColumn("i", i)
-    fifth = sum((F.when(F.col("i") >= F.floor(F.col("n_all") * q / 5), 1).otherwise(0) for q in range(1, 5)), F.lit(1))
-    return v.groupBy(*by, fifth.alias("quintile")).agg(F.count("*").alias("n"), bps(F.count_if("reached_5x"), F.count("*")).alias("hit_bps"))
+    """Hit rate by fifth of a feature, cut at floor(n q / 5); ties by token.
+
+    Values are counted first; only rows of a value that a cut goes through are ordered.
+    """
+    keys, hit = [*by, "value"], F.coalesce(F.col("reached_5x"), F.lit(False))
+    v = rows.where(F.col(column).isNotNull()).select(*by, F.col(column).alias("value"), "token", hit.alias("hit"))
+    counts = v.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"))
+    w = Window.partitionBy(*by).orderBy("value")
+    counts = counts.withColumn("start", F.sum("n").over(w) - F.col("n")).withColumn("n_all", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    fifth = lambda i: sum((F.when(i >= F.floor(F.col("n_all") * q / 5), 1).otherwise(0) for q in range(1, 5)), F.lit(1))
+    counts = counts.withColumn("quintile", fifth(F.col("start"))).withColumn("last", fifth(F.col("start") + F.col("n") - 1))
+    cut = v.join(counts.where("quintile < last").select(*keys, "start", "n_all"), keys)
+    place = F.col("start") + F.row_number().over(Window.partitionBy(*keys).orderBy("token")) - 1
+    cut = cut.withColumn("quintile", fifth(place)).groupBy(*by, "quintile").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"))
+    parts = counts.where("quintile = last").select(*by, "quintile", "n", "hits").unionByName(cut)
+    return parts.groupBy(*by, "quintile").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).select(*by, "quintile", "n", bps(F.col("hits"), F.col("n")).alias("hit_bps"))
 
 
 def split_by_time(tokens: DataFrame, time: str) -> DataFrame:

@@ -5,6 +5,9 @@ window of W sees those in (T - W, T].  Sliding sums are running sums over entrie
 exits: a trade enters at its age and leaves W later.  A trader counts as distinct in
 a window from each of their trades until their next one or until W has passed.  So
 one sort per token gives every window, whatever its number of trades.
+
+Where the ages of the ticks are given, changes are summed up to the next tick before
+the sort, so a hot token sorts no more rows than it has ticks.
 """
 
 from __future__ import annotations
@@ -18,6 +21,30 @@ BANDS = ((300_000, 5_000), (1_800_000, 15_000), (7_200_000, 60_000))
 WINDOWS = (5, 15, 30, 60, 120, 300, 900)
 HORIZONS = (5_000, 15_000, 30_000, 60_000, 120_000, 300_000, 900_000)
 SIDES = ("buy", "sell")
+#: All ages of the grid.
+AGES = sorted({*MILESTONES, *(a for begin, (until, step) in zip((0, *(u for u, _ in BANDS)), BANDS) for a in range(begin + step, until + 1, step))})
+
+
+def with_earlier(ages, seconds, known=AGES) -> list[int]:
+    """``ages`` and, for each lag, the last known age at or before an age less that lag."""
+    earlier = {max((k for k in known if k <= a - 1000 * s), default=None) for a in ages for s in seconds}
+    return sorted({*ages, *earlier} - {None})
+
+
+def next_age(age: Column, ages) -> Column:
+    """The first of ``ages`` at or after ``age``; NULL past the last one."""
+    runs: list[list[int]] = []  # first, last and step
+    for a in sorted(set(ages)):
+        if runs and runs[-1][2] in (0, a - runs[-1][1]):
+            runs[-1][1:] = [a, a - runs[-1][1]]
+        else:
+            runs.append([a, a, 0])
+    out = F.lit(None).cast("bigint")
+    for first, last, step in reversed(runs):
+        if step:
+            out = F.when(age <= last, F.lit(first) + F.ceil((age - first) / step) * step).otherwise(out)
+        out = F.when(age <= first, F.lit(first)).otherwise(out)
+    return out.cast("bigint")
 
 
 def grid(launches: DataFrame, milestones=MILESTONES, bands=BANDS) -> DataFrame:
@@ -39,18 +66,23 @@ def _sums(rows: DataFrame) -> list[str]:
     return [c for c in rows.columns if c not in ("token", "age", "tick", "kind")]
 
 
-def _carried(ticks: DataFrame, changes: DataFrame) -> DataFrame:
-    """Running sums of ``changes`` at each tick, changes at the tick's own age included."""
+def _carried(ticks: DataFrame, changes: DataFrame, ages=None) -> DataFrame:
+    """Running sums of ``changes`` at each tick, changes at the tick's own age included.
+
+    ``ages`` holds every age that a tick has; without it each change is sorted by itself.
+    """
     w = Window.partitionBy("token").orderBy("age").rangeBetween(Window.unboundedPreceding, 0)
     names = _sums(changes)
+    if ages is not None:
+        changes = changes.withColumn("age", next_age(F.col("age"), ages)).where("age IS NOT NULL").groupBy("token", "age").agg(*(F.sum(c).alias(c) for c in names))
     both = changes.withColumn("tick", F.lit(False)).withColumn("kind", F.lit(None).cast("string")).unionByName(ticks.withColumn("tick", F.lit(True)), allowMissingColumns=True)
     return both.select("token", "age", "kind", "tick", *(F.coalesce(F.sum(c).over(w), F.lit(0)).cast("bigint").alias(c) for c in names)).where("tick").drop("tick")
 
 
-def cumulative(trades: DataFrame, ticks: DataFrame) -> DataFrame:
+def cumulative(trades: DataFrame, ticks: DataFrame, ages=None) -> DataFrame:
     """Totals, unique traders and creator flow at every tick.
 
-    ``trades``: token, a (age), id, trader, side, quote, base, mine (by the creator).
+    ``trades``: token, a (age), id, trader, side, quote, base, mine (by the creator); ``ages``: every age of the ticks.
     """
     first = lambda *by: (F.row_number().over(Window.partitionBy("token", *by).orderBy("a", "id")) == 1).cast("bigint")
     t = trades.withColumn("first", first("trader")).withColumn("first_side", first("trader", "side"))
@@ -61,7 +93,7 @@ def cumulative(trades: DataFrame, ticks: DataFrame) -> DataFrame:
         cols |= {f"{s}s": F.when(is_s, one), f"{s}_quote": F.when(is_s, F.col("quote")), f"{s}_base": F.when(is_s, F.col("base")), f"unique_{s}ers": F.when(is_s, F.col("first_side"))}
         cols |= {f"creator_{s}s": F.when(is_s & mine, one), f"creator_{s}_quote": F.when(is_s & mine, F.col("quote"))}
     cols["unique_traders"] = F.col("first")
-    return _carried(ticks, t.select("token", F.col("a").alias("age"), *(F.coalesce(v, F.lit(0)).alias(k) for k, v in cols.items())))
+    return _carried(ticks, t.select("token", F.col("a").alias("age"), *(F.coalesce(v, F.lit(0)).alias(k) for k, v in cols.items())), ages)
 
 
 def last_ages(trades: DataFrame, ticks: DataFrame) -> DataFrame:
@@ -78,8 +110,11 @@ def last_ages(trades: DataFrame, ticks: DataFrame) -> DataFrame:
     return out.where("tick").drop("tick")
 
 
-def rolling(trades: DataFrame, ticks: DataFrame, windows=WINDOWS) -> DataFrame:
-    """For each window of w seconds: counts, volumes, creator volumes, unique and new traders by side."""
+def rolling(trades: DataFrame, ticks: DataFrame, windows=WINDOWS, ages=None, kinds=("flow", "unique")) -> DataFrame:
+    """For each window of w seconds: counts, volumes, creator volumes and new traders (flow), unique traders (unique) by side.
+
+    ``ages``: every age of the ticks.
+    """
     per_side = Window.partitionBy("token", "trader", "side").orderBy("a", "id")
     t = trades.withColumn("next", F.lead("a").over(per_side)).withColumn("new", (F.row_number().over(per_side) == 1).cast("bigint"))
     mine = F.coalesce(F.col("mine"), F.lit(False)).cast("bigint")
@@ -96,8 +131,8 @@ def rolling(trades: DataFrame, ticks: DataFrame, windows=WINDOWS) -> DataFrame:
     leave = lambda w: F.struct(F.lit(w).alias("w"), F.least(F.col("a") + 1000 * w, F.col("next")).alias("age"))
     stays = t.select("token", "a", "side", F.explode(F.array(F.struct(F.lit(0).alias("w"), F.col("a").alias("age")), *(leave(w) for w in windows))).alias("x"))
     stays = stays.select("token", F.col("x.age").alias("age"), *((sign(w) * (F.col("side") == s).cast("bigint")).alias(f"w{w}_unique_{s}ers") for w in windows for s in SIDES))
-    changes = flows.unionByName(stays, allowMissingColumns=True)
-    return _carried(ticks, changes.select("token", "age", *(F.coalesce(c, F.lit(0)).alias(c) for c in _sums(changes))))
+    changes = flows.unionByName(stays, allowMissingColumns=True) if len(kinds) > 1 else flows if "flow" in kinds else stays
+    return _carried(ticks, changes.select("token", "age", *(F.coalesce(c, F.lit(0)).alias(c) for c in _sums(changes))), ages)
 
 
 def rolling_sizes(trades: DataFrame, ticks: DataFrame, window: int = 60) -> DataFrame:

@@ -11,10 +11,10 @@ from tidemark.plans.state_queries import WITH, lifecycle, ticks
 from tidemark.sources import adapters
 
 
-def snapshots(spark, d, milestones=True):
-    """Totals and windows in one row per tick."""
-    t, g = adapters.aged(spark, d), ticks(spark, d, milestones)
-    return state.cumulative(t, g).drop("kind").join(state.rolling(t, g).drop("kind"), ["token", "age"])
+def snapshots(spark, d, ages=state.MILESTONES, windows=state.WINDOWS):
+    """Totals and windows in one row per tick at ``ages`` of the grid."""
+    t, g = adapters.aged(spark, d), ticks(spark, d, False).where(F.col("age").isin(*ages))
+    return state.cumulative(t, g, ages).drop("kind").join(state.rolling(t, g, windows, ages).drop("kind"), ["token", "age"])
 
 
 def _w(side: str, w: int, what: str = "count(DISTINCT trader)") -> str:
@@ -71,7 +71,7 @@ def _past(who: str, side: str, w: int) -> str:
     "max(CASE WHEN who = 'sell' AND w = 15 AND before IS NOT NULL THEN cur - old END) AS seller_acceleration_15s, max(CASE WHEN who = 'sell' AND w = 30 AND before IS NOT NULL THEN cur - old END) AS seller_acceleration_30s FROM y GROUP BY token, age",
 )
 def ft5(spark, d):
-    x = features.accelerations(snapshots(spark, d, False), flows=())
+    x = features.accelerations(snapshots(spark, d, state.with_earlier(state.MILESTONES, (5, 15, 30)), (5, 15, 30)), flows=())
     return x.where(F.col("age").isin(*state.MILESTONES)).select("token", "age", *(f"buyer_acceleration_{w}s" for w in (5, 15, 30)), *(f"seller_acceleration_{w}s" for w in (15, 30)))
 
 
@@ -82,7 +82,7 @@ def ft5(spark, d):
     "SELECT token, CAST(age AS BIGINT) AS age, CAST(CASE WHEN before IS NOT NULL THEN f1 - f0 END AS BIGINT) AS net_flow_velocity_15s, CAST(CASE WHEN before IS NOT NULL THEN v1 - v0 END AS BIGINT) AS volume_velocity_15s FROM y",
 )
 def ft6(spark, d):
-    x = features.accelerations(snapshots(spark, d, False), wanted=(), flows=(15,))
+    x = features.accelerations(snapshots(spark, d, state.with_earlier(state.MILESTONES, (15,)), (15,)), wanted=(), flows=(15,))
     return x.where(F.col("age").isin(*state.MILESTONES)).select("token", "age", "net_flow_velocity_15s", "volume_velocity_15s")
 
 
@@ -204,7 +204,7 @@ def candidates(spark, d):
     """Snapshots of the whole grid with verdicts, as the funnel reads them."""
     t = adapters.aged(spark, d)
     g = ticks(spark, d, False)
-    s = state.cumulative(t, g).join(state.last_ages(t, g).select("token", "age", "last_trade_age"), ["token", "age"])
+    s = state.cumulative(t, g, state.AGES).join(state.last_ages(t, g).select("token", "age", "last_trade_age"), ["token", "age"])
     v = security.assess(evidence(spark, d)).select("token", "verdict")
     return s.join(v, "token", "left").select("token", "age", (F.col("buys") + F.col("sells")).alias("trade_count"), "unique_buyers", (F.col("age") - F.col("last_trade_age")).alias("idle"), F.lit("CURVE_ACTIVE").alias("lifecycle"), "verdict")
 
@@ -260,7 +260,7 @@ def cd4(spark, d):
 
 def signal_features(spark, d):
     """Milestone features with verdict and candidate state, as the strategies read them."""
-    s = features.accelerations(snapshots(spark, d, False), wanted=(("buyers", 15),), flows=()).where(F.col("age").isin(*state.MILESTONES))
+    s = features.accelerations(snapshots(spark, d, state.with_earlier(state.MILESTONES, (15,))), wanted=(("buyers", 15),), flows=()).where(F.col("age").isin(*state.MILESTONES))
     s = s.withColumns({**features.totals(None), "imbalance": F.col("buys") - F.col("sells"), "buyer_velocity_15s": F.col("w15_unique_buyers"), "new_buyer_30s_bps": bps(F.col("w30_new_buyers"), F.col("w30_unique_buyers"))})
     con = state.concentration(adapters.aged(spark, d), ticks(spark, d)).select("token", "age", "repeat_buyers")
     v = security.assess(evidence(spark, d)).select("token", "verdict")

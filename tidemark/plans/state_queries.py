@@ -41,7 +41,7 @@ def _big(x: str, name: str) -> str:
 def _cumulative(columns: dict[str, str]):
     names = list(columns)
     sql = f"{WITH} SELECT m.token, CAST(m.age AS BIGINT) AS age, {', '.join(_big(x, n) for n, x in columns.items())} FROM m {_ON}"
-    return sql, lambda spark, d: state.cumulative(adapters.aged(spark, d), ticks(spark, d)).select("token", "age", *names)
+    return sql, lambda spark, d: state.cumulative(adapters.aged(spark, d), ticks(spark, d), state.MILESTONES).select("token", "age", *names)
 
 
 for _name, _columns in {
@@ -55,7 +55,7 @@ for _name, _columns in {
 
 @query("st2_dead_tokens", f"{WITH} SELECT token, count(*) AS rows_seen, CAST(0 AS BIGINT) AS trades FROM m WHERE token LIKE 'dead%' GROUP BY token")
 def st2(spark, d):
-    c = state.cumulative(adapters.aged(spark, d), ticks(spark, d))
+    c = state.cumulative(adapters.aged(spark, d), ticks(spark, d), state.MILESTONES)
     return c.where("token LIKE 'dead%'").groupBy("token").agg(F.count("*").alias("rows_seen"), F.sum(F.col("buys") + F.col("sells")).alias("trades"))
 
 
@@ -73,7 +73,7 @@ def _window_sql(columns, windows=state.WINDOWS):
 
 
 def _rolling(names):
-    return lambda spark, d: state.rolling(adapters.aged(spark, d), ticks(spark, d)).select("token", "age", *(f"w{w}_{n}" for w in state.WINDOWS for n in names))
+    return lambda spark, d: state.rolling(adapters.aged(spark, d), ticks(spark, d), ages=state.MILESTONES, kinds=("unique",) if all(n.startswith("unique") for n in names) else ("flow",)).select("token", "age", *(f"w{w}_{n}" for w in state.WINDOWS for n in names))
 
 
 for _name, _columns in {
@@ -141,7 +141,7 @@ def st14(spark, d):
 
 @query("st16_graduation_progress", f"{WITH} SELECT m.token, CAST(m.age AS BIGINT) AS age, CAST(least(coalesce(sum(quote) {_B}, 0) * 10000 // 1000000, 10000) AS BIGINT) AS progress_bps FROM m {_ON}")
 def st16(spark, d):
-    c = state.cumulative(adapters.aged(spark, d), ticks(spark, d))
+    c = state.cumulative(adapters.aged(spark, d), ticks(spark, d), state.MILESTONES)
     return c.select("token", "age", bps_capped(F.col("buy_quote"), F.lit(1_000_000)).alias("progress_bps"))
 
 
@@ -162,7 +162,7 @@ def st18(spark, d):
 
 @query("st19_fingerprint")
 def st19(spark, d):
-    c = state.cumulative(adapters.aged(spark, d), ticks(spark, d))
+    c = state.cumulative(adapters.aged(spark, d), ticks(spark, d), state.MILESTONES)
     return c.select("token", "age", state.fingerprint(c, sorted(c.columns)).alias("fingerprint"))
 
 
