@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -214,6 +215,25 @@ def test_license_base_and_templates(docs_of, words):
     assert "cc-by-nc-4.0-grant" in got[7].labels and got[6].labels == ""
 
 
+def test_license_versions_repeated_phrases_and_copies(words):
+    scan = license_scan.Scanner().scan
+    labels = lambda text: {x for x, *_ in scan(text.encode())[2]}
+    grants = license_scan.TEMPLATES
+    assert labels("Licensed under the Apache License, Version 1.1") == set() and labels("Licensed under the Apache License, Version 2.0.") == {"apache-2.0-grant"}
+    assert labels(grants["gpl-2.0-grant"]) == {"gpl-2.0-grant"} and labels(grants["gpl-3.0-grant"]) == {"gpl-3.0-grant"}
+    # the phrase that the template has twice stands at its second place where the first one is cut out
+    bsd = grants["bsd-3-clause-text"]
+    less = bsd.replace("Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. ", "")
+    assert less != bsd
+    (label, share, first, last), n = scan(less.encode())[2][0], len(license_scan.words_of(bsd.encode()))
+    assert label == "bsd-3-clause-text" and share == len(license_scan.words_of(less.encode())) / n and (first, last) == (0, round(share * n))
+    isc = grants["isc-text"]
+    found = scan(f"{isc} {words(30)} {isc} {isc}".encode())[2]
+    size = len(license_scan.words_of(isc.encode()))
+    assert [(x, c, a, b) for x, c, a, b in found] == [("isc-text", 1.0, a, a + size) for a in (0, size + 30, 2 * size + 30)]
+    assert scan(f"{isc} ".encode() * 300)[2][-1][2:] == (299 * size, 300 * size)
+
+
 def test_automaton_matches_as_brute_force():
     rng = random.Random(6)
     for _ in range(30):
@@ -226,8 +246,8 @@ def test_automaton_matches_as_brute_force():
         got = list(a.matches(text, 2))
         assert [(e, n) for e, n, _ in got] == want
         for e, n, state in got:
-            for k, end in a.ends[state].items():
-                assert seqs[k][end - n : end] == text[e - n : e]
+            for k, ends in a.ends[state].items():
+                assert ends == {i + n for i in range(len(seqs[k])) if seqs[k][i : i + n] == text[e - n : e]}
             assert {k for k, s in enumerate(seqs) if any(s[i : i + n] == text[e - n : e] for i in range(len(s)))} == set(a.ends[state])
 
 
@@ -361,6 +381,15 @@ def _valued(docs):
     return context_tree.valued(docs.selectExpr("text AS t", "doc_id % 3 > 0 AS learn")).collect()
 
 
+def test_long_texts_take_no_place_in_the_sample(spark, docs_of, words, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 4000)
+    monkeypatch.setattr(toxicity, "SAMPLE_TEXT_BYTES", 500)
+    texts = [words(2000) if k % 5 == 0 else f"short {k}" for k in range(50)]
+    table = spark.createDataFrame([(k, k % 2) for k in range(50)], "doc_id long, toxic int")
+    got = [r.t for r in toxicity.sample(docs_of(texts), table, F.lit(True)).collect()]
+    assert sorted(map(str, got)) == sorted(t for t in texts if len(t) < 500)
+
+
 def test_toxic_sentences_are_located(spark, docs_of, words):
     rng = random.Random(3)
     rows, labels = [], []

@@ -3,8 +3,12 @@
 The automaton holds every word sequence of all templates.  A file's words stream
 through it; the state and match length after each word are the matching statistics.
 Matches of ``MIN_MATCH`` words or more that the next word doesn't extend are located
-in each template that has them, and matches that follow one another in the file and in
-the template are chained.  A template is found when a chain covers ``COVERED`` of it.
+at every place of each template that has them, and matches that follow one another in
+the file and in the template are chained: each takes the earlier one, at most ``GAP``
+words back, whose chain covers most.  A template is found wherever a chain covers
+``COVERED`` of it, or all of it if it has fewer than ``SHORT`` words, as a grant differs
+from that of another version in a word or two.  A licence that stands twice is found
+twice.
 
 Four phrases are counted beside that (the base), each wherever its words stand
 consecutively.
@@ -49,6 +53,7 @@ TEMPLATES = {
 }
 MIN_MATCH = 3
 COVERED = 0.75
+SHORT = 20
 #: Words of the file that may lie between two matches of a chain.
 GAP = 12
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
@@ -64,16 +69,15 @@ class Automaton:
     def __init__(self, sequences: list[list[int]]):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.ends: list[dict[int, int]] = [{}]
+        self.ends: list[dict[int, set[int]]] = [{}]
         for k, words in enumerate(sequences):
             last = 0
             for at, w in enumerate(words):
                 last = self._add(last, w)
-                self.ends[last].setdefault(k, at + 1)
+                self.ends[last].setdefault(k, set()).add(at + 1)
         for s in sorted(range(1, len(self.length)), key=self.length.__getitem__, reverse=True):
             for k, at in self.ends[s].items():
-                up = self.ends[self.link[s]]
-                up[k] = min(at, up.get(k, at))
+                self.ends[self.link[s]].setdefault(k, set()).update(at)
 
     def _state(self, length: int, link: int, moves: dict[int, int]) -> int:
         self.next.append(moves)
@@ -119,6 +123,43 @@ class Automaton:
             yield len(words), size, state
 
 
+class Chains:
+    """Chains of matches with one template; matches come in the order of their ends in the file."""
+
+    def __init__(self, least: float):
+        self.least = least
+        self.open: list[tuple[int, int, int, int]] = []  # file start, file end, template end, words covered
+        self.full: list[tuple[int, int, int]] = []
+
+    def add(self, a: int, b: int, places: list[tuple[int, int]]) -> None:
+        """A match at words a to b of the file and at ``places`` of the template."""
+        # starts never fall, so what is out of reach now stays so
+        self.open = [c for c in self.open if a - c[1] <= GAP]
+        new = []
+        for s, e in places:
+            first, covered = a, e - s
+            for c_first, c_b, c_e, c_covered in self.open:
+                if e > c_e and b > c_b:
+                    more = c_covered + e - s - max(0, c_e - s, c_b - a)  # words already covered count once
+                    if more > covered:
+                        first, covered = c_first, more
+            new.append((first, b, e, covered))
+            if covered >= self.least:
+                self.full.append((first, b, covered))
+        self.open += new
+
+    def found(self) -> list[tuple[int, int, int]]:
+        """The fullest of the chains that overlap in the file: start, end, words covered."""
+        out, reach = [], 0
+        for c in sorted(self.full):
+            if out and c[0] < reach:
+                out[-1] = max(out[-1], c, key=lambda x: (x[2], -x[0], -x[1]))
+            else:
+                out.append(c)
+            reach = max(reach, c[1])
+        return out
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str] = TEMPLATES, phrases: dict[str, str] = PHRASES):
         self.labels = list(templates)
@@ -144,31 +185,17 @@ class Scanner:
         known = np.flatnonzero(ids >= 0)
         cut = np.flatnonzero(np.diff(known) > 1) + 1
         edges = np.concatenate([[0], cut, [len(known)]]) if len(known) else np.zeros(1, np.int64)
-        chains: dict[int, list[list[int]]] = {}
+        chains = [Chains(n if n < SHORT else COVERED * n) for n in self.sizes]
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
             if b - a < MIN_MATCH:
                 continue
             start = int(known[a])
             for end, size, state in self.automaton.matches(ids[start : start + b - a].tolist(), MIN_MATCH):
-                for k, stop in self.automaton.ends[state].items():
-                    self._chain(chains.setdefault(k, []), start + end - size, start + end, stop - size, stop)
-        found = []
-        for k, parts in chains.items():
-            covered, first, last = max(((c[4], c[0], c[1]) for c in parts), key=lambda x: (x[0], -x[1]))
-            if covered >= COVERED * self.sizes[k]:
-                found.append((self.labels[k], covered / self.sizes[k], first, last))
+                for k, stops in self.automaton.ends[state].items():
+                    chains[k].add(start + end - size, start + end, [(stop - size, stop) for stop in stops])
+        found = [(label, covered / size, first, last) for label, size, c in zip(self.labels, self.sizes, chains) for first, last, covered in c.found()]
         return len(words), base, found
 
-    @staticmethod
-    def _chain(chains: list[list[int]], a: int, b: int, s: int, e: int) -> None:
-        """Extend the last chain of a template that this match follows, or begin another."""
-        for c in reversed(chains[-4:]):
-            if a - c[1] <= GAP and e > c[3] and b > c[1]:
-                skip = max(0, c[3] - s, c[1] - a)  # words already covered
-                c[1], c[3], c[4] = b, e, c[4] + e - s - skip
-                return
-        chains.append([a, b, s, e, e - s])
-
 
 def scanned(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dict[str, str] = PHRASES) -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans."""

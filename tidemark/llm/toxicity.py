@@ -6,7 +6,7 @@ are trained from the document labels through that noisy-or, so that afterwards t
 sentences with a high score are the offending ones.
 
 The classifier is fitted on at most ``SAMPLE_DOCS`` labelled rows and ``SAMPLE_BYTES``
-of their text, the first by a hash of doc_id; scoring covers every row.  Where a
+of their text, the first by a hash of doc_id, none of over ``SAMPLE_TEXT_BYTES``; scoring covers every row.  Where a
 doc_id has several labels the highest counts; rows without a label, or with a null
 one, are not learned from.
 
@@ -29,6 +29,8 @@ from tidemark.llm.common import few_rows, slices, strings, text_hash
 
 SAMPLE_DOCS = 8000
 SAMPLE_BYTES = 32 << 20
+#: A longer text is left out of the sample, so that it doesn't take the place of many.
+SAMPLE_TEXT_BYTES = SAMPLE_BYTES // 8
 #: A word needs so many documents of the sample to have a weight.
 MIN_DOCS = 4
 #: Byte lengths of the beginnings of words that are features beside the words.
@@ -134,11 +136,11 @@ class Weigher:
 
 
 def sample(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
-    """t, toxic of the bounded sample of labelled rows that may be learned from."""
+    """t, toxic of the bounded sample of labelled rows that may be learned from; texts over ``SAMPLE_TEXT_BYTES`` are only scored."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     spark, kinds = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     size = F.coalesce(F.octet_length("text"), F.lit(0))
-    rows = docs.where(learn & F.col("doc_id").isNotNull()).select("doc_id", text_hash().alias("k"), size.alias("size")).dropDuplicates(["doc_id", "k"]).join(known, "doc_id")
+    rows = docs.where(learn & F.col("doc_id").isNotNull()).select("doc_id", text_hash().alias("k"), size.alias("size")).where(F.col("size") <= SAMPLE_TEXT_BYTES).dropDuplicates(["doc_id", "k"]).join(known, "doc_id")
     # keys of the sample only: at most SAMPLE_DOCS rows, whose texts are then looked up without a shuffle
     first = rows.orderBy(F.xxhash64("doc_id"), "k").limit(SAMPLE_DOCS).collect()
     total = np.cumsum([r["size"] for r in first])
