@@ -18,6 +18,16 @@ def wide(x: Column) -> Column:
     return x.cast(WIDE)
 
 
+def at_most(x: Column, bound: Column) -> Column:
+    """The smaller of both; NULL if x is missing (``least`` alone would give the bound)."""
+    return F.when(x.isNotNull(), F.least(x, bound))
+
+
+def at_least(x: Column, bound: Column) -> Column:
+    """The larger of both; NULL if x is missing."""
+    return F.when(x.isNotNull(), F.greatest(x, bound))
+
+
 def floor_div(a: Column, b: Column) -> Column:
     """Exact floor of a / b for a >= 0, b > 0; NULL on zero.
 
@@ -63,7 +73,7 @@ def bps(a: Column, b: Column) -> Column:
 
 
 def bps_capped(a: Column, b: Column) -> Column:
-    return F.least(bps(a, b), F.lit(BPS).cast("bigint"))
+    return at_most(bps(a, b), F.lit(BPS).cast("bigint"))
 
 
 def return_bps(now: Column, then: Column) -> Column:
@@ -77,8 +87,8 @@ def return_bps_even(now: Column, then: Column) -> Column:
 
 
 def sat_sub(a: Column, b: Column) -> Column:
-    """max(a - b, 0)."""
-    return F.greatest(a - b, F.lit(0).cast("bigint"))
+    """max(a - b, 0); NULL if either is missing."""
+    return at_least(a - b, F.lit(0).cast("bigint"))
 
 
 def adverse(amount: Column, haircut_bps: Column | int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.amounts import bps, floor_div, return_bps, return_bps_even, trunc_div, wide
+from tidemark.functions.amounts import at_most, bps, floor_div, return_bps, return_bps_even, trunc_div, wide
 from tidemark.operators.asof import as_of
 from tidemark.operators.prepare import label_quality, price_valid
 
@@ -57,14 +57,15 @@ def quoted(rows: DataFrame) -> DataFrame:
     """``rows`` with a constant-product buy: net_quote, tokens_out, impact_bps, status.
 
     Needs notional, v_quote, v_base, real_base, fee_bps and tax_bps.  Output is capped by
-    what is there.  Products stay within 38 digits for reserves up to about 10**18.  Each
+    what is there; without reserves it is NULL (NO_RESERVES), as with a missing fee or
+    notional (UNKNOWN).  Products stay within 38 digits for reserves up to about 10**18.  Each
     step is a column of its own, so later ones refer to it and don't repeat it.
     """
-    cut = F.least(F.col("fee_bps") + F.col("tax_bps"), F.lit(10_000))
+    cut = at_most(F.col("fee_bps") + F.col("tax_bps"), F.lit(10_000))
     x = rows.withColumn("net_quote", floor_div(wide(F.col("notional")) * (F.lit(10_000) - cut), F.lit(10_000)))
     x = x.withColumn("__raw", floor_div(wide(F.col("v_base")) * F.col("net_quote"), wide(F.col("v_quote")) + F.col("net_quote")))
-    x = x.withColumn("tokens_out", F.least("__raw", wide(F.col("real_base"))))
-    status = F.when(F.col("v_quote").isNull() | F.col("v_base").isNull(), "NO_RESERVES").when(F.col("tokens_out") <= 0, "NO_LIQUIDITY").when(F.col("__raw") > F.col("real_base"), "CAPPED").otherwise("OK")
+    x = x.withColumn("tokens_out", at_most(F.col("__raw"), wide(F.col("real_base"))))
+    status = F.when(F.col("v_quote").isNull() | F.col("v_base").isNull(), "NO_RESERVES").when(F.col("tokens_out").isNull(), "UNKNOWN").when(F.col("tokens_out") <= 0, "NO_LIQUIDITY").when(F.col("__raw") > F.col("real_base"), "CAPPED").otherwise("OK")
     # price paid against price before, both as quote per base
     x = x.withColumn("status", status).withColumn("__paid", wide(F.col("net_quote") * wide(F.col("v_base")) * 10_000)).withColumn("__fair", wide(F.col("tokens_out") * wide(F.col("v_quote"))))
     impact = F.when((F.col("status") == "OK"), F.greatest(floor_div(F.col("__paid"), F.col("__fair")) - 10_000, F.lit(0)))
@@ -72,7 +73,8 @@ def quoted(rows: DataFrame) -> DataFrame:
 
 
 def fee_overlay(fee_bps: Column, creator_bps: Column) -> Column:
-    return F.least(fee_bps + creator_bps, F.lit(2_000))
+    """Sum of both fees, at most 2000; NULL if one is missing."""
+    return at_most(fee_bps + creator_bps, F.lit(2_000))
 
 
 def largest_fitting(v_quote, v_base, real_base, fee_bps, limit_bps: int) -> tuple[int, int] | None:

@@ -133,7 +133,7 @@ def _reserved(spark, d):
 @query(
     "st14_15_reserves",
     f"{WITH}, x AS (SELECT m.token, m.age, arg_max(1000000 + quote, (a, id)) {_B} AS v_quote, arg_max(1000000 - a % 300000, (a, id)) FILTER (id % 3 <> 0) AS v_base, arg_min(1000000 - a % 300000, (a, id)) FILTER (id % 3 <> 0) AS f FROM m {_ON}) "
-    "SELECT token, CAST(age AS BIGINT) AS age, v_quote, v_base, least(greatest(f - v_base, 0) * 10000 // f, 10000) AS curve_progress_bps FROM x",
+    "SELECT token, CAST(age AS BIGINT) AS age, v_quote, v_base, CASE WHEN f > 0 THEN least(greatest(f - v_base, 0) * 10000 // f, 10000) END AS curve_progress_bps FROM x",
 )
 def st14(spark, d):
     return state.reserves(_reserved(spark, d), ticks(spark, d)).drop("kind")
