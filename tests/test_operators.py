@@ -4,8 +4,8 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import amounts, hexwords
-from tidemark.operators import asof, candidate, features, outcomes, prepare, quality, research, security, state
+from tidemark.functions import amounts, hexwords, lookups, metadata
+from tidemark.operators import asof, candidate, features, joins, outcomes, prepare, quality, research, security, state
 
 
 def one(spark, **columns):
@@ -323,3 +323,100 @@ def test_orphans_and_rebuild(spark, ticks):
     old = ticks.select("token", "age").withColumn("version", F.lit(1)).withColumn("superseded", F.lit(False))
     again = state.rebuilt(old, ticks.where("token = 't'").select("token", "age"), ["token", "age"])
     assert again.where("not superseded and version = 2 and token = 't'").count() == 3 and again.where("superseded").count() == 3
+
+
+def test_lookups(spark):
+    assert lookups.chains(spark).count() == 3 and lookups.delays(spark).count() == 9 and lookups.factories(spark).count() == 6
+    rows = spark.createDataFrame([("pons_v2", "CURVE_ACTIVE", 999), ("pons_v2", "AMM_ACTIVE", 1000), ("pumpfun", None, None), (None, "AMM_ACTIVE", 0), ("other", "x", 5)], "pad string, state string, age bigint")
+    got = [tuple(r) for r in rows.select(lookups.protocol_bps(F.col("pad"), F.col("state")), lookups.snipe_tax_bps(F.col("pad"), F.col("age"))).collect()]
+    assert got == [(100, 9900), (25, 0), (100, 0), (0, 0), (0, 0)]
+    forced = rows.select(lookups.snipe_tax_bps(F.col("pad"), F.col("age"), F.lit(True)).alias("x")).collect()
+    assert [r.x for r in forced] == [9900, 9900, 0, 0, 0]
+
+
+def test_text_or_number(spark):
+    rows = spark.createDataFrame([(j,) for j in ('{"a": "x"}', '{"a": 12}', '{"a": 1.5}', '{"a": true}', '{"a": [1]}', '{"a": {"b": 1}}', '{"a": null}', "{}", "not json", "", None, '{"a": "true"}')], "j string")
+    assert [r.x for r in rows.select(metadata.text_or_number(F.col("j"), "a").alias("x")).collect()] == ["x", "12", "1.5"] + [None] * 8 + ["true"]
+
+
+def test_recovered_gaps(spark):
+    gaps = spark.createDataFrame([("s", 5, 9), ("s", 20, 30), ("t", 5, 9), ("s", 40, 41)], "stream string, first_missing bigint, last_missing bigint")
+    repaired = spark.createDataFrame([("s", 1, 9), ("s", 6, 30), ("s", 20, 25), ("t", 6, 9), ("s", 40, 40), ("s", 41, 41)], "stream string, first bigint, last bigint")
+    got = {(r.stream, r.first_missing): r.recovered for r in quality.with_recovery(gaps, repaired, "stream").collect()}
+    assert got == {("s", 5): True, ("s", 20): True, ("t", 5): False, ("s", 40): False}
+    assert quality.with_recovery(gaps, repaired.limit(0), "stream").where("recovered").count() == 0
+    assert quality.with_recovery(gaps.limit(0), repaired, "stream").count() == 0
+
+
+def test_capabilities(spark):
+    schema = "session int, status string, complete boolean, price_labels_ok boolean, executable boolean, live boolean"
+    rows = [(1, "LIVE_COMPLETE", True, True, True, True), (2, "HISTORICAL_REPLAY", True, None, None, None), (3, "LIVE_COMPLETE", None, True, True, True), (4, None, True, True, True, True)]
+    got = [tuple(r)[1:] for r in quality.capabilities(spark.createDataFrame(rows, schema)).orderBy("session").collect()]
+    assert got == [(True, True, True, True, False, True), (True, False, False, False, False, False)] + [(False, False, False, False, True, False)] * 2
+
+
+def test_lifecycle_balance(spark):
+    orders = spark.createDataFrame([("a", "buy", "FILLED"), ("a", "buy", "FAILED"), ("a", "sell", "PARTIAL_FILL"), ("a", "sell", None), ("b", "buy", "FILLED")], "k string, side string, status string")
+    positions = spark.createDataFrame([("a", "OPEN"), ("c", "LOST")], "k string, status string")
+    got = {r.k: r for r in quality.lifecycle_balance(orders, positions, ["k"]).collect()}
+    a = got["a"]
+    assert (a.entry_orders, a.entry_fills, a.exit_orders, a.exit_fills, a.partial_exit_fills, a.failed_exit_attempts, a.positions_balanced, a.entries_balanced) == (2, 1, 2, 1, 1, 1, True, True)
+    assert (got["b"].positions_balanced, got["b"].entries_balanced) == (True, False)
+    assert (got["c"].positions_balanced, got["c"].entries_balanced, got["c"].positions_opened) == (False, False, 1)
+
+
+def test_test_gate(spark):
+    import hashlib
+
+    h = hashlib.sha256(b"{}").hexdigest()
+    ok = dict(config="{}", locked_config="{}", locked_hash=h, status="LIVE_COMPLETE", dataset_hash="d", actual_hash="d", test_runs=None)
+    cases = {
+        "OK": {}, "DATASET_NOT_RESEARCH_VALID": {"status": None}, "DATASET_HASH_MISSING": {"dataset_hash": None}, "DATASET_HASH_MISMATCH": {"actual_hash": None}, "NOT_LOCKED": {"locked_hash": None},
+        "HASH_MISMATCH": {"locked_config": "{1}"}, "CONFIG_DRIFT": {"config": "{2}"}, "TEST_ALREADY_RUN": {"test_runs": 1},
+    }
+    schema = "experiment string, config string, locked_config string, locked_hash string, status string, dataset_hash string, actual_hash string, test_runs int"
+    rows = spark.createDataFrame([(k, *{**ok, **change}.values()) for k, change in cases.items()], schema)
+    assert all(r.gate == r.experiment for r in quality.test_gate(rows).collect())
+
+
+def test_counters_and_hours(spark):
+    rows = spark.createDataFrame([("a", x) for x in (-3, 1, 2, 3, 100)] + [("b", None)], "k string, lag bigint")
+    got = {r.k: tuple(r)[1:] for r in quality.counters(rows, "lag", ["k"], (50, 99)).collect()}
+    assert got["a"] == (5, 106, 100, 2, 3) and got["b"] == (1, None, None, None, None)
+    hours = spark.createDataFrame([(0,), (3_599_999,), (3_600_000,), (-1,), (None,)], "ms bigint")
+    assert {(r.hour, r.n) for r in research.hour_histogram(hours, "ms", []).collect()} == {(0, 2), (1, 1), (-1, 1)}
+
+
+def test_joins(spark):
+    buys = spark.createDataFrame([("a", 1, 5), ("a", 2, 6), ("b", 3, 9), (None, 4, 1)], "k string, id int, ms bigint")
+    sells = spark.createDataFrame([("a", 7, 7), ("b", 8, 8), ("c", 9, 8)], "k string, id int, ms bigint")
+    assert {tuple(r) for r in joins.unmatched(buys, sells, ["k"]).collect()} == {(None, 1)}
+    assert {tuple(r) for r in joins.unopened(sells, buys, ["k"], "ms").collect()} == {("b", 8), ("c", 9)}
+    got = joins.compare_deliveries(buys.withColumn("e", F.lit("x")), sells.withColumn("e", F.lit("x")), "e", "k").first()
+    assert (got.live, got.backfill, got.both_sets, got.live_only, got.backfill_only) == (3, 3, 2, 1, 1)
+
+
+def test_read_corpus(spark, tmp_path):
+    from tidemark.sources import corpus
+
+    t = spark.createDataFrame([(i, f"m{i % 2}", None, None, 0.5, True, 1.0, 2.0, "w", None, "s") for i in range(4)], corpus.TRADES)
+    t.repartition(2, "id").write.parquet(str(tmp_path / "trades"))
+    spark.createDataFrame([("m0", None, None, None, None, 2, False)], corpus.TOKENS).write.parquet(str(tmp_path / "tokens"))
+    tokens, trades = corpus.read_corpus(spark, str(tmp_path))
+    assert tokens.first().mint == "m0" and trades.count() == 4 and trades.where("shard LIKE 'part-%'").count() == 4
+    plan = trades.select("mint")._jdf.queryExecution().toString().split("ReadSchema: ")[1]
+    assert plan.startswith("struct<mint:string") and "tx_signature" not in plan
+
+
+def test_missing_is_never_a_bound(spark):
+    rows = spark.createDataFrame([(1, 0), (None, 5), (7, None), (7, 5), (2, 5)], "a bigint, b bigint")
+    a, b = F.col("a"), F.col("b")
+    got = [tuple(r) for r in rows.select(amounts.bps_capped(a, b), amounts.sat_sub(a, b)).collect()]
+    assert got == [(None, 1), (None, None), (None, None), (10000, 2), (4000, 0)]
+
+
+def test_quotes_of_missing_inputs(spark):
+    names = "notional bigint, v_quote bigint, v_base bigint, real_base bigint, fee_bps int, tax_bps int"
+    rows = spark.createDataFrame([(100, None, 10, 5, 0, 0), (100, 1000, 1000, 500, None, 0), (None, 1000, 1000, 500, 0, 0), (100, 1000, 1000, None, 0, 0), (100, 1000, 1000, 5, 0, 0)], names)
+    got = [(r.tokens_out, r.status) for r in outcomes.quoted(rows).collect()]
+    assert got == [(None, "NO_RESERVES"), (None, "UNKNOWN"), (None, "UNKNOWN"), (90, "OK"), (5, "CAPPED")]

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.amounts import floor_div
+from tidemark.functions.amounts import at_least, floor_div
+from tidemark.operators.research import rank_value
 
 
 def scan(rows: DataFrame, key: list[str], file: str, order: list[str], time: str, by: list[str], slot: str | None = None, signature: str | None = None, amount: str | None = None) -> DataFrame:
@@ -77,6 +78,23 @@ def complete_sessions(rows: DataFrame, sessions: DataFrame) -> DataFrame:
     return rows.join(sessions.where("complete").select("session"), "session", "left_semi")
 
 
+#: Session statuses that research may rest on.
+COMPLETE_STATUSES = ("HISTORICAL_REPLAY", "LIVE_COMPLETE")
+
+
+def capabilities(sessions: DataFrame) -> DataFrame:
+    """What each session may be used for: feature, descriptive-outcome, execution and paper research, and strategy PnL.
+
+    ``sessions``: session, status, complete, price_labels_ok, executable (exact curve reads), live.  An incomplete source
+    allows nothing (``non_research_valid``); missing flags count as false.
+    """
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    whole = yes("complete") & F.coalesce(F.col("status").isin(*COMPLETE_STATUSES), F.lit(False))
+    flags = {"feature_valid": whole, "descriptive_outcome_valid": whole & yes("price_labels_ok"), "execution_valid": whole & yes("executable"), "paper_live_valid": whole & yes("executable") & yes("live"), "non_research_valid": ~whole}
+    out = sessions.select("session", *(c.alias(k) for k, c in flags.items()))
+    return out.withColumn("allows_strategy_pnl", F.col("execution_valid") | F.col("paper_live_valid"))
+
+
 def dataset_hash(files: DataFrame) -> DataFrame:
     """Hash over sorted ``path:sha:size`` lines (a bounded list of files)."""
     line = F.concat_ws(":", "path", "sha", F.col("size").cast("string"))
@@ -89,6 +107,19 @@ def sequence_gaps(rows: DataFrame, stream: str, seq: str) -> DataFrame:
     return x.where(F.col(seq) - F.col("p") > 1).select(stream, (F.col("p") + 1).alias("first_missing"), (F.col(seq) - 1).alias("last_missing"))
 
 
+def with_recovery(gaps: DataFrame, repaired: DataFrame, stream: str) -> DataFrame:
+    """Gaps with ``recovered``: whether one repaired range (stream, first, last) covers the gap.
+
+    The furthest end of the ranges that start at or before a gap is carried along one sort of the stream, so ranges and
+    gaps are never paired.
+    """
+    g = gaps.select(stream, F.col("first_missing").alias("__at"), F.lit(1).alias("__gap"), "last_missing", F.lit(None).cast("bigint").alias("__end"))
+    r = repaired.select(stream, F.col("first").alias("__at"), F.lit(0).alias("__gap"), F.lit(None).cast("bigint").alias("last_missing"), F.col("last").alias("__end"))
+    reach = F.max("__end").over(Window.partitionBy(stream).orderBy("__at", "__gap").rowsBetween(Window.unboundedPreceding, 0))
+    x = g.unionByName(r).withColumn("__reach", reach).where("__gap = 1")
+    return x.select(stream, F.col("__at").alias("first_missing"), "last_missing", F.coalesce(F.col("__reach") >= F.col("last_missing"), F.lit(False)).alias("recovered"))
+
+
 def head_gap(checkpoint: Column, head: Column, overlap: int = 64) -> Column:
     """What to do from a checkpoint to the head."""
     return F.when(checkpoint.isNull(), "START_AT_HEAD").when(head - checkpoint > overlap, "STALE_SKIP").when(head > checkpoint, "OVERLAP_BACKFILL").otherwise("CURRENT")
@@ -114,6 +145,42 @@ def side_status_counts(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col("side") == "buy").alias("buys"), F.count_if(F.col("side") == "sell").alias("sells"))
 
 
+def lifecycle_balance(orders: DataFrame, positions: DataFrame, by: list[str]) -> DataFrame:
+    """Orders (side, status) and positions (status) per group, and whether they add up.
+
+    ``positions_balanced``: each position opened is closed, open or left open at the end of its session.
+    ``entries_balanced``: as many positions as filled entries.
+    """
+    filled = F.col("status").isin("FILLED", "PARTIAL_FILL")
+    of = lambda side, c=F.lit(True): F.count_if((F.col("side") == side) & c)
+    o = orders.groupBy(*by).agg(
+        of("buy").alias("entry_orders"), of("buy", filled).alias("entry_fills"), of("sell").alias("exit_orders"), of("sell", filled).alias("exit_fills"),
+        of("sell", F.col("status") == "PARTIAL_FILL").alias("partial_exit_fills"), of("sell", ~F.coalesce(filled, F.lit(False))).alias("failed_exit_attempts"),
+    )
+    at = lambda s: F.count_if(F.col("status") == s)
+    p = positions.groupBy(*by).agg(F.count("*").alias("positions_opened"), at("CLOSED").alias("positions_closed"), at("OPEN").alias("positions_open"), at("SESSION_ENDED_OPEN").alias("positions_session_ended"))
+    j = o.join(p, by, "full").na.fill(0)
+    c = F.col
+    return j.withColumn("positions_balanced", c("positions_opened") == c("positions_closed") + c("positions_open") + c("positions_session_ended")).withColumn("entries_balanced", c("positions_opened") == c("entry_fills"))
+
+
+def operational_counts(rows: DataFrame, by: list[str], failed: Column, filled: Column) -> DataFrame:
+    """Tokens, traders, failures and fills per group."""
+    return rows.groupBy(*by).agg(F.count_distinct("token").alias("tokens"), F.count_distinct("trader").alias("traders"), F.count_if(failed).alias("failed"), F.count_if(filled).alias("filled"))
+
+
+def counters(rows: DataFrame, lag: str, by: list[str], percents: tuple[int, ...] = ()) -> DataFrame:
+    """Events, total and largest lag per group, and lags by nearest rank.
+
+    A negative lag counts as 0, a missing one as an event only.
+    """
+    x = rows.withColumn(lag, at_least(F.col(lag), F.lit(0)))
+    out = x.groupBy(*by).agg(F.count("*").alias("events"), F.sum(lag).alias("lag_ms"), F.max(lag).alias("max_lag_ms"))
+    for q in percents:
+        out = out.join(rank_value(x, lag, q, by).withColumnRenamed("value", f"p{q}_ms"), by, "left")
+    return out
+
+
 def repeated_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
@@ -163,5 +230,22 @@ def lock_drift(registry: DataFrame) -> DataFrame:
     return x.select("experiment", "hash", (F.col("hash") != F.col("locked_hash")).alias("drifted"), (F.col("test_runs") > 1).alias("test_repeated"))
 
 
+def test_gate(registry: DataFrame) -> DataFrame:
+    """Whether the one test of an experiment may run: experiment, hash, gate (OK or the first reason that forbids it).
+
+    ``registry``: experiment, config and locked_config (canonical JSON), locked_hash, status, dataset_hash, actual_hash,
+    test_runs.  Missing runs count as none.
+    """
+    c = F.col
+    now = F.sha2("config", 256)
+    differs = lambda a, b: ~F.coalesce(a == b, F.lit(False))
+    gate_ = (
+        F.when(differs(c("status").isin(*COMPLETE_STATUSES), F.lit(True)), "DATASET_NOT_RESEARCH_VALID").when(c("dataset_hash").isNull(), "DATASET_HASH_MISSING").when(differs(c("dataset_hash"), c("actual_hash")), "DATASET_HASH_MISMATCH")
+        .when(c("locked_hash").isNull() | c("locked_config").isNull(), "NOT_LOCKED").when(c("locked_hash") != F.sha2("locked_config", 256), "HASH_MISMATCH").when(differs(c("locked_hash"), now), "CONFIG_DRIFT")
+        .when(c("test_runs") >= 1, "TEST_ALREADY_RUN").otherwise("OK")
+    )
+    return registry.select("experiment", now.alias("hash"), gate_.alias("gate"))
+
+
 def import_statistics(rows: DataFrame, by: str, ok: Column, ms: str) -> DataFrame:
     return rows.groupBy(by).agg(F.count("*").alias("rows_read"), F.count_if(ok).alias("emitted"), F.count_if(~ok).alias("rejected"), F.min(ms).alias("first_ms"), F.max(ms).alias("last_ms"))

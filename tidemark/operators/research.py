@@ -147,6 +147,11 @@ def hour_gaps(rows: DataFrame, ms: str, by: list[str]) -> DataFrame:
     return x.where("next - hour > 1").select(*by, (F.col("hour") + 1).alias("first_missing"), (F.col("next") - 1).alias("last_missing"))
 
 
+def hour_histogram(rows: DataFrame, ms: str, by: list[str]) -> DataFrame:
+    """Rows per hour since 1970, hours without rows left out."""
+    return rows.where(F.col(ms).isNotNull()).groupBy(*by, F.floor(F.col(ms) / 3_600_000).alias("hour")).agg(F.count("*").alias("n"))
+
+
 def cross_chain(activity: DataFrame) -> DataFrame:
     """Wallets on two chains or more."""
     return activity.groupBy("trader").agg(F.count_distinct("chain").alias("chains")).where("chains >= 2")

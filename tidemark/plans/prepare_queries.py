@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, prepare
+from tidemark.operators import asof, joins, prepare
 from tidemark.plans.base import query
 from tidemark.sources import adapters
 from tidemark.sources.adapters import PART_SQL, SQL
@@ -183,20 +183,18 @@ def jn4(spark, d):
 @query("jn5_fills_without_position", f"{WITH} SELECT b.token, b.trader, count(*) AS fills FROM t b WHERE side = 'buy' AND NOT EXISTS (SELECT 1 FROM t s WHERE s.side = 'sell' AND s.token = b.token AND s.trader = b.trader) GROUP BY ALL")
 def jn5(spark, d):
     t = adapters.trades(spark, d)
-    return t.where("side = 'buy'").join(t.where("side = 'sell'").select("token", "trader"), ["token", "trader"], "left_anti").groupBy("token", "trader").agg(F.count("*").alias("fills"))
+    return joins.unmatched(t.where("side = 'buy'"), t.where("side = 'sell'"), ["token", "trader"])
 
 
 @query("jn6_positions_without_fill", f"{WITH} SELECT s.token, s.trader, min(s.id) AS first_id FROM t s WHERE side = 'sell' AND NOT EXISTS (SELECT 1 FROM t b WHERE b.side = 'buy' AND s.token = b.token AND s.trader = b.trader AND b.ms <= s.ms) GROUP BY ALL")
 def jn6(spark, d):
     t = adapters.trades(spark, d)
-    first = t.where("side = 'buy'").groupBy("token", "trader").agg(F.min("ms").alias("first"))
-    return t.where("side = 'sell'").join(first, ["token", "trader"], "left").where("first IS NULL OR first > ms").groupBy("token", "trader").agg(F.min("id").alias("first_id"))
+    return joins.unopened(t.where("side = 'sell'"), t.where("side = 'buy'"), ["token", "trader"], "ms")
 
 
 @query("jn7_early_entries", f"{WITH} SELECT t.id, t.token FROM t JOIN l USING (token) WHERE side = 'buy' AND launch_ms < 1704100000000")
 def jn7(spark, d):
-    early = adapters.launches(spark, d).where(F.col("launch_ms") < 1704100000000).select("token")
-    return adapters.trades(spark, d).where("side = 'buy'").join(early, "token").select("id", "token")
+    return joins.launched_before(adapters.trades(spark, d).where("side = 'buy'"), adapters.launches(spark, d), 1704100000000).select("id", "token")
 
 
 @query(
@@ -206,34 +204,28 @@ def jn7(spark, d):
 )
 def jn8(spark, d):
     t = adapters.trades(spark, d).select(F.col("kind").alias("event"), "id")
-    live, back = t.where("id % 5 <> 0").withColumn("live", F.lit(True)), t.where("id % 7 <> 0").withColumn("back", F.lit(True))
-    x = live.join(back, ["event", "id"], "full")
-    li, ba = F.col("live").isNotNull(), F.col("back").isNotNull()
-    return x.groupBy("event").agg(
-        F.count_if(li).alias("live"), F.count_if(ba).alias("backfill"), F.count_if(li & ba).alias("both_sets"), F.count_if(li & ~ba).alias("live_only"), F.count_if(ba & ~li).alias("backfill_only"),
-        F.round(100 * F.count_if(li & ba) / F.count("*"), 3).alias("match_pct"),
-    )
+    return joins.compare_deliveries(t.where("id % 5 <> 0"), t.where("id % 7 <> 0"), "event", "id")
 
 
 @query("set1_distinct_union", f"{WITH} SELECT token, trader FROM t WHERE kind = 'click' UNION SELECT token, trader FROM t WHERE kind = 'view' UNION SELECT token, trader FROM t WHERE kind = 'purchase'")
 def set1(spark, d):
     t = adapters.trades(spark, d)
     of = lambda k: t.where(F.col("kind") == k).select("token", "trader")
-    return of("click").union(of("view")).union(of("purchase")).distinct()
+    return joins.distinct_union(of("click"), of("view"), of("purchase"))
 
 
 @query("set2_intersect_and_subtract", f"{WITH}, f AS (SELECT token, trader FROM t WHERE kind = 'click'), s AS (SELECT token, trader FROM t WHERE kind = 'view') SELECT 'both' AS part, * FROM (SELECT * FROM f INTERSECT SELECT * FROM s) UNION ALL SELECT 'first_only', * FROM (SELECT * FROM f EXCEPT SELECT * FROM s)")
 def set2(spark, d):
     t = adapters.trades(spark, d)
     a, b = (t.where(F.col("kind") == k).select("token", "trader") for k in ("click", "view"))
-    return a.intersect(b).select(F.lit("both").alias("part"), "*").union(a.subtract(b).select(F.lit("first_only").alias("part"), "*"))
+    return joins.shared_and_first_only(a, b)
 
 
 @query("set3_arm_matrix", "SELECT 'P' || r_regionkey || ':' || 'X' || n_nationkey AS arm_id, r_regionkey AS entry, n_nationkey AS exit FROM region, nation WHERE n_nationkey < 3")
 def set3(spark, d):
     entry = adapters._read(spark, d, "region").select(F.col("r_regionkey").alias("entry"))
     leave = adapters._read(spark, d, "nation").where("n_nationkey < 3").select(F.col("n_nationkey").alias("exit"))
-    return entry.crossJoin(F.broadcast(leave)).select(F.concat(F.lit("P"), F.col("entry").cast("string"), F.lit(":X"), F.col("exit").cast("string")).alias("arm_id"), "entry", "exit")
+    return joins.arm_matrix(entry, leave)
 
 
 @query("set4_claim_once", f"{WITH} SELECT token, trader, min(ms) AS claimed_ms FROM t WHERE side = 'buy' AND (token, trader) NOT IN (SELECT token, trader FROM t WHERE kind = 'error') GROUP BY ALL")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import outcomes, quality, research, state
 from tidemark.plans.base import query
-from tidemark.plans.state_queries import GRID, HORIZON, WITH, ticks
+from tidemark.plans.state_queries import CYCLE, GRID, HORIZON, WITH, lifecycle, ticks
 from tidemark.sources import adapters
 from tidemark.sources.adapters import PART_SQL, SQL
 
@@ -399,6 +399,11 @@ def ra13(spark, d):
     return research.hour_gaps(adapters.trades(spark, d), "ms", ["token"])
 
 
+@query("ra13_hour_histogram", f"{WITH} SELECT chain, ms // 3600000 AS hour, count(*) AS n FROM t GROUP BY ALL")
+def ra13_histogram(spark, d):
+    return research.hour_histogram(adapters.trades(spark, d), "ms", ["chain"])
+
+
 @query("ra14_cross_chain", f"{WITH} SELECT trader, count(DISTINCT chain) AS chains FROM t GROUP BY trader HAVING count(DISTINCT chain) >= 2")
 def ra14(spark, d):
     return research.cross_chain(adapters.trades(spark, d))
@@ -414,6 +419,22 @@ def ra16(spark, d):
     return research.recent(adapters.trades(spark, d).select("token", "id", "ms"), 50, "ms", "id")
 
 
+@query("ra16_recent_launches", f"{WITH} SELECT chain, token, launch_ms FROM l ORDER BY launch_ms DESC, token DESC LIMIT 50")
+def ra16_launches(spark, d):
+    return research.recent(adapters.launches(spark, d).select("chain", "token", "launch_ms"), 50, "launch_ms", "token")
+
+
+@query("ra16_recent_lifecycle", f"{WITH}, {CYCLE} SELECT token, type, a AS age, id FROM y ORDER BY a DESC, id DESC LIMIT 50")
+def ra16_lifecycle(spark, d):
+    return research.recent(lifecycle(spark, d).select("token", "type", F.col("a").alias("age"), "id"), 50, "age", "id")
+
+
+@query("ra16_recent_sessions", f"{WITH} SELECT trader AS session, min(ms) AS started_ms, max(ms) AS ended_ms, count(*) AS events FROM t GROUP BY trader ORDER BY started_ms DESC, session DESC LIMIT 50")
+def ra16_sessions(spark, d):
+    s = adapters.trades(spark, d).groupBy(F.col("trader").alias("session")).agg(F.min("ms").alias("started_ms"), F.max("ms").alias("ended_ms"), F.count("*").alias("events"))
+    return research.recent(s, 50, "started_ms", "session")
+
+
 @query(
     "qa1_scan",
     "WITH x AS (SELECT l_returnflag AS kind, l_partkey AS file, l_orderkey, l_linenumber, l_suppkey, epoch_us(l_shipdate) AS tm, lag(epoch_us(l_shipdate)) OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey) AS p FROM lineitem), y AS (SELECT kind, l_orderkey, l_linenumber, count(*) AS c, count(*) FILTER (tm < p) AS b FROM x GROUP BY ALL) SELECT kind, CAST(sum(c) AS BIGINT) AS events, CAST(0 AS BIGINT) AS invalid, CAST(sum(c - 1) AS BIGINT) AS duplicates, CAST(sum(b) AS BIGINT) AS ordering_violations FROM y GROUP BY kind",
@@ -464,6 +485,18 @@ def qa5(spark, d):
     return quality.complete_sessions(t, t.select("session").distinct().withColumn("complete", F.col("session") % 5 != 0)).select("id", "session")
 
 
+@query(
+    "qa5_capabilities",
+    f"""{WITH}, s AS (SELECT trader AS session, ['HISTORICAL_REPLAY', 'LIVE_COMPLETE', 'PARTIAL_MARKET_STATE', NULL][trader % 4 + 1] AS status, trader % 5 <> 0 AS complete, count(*) FILTER (kind = 'error') * 10 <= count(*) AS labels, min(id) % 2 = 0 AS exact, trader % 4 = 1 AS live FROM t GROUP BY trader),
+w AS (SELECT *, complete AND coalesce(status IN ('HISTORICAL_REPLAY', 'LIVE_COMPLETE'), false) AS ok FROM s)
+SELECT session, ok AS feature_valid, ok AND labels AS descriptive_outcome_valid, ok AND exact AS execution_valid, ok AND exact AND live AS paper_live_valid, NOT ok AS non_research_valid, ok AND exact AS allows_strategy_pnl FROM w""",
+)
+def qa5_capabilities(spark, d):
+    status = F.get(F.array(*(F.lit(x) for x in (*quality.COMPLETE_STATUSES, "PARTIAL_MARKET_STATE", None))), (F.col("session") % 4).cast("int"))
+    s = adapters.trades(spark, d).groupBy(F.col("trader").alias("session")).agg((F.count_if(F.col("kind") == "error") * 10 <= F.count("*")).alias("price_labels_ok"), (F.min("id") % 2 == 0).alias("executable"))
+    return quality.capabilities(s.withColumn("status", status).withColumn("complete", F.col("session") % 5 != 0).withColumn("live", F.col("session") % 4 == 1))
+
+
 @query("qa6_dataset_hash", f"{WITH}, f AS (SELECT 'f' || token AS path, sha256(token) AS sha, count(*) AS size FROM t GROUP BY token) SELECT sha256(string_agg(path || ':' || sha || ':' || size, chr(10) ORDER BY path || ':' || sha || ':' || size)) AS dataset_hash FROM f")
 def qa6(spark, d):
     f = adapters.trades(spark, d).groupBy("token").agg(F.count("*").alias("size")).select(F.concat(F.lit("f"), "token").alias("path"), F.sha2("token", 256).alias("sha"), "size")
@@ -475,6 +508,18 @@ def qa7(spark, d):
     return quality.sequence_gaps(adapters.trades(spark, d).select("token", F.floor(F.col("id") / 10).alias("seq")), "token", "seq")
 
 
+@query(
+    "qa7_recovered_gaps",
+    f"""{WITH}, x AS (SELECT DISTINCT token, id // 10 AS seq FROM t), y AS (SELECT *, lag(seq) OVER (PARTITION BY token ORDER BY seq) AS p FROM x), sg AS (SELECT token, p + 1 AS first_missing, seq - 1 AS last_missing FROM y WHERE seq - p > 1),
+r AS (SELECT DISTINCT token, id // 10 - 20 AS first, id // 10 + 20 AS last FROM t WHERE id % 3 = 0)
+SELECT token, first_missing, last_missing, EXISTS (SELECT 1 FROM r WHERE r.token = sg.token AND first <= first_missing AND last >= last_missing) AS recovered FROM sg""",
+)
+def qa7_recovered(spark, d):
+    t = adapters.trades(spark, d).select("token", "id", F.floor(F.col("id") / 10).alias("seq"))
+    repaired = t.where("id % 3 = 0").select("token", (F.col("seq") - 20).alias("first"), (F.col("seq") + 20).alias("last"))
+    return quality.with_recovery(quality.sequence_gaps(t, "token", "seq"), repaired, "token")
+
+
 @query("qa7_head_gaps", f"{WITH} SELECT id, CASE WHEN id % 9 = 0 THEN 'START_AT_HEAD' WHEN id % 130 > 64 THEN 'STALE_SKIP' WHEN id % 130 > 0 THEN 'OVERLAP_BACKFILL' ELSE 'CURRENT' END AS action FROM t")
 def qa7_head(spark, d):
     at = F.when(F.col("id") % 9 != 0, F.col("id"))
@@ -510,6 +555,27 @@ def qa10(spark, d):
     return quality.side_status_counts(adapters.trades(spark, d), ["chain", "kind"])
 
 
+_OS = "['FILLED', 'PARTIAL_FILL', 'FAILED']"
+_PS = "['CLOSED', 'OPEN', 'SESSION_ENDED_OPEN', 'LOST']"
+
+
+@query(
+    "qa10_lifecycle_balance",
+    f"""{WITH}, o AS (SELECT token, side, {_OS}[id % 3 + 1] AS status FROM t), p AS (SELECT token, {_PS}[CAST(CASE WHEN id % 40 = 1 THEN 3 ELSE id % 3 END AS INT) + 1] AS status FROM t WHERE side = 'buy' AND id % 3 < 2),
+x AS (SELECT token, count(*) FILTER (side = 'buy') AS entry_orders, count(*) FILTER (side = 'buy' AND status <> 'FAILED') AS entry_fills, count(*) FILTER (side = 'sell') AS exit_orders, count(*) FILTER (side = 'sell' AND status <> 'FAILED') AS exit_fills,
+  count(*) FILTER (side = 'sell' AND status = 'PARTIAL_FILL') AS partial_exit_fills, count(*) FILTER (side = 'sell' AND status = 'FAILED') AS failed_exit_attempts FROM o GROUP BY token),
+y AS (SELECT token, count(*) AS positions_opened, count(*) FILTER (status = 'CLOSED') AS positions_closed, count(*) FILTER (status = 'OPEN') AS positions_open, count(*) FILTER (status = 'SESSION_ENDED_OPEN') AS positions_session_ended FROM p GROUP BY token)
+SELECT token, entry_orders, entry_fills, exit_orders, exit_fills, partial_exit_fills, failed_exit_attempts, coalesce(positions_opened, 0) AS positions_opened, coalesce(positions_closed, 0) AS positions_closed, coalesce(positions_open, 0) AS positions_open, coalesce(positions_session_ended, 0) AS positions_session_ended,
+  coalesce(positions_opened = positions_closed + positions_open + positions_session_ended, true) AS positions_balanced, coalesce(positions_opened, 0) = entry_fills AS entries_balanced FROM x LEFT JOIN y USING (token)""",
+)
+def qa10_balance(spark, d):
+    t = adapters.trades(spark, d)
+    pick = lambda names, i: F.get(F.array(*map(F.lit, names)), i.cast("int"))
+    o = t.select("token", "side", pick(("FILLED", "PARTIAL_FILL", "FAILED"), F.col("id") % 3).alias("status"))
+    p = t.where("side = 'buy' AND id % 3 < 2").select("token", pick(("CLOSED", "OPEN", "SESSION_ENDED_OPEN", "LOST"), F.when(F.col("id") % 40 == 1, 3).otherwise(F.col("id") % 3)).alias("status"))
+    return quality.lifecycle_balance(o, p, ["token"])
+
+
 @query("qa11_repeated_entries", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def qa11(spark, d):
     return quality.repeated_keys(adapters._read(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
@@ -557,7 +623,7 @@ def qa13_positions(spark, d):
 
 @query("qa14_operational_counts", f"{WITH} SELECT chain, count(DISTINCT token) AS tokens, count(DISTINCT trader) AS traders, count(*) FILTER (kind = 'error') AS failed, count(*) FILTER (kind = 'purchase') AS filled FROM t GROUP BY chain")
 def qa14(spark, d):
-    return adapters.trades(spark, d).groupBy("chain").agg(F.count_distinct("token").alias("tokens"), F.count_distinct("trader").alias("traders"), F.count_if(F.col("kind") == "error").alias("failed"), F.count_if(F.col("kind") == "purchase").alias("filled"))
+    return quality.operational_counts(adapters.trades(spark, d), ["chain"], F.col("kind") == "error", F.col("kind") == "purchase")
 
 
 @query("qa15_lock_drift", f"{WITH}, x AS (SELECT DISTINCT token AS experiment, '{{\"k\":' || token || '}}' AS config, CAST(token AS INT) % 3 AS k FROM t) SELECT experiment, sha256(config) AS hash, k = 0 AS drifted, k = 1 AS test_repeated FROM x")
@@ -568,9 +634,29 @@ def qa15(spark, d):
     return quality.lock_drift(t.select(F.col("token").alias("experiment"), config.alias("config"), F.when(k == 0, "old").otherwise(F.sha2(config, 256)).alias("locked_hash"), F.when(k == 1, 2).otherwise(1).alias("test_runs")))
 
 
+@query(
+    "qa15_test_gate",
+    f"""{WITH}, x AS (SELECT DISTINCT token AS experiment, '{{"k":' || token || '}}' AS config, CAST(token AS INT) % 9 AS k FROM t)
+SELECT experiment, sha256(config) AS hash, CASE k WHEN 0 THEN 'DATASET_NOT_RESEARCH_VALID' WHEN 1 THEN 'DATASET_HASH_MISSING' WHEN 2 THEN 'DATASET_HASH_MISMATCH' WHEN 3 THEN 'NOT_LOCKED' WHEN 4 THEN 'HASH_MISMATCH' WHEN 5 THEN 'CONFIG_DRIFT' WHEN 6 THEN 'TEST_ALREADY_RUN' ELSE 'OK' END AS gate FROM x""",
+)
+def qa15_gate(spark, d):
+    config, k = F.concat(F.lit('{"k":'), "experiment", F.lit("}")), F.col("experiment").cast("int") % 9
+    old = F.when(k == 5, "{}").otherwise(config)
+    t = adapters.trades(spark, d).select(F.col("token").alias("experiment")).distinct().select(
+        "experiment", config.alias("config"), old.alias("locked_config"), F.when(k == 4, "x").when(k != 3, F.sha2(old, 256)).alias("locked_hash"), F.when(k == 0, "PARTIAL_MARKET_STATE").otherwise("LIVE_COMPLETE").alias("status"),
+        F.when(k != 1, "d1").alias("dataset_hash"), F.when(k == 2, "d2").otherwise("d1").alias("actual_hash"), F.when(k == 6, 1).alias("test_runs"),
+    )
+    return quality.test_gate(t)
+
+
 @query("qa16_counters", f"{WITH} SELECT chain, kind, count(*) AS events, CAST(sum(id % 50) AS BIGINT) AS lag_ms, max(id % 50) AS max_lag_ms FROM t GROUP BY ALL")
 def qa16(spark, d):
-    return adapters.trades(spark, d).groupBy("chain", "kind").agg(F.count("*").alias("events"), F.sum(F.col("id") % 50).alias("lag_ms"), F.max(F.col("id") % 50).alias("max_lag_ms"))
+    return quality.counters(adapters.trades(spark, d).withColumn("lag", F.col("id") % 50), "lag", ["chain", "kind"])
+
+
+@query("qa16_lag_percentiles", f"{WITH}, x AS (SELECT chain, greatest(id % 977 - 5, 0) AS lag FROM t) SELECT chain, count(*) AS events, CAST(sum(lag) AS BIGINT) AS lag_ms, max(lag) AS max_lag_ms, {', '.join(f'list_sort(list(lag))[(count(*) - 1) * {q} // 100 + 1] AS p{q}_ms' for q in (50, 95, 99))} FROM x GROUP BY chain")
+def qa16_percentiles(spark, d):
+    return quality.counters(adapters.trades(spark, d).withColumn("lag", F.col("id") % 977 - 5), "lag", ["chain"], (50, 95, 99))
 
 
 @query("qa17_import_statistics", f"{WITH} SELECT chain, count(*) AS rows_read, count(*) FILTER (quote > 100) AS emitted, count(*) FILTER (quote <= 100) AS rejected, min(ms) AS first_ms, max(ms) AS last_ms FROM t GROUP BY chain")
