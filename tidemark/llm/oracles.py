@@ -59,4 +59,36 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
 FROM (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first FROM d)
 """
 
-ORACLES = {"op6_chat": OP6, "op9_warc": OP9, "op2_decontamination": OP2, "op3_suffix_dedup": OP3}
+_FIELD = "coalesce(CAST(octet_length(encode(CAST({0} AS VARCHAR))) AS VARCHAR) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "{n}", "text")) + ")"
+_CRC = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+       lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda c, k: xor(c >> 1, (c & 1) * 3988292384))))"""
+_UP = "list_transform(range((len(hs) + 1) // 2), lambda i: sha256(hs[2 * i + 1] || coalesce(hs[2 * i + 2], '')))"
+
+OP11 = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, leaf, CASE WHEN crc % 7 = 0 THEN bad ELSE leaf END AS seen, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r
+  FROM (SELECT doc_id, lang, {_LEAF.format(n="n_chars")} AS leaf, {_LEAF.format(n="(n_chars + 1)")} AS bad, {_CRC} AS crc FROM documents)),
+t(lang, lvl, hs) AS (
+  SELECT lang, 0, list(leaf ORDER BY r) FROM d GROUP BY lang
+  UNION ALL SELECT lang, lvl + 1, {_UP} FROM t WHERE len(hs) > 1),
+s AS (SELECT lang, hs[1] AS subroot, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS q FROM t WHERE len(hs) = 1),
+u(lvl, hs) AS (
+  SELECT 0, list(subroot ORDER BY q) FROM s
+  UNION ALL SELECT lvl + 1, {_UP} FROM u WHERE len(hs) > 1),
+p AS (
+  SELECT lang, r, list(mark ORDER BY lvl) AS marks FROM (
+    SELECT d.lang, r, lvl, CASE WHEN (r >> lvl) & 1 = 1 THEN 'L' ELSE 'R' END || coalesce(hs[CAST(xor(r >> lvl, 1) AS BIGINT) + 1], '') AS mark
+    FROM d JOIN t ON t.lang IS NOT DISTINCT FROM d.lang AND len(hs) > 1) GROUP BY lang, r),
+v AS (
+  SELECT lang, list(mark ORDER BY lvl) AS marks FROM (
+    SELECT lang, lvl, CASE WHEN (q >> lvl) & 1 = 1 THEN 'L' ELSE 'R' END || coalesce(hs[CAST(xor(q >> lvl, 1) AS BIGINT) + 1], '') AS mark FROM s, u WHERE len(hs) > 1) GROUP BY lang),
+j AS (
+  SELECT d.*, subroot, (SELECT hs[1] FROM u WHERE len(hs) = 1) AS root, list_concat(coalesce(p.marks, []), coalesce(v.marks, [])) AS marks
+  FROM d JOIN s ON s.lang IS NOT DISTINCT FROM d.lang LEFT JOIN p ON p.lang IS NOT DISTINCT FROM d.lang AND p.r = d.r LEFT JOIN v ON v.lang IS NOT DISTINCT FROM d.lang),
+f AS (
+  SELECT *, list_reduce(list_prepend(coalesce(seen, leaf), marks), lambda h, m: CASE WHEN m[1] = 'L' THEN sha256(substr(m, 2) || h) ELSE sha256(h || substr(m, 2)) END) AS folded_root FROM j)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(marks, lambda m: substr(m, 2)), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM f
+"""
+
+ORACLES = {"op11_merkle": OP11, "op6_chat": OP6, "op9_warc": OP9, "op2_decontamination": OP2, "op3_suffix_dedup": OP3}

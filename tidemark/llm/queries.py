@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, chat, context_tree, decontaminate, license_scan, near_dedup, oracles, packing, quality, suffix_dedup, toxicity, warc
+from tidemark.llm import byte_bpe, chat, context_tree, decontaminate, license_scan, merkle, near_dedup, oracles, packing, quality, suffix_dedup, toxicity, warc
 from tidemark.llm.common import read
 
 
@@ -57,6 +57,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audited(read(spark, sf_dir, "documents"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
