@@ -91,4 +91,19 @@ f AS (
 SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(marks, lambda m: substr(m, 2)), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM f
 """
 
-ORACLES = {"op11_merkle": OP11, "op6_chat": OP6, "op9_warc": OP9, "op2_decontamination": OP2, "op3_suffix_dedup": OP3}
+OP12 = """
+WITH v AS (
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.rid AS arid, a.vec_id AS anchor_id, a.label = c.label AS same, c.rid, c.vec_id,
+         CAST(list_sum(list_transform(list_zip(a.q, c.q), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.rid <> c.rid WHERE a.vec_id % 50 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY arid ORDER BY score DESC, vec_id NULLS LAST, rid) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER w AS INT) AS rank, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.arid = p.arid AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+WINDOW w AS (PARTITION BY p.arid, p.rid ORDER BY n.score DESC, n.vec_id NULLS LAST, n.rid) QUALIFY row_number() OVER w <= 3
+"""
+
+ORACLES = {"op12_hard_negatives": OP12, "op11_merkle": OP11, "op6_chat": OP6, "op9_warc": OP9, "op2_decontamination": OP2, "op3_suffix_dedup": OP3}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, chat, context_tree, decontaminate, license_scan, merkle, near_dedup, oracles, packing, quality, suffix_dedup, toxicity, warc
+from tidemark.llm import byte_bpe, chat, context_tree, decontaminate, hard_negatives, license_scan, merkle, near_dedup, oracles, packing, quality, suffix_dedup, toxicity, warc
 from tidemark.llm.common import read
 
 
@@ -61,6 +61,12 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audited(read(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh vec_id takes the next label before mining; every fiftieth is an anchor."""
+    vectors = read(spark, sf_dir, "embeddings").withColumn("label", F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END"))
+    return hard_negatives.mined(vectors, F.col("vec_id") % 50 == 0)
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
