@@ -1,4 +1,6 @@
 import datetime as dt
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -105,6 +107,165 @@ def test_shards_resume(spark, folder, tmp_path):
     assert sorted((r.n_rows, r.volume) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [(1, 5), (1, 7)]
 
 
+def test_milestones_restart_from_the_checkpoint(spark, folder, tmp_path):
+    clock = lambda n, s: (f"k{n}", "clock", at(s), None, "tick", 0)
+    first = [[("t0", "late", at(1), 5, "buy", 1), ("l1", "a", at(0), None, "launch", 0), ("t1", "a", at(3), 7, "buy", 1)], [("t2", "a", at(4), 8, "sell", 1), clock(1, 4)]]
+    more = [[("l2", "late", at(2), None, "launch", 0), ("t3", "a", at(9), 7, "sell", 1), ("t4", "a", at(8), 9, "buy", 1)], [clock(2, 200)], [clock(3, 201)], [clock(4, 202)]]
+    out = f"{tmp_path}/out"
+
+    def once():
+        src = corpus.read_event_stream(spark, f"{tmp_path}/in/*", SCHEMA, files_per_trigger=1)
+        q = streams.milestones(src, ages=(5_000, 15_000), evict_ms=60_000, delay="4 seconds", due=True)
+        q = q.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return sorted(tuple(r) for r in spark.read.parquet(out).collect())
+
+    folder(*first)
+    assert once() == []
+    for k, rows in enumerate(more):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in/more{k}")
+    due = int(T0.timestamp()) * 1000
+    want = [("a", 5000, 1, 1, 2, due + 5000), ("a", 15000, 2, 2, 3, due + 15000), ("late", 5000, 1, 0, 1, due + 7000), ("late", 15000, 1, 0, 1, due + 17000)]
+    assert once() == want
+    assert once() == want
+
+
+def test_milestones_of_random_trades_as_batch(spark, folder):
+    rng = random.Random(6)
+    batches, launched = [], {t: rng.randint(0, 20) for t in "abcdef"}
+    for lo in range(0, 100, 5):
+        rows = [(f"l{t}", t, at(s), None, "launch", 0) for t, s in launched.items() if lo <= s < lo + 5]
+        rows += [(f"t{lo}-{k}", rng.choice("abcdefgh"), at(lo + 5 * rng.random()), rng.randint(1, 6), rng.choice(["buy", "sell"]), 1) for k in range(40)]
+        batches.append(rows)
+    batches += [[(f"k{k}", "clock", at(300 + k), None, "tick", 0)] for k in range(3)]
+    src = corpus.read_event_stream(spark, folder(*batches), SCHEMA, files_per_trigger=1)
+    ages = (5_000, 15_000, 30_000, 60_000)
+    got = run(streams.milestones(src, ages=ages, evict_ms=100_000, delay="6 seconds"), spark, "random")
+    want = []
+    for token, s in launched.items():
+        for age in ages:
+            upto = [r for b in batches for r in b if r[1] == token and r[4] in ("buy", "sell") and (r[2] - at(s)).total_seconds() * 1000 // 1 <= age]
+            want.append((token, age, sum(r[4] == "buy" for r in upto), sum(r[4] == "sell" for r in upto), len({r[3] for r in upto})))
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_a_batch_reads_what_it_can_repeat(spark, tmp_path):
+    store = f"{tmp_path}/store"
+    batch = spark.createDataFrame([(f"e{k}", "a", at(k), 1, "buy", 5) for k in range(40)], SCHEMA)
+    sinks.append_events(batch, store)
+    files = sinks.stored_like(batch, store).inputFiles()
+    for day in range(1, 6):
+        sinks.append_events(spark.createDataFrame([(f"d{day}-{k}", "a", at(86_400 * day + k), 1, "buy", 5) for k in range(40)], SCHEMA), store)
+    assert sorted(sinks.stored_like(batch, store).inputFiles()) == sorted(files)
+    sinks.append_events(batch.union(spark.createDataFrame([("new", "a", at(50), 1, "buy", 5), ("no day", "a", None, 1, "buy", 5)], SCHEMA)), store)
+    sinks.append_events(spark.createDataFrame([("no day", "a", None, 1, "buy", 5)], SCHEMA), store)
+    got = sinks.read_store(spark, store, batch.schema)
+    assert got.count() == 242 and got.select("event_id").distinct().count() == 242
+    assert len(sinks.stored_like(batch.where("event_id = 'e3'"), store).inputFiles()) == 1
+
+
+MARKETS = "chain string, token string, pool string, curve string, seen bigint"
+
+
+def current(spark, path, where="true"):
+    return sorted(tuple(r) for r in spark.read.parquet(path).where(where).select("chain", "token", "pool", "curve", "seen").collect())
+
+
+def test_upsert_keeps_old_values(spark, tmp_path):
+    path = f"{tmp_path}/markets"
+    first = spark.createDataFrame([("c", "a", "p1", None, 1), ("c", "b", None, "k2", 1), ("c", "a", None, "k1", 2)], MARKETS)
+    second = spark.createDataFrame([("c", "a", None, "k9", 5), ("c", "b", "p2", None, 0), ("c", None, "p3", None, 1)], MARKETS)
+    sinks.upsert(first, path, ["chain", "token"], "seen")
+    assert current(spark, path) == [("c", "a", "p1", "k1", 2), ("c", "b", None, "k2", 1)]
+    want = [("c", "a", "p1", "k9", 5), ("c", "b", "p2", "k2", 1)]
+    for _ in range(2):  # a repeated batch changes nothing
+        sinks.upsert(second, path, ["chain", "token"], "seen")
+        assert current(spark, path, "token is not null") == want
+        assert current(spark, path, "token is null") == [("c", None, "p3", None, 1)]
+
+
+def test_upsert_goes_on_after_a_failure(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/current"
+    rows = lambda k: spark.createDataFrame([("c", str(x), f"p{k}", None, k) for x in range(50)], MARKETS)
+    sinks.upsert(rows(1), path, ["chain", "token"], "seen")
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "_publish", lambda *_: None)
+        sinks.upsert(rows(2), path, ["chain", "token"], "seen")  # ends when the stage is complete
+    assert {r.pool for r in spark.read.parquet(path).collect()} == {"p1"}
+    sinks.upsert(spark.createDataFrame([("c", "0", None, "k", 3)], MARKETS), path, ["chain", "token"], "seen")
+    got = current(spark, path)
+    assert len(got) == 50 and {x[2] for x in got} == {"p2"} and got[0][3] == "k"
+
+
+def test_late_events_give_new_versions_once(spark, folder, tmp_path):
+    """A driver that dies between its writes and the commit of the batch starts again with the same rows in the end."""
+    src = folder(
+        [("e1", "a", at(100), 1, "buy", 5), ("f1", "b", at(100), 1, "buy", 5)],
+        [("e2", "a", at(10), 1, "buy", 7)],
+        [("e3", "a", at(20), 1, "buy", 9), ("f2", "b", at(101), 2, "buy", 1)],
+    )
+    schema = spark.createDataFrame([], SCHEMA).schema
+    out, store, late = (f"{tmp_path}/{x}" for x in ("snaps", "store", "late"))
+
+    def snapshots(events):
+        return events.groupBy("token").agg(F.lit(60_000).cast("bigint").alias("age"), F.count("*").alias("n"), F.sum("quote").alias("quote"))
+
+    into = streams.rebuild_into(out, store, schema, snapshots)
+    failures = {1, 2}
+
+    def dying(tokens, number):
+        into(tokens, number)
+        if number in failures:
+            failures.discard(number)
+            raise RuntimeError("the driver dies here")
+
+    for _ in range(4):
+        s = corpus.read_event_stream(spark, src, SCHEMA, files_per_trigger=1)
+        q = streams.route_late(s, store, late, f"{tmp_path}/check", 30_000, versions=dying)
+        try:
+            q.awaitTermination(120)
+        except Exception as e:
+            assert "dies here" in str(e)
+    assert not failures
+    rows = sinks.committed(spark, out, spark.createDataFrame([], "token string, age bigint, n bigint, quote bigint, version int, batch int").schema).collect()
+    assert sorted((r.token, r.n, r.quote, r.version) for r in rows) == [("a", 2, 12, 1), ("a", 3, 21, 2)]
+    kind = spark.createDataFrame([], "token string, age bigint, n bigint, quote bigint, version int").schema
+    assert [(r.token, r.n, r.version) for r in streams.current_version(spark, out, kind).collect()] == [("a", 3, 2)]
+    assert sorted(r.event_id for r in sinks.read_store(spark, store, schema).collect()) == ["e1", "e2", "e3", "f1", "f2"]
+    assert sorted(r.event_id for r in spark.read.parquet(late).collect()) == ["e2", "e3"]
+
+
+def test_half_written_batches_are_not_read(spark, tmp_path):
+    rows = spark.createDataFrame([(1,)], "x int")
+    for k in range(3):
+        sinks.write_batch(rows, f"{tmp_path}/out", k)
+    sinks.write_batch(rows, f"{tmp_path}/out", 2)
+    (tmp_path / "out/batch=1/_SUCCESS").unlink()
+    schema = rows.withColumn("batch", F.lit(0)).schema
+    assert sorted(tuple(r) for r in sinks.committed(spark, f"{tmp_path}/out", schema).collect()) == [(1, 0), (1, 2)]
+    assert sinks.committed(spark, f"{tmp_path}/none", schema).count() == 0
+
+
+def test_counters_of_running_streams(spark, folder):
+    rows = [[(f"e{k}-{j}", "a", at(k), 1, "buy", 5) for j in range(3)] for k in range(2)]
+    src = corpus.read_event_stream(spark, folder([("l", "a", at(0), None, "launch", 0)], *rows, [("k", "c", at(50), None, "tick", 0)], [("k2", "c", at(51), None, "tick", 0)]), SCHEMA, files_per_trigger=1)
+    counters = streams.Counters()
+    spark.streams.addListener(counters)
+    try:
+        run(streams.observed(src, "raw"), spark, "counted")
+        run(streams.observed_milestones(streams.milestones(src, ages=(5_000, 15_000), due=True)), spark, "lateness")
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        for _ in range(50):
+            if counters.totals.get("milestones", {}).get("milestones") == 2:
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(counters)
+    assert counters.totals["raw"]["events"] == 9 and counters.totals["raw"]["late"] == 9
+    assert counters.totals["raw"]["max_lag_ms"] > 1_000_000
+    assert counters.totals["milestones"]["milestones"] == counters.totals["milestones"]["missed"] == 2
+
+
 def test_health(spark):
     rows = spark.createDataFrame([("s", 1, at(0), at(1)), ("s", 4, at(0), at(5))], "stream string, seq bigint, ts timestamp, seen timestamp")
     h = streams.health(rows, "stream", "seq")
