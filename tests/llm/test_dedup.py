@@ -157,6 +157,25 @@ def test_sketches_estimate_and_merge():
         assert (setsketch.merge(s[0], s[1]) == setsketch.sketches(union, np.array([0, len(union)]))[0]).all()
 
 
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate({97: 98, 98: 97})
+    return word
+
+
+def test_texts_with_one_polynomial_hash_stay_apart(docs_of):
+    """A Thue-Morse word and its complement share every polynomial hash modulo 2**64 from 1024 letters on."""
+    one = thue_morse(4096)
+    other = one.translate({97: 98, 98: 97})
+    assert len(shingle_sets([f"{one} {other}".encode(), f"{one} {one} {one} {one} {one} {other}".encode()])[0]) == 3
+    got = near_dedup.groups(docs_of([one, other, one + " ", f"x {one} a b c d", f"x {other} a b c d"])).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {0: (1, 0), 1: (1, 1), 2: (1, 0), 3: (2, 3), 4: (2, 4)}
+    texts = [one[:1500], other[:1500], "q" + one[:1024], "z" + other[:1024]]
+    got = suffix_dedup.removed(docs_of(texts), length=1024, anchor=60).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.text) for r in got} == dict(enumerate(removed_by_brute_force(texts, 1024)))
+
+
 def test_shingles_in_batches():
     texts = [b"", b"a b", b"A b c d e f a b c d e", b"  ", b"q\x0bw\x1ce r t y"]
     hashes, offsets = shingle_sets(texts)

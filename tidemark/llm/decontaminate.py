@@ -10,8 +10,8 @@ distinct five-word shingles occur in the document.
    them, so it holds one of the sketch: the search loses nothing, in any class.
 2. Document shingles above the largest hash of all sketches are dropped as they
    are made; the others are looked up in the sketches.
-3. Candidates are verified: the shingles themselves of the candidate documents are
-   matched with those of the items and counted.
+3. Candidates are pairs of a document and an item and are verified as such: the
+   item's shingles are looked for among those of the document, as texts, and counted.
 
 Only DataFrame functions run.  The sketches are broadcast while they have at most
 ``BROADCAST_ROWS`` rows and joined by shuffle beyond that.
@@ -52,10 +52,10 @@ _TEXT = "array_join({}, ' ')"
 
 
 def item_shingles(items: DataFrame) -> DataFrame:
-    """item_id, v (hash of the text), q (distinct shingles), s (shingle), h (its hash)."""
+    """item_id, v (hash of the text), item (a number), q (distinct shingles), s (shingle), h (its hash)."""
     rows = items.select("item_id", text_hash().alias("v"), _words("text").alias("w")).dropDuplicates(["item_id", "v"])
-    rows = rows.select("item_id", "v", F.expr(f"array_distinct({_shingles('w', _TEXT)})").alias("all"))
-    return rows.select("item_id", "v", F.size("all").cast("long").alias("q"), F.explode("all").alias("s")).withColumn("h", F.xxhash64("s"))
+    rows = rows.select("item_id", "v", F.monotonically_increasing_id().alias("item"), F.expr(f"array_distinct({_shingles('w', _TEXT)})").alias("all"))
+    return rows.select("item_id", "v", "item", F.size("all").cast("long").alias("q"), F.explode("all").alias("s")).withColumn("h", F.xxhash64("s"))
 
 
 def size_class():
@@ -72,9 +72,8 @@ def sketch_size(percent: int):
 def contained(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs with enough of an item: doc_id, item_id, n_item, n_shared, containment (and k, v: text hashes)."""
     shingles = save(item_shingles(items).withColumn("size", size_class()), "items")
-    ranked = shingles.groupBy("size", "item_id", "v", "q").agg(F.sort_array(F.collect_list("h")).alias("hs"))
-    sketch = ranked.select("size", F.explode(F.slice("hs", F.lit(1), sketch_size(percent).cast("int"))).alias("h")).distinct()
-    sketch = save(sketch, "sketch")
+    ranked = shingles.groupBy("size", "item").agg(F.sort_array(F.collect_list("h")).alias("hs"))
+    sketch = save(ranked.select("item", F.explode(F.slice("hs", F.lit(1), sketch_size(percent).cast("int"))).alias("h")), "sketch")
     rows, top = sketch.agg(F.count("*"), F.coalesce(F.max("h"), F.lit(-(1 << 63)))).first()
     small = rows <= BROADCAST_ROWS
 
@@ -82,15 +81,17 @@ def contained(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> Data
     hashed = F.expr(f"filter({_shingles('w', 'xxhash64(' + _TEXT + ')')}, h -> h <= {top}L)" if top > -(1 << 63) else "cast(array() as array<bigint>)")
     looked = texts.select("doc_id", "k", _words("text").alias("w")).select("doc_id", "k", F.explode(hashed).alias("h"))
     hits = looked.join(F.broadcast(sketch) if small else sketch, "h")
-    # a document is a candidate for partitions of items, of which there are as many as powers of two
-    candidates = save(hits.select("doc_id", "k", "size").distinct().groupBy("doc_id", "k").agg(F.collect_set("size").alias("sizes")), "candidates")
+    candidates = save(hits.select("doc_id", "k", "item").distinct(), "candidates")
 
+    # only shingles that some item has go on, each once for a document however many items share it
+    known = shingles.select("s").distinct()
+    known = F.broadcast(known) if shingles.count() <= BROADCAST_ROWS else known
     same = texts["doc_id"].eqNullSafe(F.col("i2")) & (texts["k"] == F.col("k2"))
-    found = texts.join(candidates.withColumnsRenamed({"doc_id": "i2", "k": "k2"}), same).dropDuplicates(["doc_id", "k"])
-    parts = found.select("doc_id", "k", "sizes", _words("text").alias("w")).select("doc_id", "k", "sizes", F.explode(F.expr(f"array_distinct({_shingles('w', _TEXT)})")).alias("s"))
-    parts = parts.select("doc_id", "k", "s", F.explode("sizes").alias("size"))
-    exact = shingles.select("size", "item_id", "v", "q", "s")
-    shared = parts.join(F.broadcast(exact) if shingles.count() <= BROADCAST_ROWS else exact, ["size", "s"])
+    found = texts.join(candidates.select(F.col("doc_id").alias("i2"), F.col("k").alias("k2")).distinct(), same, "left_semi").dropDuplicates(["doc_id", "k"])
+    parts = found.select("doc_id", "k", _words("text").alias("w")).select("doc_id", "k", F.explode(F.expr(f"array_distinct({_shingles('w', _TEXT)})")).alias("s")).join(known, "s", "left_semi")
+    # a candidate asks for its own item's shingles and no other's
+    asked = candidates.withColumnsRenamed({"doc_id": "i2", "k": "k2"}).join(shingles.select("item_id", "v", "item", "q", F.col("s").alias("s2")), "item")
+    shared = parts.join(asked, F.col("doc_id").eqNullSafe(F.col("i2")) & (F.col("k") == F.col("k2")) & (F.col("s") == F.col("s2")))
     counts = shared.groupBy("doc_id", "k", "item_id", "v", "q").agg(F.count("*").alias("n_shared"))
     return counts.where(F.col("n_shared") * 100 >= F.col("q") * percent).select(
         "doc_id", "item_id", F.col("q").alias("n_item"), "n_shared", (F.col("n_shared") / F.col("q")).alias("containment"), "k", "v"

@@ -30,9 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
+from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from tidemark.llm.common import bytes_of, few_rows, save, slices, strings, text_hash
-from tidemark.llm.hashing import mix, powers, prefix, spans
+from tidemark.llm.hashing import mix, powers, prefix
 from tidemark.llm.rindex import RunIndex
 
 LENGTH = 400
@@ -81,7 +82,9 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int):
     run = np.repeat(np.arange(len(start)), count)
     at = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count) + low[run]
     times = np.bincount(run[anchors[least[at]] == small[start][run]], minlength=len(start))
-    return doc[start], small[start], spans(h, start, start + size), start - offsets[doc[start]], size, times
+    # a context is named by a digest of its bytes: a polynomial hash lets some long strings share a name
+    context = np.array([xxh3_64_intdigest(data[a:b]) for a, b in zip(start.tolist(), (start + size).tolist())], dtype=np.uint64)
+    return doc[start], small[start], context, start - offsets[doc[start]], size, times
 
 
 def _runs(length: int, anchor: int):
@@ -108,19 +111,17 @@ def _index(length: int):
 
 
 def _windows(length: int):
-    """Each window of each context with two hashes that stand for its bytes."""
+    """Each window of each context with the halves of a 128-bit digest of its bytes."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "bytes", 1 << 16):
             data, offsets = bytes_of(batch.column("bytes"))
-            h = prefix(data)
             count = np.diff(offsets) - length + 1
             row = np.repeat(np.arange(batch.num_rows), count)
             at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
             start = offsets[row] + at
-            half = start + length // 2
-            w = [pa.array(x.view(np.int64)) for x in (spans(h, start, half), spans(h, half, start + length))]
-            yield pa.RecordBatch.from_arrays([*w, *(batch.column(x).take(pa.array(row)) for x in ("h", "c", "n", "m")), pa.array(at)], names=["w1", "w2", "h", "c", "n", "m", "s"])
+            names = np.frombuffer(b"".join([xxh3_128_digest(data[a : a + length]) for a in start.tolist()]), dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(names[:, 0].copy()), pa.array(names[:, 1].copy()), *(batch.column(x).take(pa.array(row)) for x in ("h", "c", "n", "m")), pa.array(at)], names=["w1", "w2", "h", "c", "n", "m", "s"])
 
     return windows
 

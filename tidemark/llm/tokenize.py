@@ -19,6 +19,8 @@ from tidemark.llm.hashing import mix, powers
 
 #: The first code point that is left to the tokenizer; İ lower-cases to two characters.
 LATIN_END = 0x250
+#: Longer pieces are merged one by one, whether or not they repeat.
+LONG = 64
 _DOTTED = 0x130
 _LETTER, _DIGIT, _SPACE, _OTHER = 0, 1, 2, 3
 _SPACES = {0x20, 0x85, 0xA0, *range(0x09, 0x0E)}
@@ -162,6 +164,8 @@ class WordIds:
         end = at + filled[np.append(at[1:], len(flat))] - filled[at]
         h = np.append(np.uint64(0), np.cumsum((low.astype(np.uint64) + np.uint64(1)) * powers(len(low))))
         value = mix((h[end] - h[at]) * powers(len(h), inverse=True)[at])
+        long = np.flatnonzero(end - at > LONG)  # no two of these count as equal: a polynomial hash lets some long strings share a value
+        value[long] = mix(long.astype(np.uint64))
         _, example, which = np.unique(value, return_index=True, return_inverse=True)
         ids, of = self._pieces(low, at[example], end[example])
         count = np.bincount(of, minlength=len(example))

@@ -71,9 +71,13 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", body.alias("body"), F.sha1(body).alias("digest"), F.monotonically_increasing_id().alias("rid"))
     rows = save(rows, "payloads")
+    # digests meet without their bodies, which then move by row: a payload that many pages share goes to no one task
     rank = F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id").alias("p"), "rid")
-    first = rows.where(F.length("body") >= min_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.min(rank).alias("f")).where("n > 1").select("digest", "f")
-    rows = rows.join(first, "digest", "left").select("page_id", "url", "body", F.when(F.col("f.rid") != F.col("rid"), F.concat(F.lit("<urn:x-page:"), F.coalesce(F.col("f.p").cast("string"), F.lit(_NULL)), F.lit(">"))).alias("refers_to"))
+    light = rows.where(F.length("body") >= min_bytes).select("digest", "page_id", "rid")
+    first = light.groupBy("digest").agg(F.count("*").alias("n"), F.min(rank).alias("f")).where("n > 1").select("digest", "f")
+    uri = F.concat(F.lit("<urn:x-page:"), F.coalesce(F.col("f.p").cast("string"), F.lit(_NULL)), F.lit(">"))
+    revisits = light.join(first, "digest").where(F.col("f.rid") != F.col("rid")).select("rid", uri.alias("refers_to"))
+    rows = rows.join(revisits, "rid", "left").select("page_id", "url", "body", "refers_to")
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, base = fs.FileSystem.from_uri(folder)
