@@ -283,31 +283,91 @@ def fitting(pool, limit, notionals):
     return best
 
 
-def test_largest_notional_as_brute_force(spark):
+def largest_fitting(vq, vb, real, fee, limit):
+    """(notional, impact): the largest notional that fits, by jumps over Python's integers."""
+    keep, most = 10_000 - min(fee, 10_000), (1 << 63) - 1
+    if min(vq, vb, real, keep) <= 0:
+        return None
+    q = min((vq * (limit + 1) - 1) // 10_000, most * keep // 10_000)
+    if vb > real + 1:
+        q = min(q, ((real + 1) * vq - 1) // (vb - real - 1))
+    while q > 0 and (r := vb * q // (vq + q)) > 0:
+        n = ((10_001 + limit) * r * vq - 1) // (10_000 * vb)
+        if q <= n:
+            return min(((q + 1) * 10_000 - 1) // keep, most), max(q * vb * 10_000 // (r * vq) - 10_000, 0)
+        q = n
+    return None
+
+
+POOLS = "id bigint, v_quote {0}, v_base {0}, real_base {0}, fee_bps bigint"
+
+
+@pytest.mark.parametrize("room", [9e37, 0])
+@pytest.mark.parametrize("limit", [0, 7, 300, 5_000])
+def test_largest_notional_as_brute_force(spark, monkeypatch, limit, room):
+    if room == 0 and limit == 0:
+        limit = 30
+    monkeypatch.setattr(outcomes, "ROOM", room)
     rng = random.Random(7)
     pools = []
     for _ in range(300):
         vq, vb = (rng.randint(1, 10 ** rng.randint(1, 4)) for _ in range(2))
-        pools.append((vq, vb, rng.randint(1, 2 * vb), rng.choice([0, 100, 250, 9_999])))
-    for limit in (0, 7, 300, 5_000):
-        for pool in pools:
-            if pool[3] == 9_999:
-                continue
-            top = (pool[0] * (limit + 1) // 10_000 + 2) * 10_000 // (10_000 - pool[3]) + 2
-            assert outcomes.largest_fitting(*pool, limit) == fitting(pool, limit, range(top)), (pool, limit)
-    for e in range(3, 19):
-        for f in (3, e, 18):
-            for real in (10**f, 10**f // 1000):
-                pool = (10**e, 10**f, real, 100)
-                got = outcomes.largest_fitting(*pool, 300)
-                if got:
-                    assert fitting(pool, 300, [got[0]]) == got
-                    assert fitting(pool, 300, range(got[0] + 1, got[0] + 3000)) is None
-    rows = [(0, 1_000_000, 50_000_000, 40_000_000, 100), (1, 2_000_000, 50_000_000, 40_000_000, 100), (2, 10**18, 10**18, 10**18, 100), (3, 1_000_000, 50_000_000, 1_000, 100), (4, None, 5, 5, 100), (5, 1_000, 1_000, 1_000, 10_000)]
-    table = spark.createDataFrame(rows, "id bigint, v_quote bigint, v_base bigint, real_base bigint, fee_bps bigint")
-    got = {r.id: r.max_notional for r in outcomes.max_notional(table, ["id"], 300).collect()}
-    assert got == {k: x and x[0] for k, *pool in rows for x in [outcomes.largest_fitting(*pool, 300)]}
-    assert (got[0], got[1], got[4], got[5]) == (30_404, 60_808, None, None) and got[2] > 3 * 10**16 and got[3] == fitting(rows[3][1:], 300, range(40_000))[0]
+        pools.append((vq, vb, rng.randint(1, 2 * vb), rng.choice([0, 100, 250])))
+    want = {}
+    for k, pool in enumerate(pools):
+        top = (pool[0] * (limit + 1) // 10_000 + 2) * 10_000 // (10_000 - pool[3]) + 2
+        want[k] = fitting(pool, limit, range(top))
+        assert want[k] == largest_fitting(*pool, limit)
+    table = spark.createDataFrame([(k, *p) for k, p in enumerate(pools)], POOLS.format("bigint"))
+    got = {r.id: r.max_notional and (r.max_notional, r.impact_bps) for r in outcomes.max_notional(table, ["id"], limit).collect()}
+    assert got == want
+    found = outcomes.max_notional(table, ["id"], limit)
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_largest_notional_of_any_size(spark):
+    pools = [(10**e, 10**f, real, 100) for e in range(3, 19) for f in (3, e, 18) for real in (10**f, 10**f // 1000)]
+    pools += [(1_000_000, 50_000_000, 40_000_000, 100), (1_000_000, 50_000_000, 1_000, 100), (10**18, 1, 1, 0), ((1 << 63) - 1, (1 << 63) - 1, (1 << 63) - 1, 0)]
+    table = spark.createDataFrame([(k, *p) for k, p in enumerate(pools)] + [(-1, None, 5, 5, 100), (-2, 1_000, 1_000, 1_000, 10_000), (-3, 5, 5, 5, None)], POOLS.format("bigint"))
+    for limit in (300, 2):
+        got = {r.id: r.max_notional and (r.max_notional, r.impact_bps) for r in outcomes.max_notional(table, ["id"], limit).collect()}
+        assert got == {k: largest_fitting(*p, limit) for k, p in enumerate(pools)} | {-1: None, -2: None, -3: None}
+        for k, pool in enumerate(pools):
+            if got[k] and got[k][0] < (1 << 63) - 3000:
+                assert fitting(pool, limit, [got[k][0]]) == got[k] and fitting(pool, limit, range(got[k][0] + 1, got[k][0] + 3000)) is None
+    wide = [(10**24 * 7, 10**27, 8 * 10**26, 100), (10**70, 10**60, 10**60, 30), (3 * 10**30, 10**9, 10**9, 0), (10**6, 10**75, 10**75, 0)]
+    table = spark.createDataFrame([(k, *map(str, p[:3]), p[3]) for k, p in enumerate(wide)] + [(9, "x", "1", "1", 0)], POOLS.format("string"))
+    got = {r.id: r.max_notional for r in outcomes.max_notional(table, ["id"], 250).collect()}
+    for k, pool in enumerate(wide):
+        assert fitting(pool, 250, [int(got[k])]) and not fitting(pool, 250, range(int(got[k]) + 1, int(got[k]) + 2000))
+    assert got[9] is None and len(got[1]) > 60
+
+
+def test_wide_quotes_as_python_integers(spark):
+    rng = random.Random(3)
+    rows = []
+    for k in range(120):
+        size = rng.choice([3, 18, 37, 60, 75])
+        vq, vb, real, notional = (rng.randint(0, 10**size) for _ in range(4))
+        rows.append((k, str(notional), str(vq), str(rng.choice([vb, 0])), str(rng.choice([real, 10**75])), rng.choice([0, 100, 9_000]), rng.choice([0, 50, 2_000])))
+    rows += [(900, "5", None, "5", "5", 0, 0), (901, None, "5", "5", "5", 0, 0), (902, "5", "5", "5", None, 0, 0), (903, "5", "5", "5", "5", None, 0)]
+    names = "id bigint, notional {0}, v_quote {0}, v_base {0}, real_base {0}, fee_bps int, tax_bps int"
+    got = {r.id: (r.net_quote, r.tokens_out, r.status, r.impact_bps) for r in outcomes.quoted_wide(spark.createDataFrame(rows, names.format("string"))).collect()}
+    for k, *rest in rows[:120]:
+        notional, vq, vb, real = map(int, rest[:4])
+        net = notional * (10_000 - min(rest[4] + rest[5], 10_000)) // 10_000
+        raw = vb * net // (vq + net) if vq + net else None
+        if raw is None:
+            continue
+        out = min(raw, real)
+        status = "NO_LIQUIDITY" if out == 0 else "CAPPED" if raw > real else "OK"
+        impact = max(net * vb * 10_000 // (out * vq) - 10_000, 0) if status == "OK" and vq else None
+        assert got[k] == (str(net), str(out), status, impact if impact is None or impact < 1 << 63 else None), k
+    assert [got[k][2] for k in (900, 901, 902, 903)] == ["NO_RESERVES", "UNKNOWN", "OK", "UNKNOWN"]
+    small = [(k, rng.randint(1, 10**6), rng.randint(1, 10**9), rng.randint(1, 10**9), rng.randint(0, 10**6), rng.choice([0, 99]), 5) for k in range(200)]
+    by_number = outcomes.quoted(spark.createDataFrame(small, names.format("bigint"))).select("id", F.col("net_quote").cast("string"), F.col("tokens_out").cast("string"), "status", "impact_bps")
+    by_limbs = outcomes.quoted_wide(spark.createDataFrame([(r[0], *map(str, r[1:5]), *r[5:]) for r in small], names.format("string"))).select("id", "net_quote", "tokens_out", "status", "impact_bps")
+    assert sorted(map(tuple, by_number.collect())) == sorted(map(tuple, by_limbs.collect()))
 
 
 def test_leaks_and_violations(spark):

@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions import wideint
+
 BPS = 10_000
 WIDE = T.DecimalType(38, 0)
 
@@ -59,12 +61,9 @@ def muldiv(a: Column, b: Column, c: Column) -> Column:
     return F.try_add(first, floor_div(rest, c)).cast(WIDE)
 
 
-@F.pandas_udf(T.StringType())
-def muldiv_text(a, b, c):
-    """floor(a * b / c) over decimal strings of any length, for rows beyond 38 digits."""
-    import pandas as pd
-
-    return pd.Series([None if None in (x, y, z) or int(z) == 0 else str(int(x) * int(y) // int(z)) for x, y, z in zip(a, b, c)], dtype=object)
+def muldiv_text(a: Column | str, b: Column | str, c: Column | str) -> Column:
+    """floor(a * b / c) over decimal strings below 2**256, for rows beyond 38 digits; text."""
+    return wideint.muldiv(a, b, c)
 
 
 def bps(a: Column, b: Column) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.amounts import at_most, bps, floor_div, return_bps, return_bps_even, trunc_div, wide
+from tidemark.functions import wideint
+from tidemark.functions.amounts import at_least, at_most, bps, floor_div, return_bps, return_bps_even, trunc_div, wide
 from tidemark.operators.asof import as_of
 from tidemark.operators.prepare import label_quality, price_valid
 
@@ -58,7 +61,7 @@ def quoted(rows: DataFrame) -> DataFrame:
 
     Needs notional, v_quote, v_base, real_base, fee_bps and tax_bps.  Output is capped by
     what is there; without reserves it is NULL (NO_RESERVES), as with a missing fee or
-    notional (UNKNOWN).  Products stay within 38 digits for reserves up to about 10**18.  Each
+    notional (UNKNOWN).  Products stay within 38 digits for reserves up to about 10**18 (``quoted_wide`` beyond).  Each
     step is a column of its own, so later ones refer to it and don't repeat it.
     """
     cut = at_most(F.col("fee_bps") + F.col("tax_bps"), F.lit(10_000))
@@ -77,33 +80,138 @@ def fee_overlay(fee_bps: Column, creator_bps: Column) -> Column:
     return at_most(fee_bps + creator_bps, F.lit(2_000))
 
 
-def largest_fitting(v_quote, v_base, real_base, fee_bps, limit_bps: int) -> tuple[int, int] | None:
-    """(notional, impact_bps): the largest notional that is quoted OK with at most ``limit_bps``; exact integers.
+def quoted_wide(rows: DataFrame) -> DataFrame:
+    """As ``quoted``, over notional, v_quote, v_base and real_base as decimal text below 2**256; amounts come as text.
 
-    With r tokens out, the impact fits just up to a net quote of n(r).  So if a net quote q gives r
-    and is above n(r), none of those from q down to n(r) + 1 fits, and n(r) is next.
+    All products are worked out by limbs, so reserves of tokens with 18 decimals have no bound of their own.
+    """
+    mul, div, cut = wideint.multiply, wideint.divide, wideint.resized
+    few = lambda n: F.array(F.lit(n).cast("bigint"))
+    fees = at_most(F.col("fee_bps") + F.col("tax_bps"), F.lit(10_000)).cast("bigint")
+    x = rows.select("*", *(wideint.parse(c).alias(f"__{c}") for c in ("notional", "v_quote", "v_base", "real_base")), (F.lit(10_000).cast("bigint") - fees).alias("__keep"))
+    vq, vb, net, out = (F.col(c) for c in ("__v_quote", "__v_base", "__net", "__out"))
+    x = x.withColumn("__net", F.when(F.col("__keep").isNotNull(), cut(div(mul(F.col("__notional"), 9, F.array(F.col("__keep")), 1), 10, few(10_000), 1), 10, 9)))
+    x = x.withColumn("__raw", F.when(vq.isNotNull() & vb.isNotNull() & net.isNotNull(), cut(div(mul(vb, 9, net, 9), 18, wideint.add(vq, net, 9), 10), 18, 9)))
+    x = x.withColumn("__capped", F.coalesce(wideint.less(F.col("__real_base"), F.col("__raw")), F.lit(False))).withColumn("__out", F.when(F.col("__capped"), F.col("__real_base")).otherwise(F.col("__raw")))
+    status = F.when(vq.isNull() | vb.isNull(), "NO_RESERVES").when(out.isNull(), "UNKNOWN").when(out == wideint.limbs(0), "NO_LIQUIDITY").when(F.col("__capped"), "CAPPED").otherwise("OK")
+    x = x.withColumn("status", status).withColumn("__ratio", F.when(F.col("status") == "OK", wideint.number(div(mul(mul(net, 9, vb, 9), 18, few(10_000), 1), 19, mul(out, 9, vq, 9), 18))))
+    return x.select(*rows.columns, wideint.text(net).alias("net_quote"), wideint.text(out).alias("tokens_out"), "status", at_least(F.col("__ratio") - 10_000, F.lit(0)).try_cast("bigint").alias("impact_bps"))
+
+
+#: Products below this are worked out as decimals of 38 digits, others by limbs.
+ROOM = 9e37
+#: Largest amount of a bigint column.
+_MOST = (1 << 63) - 1
+
+
+def jumps(limit_bps: int) -> int:
+    """Jumps after which the search for the largest notional has ended, whatever the pool.
+
+    With e = (limit + 1) / 10000 and c = (1 + e) v_quote / v_base a net quote q below Q = e v_quote fits once
+    q (Q - q) >= (c + 1) (v_quote + q), which takes at most 2 (c + 1) (2 / e + 1) steps of one down from Q.
+    A jump lowers q, and the tokens out too unless it is the last, by one at least; with c > 1 a step of tokens is c / (1 + e) of q.
     """
-    if None in (v_quote, v_base, real_base, fee_bps) or limit_bps < 0:
-        return None
-    vq, vb, real, keep, most = int(v_quote), int(v_base), int(real_base), 10_000 - min(int(fee_bps), 10_000), (1 << 63) - 1
-    if vq <= 0 or vb <= 0 or real <= 0 or keep <= 0:
-        return None
-    q = min((vq * (limit_bps + 1) - 1) // 10_000, most * keep // 10_000)
-    if vb > real + 1:  # more would be capped
-        q = min(q, ((real + 1) * vq - 1) // (vb - real - 1))
-    while q > 0 and (r := vb * q // (vq + q)) > 0:
-        n = ((10_001 + limit_bps) * r * vq - 1) // (10_000 * vb)
-        if q <= n:
-            return min(((q + 1) * 10_000 - 1) // keep, most), max(q * vb * 10_000 // (r * vq) - 10_000, 0)
-        q = n
-    return None
+    e = (limit_bps + 1) / 10_000
+    return int(4 * (2 / e + 1) * (1 + e)) + 3
+
+
+def _search(start: Column, fits: Callable[[Column, Column], Column], out: Callable[[Column], Column], bound: Callable[[Column], Column], positive: Callable[[Column], Column], limit_bps: int) -> Column:
+    """(q, r, found) of the largest net quote that fits, coming down from ``start``.
+
+    With r tokens out the impact fits just up to a net quote n(r).  So if a net quote q gives r and is
+    above n(r), none of those from q down to n(r) + 1 fits, and n(r) is next.
+    """
+
+    def step(acc: Column, _: Column) -> Column:
+        def tried(r: Column) -> Column:
+            end = lambda q, found: F.struct(q.alias("q"), r.alias("r"), F.lit(True).alias("end"), F.lit(found).alias("found"))
+            following = F.struct(bound(r).alias("q"), r.alias("r"), F.lit(False).alias("end"), F.lit(False).alias("found"))
+            return F.when(~positive(r), end(acc["q"], False)).when(fits(acc["q"], r), end(acc["q"], True)).otherwise(following)
+
+        over = F.struct(acc["q"].alias("q"), acc["r"].alias("r"), F.lit(True).alias("end"), F.lit(False).alias("found"))
+        return F.when(acc["end"], acc).when(~positive(acc["q"]), over).otherwise(wideint.let(out(acc["q"]), tried))
+
+    begin = F.struct(start.alias("q"), start.alias("r"), F.lit(False).alias("end"), F.lit(False).alias("found"))
+    return F.aggregate(F.array_repeat(F.lit(0), jumps(limit_bps)), begin, step)
+
+
+def _by_decimal(x: DataFrame, limit_bps: int) -> DataFrame:
+    """``x`` with ``notional`` and ``impact_bps`` of pools (__vq, __vb, __real, __keep) whose products stay within 38 digits."""
+    dec = lambda n: F.lit(n).cast("decimal(38,0)")
+    vq, vb, real, keep = (F.col(c).cast("decimal(38,0)") for c in ("__vq", "__vb", "__real", "__keep"))
+    x = x.withColumn("__start", F.least(floor_div(vq * dec(limit_bps + 1) - 1, dec(10_000)), floor_div(dec(_MOST) * keep, dec(10_000))))
+    x = x.withColumn("__start", F.when(vb > real + 1, F.least("__start", floor_div(wide((real + 1) * vq) - 1, vb - real - 1))).otherwise(F.col("__start")))
+    found = _search(
+        wide(F.col("__start")),
+        fits=lambda q, r: wide(q * dec(10_000)) * vb < wide(r * dec(10_001 + limit_bps)) * vq,
+        out=lambda q: floor_div(vb * q, vq + q),
+        bound=lambda r: floor_div(wide(wide(r * dec(10_001 + limit_bps)) * vq) - 1, vb * dec(10_000)),
+        positive=lambda y: y > 0,
+        limit_bps=limit_bps,
+    )
+    x = x.withColumn("__s", F.when(F.col("__vq").isNotNull(), found))
+    q, r = F.col("__s.q"), F.col("__s.r")
+    notional = F.least(floor_div((q + 1) * dec(10_000) - 1, keep), dec(_MOST)).cast("string")
+    impact = F.greatest(floor_div(wide(q * vb) * dec(10_000), r * vq) - 10_000, dec(0)).cast("bigint")
+    return x.withColumn("notional", F.when(F.col("__s.found"), notional)).withColumn("impact_bps", F.when(F.col("__s.found"), impact))
+
+
+def _by_limbs(x: DataFrame, limit_bps: int, bounded: bool) -> DataFrame:
+    """As ``_by_decimal`` for pools of any size; ``bounded`` keeps notionals within a bigint."""
+    few = lambda n: F.array(F.lit(n).cast("bigint"))
+    mul, div, cut = wideint.multiply, wideint.divide, wideint.resized
+    one, most, none = (wideint.limbs(n) for n in (1, _MOST, 0))
+    minus_one = lambda y, size: wideint.subtract(y, cut(one, 9, size))
+    x = x.select("*", *(wideint.parse(c).alias(f"{c}s") for c in ("__vq", "__vb", "__real")))
+    vq, vb, real, keep = F.col("__vqs"), F.col("__vbs"), F.col("__reals"), F.array(F.col("__keep"))
+    # each bound is a column of its own, so that the comparison doesn't work it out again
+    x = x.withColumn("__a", cut(div(minus_one(mul(vq, 9, few(limit_bps + 1), 1), 10), 10, few(10_000), 1), 10, 9))
+    x = x.withColumn("__b", cut(div(mul(most, 9, keep, 1), 10, few(10_000), 1), 10, 9) if bounded else F.col("__a"))
+    x = x.withColumn("__more", cut(wideint.add(real, one, 9), 9 + 1, 9)).withColumn("__tight", wideint.less(F.col("__more"), vb))
+    x = x.withColumn("__c", F.when(F.col("__tight"), cut(div(minus_one(mul(F.col("__more"), 9, vq, 9), 18), 18, wideint.subtract(vb, F.col("__more")), 9), 18, 9)).otherwise(F.col("__a")))
+    least = lambda m, n: F.when(wideint.less(F.col(m), F.col(n)), F.col(m)).otherwise(F.col(n))
+    x = x.withColumn("__d", least("__a", "__b")).withColumn("__start", least("__d", "__c")).withColumn("__divisor", mul(vb, 9, few(10_000), 1))
+    # the price asked for r tokens is r times this
+    x = x.withColumn("__asked", mul(vq, 9, few(10_001 + limit_bps), 1))
+    found = _search(
+        F.col("__start"),
+        fits=lambda q, r: wideint.less(mul(F.col("__divisor"), 10, q, 9), mul(F.col("__asked"), 10, r, 9)),
+        out=lambda q: cut(div(mul(vb, 9, q, 9), 18, wideint.add(vq, q, 9), 10), 18, 9),
+        bound=lambda r: cut(div(minus_one(mul(F.col("__asked"), 10, r, 9), 19), 19, F.col("__divisor"), 10), 19, 9),
+        positive=lambda y: y != none,
+        limit_bps=limit_bps,
+    )
+    x = x.withColumn("__s", F.when(F.col("__vqs").isNotNull(), found)).withColumn("__q", F.col("__s.q"))
+    x = x.withColumn("__up", cut(wideint.add(F.col("__q"), one, 9), 10, 9))
+    x = x.withColumn("__gross", cut(div(minus_one(mul(F.col("__up"), 9, few(10_000), 1), 10), 10, keep, 1), 10, 9))
+    x = x.withColumn("__most", most).withColumn("__gross", least("__gross", "__most") if bounded else F.col("__gross"))
+    x = x.withColumn("__ratio", wideint.number(div(mul(F.col("__divisor"), 10, F.col("__q"), 9), 19, mul(F.col("__s.r"), 9, vq, 9), 18)))
+    return x.withColumn("notional", F.when(F.col("__s.found"), wideint.text(F.col("__gross")))).withColumn("impact_bps", F.when(F.col("__s.found"), at_least(F.col("__ratio") - 10_000, F.lit(0)).cast("bigint")))
 
 
 def max_notional(pools: DataFrame, keys: list[str], limit_bps: int) -> DataFrame:
-    """Largest notional whose impact is at most ``limit_bps`` (keys, max_notional, impact_bps); NULL if none fits."""
-    fits = F.udf(lambda *pool: largest_fitting(*pool, limit_bps), "notional bigint, impact_bps bigint")
-    found = pools.select(*keys, fits("v_quote", "v_base", "real_base", "fee_bps").alias("x"))
-    return found.groupBy(*keys).agg(F.max("x").alias("b")).select(*keys, F.col("b.notional").alias("max_notional"), F.col("b.impact_bps").alias("impact_bps"))
+    """Largest notional whose impact is at most ``limit_bps`` (keys, max_notional, impact_bps); NULL if none fits.
+
+    ``pools``: v_quote, v_base, real_base and fee_bps.  Whole numbers give a bigint; decimal text below 2**240 gives text,
+    without the bound of a bigint.  Rows whose products may pass 38 digits are worked out by limbs.
+    """
+    as_text = dict(pools.dtypes)["v_quote"] == "string"
+    names = {"__vq": "v_quote", "__vb": "v_base", "__real": "real_base"}
+    keep = (F.lit(10_000) - F.least(F.col("fee_bps"), F.lit(10_000))).cast("bigint")
+    size = lambda c: F.col(c).try_cast("double")
+    good = F.lit(limit_bps >= 0) & F.col("fee_bps").isNotNull() & (keep > 0)
+    for c in names.values():
+        good &= size(c) > 0
+    small = (size("v_quote") * size("v_base") * (10_001 + limit_bps) < ROOM) & (size("real_base") < 9e18) & (size("v_quote") < 9e30) & (size("v_base") < 9e30)
+    x = pools.select(*keys, keep.alias("__keep"), good.alias("__good"), small.alias("__small"), *(F.col(c).alias(k) for k, c in names.items()))
+    limit = max(limit_bps, 0)
+    low = _by_decimal(x.where("coalesce(__good AND __small, false)"), limit)
+    high = _by_limbs(x.where("coalesce(__good AND NOT __small, false)"), limit, not as_text)
+    none = x.where("NOT coalesce(__good, false)").select(*keys, F.lit(None).cast("string").alias("notional"), F.lit(None).cast("bigint").alias("impact_bps"))
+    found = low.select(*keys, "notional", "impact_bps").unionByName(high.select(*keys, "notional", "impact_bps")).unionByName(none)
+    order = F.struct(F.length("notional").alias("digits"), "notional", "impact_bps")
+    found = found.groupBy(*keys).agg(F.max(F.when(F.col("notional").isNotNull(), order)).alias("b"))
+    return found.select(*keys, (F.col("b.notional") if as_text else F.col("b.notional").cast("bigint")).alias("max_notional"), F.col("b.impact_bps").alias("impact_bps"))
 
 
 def delayed_marks(decisions: DataFrame, marks: DataFrame, delays: DataFrame) -> DataFrame:

@@ -81,7 +81,29 @@ def oc5(spark, d):
     return outcomes.quoted(rows).select("id", "net_quote", "tokens_out", "impact_bps", "status")
 
 
-@query("oc6_max_notional")
+@query(
+    "oc5_wide_quotes",
+    f"{WITH}, x AS (SELECT id, quote * CAST(100000000000 AS HUGEINT) AS amount, CAST(1000000 + trader * 100 AS HUGEINT) * 100000000000 AS vq, CAST(5000000 - quote AS HUGEINT) * 100000000000 AS vb, CAST(30000 AS HUGEINT) * 100000000000 AS cap, 10000 - least(least(100 + id % 50, 2000) + id % 7 * 10, 10000) AS keep FROM t), "
+    "n AS (SELECT *, amount * keep // 10000 AS net FROM x), y AS (SELECT *, vb * net // (vq + net) AS raw FROM n), z AS (SELECT *, least(raw, cap) AS out FROM y) "
+    "SELECT id, CAST(net AS VARCHAR) AS net_quote, CAST(out AS VARCHAR) AS tokens_out, CAST(CASE WHEN out > 0 AND raw <= cap THEN greatest(net * vb * 10000 // (out * vq) - 10000, 0) END AS BIGINT) AS impact_bps, CASE WHEN out <= 0 THEN 'NO_LIQUIDITY' WHEN raw > cap THEN 'CAPPED' ELSE 'OK' END AS status FROM z",
+)
+def oc5_wide(spark, d):
+    """The quotes of oc5 with eleven more decimals, by limbs."""
+    text = lambda c: F.concat(c.cast("string"), F.lit("0" * 11))
+    fee = outcomes.fee_overlay(F.lit(100), F.col("id") % 50)
+    rows = adapters.trades(spark, d).select("id", text(F.col("quote")).alias("notional"), text(1_000_000 + F.col("trader") * 100).alias("v_quote"), text(5_000_000 - F.col("quote")).alias("v_base"), text(F.lit(30_000)).alias("real_base"), fee.alias("fee_bps"), (F.col("id") % 7 * 10).alias("tax_bps"))
+    return outcomes.quoted_wide(rows).select("id", "net_quote", "tokens_out", "impact_bps", "status")
+
+
+@query(
+    "oc6_max_notional",
+    f"""{WITH.replace("WITH ", "WITH RECURSIVE ", 1)}, p AS (SELECT id, CAST(1000000 + trader * 100 AS HUGEINT) AS vq, CAST(50000000 AS HUGEINT) AS vb, CAST(40000000 AS HUGEINT) AS cap FROM t),
+q0 AS (SELECT id, vq, vb, least((vq * 301 - 1) // 10000, ((cap + 1) * vq - 1) // (vb - cap - 1)) AS q FROM p),
+s AS (SELECT id, vq, vb, q, vb * q // (vq + q) AS r FROM q0
+      UNION ALL SELECT id, vq, vb, n AS q, vb * n // (vq + n) AS r FROM (SELECT *, (10301 * r * vq - 1) // (10000 * vb) AS n FROM s) WHERE q > 0 AND r > 0 AND q > n),
+f AS (SELECT id, max(q) AS q, max(r) AS r, max(vq) AS vq, max(vb) AS vb FROM s WHERE q > 0 AND r > 0 AND q <= (10301 * r * vq - 1) // (10000 * vb) GROUP BY id)
+SELECT p.id, CAST(((q + 1) * 10000 - 1) // 9900 AS BIGINT) AS max_notional, CAST(greatest(q * f.vb * 10000 // (r * f.vq) - 10000, 0) AS BIGINT) AS impact_bps FROM p LEFT JOIN f USING (id)""",
+)
 def oc6(spark, d):
     big = lambda n: F.lit(n).cast("bigint")
     pools = adapters.trades(spark, d).select("id", (1_000_000 + F.col("trader") * 100).alias("v_quote"), big(50_000_000).alias("v_base"), big(40_000_000).alias("real_base"), big(100).alias("fee_bps"))
