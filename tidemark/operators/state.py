@@ -165,27 +165,107 @@ def concentration(trades: DataFrame, ticks: DataFrame) -> DataFrame:
     return ticks.join(out, ["token", "age"], "left").withColumn("repeat_buyers", F.coalesce("repeat_buyers", F.lit(0)))
 
 
-def triggered(lifecycle: DataFrame, trades: DataFrame) -> DataFrame:
-    """Snapshots outside the grid: each lifecycle event but SNIPE_TAX, and the first trade."""
+def triggered(lifecycle: DataFrame, trades: DataFrame, launches: DataFrame | None = None) -> DataFrame:
+    """Snapshots outside the grid: each lifecycle event but SNIPE_TAX, the first trade, and the first trade on the pool.
+
+    ``launches`` (token, launchpad) adds tokens that are on a pool from the start.
+    """
     first = trades.groupBy("token").agg(F.min("a").alias("age")).withColumn("trigger", F.lit("FIRST_TRADE"))
-    return lifecycle.where(F.col("type") != "SNIPE_TAX").select("token", F.col("a").alias("age"), F.col("type").alias("trigger")).unionByName(first)
+    pool = _events(lifecycle, trades, None).where("trade")
+    if launches is not None:
+        pool = pool.join(launches.select("token", initial_state(F.col("launchpad")).alias("initial")), "token", "left")
+        pool = pool.withColumn("set", F.coalesce("set", "initial"))
+    pool = pool.where("set = 'AMM_ACTIVE'").groupBy("token").agg(F.min("age").alias("age")).withColumn("trigger", F.lit("AMM_FIRST_TRADE"))
+    return lifecycle.where(F.col("type") != "SNIPE_TAX").select("token", F.col("a").alias("age"), F.col("type").alias("trigger")).unionByName(first).unionByName(pool)
 
 
 #: State that an event sets; a first trade only leads out of DISCOVERED.
 LIFECYCLE_STATE = {"TOKEN_CREATED": "DISCOVERED", "MIGRATION_STARTED": "MIGRATING", "LAUNCH_SWEPT": "GRADUATION_GAP", "MIGRATED": "AMM_ACTIVE", "POOL_GRADUATED": "AMM_ACTIVE"}
+#: Launchpads whose tokens trade on a pool from the start.
+ON_POOL = ("clanker_v4", "pumpswap")
+
 
+def initial_state(launchpad: Column) -> Column:
+    """Lifecycle state of a new token."""
+    return F.when(launchpad.isin(*ON_POOL), "AMM_ACTIVE").otherwise("DISCOVERED")
 
-def lifecycle_state(lifecycle: DataFrame, trades: DataFrame, ticks: DataFrame) -> DataFrame:
-    """State at each tick: of the last state-setting event, else CURVE_ACTIVE after a trade, else DISCOVERED."""
+
+def _events(lifecycle: DataFrame, trades: DataFrame, ticks: DataFrame | None) -> DataFrame:
+    """Trades, events and ticks of tokens in order, with ``set``, the state that the last event set, and ``traded``."""
     to = F.create_map(*[F.lit(x) for kv in LIFECYCLE_STATE.items() for x in kv])
-    w = Window.partitionBy("token").orderBy("age", "side", "id").rowsBetween(Window.unboundedPreceding, 0)
-    events = lifecycle.select("token", F.col("a").alias("age"), "id", F.try_element_at(to, F.col("type")).alias("s")).withColumn("side", F.lit(0))
-    first = trades.select("token", F.col("a").alias("age"), "id", F.lit(None).cast("string").alias("s"), F.lit(0).alias("side"), F.lit(True).alias("trade"))
-    both = events.unionByName(first, allowMissingColumns=True).unionByName(ticks.select("token", "age", "kind", F.lit(1).alias("side")), allowMissingColumns=True)
+    w = Window.partitionBy("token").orderBy("age", "side", "id", "trade").rowsBetween(Window.unboundedPreceding, 0)
+    rows = lifecycle.select("token", F.col("a").alias("age"), "id", F.try_element_at(to, F.col("type")).alias("s"), F.lit(0).alias("side"), F.lit(False).alias("trade"))
+    rows = rows.unionByName(trades.select("token", F.col("a").alias("age"), "id", F.lit(0).alias("side"), F.lit(True).alias("trade")), allowMissingColumns=True)
+    if ticks is not None:
+        rows = rows.unionByName(ticks.select("token", "age", "kind", F.lit(1).alias("side"), F.lit(False).alias("trade")), allowMissingColumns=True)
     # DISCOVERED is no state of its own once a trade is in
     last = F.last(F.when(F.col("s") != "DISCOVERED", F.col("s")), ignorenulls=True).over(w)
-    traded = F.max(F.coalesce(F.col("trade"), F.lit(False))).over(w)
-    return both.select("token", "age", "kind", "side", F.coalesce(last, F.when(traded, "CURVE_ACTIVE"), F.lit("DISCOVERED")).alias("state")).where("side = 1").drop("side")
+    return rows.withColumns({"set": last, "traded": F.max("trade").over(w)})
+
+
+def lifecycle_state(lifecycle: DataFrame, trades: DataFrame, ticks: DataFrame, launches: DataFrame | None = None) -> DataFrame:
+    """State at each tick: of the last state-setting event, else the launchpad's own, else CURVE_ACTIVE after a trade, else DISCOVERED.
+
+    ``launches`` (token, launchpad) tells which tokens begin on a pool; without it all begin as DISCOVERED.
+    """
+    found = _events(lifecycle, trades, ticks).where("side = 1")
+    begin = F.lit(None).cast("string")
+    if launches is not None:
+        found = found.join(launches.select("token", initial_state(F.col("launchpad")).alias("initial")), "token", "left")
+        begin = F.when(F.col("initial") != "DISCOVERED", F.col("initial"))
+    return found.select("token", "age", "kind", F.coalesce("set", begin, F.when(F.col("traded"), "CURVE_ACTIVE"), F.lit("DISCOVERED")).alias("state"))
+
+
+def market(trades: DataFrame, ticks: DataFrame) -> DataFrame:
+    """The market of each token at each tick, from the last trade that says something of it.
+
+    ``trades``: token, a, id, quote, base, pool, on_pool (whether it is a trade on a pool without reserves of its own) and, as decimal
+    text of any length below 2**256, v_quote, v_base, real_quote, real_base, sqrt_price, liquidity and tick.  Virtual reserves make it a
+    curve; failing that a square-root price makes it a V4 pool; failing that ``on_pool`` with a pool makes it a
+    constant-product pool, and one without a pool only renews the amounts of such a pool.  Other trades change nothing.
+
+    market_type, the fields of that type (NULL for the others), last amounts, quality, price_x18 and curve_progress_bps.
+    """
+    from tidemark.functions import wideint
+
+    order = Window.partitionBy("token").orderBy("age", "side", "id").rowsBetween(Window.unboundedPreceding, 0)
+    curve = F.col("v_quote").isNotNull() | F.col("v_base").isNotNull()
+    kind = F.when(curve, "BONDING_CURVE").when(F.col("sqrt_price").isNotNull(), "UNISWAP_V4").when(F.col("on_pool") & F.col("pool").isNotNull(), "CONSTANT_PRODUCT")
+    fields = ("v_quote", "v_base", "real_quote", "real_base", "sqrt_price", "liquidity", "tick", "pool")
+    rows = trades.select("token", F.col("a").alias("age"), "id", F.lit(0).alias("side"), kind.alias("sets"), *fields, F.col("quote").cast("string").alias("quote"), F.col("base").cast("string").alias("base"), F.coalesce("on_pool", F.lit(False)).alias("on_pool"))
+    both = rows.unionByName(ticks.select("token", "age", "kind", F.lit(1).alias("side")), allowMissingColumns=True)
+    last = lambda c, when: F.last(F.when(when, c), ignorenulls=True).over(order)
+    at = F.struct("age", "side", "id")
+    x = both.withColumns({
+        "market_type": last(F.col("sets"), F.col("sets").isNotNull()),
+        "state": last(F.struct("sets", *fields), F.col("sets").isNotNull()),
+        "traded": last(F.struct("quote", "base"), F.col("side") == 0),
+        "first_base": F.first(F.when(F.col("sets") == "BONDING_CURVE", F.col("v_base")), ignorenulls=True).over(order),
+        "curve_base": last(F.struct("v_base"), F.col("sets") == "BONDING_CURVE"),
+        "v4_pool": last(F.struct(at.alias("at"), "pool"), (F.col("sets") == "UNISWAP_V4") & F.col("pool").isNotNull()),
+        "other": last(at, F.col("sets") != "UNISWAP_V4"),
+    })
+    own = (F.col("sets") == F.col("market_type")) | (F.col("on_pool") & (F.col("market_type") == "CONSTANT_PRODUCT"))
+    x = x.withColumn("amounts", last(F.struct("quote", "base"), own & (F.col("side") == 0) & F.col("market_type").isin("BONDING_CURVE", "CONSTANT_PRODUCT"))).where("side = 1")
+    is_ = lambda t: F.col("market_type") == t
+    of = lambda c, t: F.when(is_(t), F.col(f"state.{c}")).alias(c)
+    # a V4 pool is remembered while the market stays one
+    kept = F.when(F.col("other").isNull() | (F.col("v4_pool.at") > F.col("other")), F.col("v4_pool.pool"))
+    pool = F.when(is_("UNISWAP_V4"), kept).when(is_("CONSTANT_PRODUCT"), F.col("state.pool"))
+    scale = F.lit(str(10**18))
+    # last trades give a price where there are no reserves to ask; a pool without known reserves has none
+    from_curve = F.when(F.col("state.v_base").try_cast("double") == 0, F.when(F.col("state.v_quote").isNotNull(), "0")).otherwise(wideint.muldiv("state.v_quote", scale, "state.v_base"))
+    price = F.when(is_("BONDING_CURVE"), from_curve).when(~F.coalesce(is_("CONSTANT_PRODUCT"), F.lit(False)), wideint.muldiv("traded.quote", scale, "traded.base"))
+    amounts = F.when(is_("BONDING_CURVE") | is_("CONSTANT_PRODUCT"), F.col("amounts"))
+    quality = F.when(is_("BONDING_CURVE") | is_("UNISWAP_V4"), "COMPLETE").when(is_("CONSTANT_PRODUCT"), "PARTIAL").otherwise("UNKNOWN")
+    before, now = wideint.parse("first_base"), wideint.parse("curve_base.v_base")
+    sold = wideint.let(F.struct(before.alias("a"), now.alias("b")), lambda s: F.when(s["b"].isNotNull() & s["a"].isNotNull(), F.when(wideint.less(s["a"], s["b"]), "0").otherwise(wideint.text(wideint.subtract(s["a"], s["b"])))))
+    progress = F.least(wideint.muldiv(sold, F.lit("10000"), "first_base").cast("bigint"), F.lit(10_000).cast("bigint"))
+    progress = F.when(sold.isNotNull() & (F.col("first_base").try_cast("double") > 0), progress)
+    return x.select(
+        "token", "age", "kind", F.coalesce("market_type", F.lit("UNKNOWN")).alias("market_type"), *(of(c, "BONDING_CURVE") for c in fields[:4]), *(of(c, "UNISWAP_V4") for c in fields[4:7]), pool.alias("pool"),
+        amounts["quote"].alias("last_quote"), amounts["base"].alias("last_base"), quality.alias("quality"), price.alias("price_x18"), progress.alias("curve_progress_bps"),
+    )
 
 
 def reserves(trades: DataFrame, ticks: DataFrame) -> DataFrame:

@@ -113,7 +113,7 @@ def lifecycle(spark, d):
 CYCLE = "y AS (SELECT token, a, id, CASE kind WHEN 'error' THEN 'MIGRATION_STARTED' WHEN 'purchase' THEN 'MIGRATED' WHEN 'view' THEN 'SNIPE_TAX' END AS type, quote AS amount FROM a WHERE kind IN ('error', 'purchase', 'view'))"
 
 
-@query("st3_triggered_snapshots", f"{WITH}, {CYCLE} SELECT token, a AS age, type AS trigger FROM y WHERE type <> 'SNIPE_TAX' UNION ALL SELECT token, min(a), 'FIRST_TRADE' FROM a GROUP BY token")
+@query("st3_triggered_snapshots", f"{WITH}, {CYCLE} SELECT token, a AS age, type AS trigger FROM y WHERE type <> 'SNIPE_TAX' UNION ALL SELECT token, min(a), 'FIRST_TRADE' FROM a GROUP BY token UNION ALL SELECT token, min(a), 'AMM_FIRST_TRADE' FROM (SELECT a.token, a.a, arg_max(type, (y.a, y.id)) AS s FROM a JOIN y ON y.token = a.token AND type <> 'SNIPE_TAX' AND (y.a, y.id) <= (a.a, a.id) GROUP BY a.token, a.a, a.id) WHERE s = 'MIGRATED' GROUP BY token")
 def st3(spark, d):
     return state.triggered(lifecycle(spark, d), adapters.aged(spark, d))
 
@@ -126,6 +126,53 @@ def st13(spark, d):
     return state.lifecycle_state(lifecycle(spark, d), adapters.aged(spark, d), ticks(spark, d)).drop("kind")
 
 
+_PAD = "CASE chain WHEN 'c0' THEN 'pumpfun' WHEN 'c1' THEN 'clanker_v4' ELSE 'pumpswap' END"
+
+
+@query(
+    "st13_by_launchpad",
+    f"{WITH}, {CYCLE} SELECT m.token, CAST(m.age AS BIGINT) AS age, coalesce(CASE arg_max(type, (y.a, y.id)) FILTER (type <> 'SNIPE_TAX') WHEN 'MIGRATED' THEN 'AMM_ACTIVE' WHEN 'MIGRATION_STARTED' THEN 'MIGRATING' END, CASE WHEN any_value({_PAD}) IN ('clanker_v4', 'pumpswap') THEN 'AMM_ACTIVE' END, CASE WHEN EXISTS (SELECT 1 FROM a WHERE a.token = m.token AND a.a <= m.age) THEN 'CURVE_ACTIVE' END, 'DISCOVERED') AS state FROM m JOIN l USING (token) LEFT JOIN y ON y.token = m.token AND y.a <= m.age GROUP BY m.token, m.age",
+)
+def st13_pads(spark, d):
+    pad = F.when(F.col("chain") == "c0", "pumpfun").when(F.col("chain") == "c1", "clanker_v4").otherwise("pumpswap")
+    launches = adapters.launches(spark, d).select("token", pad.alias("launchpad"))
+    return state.lifecycle_state(lifecycle(spark, d), adapters.aged(spark, d), ticks(spark, d), launches).drop("kind")
+
+
+#: Market data made of trades: curves, square-root prices, pools with and without a name, and plain trades.
+_MARKET = f"""
+k AS (SELECT token, a, id, quote, base, CASE WHEN id % 5 = 0 THEN CAST((1000000 + quote) * CAST(1000000000000 AS HUGEINT) AS VARCHAR) END AS vq, CASE WHEN id % 5 = 0 AND id % 10 <> 0 THEN CAST((1000000 - a % 300000) * CAST(1000000000000000 AS HUGEINT) AS VARCHAR) END AS vb,
+        CASE WHEN id % 5 = 0 THEN CAST(quote AS VARCHAR) END AS rq, CASE WHEN id % 5 = 1 THEN CAST((79228162514 + id) * CAST(1000000000000000000 AS HUGEINT) AS VARCHAR) END AS sp, CASE WHEN id % 5 = 1 AND id % 3 <> 0 THEN CAST(quote * CAST(10000000000 AS HUGEINT) AS VARCHAR) END AS liq,
+        CASE WHEN id % 5 = 1 THEN CAST(a % 1000 - 500 AS VARCHAR) END AS tick, CASE WHEN id % 2 = 0 THEN 'p' || id % 7 END AS pool, id % 5 IN (2, 3) AS on_pool FROM a),
+k1 AS (SELECT *, CASE WHEN vq IS NOT NULL OR vb IS NOT NULL THEN 'BONDING_CURVE' WHEN sp IS NOT NULL THEN 'UNISWAP_V4' WHEN on_pool AND pool IS NOT NULL THEN 'CONSTANT_PRODUCT' END AS sets FROM k),
+k2 AS (SELECT *, last_value(sets IGNORE NULLS) OVER (PARTITION BY token ORDER BY a, id) AS mt FROM k1),
+k3 AS (SELECT *, (sets = mt OR (on_pool AND mt = 'CONSTANT_PRODUCT')) AND mt <> 'UNISWAP_V4' AS own FROM k2),
+mk AS (SELECT m.token, CAST(m.age AS BIGINT) AS age, arg_max(k3.mt, (a, id)) AS mt, max((a, id)) FILTER (sets <> 'UNISWAP_V4') AS other, max((a, id)) FILTER (sets = 'UNISWAP_V4' AND pool IS NOT NULL) AS v4_at, arg_max(pool, (a, id)) FILTER (sets = 'UNISWAP_V4' AND pool IS NOT NULL) AS v4_pool,
+         arg_max({{vq: vq, vb: vb, rq: rq, sp: sp, liq: liq, tick: tick, pool: pool}}, (a, id)) FILTER (sets IS NOT NULL) AS s, arg_max({{q: quote, b: base}}, (a, id)) AS tr, arg_max({{q: quote, b: base}}, (a, id)) FILTER (own) AS am,
+         CAST(arg_min(vb, (a, id)) FILTER (sets = 'BONDING_CURVE' AND vb IS NOT NULL) AS HUGEINT) AS fb, CAST((arg_max({{v: vb}}, (a, id)) FILTER (sets = 'BONDING_CURVE')).v AS HUGEINT) AS cb
+       FROM m LEFT JOIN k3 ON k3.token = m.token AND k3.a <= m.age GROUP BY m.token, m.age)
+"""
+
+
+@query(
+    "st14_market",
+    f"{WITH}, {_MARKET} SELECT token, age, coalesce(mt, 'UNKNOWN') AS market_type, CASE WHEN mt = 'BONDING_CURVE' THEN s.vq END AS v_quote, CASE WHEN mt = 'BONDING_CURVE' THEN s.vb END AS v_base, CASE WHEN mt = 'BONDING_CURVE' THEN s.rq END AS real_quote, CAST(NULL AS VARCHAR) AS real_base, "
+    "CASE WHEN mt = 'UNISWAP_V4' THEN s.sp END AS sqrt_price, CASE WHEN mt = 'UNISWAP_V4' THEN s.liq END AS liquidity, CASE WHEN mt = 'UNISWAP_V4' THEN s.tick END AS tick, CASE mt WHEN 'UNISWAP_V4' THEN CASE WHEN other IS NULL OR v4_at > other THEN v4_pool END WHEN 'CONSTANT_PRODUCT' THEN s.pool END AS pool, "
+    "CASE WHEN mt IN ('BONDING_CURVE', 'CONSTANT_PRODUCT') THEN CAST(am.q AS VARCHAR) END AS last_quote, CASE WHEN mt IN ('BONDING_CURVE', 'CONSTANT_PRODUCT') THEN CAST(am.b AS VARCHAR) END AS last_base, CASE WHEN mt IN ('BONDING_CURVE', 'UNISWAP_V4') THEN 'COMPLETE' WHEN mt = 'CONSTANT_PRODUCT' THEN 'PARTIAL' ELSE 'UNKNOWN' END AS quality, "
+    "CAST(CASE WHEN mt = 'BONDING_CURVE' THEN CAST(s.vq AS HUGEINT) * 1000000000000000000 // CAST(s.vb AS HUGEINT) WHEN mt = 'CONSTANT_PRODUCT' THEN NULL ELSE CAST(tr.q AS HUGEINT) * 1000000000000000000 // tr.b END AS VARCHAR) AS price_x18, "
+    "CAST(CASE WHEN cb IS NOT NULL AND fb > 0 THEN least(greatest(fb - cb, 0) * 10000 // fb, 10000) END AS BIGINT) AS curve_progress_bps FROM mk",
+)
+def st14_market(spark, d):
+    times = lambda x, zeros: F.concat(x.cast("string"), F.lit("0" * zeros))
+    k = F.col("id") % 5
+    t = adapters.aged(spark, d).select(
+        "token", "a", "id", "quote", "base", F.when(k == 0, times(1_000_000 + F.col("quote"), 12)).alias("v_quote"), F.when((k == 0) & (F.col("id") % 10 != 0), times(1_000_000 - F.col("a") % 300_000, 15)).alias("v_base"),
+        F.when(k == 0, F.col("quote").cast("string")).alias("real_quote"), F.lit(None).cast("string").alias("real_base"), F.when(k == 1, times(79_228_162_514 + F.col("id"), 18)).alias("sqrt_price"), F.when((k == 1) & (F.col("id") % 3 != 0), times(F.col("quote"), 10)).alias("liquidity"),
+        F.when(k == 1, (F.col("a") % 1000 - 500).cast("string")).alias("tick"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("p"), (F.col("id") % 7).cast("string"))).alias("pool"), k.isin(2, 3).alias("on_pool"),
+    )
+    return state.market(t, ticks(spark, d)).drop("kind")
+
+
 def _reserved(spark, d):
     return adapters.aged(spark, d).withColumn("v_quote", F.when(F.col("side") == "buy", 1000000 + F.col("quote"))).withColumn("v_base", F.when(F.col("id") % 3 != 0, 1000000 - F.col("a") % 300000))
 
