@@ -176,10 +176,10 @@ def trained(features: DataFrame) -> DataFrame:
 
     The medians are order statistics of whole columns, taken by counting values.
     """
-    from tidemark.operators.research import rank_value
+    from tidemark.operators.research import rank_values
 
-    out = None
-    for column, least in (("buyer_acceleration_15s", 1), ("buyer_velocity_15s", 1), ("unique_buyers", 2)):
-        one = rank_value(features, column, 50).select(F.greatest(F.col("value"), F.lit(least)).alias(column))
-        out = one if out is None else out.crossJoin(one)
-    return out
+    floors = {"buyer_acceleration_15s": 1, "buyer_velocity_15s": 1, "unique_buyers": 2}
+    # one row for each column and value, so that all three are taken at once
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("bigint").alias("value")) for c in floors)))
+    found = rank_values(features.select(each.alias("x")).select("x.*"), "value", (50,), ["column"])
+    return found.agg(*(F.greatest(F.max(F.when(F.col("column") == c, F.col("p50"))), F.lit(least)).alias(c) for c, least in floors.items()))

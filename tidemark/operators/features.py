@@ -23,8 +23,10 @@ def totals(s: DataFrame) -> dict[str, Column]:
     }
 
 
-def ratios(s: DataFrame) -> dict[str, Column]:
-    return {
+def ratios(s: DataFrame | None) -> dict[str, Column]:
+    """Ratios in basis points, uncapped; of repeat buyers too if ``s`` has them (``state.concentration``)."""
+    repeat = {"repeat_buyer_bps": bps(F.col("repeat_buyers"), F.col("unique_buyers"))} if s is not None and "repeat_buyers" in s.columns else {}
+    return repeat | {
         "buy_sell_count_bps": bps(F.col("buys"), F.col("sells")), "buy_sell_volume_bps": bps(F.col("buy_quote"), F.col("sell_quote")), "unique_buyer_seller_bps": bps(F.col("unique_buyers"), F.col("unique_sellers")),
         "creator_sold_bps": bps(F.col("creator_sell_quote"), F.col("creator_buy_quote")), "new_buyer_30s_bps": bps(F.col("w30_new_buyers"), F.col("w30_unique_buyers")),
     }

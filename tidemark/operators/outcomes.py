@@ -216,7 +216,7 @@ def max_notional(pools: DataFrame, keys: list[str], limit_bps: int) -> DataFrame
 
 def delayed_marks(decisions: DataFrame, marks: DataFrame, delays: DataFrame) -> DataFrame:
     """Price as of each decision plus the delay of its chain and scenario (chain, scenario, delay_ms)."""
-    d = decisions.join(F.broadcast(delays), "chain").withColumn("at", F.col("age") + F.col("delay_ms"))
+    d = decisions.join(delays, "chain").withColumn("at", F.col("age") + F.col("delay_ms"))
     out = as_of(d, marks.select("token", "a", "id", "px"), ["token"], F.col("at"), F.col("a"), ["a", "id"], "m")
     return out.select("token", "age", "scenario", F.col("m.a").alias("mark_age"), F.col("m.px").alias("px"))
 
@@ -292,21 +292,26 @@ def excursions(positions: DataFrame, marks: DataFrame) -> DataFrame:
     return j.select("token", return_bps(F.col("mfe"), F.col("cost")).alias("mfe_bps"), return_bps(F.col("mae"), F.col("cost")).alias("mae_bps"), capture.cast("bigint").alias("capture_bps"))
 
 
-def performance(positions: DataFrame, orders: DataFrame) -> DataFrame:
-    """Figures per policy: positions (policy, cost, realized, closed), orders (policy, filled)."""
+def performance(positions: DataFrame, orders: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """Figures per policy: positions (policy, cost, realized, closed and, if known, forced_end), orders (policy, filled).
+
+    ``runs`` (policy, research_valid) says whether a policy's run may be used for research; without it that is NULL.
+    """
+    forced = F.coalesce("forced_end", F.lit(False)) if "forced_end" in positions.columns else F.lit(False)
     r = F.coalesce(return_bps(F.col("realized"), F.col("cost")), F.lit(0))
     gain = F.col("realized") - F.col("cost")
     p = positions.where("closed").withColumn("r", r).groupBy("policy").agg(
-        F.count("*").alias("trades_closed"), F.count_if(F.col("r") > 0).alias("wins"), F.sum("r").alias("sum_bps"), F.max("r").alias("best_bps"), F.min("r").alias("worst_bps"), F.count_if(F.col("r") >= 10_000).alias("gt_2x"), F.count_if(F.col("r") >= 40_000).alias("gt_5x"), F.count_if(F.col("r") >= 90_000).alias("gt_10x"),
+        F.count("*").alias("trades_closed"), F.count_if(F.col("r") > 0).alias("wins"), F.sum("r").alias("sum_bps"), F.max("r").alias("best_bps"), F.min("r").alias("worst_bps"), F.count_if(F.col("r") >= 10_000).alias("gt_2x"), F.count_if(F.col("r") >= 40_000).alias("gt_5x"), F.count_if(F.col("r") >= 90_000).alias("gt_10x"), F.count_if(forced).alias("forced_ends"),
         F.sum(F.greatest(gain, F.lit(0))).alias("won"), F.sum(F.greatest(-gain, F.lit(0))).alias("lost"),
     )
     o = orders.groupBy("policy").agg(F.count("*").alias("n_orders"), F.count_if("filled").alias("n_filled"))
     j = o.join(p, "policy", "left")
+    j = j.join(runs.select("policy", "research_valid"), "policy", "left") if runs is not None else j.withColumn("research_valid", F.lit(None).cast("boolean"))
     n = F.coalesce("trades_closed", F.lit(0))
     return j.select(
         "policy", "n_orders", "n_filled", bps(F.col("n_filled"), F.col("n_orders")).alias("fill_rate_bps"), n.alias("trades_closed"), F.coalesce(bps(F.col("wins"), F.col("trades_closed")), F.lit(0)).alias("win_rate_bps"),
         trunc_div(F.col("sum_bps"), F.col("trades_closed")).cast("bigint").alias("expectancy_bps"), floor_div(F.col("won") * 1000, F.col("lost")).cast("bigint").alias("profit_factor_x1000"), "best_bps", "worst_bps",
-        F.coalesce("gt_2x", F.lit(0)).alias("gt_2x"), F.coalesce("gt_5x", F.lit(0)).alias("gt_5x"), F.coalesce("gt_10x", F.lit(0)).alias("gt_10x"), (n < 30).alias("sample_insufficient"),
+        F.coalesce("gt_2x", F.lit(0)).alias("gt_2x"), F.coalesce("gt_5x", F.lit(0)).alias("gt_5x"), F.coalesce("gt_10x", F.lit(0)).alias("gt_10x"), (n < 30).alias("sample_insufficient"), F.coalesce("forced_ends", F.lit(0)).alias("forced_ends"), "research_valid",
         (F.col("won") - F.col("lost")).alias("net_signed"), F.greatest(F.col("won") - F.col("lost"), F.lit(0)).alias("net"),
     )
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.amounts import at_least, floor_div
-from tidemark.operators.research import rank_value
+from tidemark.operators.research import rank_values
 
 
 def scan(rows: DataFrame, key: list[str], file: str, order: list[str], time: str, by: list[str], slot: str | None = None, signature: str | None = None, amount: str | None = None) -> DataFrame:
@@ -96,9 +100,24 @@ def capabilities(sessions: DataFrame) -> DataFrame:
 
 
 def dataset_hash(files: DataFrame) -> DataFrame:
-    """Hash over sorted ``path:sha:size`` lines (a bounded list of files)."""
-    line = F.concat_ws(":", "path", "sha", F.col("size").cast("string"))
-    return files.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("dataset_hash"))
+    """Hash over sorted ``path:sha:size`` lines.
+
+    Lines are sorted by range in many tasks; one task then reads the sorted parts in turn and feeds a digest, a batch at a time.
+    """
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, begun = hashlib.sha256(), False
+        for batch in batches:
+            for line in batch.column("line").to_pylist():
+                if line is not None:
+                    h.update((b"\n" if begun else b"") + line.encode())
+                    begun = True
+        yield pa.RecordBatch.from_arrays([pa.array([h.hexdigest()])], names=["dataset_hash"])
+
+    line = F.concat_ws(":", "path", "sha", F.col("size").cast("string")).alias("line")
+    # a row without a line makes sure that there is a task
+    none = files.sparkSession.range(1).select(F.lit(None).cast("string").alias("line"))
+    return files.select(line).unionByName(none).orderBy(F.col("line").asc_nulls_first()).coalesce(1).mapInArrow(digest, "dataset_hash string")
 
 
 def sequence_gaps(rows: DataFrame, stream: str, seq: str) -> DataFrame:
@@ -107,14 +126,23 @@ def sequence_gaps(rows: DataFrame, stream: str, seq: str) -> DataFrame:
     return x.where(F.col(seq) - F.col("p") > 1).select(stream, (F.col("p") + 1).alias("first_missing"), (F.col(seq) - 1).alias("last_missing"))
 
 
+def united(ranges: DataFrame, stream: str) -> DataFrame:
+    """Ranges (stream, first, last) with overlapping and adjoining ones made one."""
+    w = Window.partitionBy(stream).orderBy("first", "last")
+    before = F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    x = ranges.where("first <= last").withColumn("__new", F.when(F.col("first") <= before + 1, 0).otherwise(1))
+    x = x.withColumn("__island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return x.groupBy(stream, "__island").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("__island")
+
+
 def with_recovery(gaps: DataFrame, repaired: DataFrame, stream: str) -> DataFrame:
-    """Gaps with ``recovered``: whether one repaired range (stream, first, last) covers the gap.
+    """Gaps with ``recovered``: whether repaired ranges (stream, first, last) cover the gap, one of them or several together.
 
-    The furthest end of the ranges that start at or before a gap is carried along one sort of the stream, so ranges and
-    gaps are never paired.
+    Ranges are united first.  The furthest end of those that start at or before a gap is then carried along one sort of
+    the stream, so ranges and gaps are never paired.
     """
     g = gaps.select(stream, F.col("first_missing").alias("__at"), F.lit(1).alias("__gap"), "last_missing", F.lit(None).cast("bigint").alias("__end"))
-    r = repaired.select(stream, F.col("first").alias("__at"), F.lit(0).alias("__gap"), F.lit(None).cast("bigint").alias("last_missing"), F.col("last").alias("__end"))
+    r = united(repaired.select(stream, "first", "last"), stream).select(stream, F.col("first").alias("__at"), F.lit(0).alias("__gap"), F.lit(None).cast("bigint").alias("last_missing"), F.col("last").alias("__end"))
     reach = F.max("__end").over(Window.partitionBy(stream).orderBy("__at", "__gap").rowsBetween(Window.unboundedPreceding, 0))
     x = g.unionByName(r).withColumn("__reach", reach).where("__gap = 1")
     return x.select(stream, F.col("__at").alias("first_missing"), "last_missing", F.coalesce(F.col("__reach") >= F.col("last_missing"), F.lit(False)).alias("recovered"))
@@ -176,8 +204,8 @@ def counters(rows: DataFrame, lag: str, by: list[str], percents: tuple[int, ...]
     """
     x = rows.withColumn(lag, at_least(F.col(lag), F.lit(0)))
     out = x.groupBy(*by).agg(F.count("*").alias("events"), F.sum(lag).alias("lag_ms"), F.max(lag).alias("max_lag_ms"))
-    for q in percents:
-        out = out.join(rank_value(x, lag, q, by).withColumnRenamed("value", f"p{q}_ms"), by, "left")
+    if percents:
+        out = out.join(rank_values(x, lag, percents, by).withColumnsRenamed({f"p{q}": f"p{q}_ms" for q in percents}), by, "left")
     return out
 
 

@@ -76,24 +76,56 @@ def pooled(per_shard: DataFrame) -> DataFrame:
     return per_shard.groupBy("hypothesis").agg(F.sum("n").alias("n"), w("p2").alias("p2"), w("p10").alias("p10"))
 
 
-def rank_value(rows: DataFrame, column: str, percent: int, by: list[str] = ()) -> DataFrame:
-    """Nearest-rank quantile: the value at index floor((n - 1) q / 100).
+def _classes(value: Column) -> tuple[Column, Column]:
+    """Two levels of classes that keep the order of numbers: some thousand coarse ones, each in up to 4096."""
+    x = value.cast("double")
+    size = F.log2(F.abs(x) + 1) * 64
+    sign = F.signum(x)
+    return (sign * F.floor(size)).cast("bigint"), (sign * F.floor((size - F.floor(size)) * 4096)).cast("bigint")
 
-    Values are counted first, so the running sum sorts distinct values and not rows.
+
+def placed(counts: DataFrame, by: list[str], value: str, n: str) -> DataFrame:
+    """``counts`` (by, value, n; one row a value) with ``start``, the rows of its group before the value, and ``total``.
+
+    Prefix sums on three levels: over coarse classes, over the classes within one, and over the values within that.
+    No window has more rows than there are classes or values in a class, so a large group is many tasks' work.
+    """
+    coarse, fine = _classes(F.col(value))
+    x = counts.withColumns({"__a": coarse, "__b": fine})
+    small = x.groupBy(*by, "__a", "__b").agg(F.sum(n).alias("__s"))
+    group = [*by] or [F.lit(0)]
+    middle = small.groupBy(*by, "__a").agg(F.sum("__s").alias("__m"))
+    over = Window.partitionBy(*group)
+    before = lambda c, w: F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col(c)
+    middle = middle.select(*(F.col(c).alias(f"__g{k}") for k, c in enumerate(by)), F.col("__a").alias("__a2"), before("__m", over.orderBy("__a")).alias("__base"), F.sum("__m").over(over).alias("total"))
+    same = lambda keys: [F.col(c).eqNullSafe(F.col(f"__g{k}")) for k, c in enumerate(by)] + [F.col(c) == F.col(f"{c}2") for c in keys]
+    small = small.withColumn("__in", before("__s", Window.partitionBy(*by, "__a").orderBy("__b"))).join(middle, same(["__a"]))
+    small = small.select(*(F.col(f"__g{k}") for k in range(len(by))), "__a2", F.col("__b").alias("__b2"), (F.col("__base") + F.col("__in")).alias("__base"), "total")
+    out = x.join(small, same(["__a", "__b"])).withColumn("start", F.col("__base") + before(n, Window.partitionBy(*by, "__a", "__b").orderBy(value)))
+    return out.select(*counts.columns, "start", "total")
+
+
+def rank_values(rows: DataFrame, column: str, percents: tuple[int, ...], by=()) -> DataFrame:
+    """Nearest-rank quantiles of each group, all in one pass: p25 and so on, the values at index floor((n - 1) q / 100).
+
+    Values are counted first, so that distinct values and not rows are ordered.
     """
     by = list(by)
     counts = rows.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("value")).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*by, *([] if by else [F.lit(0)])).orderBy("value")
-    x = counts.withColumn("upto", F.sum("c").over(w)).withColumn("total", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return x.where(F.col("upto") > F.floor((F.col("total") - 1) * percent / 100)).groupBy(*by).agg(F.min("value").alias("value"))
+    x = placed(counts, by, "value", "c")
+    at = lambda q: F.floor((F.col("total") - 1) * q / 100)
+    return x.groupBy(*by).agg(*(F.max(F.when((F.col("start") <= at(q)) & (at(q) < F.col("start") + F.col("c")), F.col("value"))).alias(f"p{q}") for q in percents))
+
+
+def rank_value(rows: DataFrame, column: str, percent: int, by=()) -> DataFrame:
+    """One nearest-rank quantile of each group, as ``value``."""
+    return rank_values(rows, column, (percent,), by).withColumnRenamed(f"p{percent}", "value")
 
 
 def feature_stats(rows: DataFrame, column: str, by: list[str]) -> DataFrame:
     """n, quartiles and missing rate of a feature per group."""
     out = rows.groupBy(*by).agg(F.count("*").alias("n"), bps(F.count_if(F.col(column).isNull()), F.count("*")).alias("missing_bps"))
-    for q in (25, 50, 75):
-        out = out.join(rank_value(rows, column, q, by).withColumnRenamed("value", f"p{q}"), by, "left")
-    return out
+    return out.join(rank_values(rows, column, (25, 50, 75), by), by, "left")
 
 
 def feature_lift(rows: DataFrame, signal: Column, by: list[str]) -> DataFrame:
@@ -110,8 +142,7 @@ def quintiles(rows: DataFrame, column: str, by: list[str]) -> DataFrame:
     keys, hit = [*by, "value"], F.coalesce(F.col("reached_5x"), F.lit(False))
     v = rows.where(F.col(column).isNotNull()).select(*by, F.col(column).alias("value"), "token", hit.alias("hit"))
     counts = v.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"))
-    w = Window.partitionBy(*by).orderBy("value")
-    counts = counts.withColumn("start", F.sum("n").over(w) - F.col("n")).withColumn("n_all", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    counts = placed(counts, by, "value", "n").withColumnRenamed("total", "n_all")
     fifth = lambda i: sum((F.when(i >= F.floor(F.col("n_all") * q / 5), 1).otherwise(0) for q in range(1, 5)), F.lit(1))
     counts = counts.withColumn("quintile", fifth(F.col("start"))).withColumn("last", fifth(F.col("start") + F.col("n") - 1))
     cut = v.join(counts.where("quintile < last").select(*keys, "start", "n_all"), keys)

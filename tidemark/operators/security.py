@@ -15,12 +15,27 @@ CATEGORIES = {
 }
 BANDS = ("NONE", "LOW", "MEDIUM", "HIGH", "CRITICAL")
 SEVERITY = {"INFO": 0, "LOW": 1, "MEDIUM": 2, "HIGH": 3, "CRITICAL": 4}
+#: What a status of the checks SELLABILITY and HONEYPOT_SIM says; others leave it UNKNOWN.
+SELLABILITY = {"PASS": "SELLABLE", "FAIL": "NOT_SELLABLE", "NOT_APPLICABLE": "NOT_APPLICABLE", "PROVIDER_LIMITED": "PROVIDER_LIMITED"}
+HONEYPOT = {"FAIL": "HONEYPOT", "PASS": "NOT_HONEYPOT", "WARN": "CONDITIONAL", "UNKNOWN": "SIMULATION_FAILED", "PROVIDER_LIMITED": "SIMULATION_FAILED"}
 MISSING = ("UNKNOWN", "UNKNOWN_HISTORICAL_STATE", "PROVIDER_LIMITED")
 #: Public four-byte selectors and what they let an owner do.
 SELECTORS = {
     "40c10f19": "MINT", "8da5cb5b": "OWNER", "f2fde38b": "TRANSFER_OWNERSHIP", "715018a6": "RENOUNCE_OWNERSHIP", "8456cb59": "PAUSE", "3f4ba83a": "UNPAUSE",
     "3659cfe6": "UPGRADE_TO", "4f1ef286": "UPGRADE_TO_AND_CALL", "5c60da1b": "IMPLEMENTATION", "f851a440": "ADMIN", "2f2ff15d": "GRANT_ROLE", "d547741f": "REVOKE_ROLE",
 }
+#: Severities of these that aren't MEDIUM.
+SELECTOR_SEVERITY = {"MINT": "CRITICAL", "UPGRADE_TO": "CRITICAL", "UPGRADE_TO_AND_CALL": "CRITICAL", "PAUSE": "HIGH", "UNPAUSE": "HIGH"}
+#: Selectors by the kind of control they give, and the evidence of each kind as (check, severity).
+KINDS = {
+    "owner": ("8da5cb5b", "f2fde38b", "715018a6"), "mint": ("40c10f19",), "burn": ("42966c68",), "pause": ("8456cb59", "3f4ba83a"), "blacklist": ("f9f92be4", "153b0d1e"),
+    "trading": ("8a8c523c", "c9567bf9"), "tax": ("2e5bb6ff", "0b78f9c0", "dc1052e2", "8cd09d50"), "max": ("bc337182", "5d0044ca"), "fees": ("c0246668",), "router": ("c0d78655",), "pair": ("8187f516",),
+    "upgrade": ("3659cfe6", "4f1ef286"), "role": ("2f2ff15d", "d547741f", "91d14854"),
+}
+KIND_EVIDENCE = {
+    "owner": ("EVM_OWNER_SELECTOR", "MEDIUM"), "mint": ("EVM_MINT_BACKDOOR", "CRITICAL"), "blacklist": ("EVM_BLACKLIST", "CRITICAL"), "tax": ("EVM_MUTABLE_TAX", "HIGH"), "max": ("EVM_MAX_TX_WALLET", "HIGH"),
+    "pause": ("EVM_PAUSE", "HIGH"), "upgrade": ("EVM_UPGRADER_ROLE", "CRITICAL"), "role": ("EVM_ACCESSCONTROL", "MEDIUM"),
+}
 #: Further selectors as (selector, label, status, severity, rejects).  Those with
 #: status INFO are no risk by themselves and don't change a verdict.
 MORE_SELECTORS = (
@@ -48,21 +63,25 @@ def category(check: Column) -> Column:
 def assess(evidence: DataFrame) -> DataFrame:
     """One verdict per token from rows (token, check, status, severity, hard_reject, details).
 
-    REJECT > UNKNOWN or WARN > WARN > PASS; what is unknown never passes.
+    REJECT > UNKNOWN or WARN > WARN > PASS; what is unknown never passes.  Of several sellability or honeypot
+    rows the last by ``seq`` counts if there is such a column, else the last status by name.
     """
+    named = lambda names, c: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), c), F.lit("UNKNOWN")).alias(c)
     rank = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in SEVERITY.items() for x in kv]), "severity"), F.lit(0))
     e = evidence.withColumn("__c", category(F.col("check"))).withColumn("__r", rank).withColumn("__t", F.concat_ws(": ", "check", "details"))
     warn = (F.col("status") == "WARN") & ~F.col("hard_reject")
+    place = F.struct("seq", "status") if "seq" in evidence.columns else F.col("status")
+    last = lambda check: F.max_by("status", F.when(F.col("check") == check, place))
     out = e.groupBy("token").agg(
         *(F.coalesce(F.max(F.when(F.col("__c") == c, F.col("__r"))), F.lit(0)).alias(c) for c in CATEGORIES),
         F.array_sort(F.collect_list(F.when(F.col("hard_reject"), F.col("__t")))).alias("rejects"), F.array_sort(F.collect_list(F.when(warn, F.col("__t")))).alias("warnings"),
-        F.max(F.col("status").isin(*MISSING)).alias("__u"), F.max(F.when(F.col("check") == "SELLABILITY", F.col("status"))).alias("sellability"),
+        F.max(F.col("status").isin(*MISSING)).alias("__u"), *(last(check).alias(check.lower()) for check in ("SELLABILITY", "HONEYPOT_SIM")),
     )
     high = (F.col("mechanics") == 3) | (F.col("privilege") == 3) | (F.col("contract") == 3)
     warned = F.size("warnings") > 0
     verdict = F.when(F.size("rejects") > 0, "REJECT").when(F.col("__u"), F.when(warned, "WARN").otherwise("UNKNOWN")).when(warned | high, "WARN").otherwise("PASS")
     band = lambda c: F.get(F.array(*map(F.lit, BANDS)), F.col(c)).alias(f"{c}_risk")
-    return out.select("token", verdict.alias("verdict"), *(band(c) for c in CATEGORIES), "rejects", "warnings", "sellability")
+    return out.select("token", verdict.alias("verdict"), *(band(c) for c in CATEGORIES), "rejects", "warnings", named(SELLABILITY, "sellability"), named(HONEYPOT, "honeypot_sim").alias("honeypot"))
 
 
 def selector_evidence(bytecode: DataFrame, selectors: dict[str, str] = SELECTORS, more: tuple = MORE_SELECTORS, reject_mint: bool = True) -> DataFrame:
@@ -73,7 +92,7 @@ def selector_evidence(bytecode: DataFrame, selectors: dict[str, str] = SELECTORS
     known = []
     for sel, label in selectors.items():
         reject = reject_mint and label == "MINT"
-        known.append((sel, label, "FAIL" if reject else "WARN", "HIGH" if label.startswith("UPGRADE") or label == "MINT" else "MEDIUM", reject))
+        known.append((sel, label, "FAIL" if reject else "WARN", SELECTOR_SEVERITY.get(label, "MEDIUM"), reject))
     rows = bytecode.sparkSession.createDataFrame([*known, *more], "sel string, label string, status string, severity string, hard_reject boolean")
     code = bytecode.select("token", F.lower(F.regexp_replace("code", "^0[xX]", "")).alias("code"))
     at = F.expr("regexp_like(code, concat('^(..)*?63', sel))")
@@ -81,6 +100,21 @@ def selector_evidence(bytecode: DataFrame, selectors: dict[str, str] = SELECTORS
     return hit.select("token", F.concat(F.lit("PRIVILEGE_"), "label").alias("check"), "status", "severity", "hard_reject", F.col("sel").alias("details"))
 
 
+def privilege_evidence(bytecode: DataFrame, reject_mint: bool = True) -> DataFrame:
+    """(token, check, status, severity, hard_reject, details): one row for each kind of control that the code (token, code) has.
+
+    An owner beside a way to change taxes, supply, lists or code is a risk of its own: giving the ownership up may be
+    a pretence.  Code without any known selector says so.  The code is read once for each kind.
+    """
+    code = F.lower(F.regexp_replace("code", "^0[xX]", ""))
+    has = bytecode.select("token", *(F.regexp_like(code, F.lit(f"^(..)*?63({'|'.join(sel)})")).alias(kind) for kind, sel in KINDS.items()))
+    row = lambda check, status, severity, reject, details: F.struct(*(F.lit(x).alias(k) for k, x in zip(("check", "status", "severity", "hard_reject", "details"), (check, status, severity, reject, details))))
+    rows = [F.when(F.col(kind), row(check, "FOUND", severity, kind == "blacklist" or kind == "mint" and reject_mint, kind)) for kind, (check, severity) in KIND_EVIDENCE.items()]
+    rows.append(F.when(F.col("owner") & (F.col("tax") | F.col("mint") | F.col("blacklist") | F.col("upgrade")), row("EVM_FAKE_RENOUNCE_RISK", "FOUND", "HIGH", False, "owner and mutators")))
+    rows.append(F.when(~F.greatest(*KINDS), row("EVM_PRIVILEGE_SELECTORS", "NOT_FOUND", "INFO", False, "no known selector")))
+    return has.select("token", F.explode(F.array_compact(F.array(*rows))).alias("r")).select("token", "r.*")
+
+
 def template_evidence(tokens: DataFrame, registry: DataFrame) -> DataFrame:
     """Code hashes (token, factory, code_hash) against the known template of the factory (factory, template_hash)."""
     j = tokens.join(registry, "factory", "left")

@@ -135,32 +135,64 @@ def rolling(trades: DataFrame, ticks: DataFrame, windows=WINDOWS, ages=None, kin
     return _carried(ticks, changes.select("token", "age", *(F.coalesce(c, F.lit(0)).alias(c) for c in _sums(changes))), ages)
 
 
-def rolling_sizes(trades: DataFrame, ticks: DataFrame, window: int = 60) -> DataFrame:
-    """Smallest, largest and median trade size in the window (an even count gives the floored middle)."""
-    from tidemark.functions.amounts import median_floor
+def _later(trades: DataFrame, ticks: DataFrame, ages, within: int | None) -> DataFrame:
+    """``trades`` (token, a and others) once for each tick that sees them, as ``age``.
 
-    w = Window.partitionBy("token").orderBy("age").rangeBetween(-(1000 * window - 1), 0)
-    both = trades.select("token", F.col("a").alias("age"), "quote").withColumn("tick", F.lit(False)).withColumn("kind", F.lit(None).cast("string")).unionByName(ticks.withColumn("tick", F.lit(True)), allowMissingColumns=True)
-    out = both.select("token", "age", "kind", "tick", F.min("quote").over(w).alias("min_size"), F.max("quote").over(w).alias("max_size"), F.collect_list("quote").over(w).alias("__q"))
-    return out.where("tick").select("token", "age", "kind", "min_size", "max_size", median_floor(F.col("__q")).alias("median_size"))
+    With ``ages``, a fixed list that holds those of the ticks, a trade finds its ages in the list by itself.  Without it
+    it meets the ticks of its token.
+    """
+    sees = lambda age: (age >= F.col("a")) & ((age < F.col("a") + within) if within else F.lit(True))
+    if ages is None:
+        return trades.join(ticks.select("token", "age"), "token").where(sees(F.col("age")))
+    every = F.array(*(F.lit(x).cast("bigint") for x in sorted(set(ages))))
+    return trades.withColumn("age", F.explode(F.filter(every, sees)))
+
+
+def _at_ranks(counts: DataFrame, keys: list[str], value: str, n: str, ranks: dict[str, Column]) -> DataFrame:
+    """Per ``keys`` the values at given ranks from 0, as functions of ``total``, from counts of each value.
+
+    A running count over sorted values, so that no list of values is built.
+    """
+    w = Window.partitionBy(*keys).orderBy(value)
+    x = counts.withColumns({"__upto": F.sum(n).over(w), "total": F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    at = lambda r: (F.col("__upto") - F.col(n) <= r) & (r < F.col("__upto"))
+    return x.groupBy(*keys).agg(*(F.max(F.when(at(r), F.col(value))).alias(k) for k, r in ranks.items()))
+
+
+def rolling_sizes(trades: DataFrame, ticks: DataFrame, window: int = 60, ages=None) -> DataFrame:
+    """Smallest, largest and median trade size in the window (an even count gives the floored middle).
+
+    Sizes are counted per tick; ``ages``, a fixed list that holds the ages of the ticks, saves the join with these.
+    """
+    seen = _later(trades.where("quote IS NOT NULL").select("token", "a", "quote"), ticks, ages, 1000 * window)
+    counts = seen.groupBy("token", "age", "quote").agg(F.count("*").alias("n"))
+    middle = _at_ranks(counts, ["token", "age"], "quote", "n", {"low": F.floor((F.col("total") - 1) / 2), "high": F.floor(F.col("total") / 2)})
+    ends = counts.groupBy("token", "age").agg(F.min("quote").alias("min_size"), F.max("quote").alias("max_size"))
+    out = ends.join(middle, ["token", "age"]).select("token", "age", "min_size", "max_size", (F.col("low") + F.floor((F.col("high") - F.col("low")) / 2)).cast("bigint").alias("median_size"))
+    return ticks.join(out, ["token", "age"], "left").select("token", "age", "kind", "min_size", "max_size", "median_size")
 
 
-def concentration(trades: DataFrame, ticks: DataFrame) -> DataFrame:
+def concentration(trades: DataFrame, ticks: DataFrame, ages=None) -> DataFrame:
     """Wallet concentration at each tick: repeat buyers, buys per buyer, top trader's share of trades and volume.
 
-    Give milestone ticks: each takes its own pass over a token's traders.
+    Trades are summed up per trader and next tick first.  Give milestone ticks: each takes its own pass over a token's
+    traders.  ``ages``, a fixed list that holds the ages of the ticks, saves the join with these.
     """
     from tidemark.functions.amounts import bps, floor_div
 
-    ages = ticks.select("age").distinct()
-    per = trades.join(F.broadcast(ages), F.col("a") <= F.col("age")).groupBy("token", "age", "trader").agg(F.count_if(F.col("side") == "buy").alias("b"), F.count("*").alias("n"), F.sum("quote").alias("v"))
+    sums = lambda b, n, v: (F.sum(b).alias("b"), F.sum(n).alias("n"), F.sum(v).alias("v"))
+    bought = F.when(F.col("side") == "buy", 1).otherwise(0)
+    first = trades.withColumn("a", next_age(F.col("a"), ages)).where("a IS NOT NULL") if ages is not None else trades
+    per = first.groupBy("token", "trader", "a").agg(*sums(bought, F.lit(1), "quote"))
+    per = _later(per, ticks, ages, None).groupBy("token", "age", "trader").agg(*sums("b", "n", "v"))
     out = per.groupBy("token", "age").agg(
         F.count_if(F.col("b") > 1).alias("repeat_buyers"), F.count_if(F.col("b") > 0).alias("buyers"), F.sum("b").alias("buys"), F.max("n").alias("top_n"), F.sum("n").alias("n"), F.max("v").alias("top_v"), F.sum("v").alias("v"),
-        F.array_sort(F.collect_list(F.when(F.col("b") > 0, F.col("b")))).alias("per"),
     )
-    out = out.select(
+    sizes = per.where("b > 0").groupBy("token", "age", "b").agg(F.count("*").alias("m"))
+    median = _at_ranks(sizes, ["token", "age"], "b", "m", {"median_buys": F.floor(F.col("total") / 2)})
+    out = out.join(median, ["token", "age"], "left").select(
         "token", "age", "repeat_buyers", floor_div(F.col("buys") * 1000, F.col("buyers")).cast("bigint").alias("mean_buys_x1000"),
-        F.get("per", F.floor(F.size("per") / 2).cast("int")).alias("median_buys"), bps(F.col("top_n"), F.col("n")).alias("top_trader_trades_bps"), bps(F.col("top_v"), F.col("v")).alias("top_trader_volume_bps"),
+        "median_buys", bps(F.col("top_n"), F.col("n")).alias("top_trader_trades_bps"), bps(F.col("top_v"), F.col("v")).alias("top_trader_volume_bps"),
     )
     return ticks.join(out, ["token", "age"], "left").withColumn("repeat_buyers", F.coalesce("repeat_buyers", F.lit(0)))
 

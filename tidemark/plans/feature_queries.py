@@ -48,10 +48,20 @@ query(
     "ft1_totals",
     f"{WITH_SNAP} SELECT token, age, buys + sells AS trade_count, {_ratio('buy_quote + sell_quote', 'buys + sells', 1)} AS average_trade, {_ratio('buy_quote', 'buys', 1)} AS average_buy, {_ratio('sell_quote', 'sells', 1)} AS average_sell, buy_quote - sell_quote AS net_flow, creator_buy_quote - creator_sell_quote AS creator_net_flow FROM s",
 )(_select(lambda: features.totals(None)))
-query(
+#: Buyers of each milestone who bought more than once.
+_REPEAT = "r AS (SELECT token, age, count(*) AS n FROM (SELECT m.token, m.age, trader FROM m JOIN a ON a.token = m.token AND a.a <= m.age WHERE side = 'buy' GROUP BY ALL HAVING count(*) > 1) GROUP BY ALL)"
+
+
+@query(
     "ft2_ratios",
-    f"{WITH_SNAP} SELECT token, age, {_ratio('buys', 'sells')} AS buy_sell_count_bps, {_ratio('buy_quote', 'sell_quote')} AS buy_sell_volume_bps, {_ratio('unique_buyers', 'unique_sellers')} AS unique_buyer_seller_bps, {_ratio('creator_sell_quote', 'creator_buy_quote')} AS creator_sold_bps, {_ratio('w30_new_buyers', 'w30_unique_buyers')} AS new_buyer_30s_bps FROM s",
-)(_select(lambda: features.ratios(None)))
+    f"{WITH_SNAP}, {_REPEAT} SELECT s.token, s.age, {_ratio('buys', 'sells')} AS buy_sell_count_bps, {_ratio('buy_quote', 'sell_quote')} AS buy_sell_volume_bps, {_ratio('unique_buyers', 'unique_sellers')} AS unique_buyer_seller_bps, {_ratio('creator_sell_quote', 'creator_buy_quote')} AS creator_sold_bps, {_ratio('w30_new_buyers', 'w30_unique_buyers')} AS new_buyer_30s_bps, {_ratio('coalesce(r.n, 0)', 'unique_buyers')} AS repeat_buyer_bps FROM s LEFT JOIN r ON r.token = s.token AND r.age = s.age",
+)
+def ft2(spark, d):
+    con = state.concentration(adapters.aged(spark, d), ticks(spark, d), state.MILESTONES).select("token", "age", "repeat_buyers")
+    s = snapshots(spark, d, windows=(30,)).join(con, ["token", "age"])
+    return s.select("token", "age", *(c.alias(k) for k, c in features.ratios(s).items()))
+
+
 query("ft3_imbalance", f"{WITH_SNAP} SELECT token, age, buys - sells AS imbalance, {', '.join(f'w{w}_buys - w{w}_sells AS w{w}_imbalance' for w in state.WINDOWS)} FROM s")(_select(lambda: features.imbalances(state.WINDOWS)))
 query(
     "ft4_velocity",
@@ -164,7 +174,46 @@ def _code(spark, d):
 _CODE = "c AS (SELECT id AS token, sha256(CAST(id AS VARCHAR)) || CASE WHEN id % 5 = 0 THEN '638da5cb5b' ELSE '' END || CASE WHEN id % 7 = 0 THEN '6352d1902d' ELSE '' END AS code FROM t)"
 
 
-@query("sc2_selectors", f"{WITH}, {_CODE} SELECT token, 'PRIVILEGE_' || label AS check_name, severity FROM c, (VALUES {', '.join(f"('{s}', '{n}', '{'HIGH' if n.startswith('UPGRADE') or n == 'MINT' else 'MEDIUM'}')" for s, n in security.SELECTORS.items())}) v(sel, label, severity) WHERE regexp_matches(code, '^(..)*63' || sel)")
+#: Severities of all selectors, written out here by themselves.
+_SEVERITIES = {"CRITICAL": "40c10f19 3659cfe6 4f1ef286 f9f92be4 153b0d1e", "HIGH": "8456cb59 3f4ba83a 2e5bb6ff 0b78f9c0 dc1052e2 8cd09d50 bc337182 5d0044ca", "INFO": "42966c68 8a8c523c c9567bf9 c0246668 c0d78655 8187f516"}
+_NAMES = {**security.SELECTORS, **{x[0]: x[1] for x in security.MORE_SELECTORS}}
+_KNOWN = ", ".join(f"('{sel}', '{name}', '{next((k for k, v in _SEVERITIES.items() if sel in v), 'MEDIUM')}')" for sel, name in _NAMES.items())
+#: Selectors that turn up by design, each for tokens whose id a number divides.
+_PLANTED = {5: "8da5cb5b", 7: "52d1902d", 9: "40c10f19", 11: "f9f92be4", 13: "2e5bb6ff", 17: "3659cfe6", 19: "8456cb59", 23: "bc337182", 29: "2f2ff15d", 31: "42966c68"}
+_PLANTED_CODE = f"c AS (SELECT id AS token, sha256(CAST(id AS VARCHAR)) || {' || '.join(f"CASE WHEN id % {n} = 0 THEN '63{sel}' ELSE '' END" for n, sel in _PLANTED.items())} AS code FROM t)"
+
+
+def _planted(spark, d):
+    i = F.col("id")
+    return adapters.trades(spark, d).select(i.alias("token"), F.concat(F.lit("0x"), F.sha2(i.cast("string"), 256), *(F.when(i % n == 0, f"63{sel}").otherwise("") for n, sel in _PLANTED.items())).alias("code"))
+
+
+@query(
+    "sc2_privileges",
+    f"{WITH}, {_PLANTED_CODE}, h AS (SELECT token, {', '.join(f"regexp_matches(code, '^(..)*63({'|'.join(sel)})') AS {kind}_" for kind, sel in security.KINDS.items())} FROM c) "
+    "SELECT token, 'EVM_OWNER_SELECTOR' AS check_name, 'MEDIUM' AS severity, false AS hard_reject FROM h WHERE owner_ UNION ALL SELECT token, 'EVM_MINT_BACKDOOR', 'CRITICAL', true FROM h WHERE mint_ UNION ALL SELECT token, 'EVM_BLACKLIST', 'CRITICAL', true FROM h WHERE blacklist_ "
+    "UNION ALL SELECT token, 'EVM_MUTABLE_TAX', 'HIGH', false FROM h WHERE tax_ UNION ALL SELECT token, 'EVM_MAX_TX_WALLET', 'HIGH', false FROM h WHERE max_ UNION ALL SELECT token, 'EVM_PAUSE', 'HIGH', false FROM h WHERE pause_ UNION ALL SELECT token, 'EVM_UPGRADER_ROLE', 'CRITICAL', false FROM h WHERE upgrade_ "
+    "UNION ALL SELECT token, 'EVM_ACCESSCONTROL', 'MEDIUM', false FROM h WHERE role_ UNION ALL SELECT token, 'EVM_FAKE_RENOUNCE_RISK', 'HIGH', false FROM h WHERE owner_ AND (tax_ OR mint_ OR blacklist_ OR upgrade_) "
+    "UNION ALL SELECT token, 'EVM_PRIVILEGE_SELECTORS', 'INFO', false FROM h WHERE NOT (owner_ OR mint_ OR burn_ OR pause_ OR blacklist_ OR trading_ OR tax_ OR max_ OR fees_ OR router_ OR pair_ OR upgrade_ OR role_)",
+)
+def sc2_privileges(spark, d):
+    return security.privilege_evidence(_planted(spark, d)).select("token", F.col("check").alias("check_name"), "severity", "hard_reject")
+
+
+@query(
+    "sc1_sellability",
+    f"{WITH}, e AS (SELECT token, id, CASE WHEN id % 4 = 0 THEN 'HONEYPOT_SIM' ELSE 'SELLABILITY' END AS chk, ['PASS', 'FAIL', 'WARN', 'UNKNOWN', 'PROVIDER_LIMITED', 'NOT_APPLICABLE'][trader % 6 + 1] AS status FROM t), "
+    "x AS (SELECT token, arg_max(status, id) FILTER (chk = 'SELLABILITY') AS s, arg_max(status, id) FILTER (chk = 'HONEYPOT_SIM') AS h FROM e GROUP BY token) "
+    "SELECT token, CASE s WHEN 'PASS' THEN 'SELLABLE' WHEN 'FAIL' THEN 'NOT_SELLABLE' WHEN 'NOT_APPLICABLE' THEN 'NOT_APPLICABLE' WHEN 'PROVIDER_LIMITED' THEN 'PROVIDER_LIMITED' ELSE 'UNKNOWN' END AS sellability, "
+    "CASE WHEN h = 'FAIL' THEN 'HONEYPOT' WHEN h = 'PASS' THEN 'NOT_HONEYPOT' WHEN h = 'WARN' THEN 'CONDITIONAL' WHEN h IN ('UNKNOWN', 'PROVIDER_LIMITED') THEN 'SIMULATION_FAILED' ELSE 'UNKNOWN' END AS honeypot FROM x",
+)
+def sc1_sellability(spark, d):
+    status = F.get(F.array(*map(F.lit, ("PASS", "FAIL", "WARN", "UNKNOWN", "PROVIDER_LIMITED", "NOT_APPLICABLE"))), (F.col("trader") % 6).cast("int"))
+    rows = adapters.trades(spark, d).select("token", F.col("id").alias("seq"), F.when(F.col("id") % 4 == 0, "HONEYPOT_SIM").otherwise("SELLABILITY").alias("check"), status.alias("status"), F.lit("INFO").alias("severity"), F.lit(False).alias("hard_reject"), F.lit("").alias("details"))
+    return security.assess(rows).select("token", "sellability", "honeypot")
+
+
+@query("sc2_selectors", f"{WITH}, {_CODE} SELECT token, 'PRIVILEGE_' || label AS check_name, severity FROM c, (VALUES {_KNOWN}) v(sel, label, severity) WHERE regexp_matches(code, '^(..)*63' || sel)")
 def sc2(spark, d):
     return security.selector_evidence(_code(spark, d)).select("token", F.col("check").alias("check_name"), "severity")
 
@@ -260,9 +309,9 @@ def cd4(spark, d):
 
 def signal_features(spark, d):
     """Milestone features with verdict and candidate state, as the strategies read them."""
-    s = features.accelerations(snapshots(spark, d, state.with_earlier(state.MILESTONES, (15,))), wanted=(("buyers", 15),), flows=()).where(F.col("age").isin(*state.MILESTONES))
+    s = features.accelerations(snapshots(spark, d, state.with_earlier(state.MILESTONES, (15,)), (15, 30)), wanted=(("buyers", 15),), flows=()).where(F.col("age").isin(*state.MILESTONES))
     s = s.withColumns({**features.totals(None), "imbalance": F.col("buys") - F.col("sells"), "buyer_velocity_15s": F.col("w15_unique_buyers"), "new_buyer_30s_bps": bps(F.col("w30_new_buyers"), F.col("w30_unique_buyers"))})
-    con = state.concentration(adapters.aged(spark, d), ticks(spark, d)).select("token", "age", "repeat_buyers")
+    con = state.concentration(adapters.aged(spark, d), ticks(spark, d), state.MILESTONES).select("token", "age", "repeat_buyers")
     v = security.assess(evidence(spark, d)).select("token", "verdict")
     s = s.join(con, ["token", "age"]).join(v, "token", "left")
     return s.withColumn("repeat_buyer_bps", bps(F.col("repeat_buyers"), F.col("unique_buyers"))).withColumn("candidate", F.when(F.col("verdict").isin("PASS", "WARN"), "ELIGIBLE").otherwise("DATA_INCOMPLETE")).withColumn("curve_progress_bps", F.when(F.col("buys") > 0, F.least(F.col("buy_quote") / 10, F.lit(10000))).cast("bigint"))
@@ -273,7 +322,7 @@ _REASON_S3 = "CASE WHEN verdict = 'REJECT' THEN 'SECURITY_REJECT' WHEN verdict I
 
 @query(
     "sg1_broad_participation",
-    f"{WITH_SNAP}, {EVIDENCE}, {VERDICTS}, r AS (SELECT token, age, count(*) AS n FROM (SELECT m.token, m.age, trader FROM m JOIN a ON a.token = m.token AND a.a <= m.age WHERE side = 'buy' GROUP BY ALL HAVING count(*) > 1) GROUP BY ALL) SELECT s.token, s.age, {_REASON_S3} AS reason FROM s LEFT JOIN v USING (token) LEFT JOIN r ON r.token = s.token AND r.age = s.age",
+    f"{WITH_SNAP}, {EVIDENCE}, {VERDICTS}, {_REPEAT} SELECT s.token, s.age, {_REASON_S3} AS reason FROM s LEFT JOIN v USING (token) LEFT JOIN r ON r.token = s.token AND r.age = s.age",
 )
 def sg1(spark, d):
     return candidate.strategies(signal_features(spark, d)).where("strategy = 'S3_BROAD_PARTICIPATION'").select("token", "age", "reason")
@@ -306,9 +355,17 @@ def sg4(spark, d):
     return candidate.signal_counts(signals(spark, d), hit).where("policy = 'P1_SOLANA_BUYERS_3_30S'").drop("policy")
 
 
-@query("sg5_trained_thresholds", f"{WITH_SNAP} SELECT greatest(list_sort(list(unique_buyers))[(count(*) - 1) * 50 // 100 + 1], 2) AS unique_buyers, greatest(list_sort(list(w15_unique_buyers))[(count(*) - 1) * 50 // 100 + 1], 1) AS buyer_velocity_15s FROM s")
+_MEDIAN = "list_sort(list({0}) FILTER ({0} IS NOT NULL))[(count({0}) - 1) * 50 // 100 + 1]"
+
+
+@query(
+    "sg5_trained_thresholds",
+    f"{WITH_SNAP}, x AS (SELECT s.token, s.age, w15_unique_buyers AS cur, (SELECT max(g.age) FROM g WHERE g.token = s.token AND g.age <= s.age - 15000) AS before FROM s), "
+    "y AS (SELECT x.token, x.age, CASE WHEN before IS NOT NULL THEN cur - count(DISTINCT trader) FILTER (a.side = 'buy' AND a.a > before - 15000) END AS accel FROM x LEFT JOIN a ON a.token = x.token AND a.a <= before GROUP BY x.token, x.age, cur, before) "
+    f"SELECT greatest({_MEDIAN.format('unique_buyers')}, 2) AS unique_buyers, greatest({_MEDIAN.format('w15_unique_buyers')}, 1) AS buyer_velocity_15s, greatest({_MEDIAN.format('accel')}, 1) AS buyer_acceleration_15s FROM s JOIN y USING (token, age)",
+)
 def sg5(spark, d):
-    return candidate.trained(signal_features(spark, d)).select("unique_buyers", "buyer_velocity_15s")
+    return candidate.trained(signal_features(spark, d)).select("unique_buyers", "buyer_velocity_15s", "buyer_acceleration_15s")
 
 
 @query("ft11_security_at_snapshot", f"{WITH}, {EVIDENCE} SELECT m.token, CAST(m.age AS BIGINT) AS age, arg_max(e.status, (e.a, e.details)) AS status FROM m LEFT JOIN e ON e.token = m.token AND e.a <= m.age GROUP BY m.token, m.age")

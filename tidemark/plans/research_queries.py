@@ -197,22 +197,23 @@ def oc9(spark, d):
     return outcomes.excursions(p, marks(spark, d).select("token", "a", "px"))
 
 
-_POS = "po AS (SELECT kind AS policy, 5000 AS cost, quote AS realized, id % 10 <> 0 AS closed, id, ms, quote - 5000 AS pnl FROM t)"
+_POS = "po AS (SELECT kind AS policy, 5000 AS cost, quote AS realized, id % 10 <> 0 AS closed, id % 10 = 3 AS forced, id, ms, quote - 5000 AS pnl FROM t)"
 
 
 def positions(spark, d):
-    return adapters.trades(spark, d).select(F.col("kind").alias("policy"), F.lit(5000).cast("bigint").alias("cost"), F.col("quote").alias("realized"), (F.col("id") % 10 != 0).alias("closed"), "id", F.col("ms").alias("at"), (F.col("quote") - 5000).alias("pnl"))
+    return adapters.trades(spark, d).select(F.col("kind").alias("policy"), F.lit(5000).cast("bigint").alias("cost"), F.col("quote").alias("realized"), (F.col("id") % 10 != 0).alias("closed"), (F.col("id") % 10 == 3).alias("forced_end"), "id", F.col("ms").alias("at"), (F.col("quote") - 5000).alias("pnl"))
 
 
 @query(
     "oc10_policy_performance",
     f"{WITH}, {_POS}, x AS (SELECT *, (realized - 5000) * 10000 AS rr, CASE WHEN realized >= 5000 THEN (realized - 5000) * 10000 // 5000 ELSE -((5000 - realized) * 10000 // 5000) END AS r FROM po WHERE closed), "
-    "y AS (SELECT policy, count(*) AS n, count(*) FILTER (r > 0) AS wins, CAST(sum(r) AS BIGINT) AS s, max(r) AS best_bps, min(r) AS worst_bps, count(*) FILTER (r >= 10000) AS gt_2x, CAST(sum(greatest(pnl, 0)) AS BIGINT) AS won, CAST(sum(greatest(-pnl, 0)) AS BIGINT) AS lost FROM x GROUP BY policy) "
-    "SELECT policy, n AS trades_closed, wins * 10000 // n AS win_rate_bps, CASE WHEN s >= 0 THEN s // n ELSE -(-s // n) END AS expectancy_bps, won * 1000 // lost AS profit_factor_x1000, best_bps, worst_bps, gt_2x, n < 30 AS sample_insufficient, won - lost AS net_signed, greatest(won - lost, 0) AS net FROM y",
+    "y AS (SELECT policy, count(*) AS n, count(*) FILTER (r > 0) AS wins, CAST(sum(r) AS BIGINT) AS s, max(r) AS best_bps, min(r) AS worst_bps, count(*) FILTER (r >= 10000) AS gt_2x, count(*) FILTER (forced) AS forced_ends, CAST(sum(greatest(pnl, 0)) AS BIGINT) AS won, CAST(sum(greatest(-pnl, 0)) AS BIGINT) AS lost FROM x GROUP BY policy) "
+    "SELECT policy, n AS trades_closed, forced_ends, policy IN ('click', 'purchase') AS research_valid, wins * 10000 // n AS win_rate_bps, CASE WHEN s >= 0 THEN s // n ELSE -(-s // n) END AS expectancy_bps, won * 1000 // lost AS profit_factor_x1000, best_bps, worst_bps, gt_2x, n < 30 AS sample_insufficient, won - lost AS net_signed, greatest(won - lost, 0) AS net FROM y",
 )
 def oc10(spark, d):
     p = positions(spark, d)
-    return outcomes.performance(p, p.select("policy", F.col("closed").alias("filled"))).select("policy", "trades_closed", "win_rate_bps", "expectancy_bps", "profit_factor_x1000", "best_bps", "worst_bps", "gt_2x", "sample_insufficient", F.col("net_signed").cast("bigint").alias("net_signed"), F.col("net").cast("bigint").alias("net"))
+    runs = p.select("policy").distinct().withColumn("research_valid", F.col("policy").isin("click", "purchase"))
+    return outcomes.performance(p, p.select("policy", F.col("closed").alias("filled")), runs).select("policy", "trades_closed", "forced_ends", "research_valid", "win_rate_bps", "expectancy_bps", "profit_factor_x1000", "best_bps", "worst_bps", "gt_2x", "sample_insufficient", F.col("net_signed").cast("bigint").alias("net_signed"), F.col("net").cast("bigint").alias("net"))
 
 
 @query("oc13_drawdown", f"{WITH}, {_POS}, x AS (SELECT policy, ms, id, sum(pnl) OVER (PARTITION BY policy ORDER BY ms, id) AS eq FROM po), y AS (SELECT *, greatest(max(eq) OVER (PARTITION BY policy ORDER BY ms, id), 0) AS peak FROM x) SELECT policy, CAST(CASE WHEN max(peak) > 0 THEN max(peak - eq) * 10000 // max(peak) WHEN max(peak - eq) > 0 THEN 10000 ELSE 0 END AS BIGINT) AS drawdown_bps FROM y GROUP BY policy")
@@ -533,12 +534,16 @@ def qa7(spark, d):
 @query(
     "qa7_recovered_gaps",
     f"""{WITH}, x AS (SELECT DISTINCT token, id // 10 AS seq FROM t), y AS (SELECT *, lag(seq) OVER (PARTITION BY token ORDER BY seq) AS p FROM x), sg AS (SELECT token, p + 1 AS first_missing, seq - 1 AS last_missing FROM y WHERE seq - p > 1),
-r AS (SELECT DISTINCT token, id // 10 - 20 AS first, id // 10 + 20 AS last FROM t WHERE id % 3 = 0)
-SELECT token, first_missing, last_missing, EXISTS (SELECT 1 FROM r WHERE r.token = sg.token AND first <= first_missing AND last >= last_missing) AS recovered FROM sg""",
+r AS (SELECT DISTINCT token, unnest([id // 10 - 20, id // 10 - 5, id // 10 + 1]) AS first, unnest([id // 10 - 6, id // 10, id // 10 + 20]) AS last FROM t WHERE id % 3 = 0),
+ri AS (SELECT *, sum(fresh) OVER (PARTITION BY token ORDER BY first, last) AS island FROM (SELECT *, CASE WHEN first <= max(last) OVER (PARTITION BY token ORDER BY first, last ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS fresh FROM r)),
+ru AS (SELECT token, min(first) AS first, max(last) AS last FROM ri GROUP BY token, island)
+SELECT token, first_missing, last_missing, EXISTS (SELECT 1 FROM ru WHERE ru.token = sg.token AND first <= first_missing AND last >= last_missing) AS recovered FROM sg""",
 )
 def qa7_recovered(spark, d):
+    """Repaired ranges come in three pieces that adjoin."""
     t = adapters.trades(spark, d).select("token", "id", F.floor(F.col("id") / 10).alias("seq"))
-    repaired = t.where("id % 3 = 0").select("token", (F.col("seq") - 20).alias("first"), (F.col("seq") + 20).alias("last"))
+    pieces = F.explode(F.array(*(F.struct((F.col("seq") + i).alias("first"), (F.col("seq") + j).alias("last")) for i, j in ((-20, -6), (-5, 0), (1, 20)))))
+    repaired = t.where("id % 3 = 0").select("token", pieces.alias("r")).select("token", "r.*")
     return quality.with_recovery(quality.sequence_gaps(t, "token", "seq"), repaired, "token")
 
 

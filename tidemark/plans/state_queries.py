@@ -90,7 +90,7 @@ for _name, _columns in {
     "SELECT token, CAST(age AS BIGINT) AS age, min_size, max_size, q[(len(q) + 1) // 2] + (q[len(q) // 2 + 1] - q[(len(q) + 1) // 2]) // 2 AS median_size FROM x",
 )
 def st11(spark, d):
-    return state.rolling_sizes(adapters.aged(spark, d), ticks(spark, d), 900).drop("kind")
+    return state.rolling_sizes(adapters.aged(spark, d), ticks(spark, d), 900, state.MILESTONES).drop("kind")
 
 
 @query(
@@ -100,7 +100,7 @@ def st11(spark, d):
     "SELECT m.token, CAST(m.age AS BIGINT) AS age, coalesce(r, 0) AS repeat_buyers, CAST(CASE WHEN buyers > 0 THEN buys * 1000 // buyers END AS BIGINT) AS mean_buys_x1000, per[len(per) // 2 + 1] AS median_buys, CAST(tn * 10000 // n AS BIGINT) AS top_trader_trades_bps, CAST(CASE WHEN v > 0 THEN tv * 10000 // v END AS BIGINT) AS top_trader_volume_bps FROM m LEFT JOIN x USING (token, age)",
 )
 def st12(spark, d):
-    return state.concentration(adapters.aged(spark, d), ticks(spark, d)).drop("kind")
+    return state.concentration(adapters.aged(spark, d), ticks(spark, d), state.MILESTONES).drop("kind")
 
 
 def lifecycle(spark, d):
