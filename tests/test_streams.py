@@ -292,3 +292,43 @@ def test_records_and_logs(spark, tmp_path):
     assert (rows[0].quote, rows[0].base, rows[0].side, rows[0].token) == (10**20, 7, "buy", "0x" + "0" * 39 + "1")
     assert (rows[1].quote, rows[1].base, rows[1].side) == (5, 10**30, "buy")
     assert rows[3].quote is None and rows[3].quote_word == "f" * 64 and set(rows) == {0, 1, 3}
+
+
+def test_logs_by_their_own_layouts(spark):
+    word = lambda n: f"{n % (1 << 256):064x}"
+    by_kind = {v: k for k, v in corpus.TOPICS.items()}
+    big = (1 << 255) + 12345
+    rows = []
+
+    def log(kind, topics, words, removed=False):
+        rows.append(("base", 8453, " 0XAB ", [by_kind.get(kind, kind).upper().replace("0X", "0x"), *("0x" + word(t) for t in topics)], "0x" + "".join(map(word, words)), len(rows), 0, 0, None, "0xFF", None, 5, removed))
+
+    log("TOKEN_LAUNCHED", [1, 2, 3], [4, 5, big])
+    log("TOKEN_CREATED", [1, 2], [9, 0, 0, 0, 0, 0, -200, 7, big, 4, 5, 6, 10, 0])
+    log("LAUNCH_SWEPT", [1], [big, 3])
+    log("POOL_GRADUATED", [1], [77, 10**30, 2])
+    log("CURVE_BUY", [3, 4], [10**40, 5, 1, 2])
+    log("CURVE_SELL", [3, 4], [5, 10**40, 1, 2], True)
+    log("SNIPE_TAX_CHARGED", [3], [42])
+    log("CURVE_COMPLETED", [], [3, 8, 9])
+    log("SWAP", [big, 3], [-(10**35), 10**36, 79228162514264337593543950336, 5, -887272, 3000])
+    log("INITIALIZE", [big, 1, 2], [3000, -60, 7, 79228162514264337593543950336, -5])
+    log("0x" + "1" * 64, [], [1])
+    log("CURVE_BUY", [3], [10])
+    got = {r.block_number: r for r in corpus.typed_logs(spark.createDataFrame(rows, corpus.LOG)).collect()}
+    a = lambda n: "0x" + f"{n:040x}"
+    assert set(got) == {0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 11}
+    assert [got[k].kind for k in range(10)] == ["TOKEN_LAUNCHED", "TOKEN_CREATED", "LAUNCH_SWEPT", "POOL_GRADUATED", "CURVE_BUY", "CURVE_SELL", "SNIPE_TAX_CHARGED", "CURVE_COMPLETED", "SWAP", "INITIALIZE"]
+    assert [got[k].family for k in range(10)] == ["launch", "launch", "lifecycle", "lifecycle", "trade", "trade", "lifecycle", "lifecycle", "trade", "lifecycle"]
+    assert (got[0].token, got[0].curve, got[0].trader, got[0].quote_asset, got[0].metadata) == (a(1), a(2), a(3), a(4), {"launchConfigId": "5", "graduationThreshold": str(big)})
+    assert (got[1].token, got[1].trader, got[1].pool, got[1].metadata["startingTick"], got[1].metadata["tokenAdmin"], got[1].metadata["extensionsSupply"]) == (a(1), a(9), "0x" + word(big), "-200", a(2), "10")
+    assert (got[2].token, got[2].metadata) == (a(1), {"quoteOut": str(big), "tokenOut": "3"})
+    assert got[3].metadata == {"positionId": "77", "tokenAmount": str(10**30), "pairTokenAmount": "2"}
+    assert (got[4].trader, got[4].side, got[4].quote, got[4].base, got[4].curve, got[4].removed, got[4].metadata) == (a(3), "buy", str(10**40), "5", "0xab", False, {"recipient": a(4), "fee": "1", "tax": "2"})
+    assert (got[5].side, got[5].quote, got[5].base, got[5].removed) == ("sell", str(10**40), "5", True)
+    assert (got[6].trader, got[6].curve, got[6].metadata) == (a(3), "0xab", {"amount": "42"})
+    assert (got[7].trader, got[7].metadata) == (a(3), {"quoteOut": "8", "tokenOut": "9"})
+    assert (got[8].pool, got[8].side, got[8].quote, got[8].base) == ("0x" + word(big), "sell", str(10**35), str(10**36))
+    assert got[8].metadata == {"amount0": str(-(10**35)), "amount1": str(10**36), "sqrtPriceX96": str(1 << 96), "liquidity": "5", "tick": "-887272", "fee": "3000"}
+    assert (got[9].metadata["tick"], got[9].metadata["currency1"], got[9].metadata["sqrtPriceX96"]) == ("-5", a(2), str(1 << 96))
+    assert (got[11].quote, got[11].base, got[11].metadata["tax"]) == ("10", None, None)

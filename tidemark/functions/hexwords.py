@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions import wideint
+
 
 def normal_hex(x: Column) -> Column:
     """Trimmed, lower case, one 0x in front."""
@@ -29,6 +31,19 @@ def signed(w: Column) -> Column:
     return F.when(F.substring(w, 1, 1).isin(*"89abcdef"), -(unsigned(flip) + 1)).otherwise(unsigned(w)).cast("decimal(38,0)")
 
 
+def unsigned_text(w: Column) -> Column:
+    """Value of any word as decimal text."""
+    return F.when(w.isNotNull(), wideint.text(wideint.from_hex(w)))
+
+
+def signed_text(w: Column, absolute: bool = False) -> Column:
+    """Two's-complement value of any word as decimal text, or its absolute value."""
+    flip = F.translate(w, "0123456789abcdef", "fedcba9876543210")
+    negative = F.substring(w, 1, 1).isin(*"89abcdef")
+    size = wideint.text(wideint.add(wideint.from_hex(flip), wideint.limbs(1), wideint.LIMBS))
+    return F.when(negative, size if absolute else F.concat(F.lit("-"), size)).otherwise(unsigned_text(w))
+
+
 def address(w: Column) -> Column:
     return F.concat(F.lit("0x"), F.lower(F.substring(w, 25, 40)))
 
