@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,3 +23,14 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return register
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder of spark.checkpoint.dir; a local session without one gets a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base}/{label}-{uuid.uuid4().hex}"

@@ -30,9 +30,12 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.col("corrupt").isNull() | (F.trim("corrupt") != ""))
 
 
-def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """A folder of event-log documents: one row per event id, with id and total order."""
-    rows = spark.read.schema(LOG).option("multiLine", True).json(path)
+def read_logs(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """A folder of event-log documents: one row per event id, with id and total order.
+
+    A file is one document or a list of them, or with ``multi_line`` off a document a line.
+    """
+    rows = spark.read.schema(LOG).option("multiLine", multi_line).json(path)
     rows = rows.withColumn("event_id", prepare.event_id(F.lit("evm"), chain_id=F.col("chain_id"), tx=F.col("transaction_hash"), log=F.col("log_index")))
     rows = prepare.first_of_each(rows, ["event_id"], ["block_number", "transaction_index", "log_index"])
     none = F.lit(None)

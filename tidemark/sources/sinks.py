@@ -63,7 +63,9 @@ def append_events(events: DataFrame, path: str, key: str = "event_id", time: str
     old = stored_like(events, path, key, time, buckets)
     if old is not None:
         new = new.join(old.select(key), key, "left_anti").select(*events.columns)
-    new.withColumn("day", _day(time)).withColumn("bucket", _bucket([key], buckets)).write.mode("append").partitionBy("day", "bucket").parquet(path)
+    new = new.withColumn("day", _day(time)).withColumn("bucket", _bucket([key], buckets))
+    # few files a folder, and large folders in several tasks
+    new.hint("rebalance", "day", "bucket").write.mode("append").partitionBy("day", "bucket").parquet(path)
 
 
 def read_store(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -85,7 +87,7 @@ def _publish(spark: SparkSession, path: str) -> None:
     if exists(spark, f"{staged}/_SUCCESS"):
         rows = spark.read.parquet(staged)
         if "bucket" in rows.columns:
-            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+            rows.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
         _remove(spark, staged)
 
 
@@ -110,7 +112,7 @@ def upsert(rows: DataFrame, path: str, keys: list[str], order: str | None = None
         for x in same[1:]:
             on &= x
         new = a.join(b, on, "full_outer").select(*(F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in keys), *(value(c).alias(c) for c in others))
-    new.select(*rows.columns, _bucket(keys, buckets).alias("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}.staged")
+    new.select(*rows.columns, _bucket(keys, buckets).alias("bucket")).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}.staged")
     _publish(spark, path)
 
 

@@ -90,17 +90,19 @@ class Milestones(StatefulProcessor):
         if not self.clock.exists():
             return
         born, first, done = self.clock.get()
-        now = expiredTimerInfo.getExpiryTimeInMs() - 1
+        # a timer set here fires with the next batch only, so all milestones that are due by now come at once
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) - 1
         out = []
         if born is not None and done < len(self.ages) and born + self.ages[done] <= now:
             total = self.totals.get() if self.totals.exists() else (0, 0, 0)
-            total = tuple(a + b for a, b in zip(total, self.steps.getValue((done,)) or (0, 0, 0)))
-            out.append((key[0], self.ages[done], *total, born + self.ages[done]))
-            done += 1
+            while done < len(self.ages) and born + self.ages[done] <= now:
+                total = tuple(a + b for a, b in zip(total, self.steps.getValue((done,)) or (0, 0, 0)))
+                out.append((key[0], self.ages[done], *total, born + self.ages[done]))
+                self.steps.removeKey((done,))
+                done += 1
             self.clock.update((born, first, done))
             if done < len(self.ages):
                 self.totals.update(total)
-                self.steps.removeKey((done - 1,))
                 self.handle.registerTimer(born + self.ages[done] + 1)
             else:  # only the mark stays
                 for state in (self.totals, self.steps, self.traders):
