@@ -372,8 +372,12 @@ def right_tail(pnl: DataFrame, group: str, top: int) -> DataFrame:
 
 
 def bootstrap(values: DataFrame, group: str, replicates: int = 200) -> DataFrame:
-    """Mean with 5th and 95th percentile over Poisson resamples seeded by (id, replicate)."""
-    u = (F.pmod(F.xxhash64("id", "rep"), F.lit(1 << 30)).cast("double") + 0.5) / float(1 << 30)
+    """Mean with 5th and 95th percentile over Poisson resamples seeded by (id, replicate).
+
+    The seed is 28 bits of an MD5 digest, which other engines have too.
+    """
+    digits = F.substring(F.md5(F.concat_ws("|", F.col("id").cast("string"), F.col("rep").cast("string"))), 1, 7)
+    u = (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 28)
     cuts, p, total = [], 0.36787944117144233, 0.0
     for k in range(1, 9):
         total += p

@@ -328,7 +328,30 @@ def sg1(spark, d):
     return candidate.strategies(signal_features(spark, d)).where("strategy = 'S3_BROAD_PARTICIPATION'").select("token", "age", "reason")
 
 
-@query("sg1_all_strategies")
+#: Features of the strategies, in SQL.
+_ACCEL = (
+    "xb AS (SELECT s.token, s.age, w15_unique_buyers AS cur, (SELECT max(g.age) FROM g WHERE g.token = s.token AND g.age <= s.age - 15000) AS before FROM s), "
+    "y AS (SELECT xb.token, xb.age, CASE WHEN before IS NOT NULL THEN cur - count(DISTINCT trader) FILTER (a.side = 'buy' AND a.a > before - 15000) END AS accel FROM xb LEFT JOIN a ON a.token = xb.token AND a.a <= before GROUP BY xb.token, xb.age, cur, before)"
+)
+_FEATURES = f"""{_REPEAT}, {_ACCEL},
+f AS (SELECT s.*, verdict, CASE WHEN verdict IN ('PASS', 'WARN') THEN 'ELIGIBLE' ELSE 'DATA_INCOMPLETE' END AS candidate, accel, buys - sells AS imbalance, buy_quote - sell_quote AS net_flow, CASE WHEN buys > 0 THEN least(buy_quote // 10, 10000) END AS progress,
+        coalesce(r.n, 0) * 10000 // nullif(unique_buyers, 0) AS repeated, w30_new_buyers * 10000 // nullif(w30_unique_buyers, 0) AS fresh
+      FROM s JOIN y USING (token, age) LEFT JOIN v USING (token) LEFT JOIN r ON r.token = s.token AND r.age = s.age)"""
+_GATE = "WHEN verdict = 'REJECT' THEN 'SECURITY_REJECT' WHEN candidate <> 'ELIGIBLE' THEN 'NOT_ELIGIBLE'"
+_MIN_AGE = "WHEN age < 15000 THEN 'MIN_AGE'"
+_GROWTH = "WHEN accel IS NULL THEN 'DATA_INCOMPLETE' WHEN accel < 1 OR w15_unique_buyers < 2 THEN 'STRATEGY_FILTER'"
+_FLOWS = "WHEN net_flow < 0 OR imbalance < 0 THEN 'STRATEGY_FILTER'"
+_BROAD = "WHEN unique_buyers < 3 OR repeated > 6000 OR fresh < 2000 THEN 'STRATEGY_FILTER'"
+_CURVE = "WHEN progress < 200 OR progress > 8000 THEN 'STRATEGY_FILTER'"
+_FEW = "WHEN unique_buyers < 3 THEN 'STRATEGY_FILTER'"
+_RULES = {
+    "S0_BASELINE": "", "S1_BUYER_GROWTH": f"{_MIN_AGE} {_GROWTH}", "S2_FLOW_CONFIRMATION": f"{_MIN_AGE} {_GROWTH} {_FLOWS}", "S3_BROAD_PARTICIPATION": f"{_MIN_AGE} {_BROAD}", "S4_CREATOR_FILTERED": _MIN_AGE,
+    "S5_CURVE_CONFIRMATION": f"{_MIN_AGE} {_CURVE} WHEN progress IS NULL THEN 'DATA_INCOMPLETE' {_FEW}", "S6_HYBRID": f"{_MIN_AGE} {_GROWTH} {_FLOWS} {_BROAD} {_CURVE} {_FEW}",
+}
+_REASONS = " UNION ALL ".join(f"SELECT '{name}' AS strategy, CASE {_GATE} {rules} ELSE 'SIGNAL' END AS reason FROM f" for name, rules in _RULES.items())
+
+
+@query("sg1_all_strategies", f"{WITH_SNAP}, {EVIDENCE}, {VERDICTS}, {_FEATURES} SELECT strategy, reason, count(*) AS n FROM ({_REASONS}) GROUP BY strategy, reason")
 def sg1_all(spark, d):
     return candidate.strategies(signal_features(spark, d)).groupBy("strategy", "reason").agg(F.count("*").alias("n"))
 
@@ -344,7 +367,29 @@ def sg2(spark, d):
     return signals(spark, d).where("policy = 'P1_SOLANA_BUYERS_3_30S'").select("token", "age", "enter")
 
 
-@query("sg3_delayed_entries")
+_UP = "coalesce(price_change_30s_bps, price_change_15s_bps, 0) > 0"
+_GROWING = "(w30_new_buyers > 0 OR coalesce(accel, 0) > 0)"
+_UB = "greatest(w30_unique_buyers, unique_buyers) >= 3"
+
+
+@query(
+    "sg2_all_policies",
+    f"{WITH_SNAP}, {EVIDENCE}, {VERDICTS}, {_FEATURES}, px AS (SELECT m.token, m.age, {_px(0)} AS p0, {', '.join(f'{_px(x * 1000)} AS p{x}' for x in (15, 30))} FROM m LEFT JOIN a ON a.token = m.token AND a.a <= m.age GROUP BY m.token, m.age), "
+    "pc AS (SELECT token, age, CAST(CASE WHEN p15 <> 0 THEN (p0 - p15) * 10000 // p15 END AS BIGINT) AS price_change_15s_bps, CAST(CASE WHEN p30 <> 0 THEN (p0 - p30) * 10000 // p30 END AS BIGINT) AS price_change_30s_bps FROM px), e2 AS (SELECT * FROM f JOIN pc USING (token, age) WHERE candidate = 'ELIGIBLE') "
+    f"SELECT token, age, policy, enter FROM (SELECT token, age, 'P0_FIRST_ELIGIBLE_CONTROL' AS policy, true AS enter FROM e2 UNION ALL SELECT token, age, 'P1_SOLANA_BUYERS_3_30S', {_UB} FROM e2 UNION ALL SELECT token, age, 'P2_SOLANA_BUYERS_PLUS_IMBALANCE', {_GROWING} AND imbalance > 0 FROM e2 "
+    f"UNION ALL SELECT token, age, 'P3_PRICE_WITHOUT_BUYERS_AVOID', NOT ({_UP}) OR {_GROWING} FROM e2 UNION ALL SELECT token, age, 'P4_LOW_PARTICIPATION_FILTER', {_UB} FROM e2)",
+)
+def sg2_all(spark, d):
+    return signals(spark, d)
+
+
+_DELAYS = " UNION ALL ".join(f"SELECT ce.token, 'E{k + 1}' AS policy, min(g.age) AS age FROM ce JOIN g ON g.token = ce.token AND g.age >= eligible + {x} WHERE policy_id = 'default' AND {_OPEN} AND eligible < expired GROUP BY ce.token" for k, x in enumerate((0, 30_000, 60_000, 120_000)))
+
+
+@query(
+    "sg3_delayed_entries",
+    f"{WITH}, {EVIDENCE}, {VERDICTS}, {FUNNEL}, de AS ({_DELAYS}) SELECT token, policy, CAST(age AS BIGINT) AS age FROM de UNION ALL SELECT token, 'E5', CAST(age AS BIGINT) FROM de WHERE policy = 'E1' AND CAST('0x' || substr(sha256('e5|' || token), 1, 15) AS BIGINT) % 10000 < 5000",
+)
 def sg3(spark, d):
     return candidate.delayed_entries(ticks(spark, d, False), candidate.first_eligible(funnel_log(spark, d)).where("policy_id = 'default'"))
 
@@ -397,3 +442,22 @@ def ft13(spark, d):
 def ft14(spark, d):
     s = features.with_unknown(snapshots(spark, d))
     return s.select("token", "age", F.lit(len(features.leaks(s.schema))).alias("leaks"), "holder_count")
+
+
+@query("ft12_totals", f"{WITH_SNAP} SELECT token, age, sha256('{{\"age\":' || age || ',\"buys\":' || buys || ',\"net_flow\":' || (buy_quote - sell_quote) || ',\"token\":\"' || token || '\",\"w30_new_buyers\":' || w30_new_buyers || '}}') AS fingerprint FROM s")
+def ft12_totals(spark, d):
+    s = snapshots(spark, d, windows=(30,)).withColumn("net_flow", features.totals(None)["net_flow"])
+    return s.select("token", "age", state.fingerprint(s, ["age", "buys", "net_flow", "token", "w30_new_buyers"]).alias("fingerprint"))
+
+
+@query(
+    "ft14_leaks",
+    f"{WITH_SNAP} SELECT 'shared.reached_2x' AS leak, count(*) AS n_rows, count(*) FILTER (buy_quote > 2 * sell_quote) AS n_true FROM s UNION ALL SELECT 'max_drawdown_bps', count(*), count(*) FILTER (age > 100000) FROM s",
+)
+def ft14_leaks(spark, d):
+    """A frame into which two outcome columns were let, one of them nested: each is named, with what it gives away."""
+    s = snapshots(spark, d, windows=(30,))
+    s = s.select("token", F.struct("buys", (F.col("buy_quote") > 2 * F.col("sell_quote")).alias("reached_2x")).alias("shared"), F.when(F.col("age") > 100_000, F.col("age")).alias("max_drawdown_bps"), (F.col("sells") > 0).alias("reached"))
+    found = features.leaks(s.schema)
+    told = F.explode(F.array(*(F.struct(F.lit(c).alias("leak"), (F.coalesce(F.col(c), F.lit(False)) if c.startswith("shared") else F.col(c).isNotNull()).alias("told")) for c in found)))
+    return s.select(told.alias("x")).groupBy("x.leak").agg(F.count("*").alias("n_rows"), F.count_if("x.told").alias("n_true"))

@@ -226,7 +226,15 @@ def oc14(spark, d):
     return outcomes.right_tail(positions(spark, d), "policy", 5)
 
 
-@query("oc15_bootstrap")
+_CUTS = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238463, 0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999897508033253]
+
+
+@query(
+    "oc15_bootstrap",
+    f"{WITH}, {_POS}, b AS (SELECT policy, pnl, rep, (CAST(CAST('0x' || substr(md5(id || '|' || rep), 1, 7) AS BIGINT) AS DOUBLE) + 0.5) / 268435456.0 AS u FROM po, (SELECT unnest(range(1, 201)) AS rep)), "
+    f"w AS (SELECT policy, rep, sum(({' + '.join(f'CAST(u > {c!r} AS INT)' for c in _CUTS)}) * pnl) / sum({' + '.join(f'CAST(u > {c!r} AS INT)' for c in _CUTS)}) AS mean FROM b GROUP BY policy, rep), bm AS (SELECT policy, list_sort(list(mean)) AS m FROM w GROUP BY policy) "
+    "SELECT policy, (SELECT avg(pnl) FROM po WHERE po.policy = bm.policy) AS mean, bm.m[(len(bm.m) - 1) * 5 // 100 + 1] AS p5, bm.m[(len(bm.m) - 1) * 95 // 100 + 1] AS p95 FROM bm",
+)
 def oc15(spark, d):
     return outcomes.bootstrap(positions(spark, d).select("policy", "id", F.col("pnl").cast("double").alias("value")), "policy", 200)
 

@@ -207,7 +207,15 @@ def st18(spark, d):
     return asof.as_of(ticks(spark, d), read, ["token"], F.col("age"), F.col("a"), ["a", "id"], "r").select("token", "age", "r.v_base")
 
 
-@query("st19_fingerprint")
+#: All totals of a snapshot, by name.
+_TOTALS = {"buys": f"count(a.id) {_B}", "sells": f"count(a.id) {_S}"}
+for _side, _when in (("buy", _B), ("sell", _S)):
+    _TOTALS |= {f"{_side}_quote": f"sum(quote) {_when}", f"{_side}_base": f"sum(base) {_when}", f"unique_{_side}ers": f"count(DISTINCT trader) {_when}", f"creator_{_side}s": f"count(*) {_C.format(_side)}", f"creator_{_side}_quote": f"sum(quote) {_C.format(_side)}"}
+_TOTALS["unique_traders"] = "count(DISTINCT trader)"
+_JSON = " || ',' || ".join(f"'\"{c}\":' || " + (f"'\"' || {c} || '\"'" if c in ("token", "kind") else c) for c in sorted([*_TOTALS, "token", "age", "kind"]))
+
+
+@query("st19_fingerprint", f"{WITH}, x AS (SELECT m.token, CAST(m.age AS BIGINT) AS age, 'MILESTONE' AS kind, {', '.join(_big(v, k) for k, v in _TOTALS.items())} FROM m {_ON}) SELECT token, age, sha256('{{' || {_JSON} || '}}') AS fingerprint FROM x")
 def st19(spark, d):
     c = state.cumulative(adapters.aged(spark, d), ticks(spark, d), state.MILESTONES)
     return c.select("token", "age", state.fingerprint(c, sorted(c.columns)).alias("fingerprint"))
