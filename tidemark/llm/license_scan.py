@@ -50,6 +50,35 @@ TEMPLATES = {
     "isc-text": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.""",
     "mpl-2.0-notice": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
     "unlicense-text": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
+    "lgpl-2.1-notice": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.""",
+    "lgpl-2.1-grant": "licensed under the GNU Lesser General Public License, version 2.1",
+    "lgpl-3.0-grant": "licensed under the GNU Lesser General Public License, version 3",
+    "agpl-3.0-notice": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. See the GNU Affero General Public License for more details.""",
+    "agpl-3.0-grant": "licensed under the GNU Affero General Public License, version 3",
+    "gpl-2.0-notice": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc.""",
+    "gfdl-1.3-notice": """Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3 or any later version published by the Free Software Foundation; with no Invariant Sections, no Front-Cover Texts, and no Back-Cover Texts.""",
+    "epl-2.0-notice": """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/""",
+    "epl-1.0-notice": """All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html""",
+    "cddl-1.0-notice": """The contents of this file are subject to the terms of the Common Development and Distribution License (the "License"). You may not use this file except in compliance with the License.""",
+    "eupl-1.2-notice": """Licensed under the EUPL, Version 1.2 or as soon they will be approved by the European Commission subsequent versions of the EUPL (the "Licence"); You may not use this work except in compliance with the Licence.""",
+    "mpl-1.1-notice": """The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.mozilla.org/MPL/""",
+    "cc0-1.0-notice": """To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.""",
+    "zlib-text": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions""",
+    "bsl-1.0-text": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so""",
+    "postgresql-text": """Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies.""",
+    "ofl-1.1-notice": """This Font Software is licensed under the SIL Open Font License, Version 1.1. This license is copied below, and is also available with a FAQ at""",
+    "odbl-1.0-notice": """This database is made available under the Open Database License: http://opendatacommons.org/licenses/odbl/1.0/. Any rights in individual contents of the database are licensed under the Database Contents License""",
+    "artistic-2.0-notice": """This is free software; you can redistribute it and/or modify it under the terms of the Artistic License 2.0. For details, see the full text of the license in the file LICENSE.""",
+    "wtfpl-2-notice": """This work is free. You can redistribute it and/or modify it under the terms of the Do What The Fuck You Want To Public License, Version 2, as published by Sam Hocevar.""",
+    "bsd-2-clause-grant": "Licensed under the BSD 2-Clause License",
+    "bsd-3-clause-grant": "Licensed under the BSD 3-Clause License",
+    "mpl-2.0-grant": "Licensed under the Mozilla Public License 2.0",
+    "epl-2.0-grant": "Licensed under the Eclipse Public License 2.0",
+    "cc0-1.0-grant": "Licensed under CC0 1.0",
+    "cc-by-nc-sa-4.0-grant": "Licensed under CC BY-NC-SA 4.0",
+    "cc-by-nd-4.0-grant": "Licensed under CC BY-ND 4.0",
+    "cc-by-sa-4.0-notice": "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License",
+    "cc-by-nc-4.0-notice": "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License",
 }
 MIN_MATCH = 3
 COVERED = 0.75

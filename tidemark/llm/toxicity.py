@@ -65,6 +65,22 @@ def features(word: bytes) -> list[bytes]:
     return [word, *(word[:k] + b"-" for k in PREFIXES if k < len(word))]
 
 
+def loss_and_slopes(w: np.ndarray, b: float, word: np.ndarray, sentence: np.ndarray, doc: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, float]:
+    """Mean log loss of noisy-or document scores, and its slopes by weights and bias.
+
+    ``word`` and ``sentence`` list the features of sentences, ``doc`` the document of each sentence, ``y`` the labels.
+    """
+    n = len(y)
+    z = b + np.bincount(sentence, weights=w[word], minlength=len(doc))
+    p = 1 / (1 + np.exp(-z))
+    none = np.bincount(doc, weights=-np.logaddexp(0, z), minlength=n)  # ln of "no sentence is toxic"
+    some = np.maximum(-np.expm1(none), 1e-9)
+    loss = -np.where(y == 1, np.log(some), none).mean()
+    pull = np.where(y == 1, -np.exp(none) / some, 1.0)  # slope of the loss by ln(1 - p), times -1
+    g = pull[doc] * p / n
+    return float(loss), np.bincount(word, weights=g[sentence], minlength=len(w)), float(g.sum())
+
+
 def fit(texts: list[bytes], toxic: np.ndarray) -> tuple[float, dict[bytes, float]]:
     """Bias and feature weights by proximal gradient steps (Adam) on the document loss."""
     per: list[list[bytes]] = []
@@ -99,15 +115,8 @@ def fit(texts: list[bytes], toxic: np.ndarray) -> tuple[float, dict[bytes, float
     w, b = np.zeros(len(ids)), BIAS
     m, v, mb, vb = np.zeros(len(ids)), np.zeros(len(ids)), 0.0, 0.0
     y = toxic.astype(float)
-    n = len(texts)
     for step in range(1, STEPS + 1):
-        z = b + np.bincount(sentence, weights=w[word], minlength=len(found))
-        p = 1 / (1 + np.exp(-z))
-        none = np.bincount(doc, weights=-np.logaddexp(0, z), minlength=n)  # ln of "no sentence is toxic"
-        some = np.maximum(-np.expm1(none), 1e-9)
-        pull = np.where(y == 1, -np.exp(none) / some, 1.0)  # slope of the loss by ln(1 - p), times -1
-        g = pull[doc] * p / n
-        gw, gb = np.bincount(word, weights=g[sentence], minlength=len(ids)), g.sum()
+        _, gw, gb = loss_and_slopes(w, b, word, sentence, doc, y)
         m, v, mb, vb = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         c, d = 1 - 0.9**step, 1 - 0.999**step
         scale = RATE / (np.sqrt(v / d) + 1e-6)
