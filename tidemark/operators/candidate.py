@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.wideint import let
+
 MAX_HOPS = 8
 RANK = {"DISCOVERED": 0, "SECURITY_PENDING": 1, "DATA_INCOMPLETE": 2, "WATCHING": 3, "CONFIRMING": 4, "ELIGIBLE": 5}
 
@@ -55,13 +57,17 @@ def _step(state: Column, x: Column, p: Policy) -> Column:
 
 
 def _hop(p: Policy):
-    """One step of the fold: the state after it, and the log of transitions."""
+    """One step of the fold: the state after it, the log of transitions, and the snapshot that gives no further one."""
+
+    def merge(acc, hop):
+        x = hop["x"]
+
+        def moved(step):
+            entry = F.struct(x["age"].cast("bigint").alias("age"), acc["state"].alias("from_state"), step.alias("step"))
+            on = F.struct(F.split_part(step, F.lit(" "), F.lit(1)).alias("state"), F.concat(acc["log"], F.array(entry)).alias("log"), F.lit(-1).alias("over"))
+            return F.when(step.isNotNull(), on).otherwise(F.struct(acc["state"].alias("state"), acc["log"].alias("log"), hop["i"].alias("over")))
 
-    def merge(acc, x):
-        step = _step(acc["state"], x, p)
-        entry = F.struct(x["age"].cast("bigint").alias("age"), acc["state"].alias("from_state"), step.alias("step"))
-        state = F.coalesce(F.split_part(step, F.lit(" "), F.lit(1)), acc["state"])
-        return F.struct(state.alias("state"), F.when(step.isNotNull(), F.concat(acc["log"], F.array(entry))).otherwise(acc["log"]).alias("log"))
+        return F.when(acc["over"] == hop["i"], acc).otherwise(let(_step(acc["state"], x, p), moved))
 
     return merge
 
@@ -70,18 +76,16 @@ def transitions(snapshots: DataFrame, policies=(DEFAULT, CONSERVATIVE)) -> DataF
     """(token, policy_id, seq, age, from_state, to_state, reason): a fold over each token's ordered snapshots.
 
     ``snapshots``: token, age, trade_count, unique_buyers, idle, lifecycle, verdict.  A
-    snapshot may make several hops; a token has a bounded number of snapshots.
+    snapshot may make several hops; a token has a bounded number of snapshots.  All policies
+    fold the same array, so snapshots are gathered once.
     """
     rows = snapshots.groupBy("token").agg(F.array_sort(F.collect_list(F.struct("age", "trade_count", "unique_buyers", "idle", "lifecycle", "verdict"))).alias("xs"))
-    out = None
-    for p in policies:
-        # one element for each hop that a snapshot may make: a step that changes nothing is a pause
-        hops = F.flatten(F.transform("xs", lambda x: F.array_repeat(x, MAX_HOPS)))
-        log = F.array().cast("array<struct<age:bigint,from_state:string,step:string>>")
-
-        start = F.struct(F.lit("DISCOVERED").alias("state"), log.alias("log"))
-        folded = rows.select("token", F.lit(p.policy_id).alias("policy_id"), F.aggregate(hops, start, _hop(p), lambda a: a["log"]).alias("log"))
-        out = folded if out is None else out.unionByName(folded)
+    # one element for each hop that a snapshot may make; after one that changes nothing the others are passed over
+    hops = rows.select("token", F.flatten(F.transform("xs", lambda x, i: F.array_repeat(F.struct(i.alias("i"), x.alias("x")), MAX_HOPS))).alias("hops"))
+    log = F.array().cast("array<struct<age:bigint,from_state:string,step:string>>")
+    start = F.struct(F.lit("DISCOVERED").alias("state"), log.alias("log"), F.lit(-1).alias("over"))
+    folds = F.array(*(F.struct(F.lit(p.policy_id).alias("policy_id"), F.aggregate("hops", start, _hop(p), lambda a: a["log"]).alias("log")) for p in policies))
+    out = hops.select("token", F.explode(folds).alias("f")).select("token", "f.policy_id", "f.log")
     return out.select("token", "policy_id", F.posexplode("log").alias("seq", "x")).select("token", "policy_id", "seq", "x.age", "x.from_state", F.split_part("x.step", F.lit(" "), F.lit(1)).alias("to_state"), F.split_part("x.step", F.lit(" "), F.lit(2)).alias("reason"))
 
 
