@@ -116,23 +116,32 @@ def rolling(trades: DataFrame, ticks: DataFrame, windows=WINDOWS, ages=None, kin
     ``ages``: every age of the ticks.
     """
     per_side = Window.partitionBy("token", "trader", "side").orderBy("a", "id")
-    t = trades.withColumn("next", F.lead("a").over(per_side)).withColumn("new", (F.row_number().over(per_side) == 1).cast("bigint"))
+    flow, unique = "flow" in kinds, "unique" in kinds
+    t = trades
+    if unique:
+        t = t.withColumn("next", F.lead("a").over(per_side))
+    if flow:
+        t = t.withColumn("new", (F.row_number().over(per_side) == 1).cast("bigint"))
     mine = F.coalesce(F.col("mine"), F.lit(False)).cast("bigint")
-    parts = {}
-    for w in windows:
-        for s in SIDES:
-            is_s = (F.col("side") == s).cast("bigint")
-            parts |= {f"w{w}_{s}s": (w, is_s), f"w{w}_{s}_quote": (w, is_s * F.col("quote")), f"w{w}_creator_{s}_quote": (w, is_s * mine * F.col("quote")), f"w{w}_new_{s}ers": (w, is_s * F.col("new"))}
-    # entries, with exits after each window; a trader's stay ends with the next trade at the latest
-    exits = F.array(F.struct(F.lit(0).alias("w"), F.col("a").alias("age")), *(F.struct(F.lit(w).alias("w"), (F.col("a") + 1000 * w).alias("age")) for w in windows))
-    rows = t.select("token", "a", "next", "side", "quote", mine.cast("boolean").alias("mine"), "new", F.explode(exits).alias("x"))
-    sign = lambda w: F.when(F.col("x.w") == 0, 1).when(F.col("x.w") == w, -1).otherwise(0).cast("bigint")
-    flows = rows.select("token", F.col("x.age").alias("age"), *((sign(w) * v).alias(k) for k, (w, v) in parts.items()))
-    leave = lambda w: F.struct(F.lit(w).alias("w"), F.least(F.col("a") + 1000 * w, F.col("next")).alias("age"))
-    stays = t.select("token", "a", "side", F.explode(F.array(F.struct(F.lit(0).alias("w"), F.col("a").alias("age")), *(leave(w) for w in windows))).alias("x"))
-    stays = stays.select("token", F.col("x.age").alias("age"), *((sign(w) * (F.col("side") == s).cast("bigint")).alias(f"w{w}_unique_{s}ers") for w in windows for s in SIDES))
-    changes = flows.unionByName(stays, allowMissingColumns=True) if len(kinds) > 1 else flows if "flow" in kinds else stays
-    return _carried(ticks, changes.select("token", "age", *(F.coalesce(c, F.lit(0)).alias(c) for c in _sums(changes))), ages)
+    # entries count for all windows (w = 0), exits after a window for that one; a trader's stay ends with the next trade at the latest
+    move = lambda w, age, f, u: F.struct(F.lit(w).alias("w"), age.alias("age"), F.lit(f).cast("bigint").alias("f"), F.lit(u).cast("bigint").alias("u"))
+    moves = [move(0, F.col("a"), 1, 1)]
+    moves += [move(w, F.col("a") + 1000 * w, -1, 0) for w in windows] if flow else []
+    moves += [move(w, F.least(F.col("a") + 1000 * w, F.col("next")), 0, -1) for w in windows] if unique else []
+    values = {}
+    for s in SIDES:
+        is_s = (F.col("side") == s).cast("bigint")
+        if flow:
+            values |= {f"{s}s": F.col("x.f") * is_s, f"{s}_quote": F.col("x.f") * is_s * F.col("quote"), f"creator_{s}_quote": F.col("x.f") * is_s * mine * F.col("quote"), f"new_{s}ers": F.col("x.f") * is_s * F.col("new")}
+        if unique:
+            values |= {f"unique_{s}ers": F.col("x.u") * is_s}
+    rows = t.withColumn("x", F.explode(F.array(*moves)))
+    # a few narrow columns are summed up to the next tick first; windows stand side by side only after that
+    age = next_age(F.col("x.age"), ages) if ages is not None else F.col("x.age")
+    rows = rows.select("token", age.alias("age"), F.col("x.w").alias("w"), *(F.coalesce(v, F.lit(0)).alias(k) for k, v in values.items())).where("age IS NOT NULL")
+    sums = rows.groupBy("token", "age", "w").agg(*(F.sum(k).alias(k) for k in values))
+    of = lambda w, k: F.coalesce(F.sum(F.when(F.col("w").isin(0, w), F.col(k))), F.lit(0)).alias(f"w{w}_{k}")
+    return _carried(ticks, sums.groupBy("token", "age").agg(*(of(w, k) for w in windows for k in values)))
 
 
 def _later(trades: DataFrame, ticks: DataFrame, ages, within: int | None) -> DataFrame:

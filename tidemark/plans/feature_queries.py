@@ -17,6 +17,12 @@ def snapshots(spark, d, ages=state.MILESTONES, windows=state.WINDOWS):
     return state.cumulative(t, g, ages).drop("kind").join(state.rolling(t, g, windows, ages).drop("kind"), ["token", "age"])
 
 
+def windows_only(spark, d, windows, kind):
+    """Windows of one kind at the milestones and at what lies a window before them."""
+    ages = state.with_earlier(state.MILESTONES, windows)
+    return state.rolling(adapters.aged(spark, d), ticks(spark, d, False).where(F.col("age").isin(*ages)), windows, ages, (kind,))
+
+
 def _w(side: str, w: int, what: str = "count(DISTINCT trader)") -> str:
     return f"{what} FILTER (side = '{side}' AND a.a > m.age - {w}000)"
 
@@ -81,7 +87,7 @@ def _past(who: str, side: str, w: int) -> str:
     "max(CASE WHEN who = 'sell' AND w = 15 AND before IS NOT NULL THEN cur - old END) AS seller_acceleration_15s, max(CASE WHEN who = 'sell' AND w = 30 AND before IS NOT NULL THEN cur - old END) AS seller_acceleration_30s FROM y GROUP BY token, age",
 )
 def ft5(spark, d):
-    x = features.accelerations(snapshots(spark, d, state.with_earlier(state.MILESTONES, (5, 15, 30)), (5, 15, 30)), flows=())
+    x = features.accelerations(windows_only(spark, d, (5, 15, 30), "unique"), flows=())
     return x.where(F.col("age").isin(*state.MILESTONES)).select("token", "age", *(f"buyer_acceleration_{w}s" for w in (5, 15, 30)), *(f"seller_acceleration_{w}s" for w in (15, 30)))
 
 
@@ -92,7 +98,7 @@ def ft5(spark, d):
     "SELECT token, CAST(age AS BIGINT) AS age, CAST(CASE WHEN before IS NOT NULL THEN f1 - f0 END AS BIGINT) AS net_flow_velocity_15s, CAST(CASE WHEN before IS NOT NULL THEN v1 - v0 END AS BIGINT) AS volume_velocity_15s FROM y",
 )
 def ft6(spark, d):
-    x = features.accelerations(snapshots(spark, d, state.with_earlier(state.MILESTONES, (15,)), (15,)), wanted=(), flows=(15,))
+    x = features.accelerations(windows_only(spark, d, (15,), "flow"), wanted=(), flows=(15,))
     return x.where(F.col("age").isin(*state.MILESTONES)).select("token", "age", "net_flow_velocity_15s", "volume_velocity_15s")
 
 
