@@ -140,3 +140,43 @@ def str4(spark: SparkSession, d: str) -> DataFrame:
     s = streams.milestones(s, state.MILESTONES, delay="1 hour")
     s.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/check").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("token string, age bigint, buys bigint, sells bigint, unique_traders bigint").parquet(f"{path}/out")
+
+
+def _ddl(rows: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+
+
+_KEEP_MS = 6 * 3_600_000
+
+
+@query(
+    "str2_6_late_rebuild",
+    f"{WITH}, nw AS (SELECT token, max(ms) AS newest FROM t WHERE id % 10 <> 0 GROUP BY token), lt AS (SELECT t.token, count(*) AS n_late FROM t JOIN nw USING (token) WHERE id % 10 = 0 AND newest - ms > {_KEEP_MS} GROUP BY t.token) "
+    "SELECT token, n_late, (SELECT count(*) FROM t WHERE t.token = lt.token) AS n_events, 1 AS version FROM lt",
+)
+def str2_6(spark: SparkSession, d: str) -> DataFrame:
+    """A tenth of all events comes in a second batch: late ones are set apart and their tokens' counts are rebuilt from the store."""
+    path, e = scratch(spark, "stream"), _events(spark, d)
+    second = F.col("event_id").cast("bigint") % 10 == 0
+    for k, part in enumerate((~second, second)):
+        e.where(part).coalesce(1).write.parquet(f"{path}/in/{k}")
+    into = streams.rebuild_into(f"{path}/counts", f"{path}/store", e.schema, lambda x: x.groupBy("token").agg(F.lit(0).cast("bigint").alias("age"), F.count("*").alias("n_events")))
+    s = corpus.read_event_stream(spark, f"{path}/in/*", _ddl(e), files_per_trigger=1)
+    streams.route_late(s, f"{path}/store", f"{path}/late", f"{path}/check", _KEEP_MS, versions=into).awaitTermination()
+    late = sinks.committed(spark, f"{path}/late", e.withColumn("batch", F.lit(0)).schema).groupBy("token").agg(F.count("*").alias("n_late"))
+    kind = spark.createDataFrame([], "token string, age bigint, n_events bigint, version int").schema
+    return late.join(streams.current_version(spark, f"{path}/counts", kind), "token").select("token", "n_late", "n_events", "version")
+
+
+@query("str8_shards", f"{WITH} SELECT CAST(id % 4 AS VARCHAR) AS shard, count(*) AS n_rows, count(DISTINCT token) AS tokens, CAST(sum(quote) AS BIGINT) AS volume FROM t GROUP BY 1")
+def str8(spark: SparkSession, d: str) -> DataFrame:
+    """Shard files as a stream, begun twice: the second start finds every shard done."""
+    path, e = scratch(spark, "stream"), _events(spark, d)
+    e = e.withColumn("shard", (F.col("event_id").cast("bigint") % 4).cast("string"))
+    for k in range(4):
+        e.where(F.col("shard") == str(k)).coalesce(1).write.parquet(f"{path}/in/{k}")
+    for _ in range(2):
+        s = corpus.read_event_stream(spark, f"{path}/in/*", _ddl(e), files_per_trigger=1)
+        streams.shard_statistics(s, f"{path}/out", f"{path}/check").awaitTermination()
+    kind = spark.createDataFrame([], "shard string, n_rows bigint, tokens bigint, volume bigint, batch int").schema
+    return sinks.committed(spark, f"{path}/out", kind).drop("batch")
