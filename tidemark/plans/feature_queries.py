@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.amounts import bps
 from tidemark.operators import candidate, features, security, state
 from tidemark.plans.base import query
-from tidemark.plans.state_queries import WITH, lifecycle, ticks
+from tidemark.plans.state_queries import ALL_FINGERPRINTS, WITH, lifecycle, ticks
 from tidemark.sources import adapters
 
 
@@ -426,7 +426,7 @@ def ft11(spark, d):
     return as_of(ticks(spark, d), evidence(spark, d), ["token"], F.col("age"), F.col("a"), ["a", "details"], "r").select("token", "age", "r.status")
 
 
-@query("ft12_fingerprint")
+@query("ft12_fingerprint", ALL_FINGERPRINTS)
 def ft12(spark, d):
     s = snapshots(spark, d)
     return s.select("token", "age", state.fingerprint(s, sorted(s.columns)).alias("fingerprint"))

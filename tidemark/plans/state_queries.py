@@ -76,11 +76,13 @@ def _rolling(names):
     return lambda spark, d: state.rolling(adapters.aged(spark, d), ticks(spark, d), ages=state.MILESTONES, kinds=("unique",) if all(n.startswith("unique") for n in names) else ("flow",)).select("token", "age", *(f"w{w}_{n}" for w in state.WINDOWS for n in names))
 
 
-for _name, _columns in {
+#: All window columns, by query.
+_WINDOWED = {
     "st8_rolling_flow": {f"{s}s": f"count(*) FILTER (side = '{s}' AND {{w}})" for s in state.SIDES} | {f"{s}_quote": f"sum(quote) FILTER (side = '{s}' AND {{w}})" for s in state.SIDES} | {f"creator_{s}_quote": f"sum(quote) FILTER (mine AND side = '{s}' AND {{w}})" for s in state.SIDES},
     "st9_rolling_unique": {f"unique_{s}ers": f"count(DISTINCT trader) FILTER (side = '{s}' AND {{w}})" for s in state.SIDES},
     "st10_rolling_new": {f"new_{s}ers": f"count(*) FILTER (fresh AND side = '{s}' AND {{w}})" for s in state.SIDES},
-}.items():
+}
+for _name, _columns in _WINDOWED.items():
     query(_name, _window_sql(_columns))(_rolling(list(_columns)))
 
 
@@ -212,7 +214,19 @@ _TOTALS = {"buys": f"count(a.id) {_B}", "sells": f"count(a.id) {_S}"}
 for _side, _when in (("buy", _B), ("sell", _S)):
     _TOTALS |= {f"{_side}_quote": f"sum(quote) {_when}", f"{_side}_base": f"sum(base) {_when}", f"unique_{_side}ers": f"count(DISTINCT trader) {_when}", f"creator_{_side}s": f"count(*) {_C.format(_side)}", f"creator_{_side}_quote": f"sum(quote) {_C.format(_side)}"}
 _TOTALS["unique_traders"] = "count(DISTINCT trader)"
-_JSON = " || ',' || ".join(f"'\"{c}\":' || " + (f"'\"' || {c} || '\"'" if c in ("token", "kind") else c) for c in sorted([*_TOTALS, "token", "age", "kind"]))
+
+
+def _json(columns) -> str:
+    return " || ',' || ".join(f"'\"{c}\":' || " + (f"'\"' || {c} || '\"'" if c in ("token", "kind") else c) for c in sorted(columns))
+
+
+_JSON = _json([*_TOTALS, "token", "age", "kind"])
+_ALL = _TOTALS | {f"w{w}_{n}": x.format(w=f"a.a > m.age - {w * 1000}") for w in state.WINDOWS for columns in _WINDOWED.values() for n, x in columns.items()}
+#: Fingerprints over all totals and windows.
+ALL_FINGERPRINTS = (
+    f"{WITH}, a2 AS (SELECT *, row_number() OVER (PARTITION BY token, trader, side ORDER BY a, id) = 1 AS fresh FROM a), x AS (SELECT m.token, CAST(m.age AS BIGINT) AS age, {', '.join(_big(v, k) for k, v in _ALL.items())} FROM m {_ON.replace('JOIN a ON', 'JOIN a2 a ON')}) "
+    f"SELECT token, age, sha256('{{' || {_json([*_ALL, 'token', 'age'])} || '}}') AS fingerprint FROM x"
+)
 
 
 @query("st19_fingerprint", f"{WITH}, x AS (SELECT m.token, CAST(m.age AS BIGINT) AS age, 'MILESTONE' AS kind, {', '.join(_big(v, k) for k, v in _TOTALS.items())} FROM m {_ON}) SELECT token, age, sha256('{{' || {_JSON} || '}}') AS fingerprint FROM x")
