@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import hexwords
 from tidemark.operators import outcomes
 
 MARKS = "token string, a bigint, id bigint, side string, px bigint, mine boolean"
@@ -66,3 +67,15 @@ def test_staged_exits_as_a_fold(spark, cap, share):
     want = {t: folded([r[1:] for r in rows if r[0] == t], x, (4_000, 8_000, 20_000), share, 3_000, cap) for t, *x in entries}
     assert got == {t: x for t, x in want.items() if x}
     assert cap or share < 10_000 or {x[3] for x in got.values()} == {None}
+
+
+def test_short_words_need_no_limbs(spark):
+    numbers = [0, 1, 999, (1 << 60) - 1, 1 << 60, (1 << 64) + 5, (1 << 255) - 1, 1 << 255, (1 << 256) - (1 << 60), (1 << 256) - (1 << 60) - 1, (1 << 256) - 1]
+    words = [format(n, "064x") for n in numbers]
+    w = F.col("w")
+    rows = spark.createDataFrame([(x,) for x in [*words, "0" * 63 + "g", None]], "w string").select("w", hexwords.unsigned_text(w).alias("u"), hexwords.signed_text(w).alias("s"), hexwords.signed_text(w, absolute=True).alias("z"))
+    got = {r.w: (r.u, r.s, r.z) for r in rows.collect()}
+    for n, word in zip(numbers, words):
+        signed = n - (1 << 256) if n >> 255 else n
+        assert got[word] == (str(n), str(signed), str(abs(signed)))
+    assert got["0" * 63 + "g"] == (None,) * 3 and got[None] == (None,) * 3

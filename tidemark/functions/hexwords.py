@@ -31,16 +31,22 @@ def signed(w: Column) -> Column:
     return F.when(F.substring(w, 1, 1).isin(*"89abcdef"), -(unsigned(flip) + 1)).otherwise(unsigned(w)).cast("decimal(38,0)")
 
 
+def _short(w: Column) -> Column:
+    """Whether a lower-case word is a number below 2**60, which needs no limbs."""
+    return w.rlike("^0{49}[0-9a-f]{15}$")
+
+
 def unsigned_text(w: Column) -> Column:
     """Value of any word as decimal text."""
-    return F.when(w.isNotNull(), wideint.text(wideint.from_hex(w)))
+    return F.when(_short(w), F.conv(F.substring(w, 50, 15), 16, 10)).when(w.isNotNull(), wideint.text(wideint.from_hex(w)))
 
 
 def signed_text(w: Column, absolute: bool = False) -> Column:
     """Two's-complement value of any word as decimal text, or its absolute value."""
     flip = F.translate(w, "0123456789abcdef", "fedcba9876543210")
     negative = F.substring(w, 1, 1).isin(*"89abcdef")
-    size = wideint.text(wideint.add(wideint.from_hex(flip), wideint.limbs(1), wideint.LIMBS))
+    by_limbs = wideint.text(wideint.add(wideint.from_hex(flip), wideint.limbs(1), wideint.LIMBS))
+    size = F.when(_short(flip), (F.conv(F.substring(flip, 50, 15), 16, 10).cast("bigint") + 1).cast("string")).otherwise(by_limbs)
     return F.when(negative, size if absolute else F.concat(F.lit("-"), size)).otherwise(unsigned_text(w))
 
 
