@@ -510,3 +510,9 @@ def test_labels_of_values_in_cents(spark, tmp_path):
     assert research_queries.ra1(spark, str(tmp_path)).first().invalid_labels == 0
     prices = spark.createDataFrame([("t", k, k, r[4]) for k, r in enumerate(rows)], "token string, a bigint, id bigint, price double")
     assert outcomes.descriptive(prices, prices.select("token").distinct()).first().quality == "INVALID"
+
+
+def test_intervals_of_samples_at_one_time(spark):
+    rows = [("s", 0, "VALID"), ("s", 10_000, "VALID"), ("s", 10_000, "INVALID"), ("s", 90_000, "VALID")]
+    of = lambda r: sorted(map(tuple, quality.intervals(spark.createDataFrame(r, "s string, ms bigint, status string").coalesce(1), "s").collect()))
+    assert of(rows) == of(rows[::-1])

@@ -154,10 +154,13 @@ def head_gap(checkpoint: Column, head: Column, overlap: int = 64) -> Column:
 
 
 def intervals(samples: DataFrame, by: str, stale_ms: int = 45_000) -> DataFrame:
-    """Health samples (``by``, ms, status) to intervals of one status; a silence makes a PARTIAL one."""
-    w = Window.partitionBy(by).orderBy("ms")
-    x = samples.withColumn("__next", F.lead("ms").over(w)).withColumn("__s", F.when(F.col("__next") - F.col("ms") > stale_ms, "PARTIAL").otherwise(F.col("status")))
-    x = x.withColumn("__new", F.coalesce((F.col("__s") != F.lag("__s").over(w)).cast("int"), F.lit(0))).withColumn("__island", F.sum("__new").over(w))
+    """Health samples (``by``, ms, status) to intervals of one status; a silence makes a PARTIAL one.
+
+    Samples of one time stand in the order of their status, so that results don't depend on the order of rows.
+    """
+    w, each = Window.partitionBy(by).orderBy("ms"), Window.partitionBy(by).orderBy("ms", "status")
+    x = samples.withColumn("__next", F.lead("ms").over(each)).withColumn("__s", F.when(F.col("__next") - F.col("ms") > stale_ms, "PARTIAL").otherwise(F.col("status")))
+    x = x.withColumn("__new", F.coalesce((F.col("__s") != F.lag("__s").over(each)).cast("int"), F.lit(0))).withColumn("__island", F.sum("__new").over(w))
     out = x.groupBy(by, "__island", "__s").agg(F.min("ms").alias("started_ms"), F.max(F.coalesce("__next", "ms")).alias("ended_ms"))
     return out.select(by, F.col("__s").alias("status"), "started_ms", "ended_ms")
 
