@@ -2,11 +2,13 @@ import datetime as dt
 import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.sources import corpus, sinks
 from tidemark.streaming import streams
+from tidemark.streaming.milestones import Milestones
 
 SCHEMA = "event_id string, token string, ts timestamp, trader bigint, side string, quote bigint"
 T0 = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
@@ -81,6 +83,100 @@ def test_trades_wait_for_their_launch(spark, folder):
     assert [tuple(r) for r in got] == [("a", 5000, 1, 0, 1)]
 
 
+class _State:
+    """A value or list state in memory that counts its calls."""
+
+    def __init__(self):
+        self.calls, self.kept, self.keyed = 0, None, {}
+
+    def __getattribute__(self, name):
+        if name in ("exists", "get", "update", "clear", "appendList", "put", "getValue", "updateValue", "removeKey"):
+            self.calls += 1
+        return object.__getattribute__(self, name)
+
+    exists = lambda self: self.kept is not None
+    get = lambda self: self.kept
+    getValue = lambda self, k: self.keyed.get(k)
+    removeKey = lambda self, k: self.keyed.pop(k, None)
+
+    def update(self, x):
+        self.kept = x
+
+    put = update
+
+    def clear(self):
+        self.kept, self.keyed = None, {}
+
+    def updateValue(self, k, x):
+        self.keyed[k] = x
+
+    def appendList(self, x):
+        self.kept = [*(self.kept or []), *x]
+
+
+class _Handle:
+    def __init__(self):
+        self.states, self.timers = [], []
+
+    def _new(self, *_):
+        self.states.append(_State())
+        return self.states[-1]
+
+    getValueState = getListState = getMapState = _new
+
+    def registerTimer(self, t):
+        self.timers.append(t)
+
+
+def _batch(rows):
+    """Rows (ms, trader, side) in the columns that the operator gets, and as events."""
+    kinds = {"tick": 0, "buy": 1, "sell": 2, "launch": 3}
+    return pd.DataFrame([(pd.Timestamp(t, unit="ms"), t, -1 if x is None else x, s, kinds[s]) for t, x, s in rows], columns=["ts", "ms", "trader", "side", "kind"])
+
+
+def _milestone_calls(traders):
+    p, handle = Milestones((5_000, 15_000), 60_000), _Handle()
+    p.init(handle)
+    now = type("now", (), {"getCurrentWatermarkInMs": lambda self: 30_000, "getExpiryTimeInMs": lambda self: 5_001})()
+    list(p.handleInputRows(("a",), iter([_batch([(0, None, "launch")]), _batch([(1_000 * (x % 12), x, "buy") for x in range(traders)])]), now))
+    list(p.handleInputRows(("a",), iter([_batch([(9_000, x, "sell") for x in range(traders)])]), now))
+    (out,) = p.handleExpiredTimer(("a",), now, now)
+    assert out.values.tolist() == [["a", 5_000, sum(x % 12 <= 5 for x in range(traders)), 0, sum(x % 12 <= 5 for x in range(traders)), 5_000], ["a", 15_000, traders, traders, traders, 15_000]]
+    return sum(s.calls for s in handle.states)
+
+
+def test_calls_to_the_state_do_not_grow_with_traders():
+    assert _milestone_calls(3_000) == _milestone_calls(300) < 50
+
+
+def test_many_traders_are_logged_in_pieces(monkeypatch):
+    monkeypatch.setattr("tidemark.streaming.milestones.PIECE", 64)
+    assert _milestone_calls(1_000) < 50
+
+
+def test_milestones_one_by_one_and_trades_that_wait_in_pieces(monkeypatch):
+    monkeypatch.setattr("tidemark.streaming.milestones.PIECE", 2)
+    p, handle, out = Milestones((5_000, 15_000, 30_000), 90_000), _Handle(), []
+    p.init(handle)
+    at = lambda t: type("now", (), {"getCurrentWatermarkInMs": lambda self: t, "getExpiryTimeInMs": lambda self: t})()
+    for rows, t in (
+        ([(1_000 + x, x, "buy") for x in range(5)], None),  # before their launch
+        ([(1_000, None, "launch"), (12_000, 9, "sell"), (12_000, 0, "sell"), (26_000, 11, "buy")], 6_001),
+        ([(2_000, 8, "buy"), (11_000, 11, "buy"), (20_000, 8, "sell")], 16_001),  # the first comes late, for the next milestone
+        ([(31_000, 12, "buy"), (31_001, 13, "buy")], 31_001),
+    ):
+        list(p.handleInputRows(("a",), iter([_batch(rows)]), at(0)))
+        out += [x for b in (p.handleExpiredTimer(("a",), at(t), at(t)) if t else ()) for x in b.values.tolist()]
+    assert [x[1:5] for x in out] == [[5_000, 5, 0, 5], [15_000, 7, 2, 8], [30_000, 9, 3, 9]]
+
+
+def test_long_trader_ids_stay_apart(spark, folder):
+    first = [("l1", "a", at(0), None, "launch", 0), ("t1", "a", at(1), 2**60, "buy", 1), ("t2", "a", at(2), 2**60 + 1, "sell", 1)]
+    ticks = [[(f"k{k}", "clock", at(60 + k), None, "tick", 0)] for k in range(2)]
+    src = corpus.read_event_stream(spark, folder(first, *ticks), SCHEMA, files_per_trigger=1)
+    assert [tuple(r) for r in run(streams.milestones(src, ages=(5_000,)), spark, "long")] == [("a", 5000, 1, 1, 2)]
+
+
 def test_late_events_are_routed_and_stored_once(spark, folder, tmp_path):
     src = folder([("e1", "a", at(100), 1, "buy", 5)], [("e2", "a", at(10), 1, "buy", 5), ("e3", "a", at(101), 1, "buy", 5), ("e1", "a", at(100), 1, "buy", 5)])
     touched = []

@@ -126,12 +126,13 @@ def str1(spark: SparkSession, d: str) -> DataFrame:
 def str4(spark: SparkSession, d: str) -> DataFrame:
     """Milestones of all tokens from a stream of launches and trades, with timers for those that never trade."""
     path = scratch(spark, "stream")
-    launches = adapters.launches(spark, d).select("token", F.floor(F.col("launch_ms") / adapters.SCALE).alias("t0"))
-    trades = adapters.aged(spark, d).join(launches, "token").select("token", (F.col("t0") + F.col("a")).alias("at"), "trader", "side")
-    rows = launches.select("token", F.col("t0").alias("at"), F.lit(None).cast("bigint").alias("trader"), F.lit("launch").alias("side")).unionByName(trades)
-    rows = rows.select("token", F.timestamp_millis("at").alias("ts"), "trader", "side")
-    rows.write.parquet(f"{path}/in/0")
-    end = rows.agg(F.max("ts").alias("ts"))
+    adapters.launches(spark, d).select("token", "launch_ms").write.parquet(f"{path}/launches")
+    born = spark.read.parquet(f"{path}/launches")
+    t0 = F.floor(F.col("launch_ms") / adapters.SCALE)
+    trades = adapters.trades(spark, d).join(born, "token").select("token", (t0 + F.floor((F.col("ms") - F.col("launch_ms")) / adapters.SCALE)).alias("at"), "trader", "side")
+    rows = born.select("token", t0.alias("at"), F.lit(None).cast("bigint").alias("trader"), F.lit("launch").alias("side")).unionByName(trades)
+    rows.select("token", F.timestamp_millis("at").alias("ts"), "trader", "side").write.parquet(f"{path}/in/0")
+    end = spark.read.parquet(f"{path}/in/0").agg(F.max("ts").alias("ts"))
     for k in range(1, 4):  # a clock moves event time on past the last milestone
         later = F.col("ts") + F.make_interval(days=F.lit(k))
         end.select(F.lit("clock").alias("token"), later.alias("ts"), F.lit(None).cast("bigint").alias("trader"), F.lit("tick").alias("side")).write.parquet(f"{path}/in/{k}")
