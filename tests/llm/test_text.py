@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -377,6 +378,28 @@ def test_strings_by_blocks_of_whole_contexts(docs_of, words, monkeypatch):
     assert sorted((r.g, r.c, round(r.value, 9)) for r in _valued(docs_of(rows))) == want
 
 
+def test_a_task_hands_on_each_string_once(words, monkeypatch):
+    monkeypatch.setattr(context_tree, "FRESH", 100)
+    texts = [*(words(8) for _ in range(20)), "", None]
+    batches = [pa.RecordBatch.from_pydict({"t": pa.array(texts, pa.string()), "learn": [learn] * len(texts)}) for learn in (True, False, False)]
+    want = Counter(context_tree.grams([(t or "").encode() for t in texts])[0].tolist())
+    rows = [r for b in context_tree._count_grams(context_tree.DEPTH)(iter(batches)) for r in b.to_pylist()]
+    assert len(rows) == len(want) and all((r["n"], r["c"]) == (want[r["g"]], 3 * want[r["g"]]) for r in rows)
+
+
+def test_words_part_at_ascii_spaces_only(monkeypatch):
+    monkeypatch.setattr(context_tree, "WORDS", 3)
+    texts = ["  A b\x0bÀc\x1cD\xa0e\x85 \n", None, "", " \t", "b B\rb\x0cÉ", "x"]
+    want = [w for t in texts for w in (t or "").encode().lower().split()]
+    place, word = context_tree._words(pa.array(texts))
+    assert word.to_pylist() == want and place.tolist() == [0] * 3 + [4] * 4 + [5]
+    count = Counter()
+    for b in context_tree._count_words(iter([pa.RecordBatch.from_pydict({"t": texts})] * 3)):
+        for r in b.to_pylist():
+            count[r["word"]] += r["c"]
+    assert count == Counter(want * 3)
+
+
 def _valued(docs):
     return context_tree.valued(docs.selectExpr("text AS t", "doc_id % 3 > 0 AS learn")).collect()
 

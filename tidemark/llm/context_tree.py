@@ -31,12 +31,12 @@ uniform.  An empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,8 +49,11 @@ SHARED = 3
 #: Strings that are sent to the tasks.
 STRINGS = 1 << 22
 COMMON = 1 << 18
-#: Distinct strings that a task counts before it hands them on, and strings worked on at a time.
+#: Rows of words that a task holds before it sums them up.
+WORDS = 800_000
+#: Distinct strings that a task counts before it hands them on, strings sorted at a time, and strings worked on at a time.
 HELD = 3_000_000
+FRESH = 1 << 22
 BLOCK = 1 << 17
 MARK = 0xFF
 #: No string: marks a free place.
@@ -89,26 +92,42 @@ def _count_grams(depth: int):
     none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g, c = none
+        (g, c), fresh, size = none, [], 0
         for batch in slices(batches, "t"):
-            texts, learn = strings(batch.column("t")), batch.column("learn").to_pylist()
-            for bit in (0, 1):
-                some = [t for t, x in zip(texts, learn) if x == bool(bit)]
-                if some:
-                    g, c = _added(g, c, *np.unique(grams(some, depth)[0] << np.uint64(1) | np.uint64(bit), return_counts=True))
+            more, first = grams(strings(batch.column("t")), depth)
+            learn = pc.fill_null(batch.column("learn"), False).to_numpy(zero_copy_only=False).astype(np.uint64)
+            fresh.append(more << np.uint64(1) | np.repeat(learn, np.diff(np.append(first, len(more)))))
+            size += len(more)
+            if size >= FRESH:  # one large sort costs less than the merges that many small ones would take
+                g, c = _added(g, c, *_sorted(fresh))
+                fresh, size = [], 0
             if len(g) > HELD:
                 yield from _gram_rows(g, c)
                 g, c = none
+        if fresh:
+            g, c = _added(g, c, *_sorted(fresh))
         yield from _gram_rows(g, c)
 
     return count
 
 
+def _sorted(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, and how often each occurs."""
+    g = np.concatenate(parts)
+    g.sort()
+    heads = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+    return g[heads], np.diff(np.append(heads, len(g)))
+
+
 def _gram_rows(g: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(g), BLOCK):
-        some, count = g[at : at + BLOCK], c[at : at + BLOCK]
-        n = count * (some & np.uint64(1)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array((some >> np.uint64(1)).view(np.int64)), pa.array(n), pa.array(count)], names=["g", "n", "c"])
+    """Rows of strings; the two counts of one string stand together."""
+    if not len(g):
+        return
+    whole = g >> np.uint64(1)
+    heads = np.flatnonzero(np.append(True, whole[1:] != whole[:-1]))
+    columns = whole[heads].view(np.int64), np.add.reduceat(c * (g & np.uint64(1)).astype(np.int64), heads), np.add.reduceat(c, heads)
+    for at in range(0, len(heads), BLOCK):
+        yield pa.RecordBatch.from_arrays([pa.array(x[at : at + BLOCK]) for x in columns], names=["g", "n", "c"])
 
 
 #: ln of Gamma(n + 1/2) / Gamma(1/2) and of n! for small n.
@@ -353,19 +372,42 @@ def table_of(values: DataFrame) -> Model:
     return model
 
 
+def _words(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """The words of all texts in order, A-Z lower-cased, each with the place of its text."""
+    found = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    text, word = pc.list_parent_indices(found), pc.list_flatten(found)
+    some = pc.greater(pc.binary_length(word), 0)  # spaces at an end of a text leave an empty word
+    return text.filter(some).to_numpy(zero_copy_only=False).astype(np.int64), word.filter(some).cast(pa.binary()).dictionary_encode()
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    count: Counter[bytes] = Counter()
-    for batch in slices(batches, "t"):
-        for t in strings(batch.column("t")):
-            count.update(t.lower().split())
-        if len(count) > 400_000:
-            yield _word_rows(count)
-            count = Counter()
-    yield _word_rows(count)
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in slices(batches, "t", 1 << 22):
+        word = _words(batch.column("t"))[1]
+        held.append(pa.RecordBatch.from_arrays([word.dictionary, pa.array(np.bincount(word.indices.to_numpy(zero_copy_only=False), minlength=len(word.dictionary)))], names=["word", "c"]))
+        size += len(word.dictionary)
+        if size > WORDS:
+            held = _summed(held)
+            size = sum(x.num_rows for x in held)
+            if size > WORDS // 2:
+                yield from held
+                held, size = [], 0
+    yield from _summed(held)
+
+
+def _summed(parts: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    if not parts:
+        return []
+    return pa.Table.from_batches(parts).group_by("word", use_threads=False).aggregate([("c", "sum")]).rename_columns(["word", "c"]).to_batches()
 
 
-def _word_rows(count: Counter[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())], names=["word", "c"])
+def _rare_words(text: np.ndarray, code: np.ndarray, word: pa.Array, texts: int) -> pa.ListArray:
+    """Per text those words, by their place among the distinct ones, each with its count."""
+    pair, n = np.unique(text * max(1, len(word)) + code, return_counts=True)
+    text, code = pair // max(1, len(word)), pair % max(1, len(word))
+    rows = pa.StructArray.from_arrays([word.take(pa.array(code)), pa.array(n)], ["word", "n"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(texts + 1)), pa.int32()), rows)
 
 
 def _rare_strings(g: np.ndarray, first: np.ndarray, rare: np.ndarray) -> pa.ListArray:
@@ -402,26 +444,24 @@ def scored(docs: DataFrame, held_out: Column | None = None, depth: int = DEPTH,
     end_value = math.log10(ends + 0.5)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, never = value.value.get, math.nan
-        rare_kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
-        table = model.value
+        get, table = value.value.get, model.value
         for batch in slices(batches, "t", 1 << 19):
             texts = strings(batch.column("t"))
-            n, known, base, rare = [], [], [], []
-            for t in texts:
-                split = t.lower().split()
-                found = np.fromiter(map(get, split, repeat(never)), dtype=np.float64, count=len(split))
-                other = np.flatnonzero(np.isnan(found)).tolist()
-                n.append(len(split) + 1)
-                known.append(len(split) - len(other) + (ends > 0))
-                base.append(float(np.nansum(found)) + end_value - below * (len(split) + 1))
-                rare.append([{"word": w, "n": c} for w, c in Counter([split[j] for j in other]).items()])
+            text, word = _words(batch.column("t"))
+            code = word.indices.to_numpy(zero_copy_only=False)
+            found = np.fromiter(map(get, word.dictionary.to_pylist(), repeat(math.nan)), dtype=np.float64, count=len(word.dictionary))[code]
+            other = np.isnan(found)
+            found[other] = 0
+            n = np.bincount(text, minlength=len(texts)) + 1
+            known = n - np.bincount(text[other], minlength=len(texts)) - (ends == 0)
+            base = np.bincount(text, weights=found, minlength=len(texts)) + end_value - below * n
+            rare = _rare_words(text[other], code[other], word.dictionary, len(texts))
             g, first_of = grams(texts, depth)
             chance = table.log10(g)
             missing = np.isnan(chance)
             chance[missing] = 0
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("i", "row", "held_out")), *(pa.array(x, pa.int64()) for x in (n, known, [len(t) for t in texts])), pa.array(base), pa.array(np.add.reduceat(chance, first_of)), pa.array(rare, rare_kind), _rare_strings(g, first_of, np.flatnonzero(missing))],
+                [*(batch.column(c) for c in ("i", "row", "held_out")), *(pa.array(x, pa.int64()) for x in (n, known, [len(t) for t in texts])), pa.array(base), pa.array(np.add.reduceat(chance, first_of)), rare, _rare_strings(g, first_of, np.flatnonzero(missing))],
                 names=["i", "row", "held_out", "n_tokens", "n_top", "n_bytes", "base_top", "score_top", "rare", "strings"],
             )
 
