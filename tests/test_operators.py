@@ -516,3 +516,18 @@ def test_intervals_of_samples_at_one_time(spark):
     rows = [("s", 0, "VALID"), ("s", 10_000, "VALID"), ("s", 10_000, "INVALID"), ("s", 90_000, "VALID")]
     of = lambda r: sorted(map(tuple, quality.intervals(spark.createDataFrame(r, "s string, ms bigint, status string").coalesce(1), "s").collect()))
     assert of(rows) == of(rows[::-1])
+
+
+def test_signal_counts_without_observations(spark, tmp_path):
+    """Without any token that passes, the query has one row of zeros, as its SQL has."""
+    from tidemark.plans import feature_queries
+
+    rows = [(97 * k, f"2024-01-01 00:00:{k:02d}", k, "error", 1.0, '{"k": 7}') for k in range(3)]
+    events = spark.createDataFrame(rows, "event_id bigint, ts string, user_id bigint, event_type string, value double, props string")
+    events.withColumn("ts", F.to_timestamp("ts")).write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(0,)], "n_nationkey bigint").write.parquet(f"{tmp_path}/nation.parquet")
+    assert list(map(tuple, feature_queries.sg4(spark, str(tmp_path)).collect())) == [(0, 0, 0)]
+    signals = spark.createDataFrame([("t", "A", True), ("t", "A", False), ("u", "A", True)], "token string, policy string, enter boolean")
+    hits = spark.createDataFrame([("t", True)], "token string, hit boolean")
+    of = lambda *more: sorted(map(tuple, candidate.signal_counts(signals, hits, *more).collect()))
+    assert of() == [("A", 3, 2, 1)] and of(("A", "B")) == [("A", 3, 2, 1), ("B", 0, 0, 0)]

@@ -169,10 +169,14 @@ def delayed_entries(snapshots: DataFrame, eligible: DataFrame, delays=(0, 30_000
     return rows.unionByName(control)
 
 
-def signal_counts(signals: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Per policy: observations, signals and hits (outcomes: token, hit)."""
+def signal_counts(signals: DataFrame, outcomes: DataFrame, policies: tuple[str, ...] = ()) -> DataFrame:
+    """Per policy: observations, signals and hits (outcomes: token, hit).  ``policies`` have a row, of zeros, even without observations."""
     j = signals.join(outcomes, "token", "left")
-    return j.groupBy("policy").agg(F.count("*").alias("n_obs"), F.count_if("enter").alias("n_signals"), F.count_if(F.col("enter") & F.coalesce("hit", F.lit(False))).alias("hits"))
+    out = j.groupBy("policy").agg(F.count("*").alias("n_obs"), F.count_if("enter").alias("n_signals"), F.count_if(F.col("enter") & F.coalesce("hit", F.lit(False))).alias("hits"))
+    if policies:
+        named = signals.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, policies))).alias("policy"))
+        out = out.join(named, "policy", "full").na.fill(0, ["n_obs", "n_signals", "hits"])
+    return out
 
 
 def trained(features: DataFrame) -> DataFrame:
